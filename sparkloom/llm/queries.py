@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, near_dedup, quality
+from . import ann, bpe, exact_dedup, langid, line_dedup, mixing, near_dedup, quality, url_filter
 
 #: The vocabulary that ``op3`` encodes with.
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,6 +46,36 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    clean = F.sha2(F.col("clean").cast("binary"), 256).alias("clean_sha256")
+    return line_dedup.cleaned(docs).select("doc_id", "n_lines", "n_removed", F.length("clean").alias("clean_chars"), clean)
+
+
+OP6_SQL = """
+WITH parts AS (
+  SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS part,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents
+), named AS (
+  SELECT *, trim(part, ' ' || chr(9) || chr(13)) AS line FROM parts
+), spread AS (
+  SELECT line FROM named WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce('s' || source, '-')) >= 8
+), marked AS (
+  SELECT n.*, s.line IS NOT NULL AS gone FROM named n LEFT JOIN spread s ON n.line = s.line
+), joined AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+         coalesce(string_agg(part, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS clean
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, n_lines::INT AS n_lines, n_removed::INT AS n_removed, length(clean)::INT AS clean_chars, sha256(clean) AS clean_sha256 FROM joined
+"""
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
@@ -54,6 +84,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.mark(docs, words=3, percent=85).drop("tkey")
@@ -63,9 +97,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_ann": op5_ann,
+    "op6_line_dedup": op6_line_dedup,
     "op7_langid": op7_langid,
     "op8_mixing": op8_mixing,
+    "op9_url_filter": op9_url_filter,
     "op10_minhash": op10_minhash,
 }
 
-ORACLE: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
+ORACLE: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL}
