@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, broadcast_if_small, shared_dir, text_of
+from .common import WORD, broadcast_if_small, shared_dir, stage, text_of
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -73,10 +73,15 @@ def source_table(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
     return wide.select("source", "source_size", "weight", F.least(even, (cap * F.col("source_size")).cast("double")).alias("target"))
 
 
-def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], cap: int, trials: int) -> DataFrame:
-    """The input's columns and, as __mix, a struct of what the mix decides for the row."""
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, source, size of every row, written once: three passes follow, and none reads a text again."""
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
+    return stage(narrow, "sizes")
+
+
+def _planned(docs: DataFrame, sized: DataFrame, size: Column, id_col: str, source_col: str, weights: tuple[int, ...], cap: int, trials: int) -> DataFrame:
+    """The columns of ``docs``, __size, __copies and, as __of, what the mix decides for the source."""
     shared_dir(docs.sparkSession)  # checkpoint() below needs the folder
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
     rates = source_table(sized, weights, cap).withColumnRenamed("source", "s_source").checkpoint()
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rates = rates.withColumn("whole", F.floor(rate).cast("long")).withColumn("part", rate - F.floor(rate))
@@ -92,7 +97,7 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     for t in range(trials):
         chosen = F.when(F.col("__of.trial") == t, _draw(F.col(f"`{id_col}`"), t)).otherwise(chosen)
     copies = F.when(F.col("__size") > 0, F.col("__of.whole") + (chosen < F.col("__of.part")).cast("long")).otherwise(F.lit(0).cast("long"))
-    met = docs.withColumn("__size", n_words(text_col)).join(
+    met = docs.withColumn("__size", size).join(
         broadcast_if_small(seeded.select("s_source", F.struct("source_size", "target", "whole", "part", "trial").alias("__of"))),
         F.col(f"`{source_col}`").eqNullSafe(F.col("s_source")),
     )
@@ -102,8 +107,8 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
          weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, trials: int = TRIALS) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, copies, taken."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    return _planned(narrow, "doc_id", "text", "source", weights, cap, trials).select(
+    sized = _sized(docs, id_col, text_col, source_col)
+    return _planned(sized, sized, F.col("size"), "doc_id", "source", weights, cap, trials).select(
         "doc_id", "source", F.col("__size").alias("size"), "__of.source_size", "__of.target",
         F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"),
     )
@@ -112,5 +117,6 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
           weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, trials: int = TRIALS) -> DataFrame:
     """The mix itself: each input row as often as it is taken, with the input's columns."""
-    planned = _planned(docs, id_col, text_col, source_col, weights, cap, trials).filter("__copies > 0")
+    sized = _sized(docs, id_col, text_col, source_col)
+    planned = _planned(docs, sized, n_words(text_col), id_col, source_col, weights, cap, trials).filter("__copies > 0")
     return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, langid, line_dedup, mixing, near_dedup, quality, url_filter
+from . import ann, bpe, exact_dedup, langid, line_dedup, mixing, near_dedup, quality, repeats, url_filter
 
 #: The vocabulary that ``op3`` encodes with.
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.scored(docs, table(spark, sf_dir, "labels")).drop("text")
@@ -94,6 +98,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_exact_dedup": op4_exact_dedup,
