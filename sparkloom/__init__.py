@@ -1,0 +1 @@
+"""Retrieval, conversation and corpus analytics on Spark DataFrames."""

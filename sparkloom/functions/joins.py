@@ -1,0 +1,14 @@
+"""Joins with a checked broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a narrow table that a broadcast may hold.
+ROWS = 100_000
+
+
+def small_side(df: DataFrame, limit: int = ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have at most ``limit`` rows; past that the join shuffles."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
