@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_arrow_batches, shared_dir, stage
+from .common import bound_arrow_batches, picked, shared_dir, stage
 
 TABLES = 4
 TUNE_QUERIES = 128
@@ -79,7 +79,7 @@ class CrossPolytope:
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id and embedding (array<double>) of the vectors that take part."""
     v = F.col("embedding")
-    made = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    made = picked(rows, vec_id=id_col, embedding=vector_col).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return made.filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)))
 

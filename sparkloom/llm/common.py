@@ -48,6 +48,32 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def _place(names: list[str], name: str) -> int:
+    """Where a column is: by its exact name, else by the name in any case."""
+    if name in names:
+        return names.index(name)
+    return [n.lower() for n in names].index(name.lower())
+
+
+def picked(df: DataFrame, **wanted: str) -> DataFrame:
+    """The columns ``wanted`` under the keywords' names.  Other columns can't clash, whatever they are called."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"c{_place(df.columns, name)}").alias(key) for key, name in wanted.items()])
+
+
+def wrapped(df: DataFrame, **wanted: str) -> DataFrame:
+    """As ``picked``, with the whole row as one struct ``__row`` besides; ``unwrapped`` takes it apart again."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(F.struct(*plain.columns).alias("__row"), *[F.col(f"c{_place(df.columns, name)}").alias(key) for key, name in wanted.items()])
+
+
+def unwrapped(df: DataFrame, names: list[str], **added: Column) -> DataFrame:
+    """The row's own columns and the added ones; an added column takes the place of one with its name."""
+    kept = [i for i, n in enumerate(names) if n.lower() not in {a.lower() for a in added}]
+    out = df.select(*[F.col(f"__row.c{i}") for i in kept], *added.values())
+    return out.toDF(*[names[i] for i in kept], *added)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

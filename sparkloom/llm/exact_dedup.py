@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bound_arrow_batches, text_of
+from .common import batches, bound_arrow_batches, picked, text_of, unwrapped, wrapped
 
 #: Bytes of labels that one trie holds before it lets a subtree go.
 MEMORY = 96 << 20
@@ -215,25 +215,25 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
         yield from batches(_OWNER, rows())
 
-    raw = docs.select(F.col(id_col).cast("long").alias("owner"), text_of(text_col).cast("binary").alias("text"))
+    raw = picked(docs, owner=id_col, text=text_col).select(F.col("owner").cast("long"), text_of().cast("binary").alias("text"))
     parts = raw.mapInArrow(combine, "text binary, owner long, n long")
     dealt = parts.repartition(F.length("text"), F.xxhash64("text"))
     return dealt.mapInArrow(merge, "text_sha256 string, keep_id long, group_size long")
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", memory: int = MEMORY) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     table = owners(docs, id_col, text_col, keep, memory)
-    rows = docs.select(F.col(id_col), F.sha2(text_of(text_col).cast("binary"), 256).alias("text_sha256"))
+    rows = picked(docs, doc_id=id_col, text=text_col).select("doc_id", F.sha2(text_of().cast("binary"), 256).alias("text_sha256"))
     return rows.join(table, "text_sha256").select(
-        F.col(id_col), "keep_id", "group_size", F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", memory: int = MEMORY) -> DataFrame:
     """The input's rows that own their text, one for each text, with the input's columns."""
-    table = owners(docs, id_col, text_col, keep, memory).withColumnsRenamed({"text_sha256": "__sha", "keep_id": "__keep", "group_size": "__size"})
-    keyed = docs.withColumn("__sha", F.sha2(text_of(text_col).cast("binary"), 256))
-    met = keyed.join(table, "__sha").filter(F.col(id_col).cast("long").eqNullSafe(F.col("__keep")))
-    once = met.filter("__size = 1").unionByName(met.filter("__size > 1").dropDuplicates(["__sha"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    table = owners(docs, id_col, text_col, keep, memory)
+    keyed = wrapped(docs, id=id_col, text=text_col).withColumn("text_sha256", F.sha2(text_of().cast("binary"), 256))
+    met = keyed.join(table, "text_sha256").filter(F.col("id").cast("long").eqNullSafe(F.col("keep_id")))
+    once = met.filter("group_size = 1").unionByName(met.filter("group_size > 1").dropDuplicates(["text_sha256"]))
+    return unwrapped(once, docs.columns)

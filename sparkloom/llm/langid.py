@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bound_arrow_batches, fold_of, text_of
+from .common import batches, bound_arrow_batches, fold_of, picked, text_of
 
 PER_LANGUAGE = 3_000
 #: More languages than this in the labels are an error: the model has one column each.
@@ -234,7 +234,7 @@ def expected_counts(vocab: Pieces, words: list[str], weights: np.ndarray, probab
 def train(docs: DataFrame, path: str, per_language: int = PER_LANGUAGE, smoothing: float = 0.1) -> Model:
     """Learn from rows with text and language outside the held-out fold."""
     bound_arrow_batches(docs.sparkSession)
-    fold = docs.filter((fold_of("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    fold = picked(docs, doc_id="doc_id", text="text", lang="lang").filter((fold_of("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = fold.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -297,4 +297,4 @@ def identify(docs: DataFrame, path: str, model: Model | None = None, temperature
             yield pd.DataFrame(_HELD[mark].texts(texts.tolist(), temperature), columns=["lang_pred", "score"])
 
     held = F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), run(text_of()).alias("out")).select("doc_id", "held_out", "out.lang_pred", "out.score")
+    return picked(docs, doc_id="doc_id", text="text").select("doc_id", held.alias("held_out"), run(text_of()).alias("out")).select("doc_id", "held_out", "out.lang_pred", "out.score")

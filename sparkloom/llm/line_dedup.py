@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, shared_dir, text_of
+from .common import broadcast_if_small, picked, shared_dir, text_of, unwrapped, wrapped
 
 MIN_SITES = 8
 LG_K = 12
@@ -36,8 +36,9 @@ def _identity(line: Column) -> list[Column]:
 
 def exploded(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """id, tkey, site, pos, h, g of every line that isn't blank."""
-    site = F.coalesce(F.concat(F.lit("s"), F.col(f"`{site_col}`").cast("string")), F.lit("-"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("tkey"), site.alias("site"), F.posexplode(_lines(text_of(text_col))).alias("pos", "line"))
+    site = F.coalesce(F.concat(F.lit("s"), F.col("site").cast("string")), F.lit("-"))
+    named = picked(docs, id=id_col, text=text_col, site=site_col)
+    rows = named.select("id", F.xxhash64(text_of()).alias("tkey"), site.alias("site"), F.posexplode(_lines(text_of())).alias("pos", "line"))
     rows = rows.withColumn("line", F.trim("line", F.lit(" \t\r")))
     return rows.filter("line <> ''").select("id", "tkey", "site", "pos", *_identity(F.col("line")))
 
@@ -57,11 +58,11 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id",
     lines = exploded(docs, id_col, text_col, site_col)
     hits = lines.join(broadcast_if_small(boilerplate(lines, min_sites)), ["h", "g"])
     # positions depend on the text alone; the id in the key keeps copies of a text apart
-    gone = hits.groupBy(F.col("id").alias("__id"), F.col("tkey").alias("__tkey")).agg(F.collect_set("pos").alias("__gone"))
-    keyed = docs.withColumn("__key", F.xxhash64(text_of(text_col)))
-    met = keyed.join(gone, keyed[id_col].eqNullSafe(gone["__id"]) & (keyed["__key"] == gone["__tkey"]), "left")
-    parts, none = _lines(text_of(text_col)), F.array().cast("array<int>")
-    gone_here = F.coalesce(F.col("__gone"), none)
+    gone = hits.groupBy(F.col("id").alias("gone_id"), F.col("tkey").alias("gone_key")).agg(F.collect_set("pos").alias("gone"))
+    keyed = wrapped(docs, id=id_col, text=text_col).withColumn("key", F.xxhash64(text_of()))
+    met = keyed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
+    parts, none = _lines(text_of()), F.array().cast("array<int>")
+    gone_here = F.coalesce(F.col("gone"), none)
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone_here)
-    text = F.when(F.size(gone_here) == 0, text_of(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(parts, i + 1)), "\n"))
-    return met.select(*[F.col(f"`{c}`") for c in docs.columns], text.alias(to), F.size(parts).alias("n_lines"), F.size(gone_here).alias("n_removed"))
+    text = F.when(F.size(gone_here) == 0, text_of()).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(parts, i + 1)), "\n"))
+    return unwrapped(met, docs.columns, **{to: text, "n_lines": F.size(parts), "n_removed": F.size(gone_here)})

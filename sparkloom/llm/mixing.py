@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, broadcast_if_small, shared_dir, stage, text_of
+from .common import WORD, broadcast_if_small, picked, shared_dir, stage, text_of, unwrapped, wrapped
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -75,12 +75,12 @@ def source_table(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """doc_id, source, size of every row, written once: three passes follow, and none reads a text again."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
-    return stage(narrow, "sizes")
+    named = picked(docs, doc_id=id_col, source=source_col, text=text_col)
+    return stage(named.select("doc_id", "source", n_words().alias("size")), "sizes")
 
 
-def _planned(docs: DataFrame, sized: DataFrame, size: Column, id_col: str, source_col: str, weights: tuple[int, ...], cap: int, trials: int) -> DataFrame:
-    """The columns of ``docs``, __size, __copies and, as __of, what the mix decides for the source."""
+def _planned(docs: DataFrame, sized: DataFrame, size: Column, weights: tuple[int, ...], cap: int, trials: int) -> DataFrame:
+    """The columns of ``docs(doc_id, source, ...)``, __size, __copies and, as __of, what the mix decides for the source."""
     shared_dir(docs.sparkSession)  # checkpoint() below needs the folder
     rates = source_table(sized, weights, cap).withColumnRenamed("source", "s_source").checkpoint()
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -95,11 +95,11 @@ def _planned(docs: DataFrame, sized: DataFrame, size: Column, id_col: str, sourc
     seeded = sums.withColumn("trial", F.array_position(off, F.array_min(off)) - 1).drop("drawn").checkpoint()
     chosen = F.lit(None).cast("double")
     for t in range(trials):
-        chosen = F.when(F.col("__of.trial") == t, _draw(F.col(f"`{id_col}`"), t)).otherwise(chosen)
+        chosen = F.when(F.col("__of.trial") == t, _draw(F.col("doc_id"), t)).otherwise(chosen)
     copies = F.when(F.col("__size") > 0, F.col("__of.whole") + (chosen < F.col("__of.part")).cast("long")).otherwise(F.lit(0).cast("long"))
     met = docs.withColumn("__size", size).join(
         broadcast_if_small(seeded.select("s_source", F.struct("source_size", "target", "whole", "part", "trial").alias("__of"))),
-        F.col(f"`{source_col}`").eqNullSafe(F.col("s_source")),
+        F.col("source").eqNullSafe(F.col("s_source")),
     )
     return met.withColumn("__copies", copies).drop("s_source")
 
@@ -108,7 +108,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
          weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, trials: int = TRIALS) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, copies, taken."""
     sized = _sized(docs, id_col, text_col, source_col)
-    return _planned(sized, sized, F.col("size"), "doc_id", "source", weights, cap, trials).select(
+    return _planned(sized, sized, F.col("size"), weights, cap, trials).select(
         "doc_id", "source", F.col("__size").alias("size"), "__of.source_size", "__of.target",
         F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"),
     )
@@ -118,5 +118,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
           weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, trials: int = TRIALS) -> DataFrame:
     """The mix itself: each input row as often as it is taken, with the input's columns."""
     sized = _sized(docs, id_col, text_col, source_col)
-    planned = _planned(docs, sized, n_words(text_col), id_col, source_col, weights, cap, trials).filter("__copies > 0")
-    return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = wrapped(docs, doc_id=id_col, source=source_col, text=text_col)
+    planned = _planned(rows, sized, n_words(), weights, cap, trials).filter("__copies > 0")
+    return unwrapped(planned.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))), docs.columns)

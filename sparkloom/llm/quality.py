@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow_batches, fold_of, text_of
+from .common import bound_arrow_batches, fold_of, picked, text_of, unwrapped, wrapped
 
 POSITIVES, UNLABELLED = 4_000, 8_000
 THRESHOLD = 0.7
@@ -154,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     """Learn from the folds that aren't held out: rows with quality 1 as positives, any rows as unlabelled."""
     bound_arrow_batches(docs.sparkSession)
     learning = fold_of("doc_id", FOLDS) != HELD_OUT
+    docs, labels = picked(docs, doc_id="doc_id", text="text"), picked(labels, doc_id="doc_id", quality="quality")
     trusted = labels.filter(learning & (F.col("quality") == 1)).select("doc_id").orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(positives).distinct()
     texts = docs.filter(learning).select("doc_id", text_of().alias("text"))
     # both sides of this join are bounded by ``positives`` ids
@@ -166,8 +167,8 @@ def _sample_ids(texts: DataFrame, at_most: int) -> np.ndarray:
     return _sample(texts.join(F.broadcast(picked), "doc_id", "left_semi"), at_most)
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: Model | None = None) -> DataFrame:
-    """The input's columns, held_out, score and predicted."""
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: Model | None = None, whole_rows: bool = False) -> DataFrame:
+    """The input's columns, held_out, score and predicted; with ``whole_rows`` the rows at the threshold or above, as they came."""
     model = model or train(docs, labels)
 
     @F.pandas_udf("double")
@@ -177,12 +178,12 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mod
             yield pd.Series(model.score(x))
 
     held = F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    out = docs.withColumn("__score", score(text_of()))
-    return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns], held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted")
-    )
+    out = wrapped(docs, doc_id="doc_id", text="text").withColumn("score", score(text_of()))
+    if whole_rows:
+        return unwrapped(out.filter(F.col("score") >= threshold), docs.columns)
+    return unwrapped(out, docs.columns, held_out=held, score=F.col("score"), predicted=(F.col("score") >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that the classifier doesn't reject, with the input's columns."""
-    return scored(docs, labels, threshold).filter("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored(docs, labels, threshold, whole_rows=True)

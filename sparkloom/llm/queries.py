@@ -26,7 +26,19 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeats(table(spark, sf_dir, "documents"))
+    return repeats.repeats(table(spark, sf_dir, "documents")).drop("match_id")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+OP1_SQL = f"""
+WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, i AS s, md5(array_to_string(list_slice(w, i + 1, i + 50), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM words)),
+often AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+spans AS (SELECT DISTINCT doc_id, s FROM windows SEMI JOIN often USING (h)),
+marked AS (SELECT *, CASE WHEN s < lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM spans),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM marked)
+SELECT doc_id, min(s)::INT AS start_word, (max(s) + 50)::INT AS end_word, (max(s) + 50 - min(s))::INT AS n_words FROM islands GROUP BY doc_id, island
+"""
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +100,23 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP8_SQL = r"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS s, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w FROM sized GROUP BY source),
+walk AS (SELECT *, coalesce(sum(s) OVER run, 0) AS s_before, coalesce(sum(w) OVER run, 0) AS w_before, sum(s) OVER () AS s_all, sum(w) OVER () AS w_all FROM totals
+  WINDOW run AS (ORDER BY s / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fits AS (SELECT (s_all - 3 * s_before) AS num, (w_all - w_before) AS den FROM walk WHERE (s_all - 3 * s_before) * w <= 3 * s * (w_all - w_before) ORDER BY s_before, w_before LIMIT 1),
+targets AS (SELECT source, s, least(w * num::DOUBLE / den::DOUBLE, (3 * s)::DOUBLE) AS target FROM totals, fits),
+rates AS (SELECT *, CASE WHEN s > 0 THEN target / s ELSE 0 END AS rate FROM targets),
+met AS (SELECT d.*, r.s, r.target, floor(rate)::BIGINT AS whole, rate - floor(rate) AS part FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+draws AS (SELECT *, ('0x' || substr(md5('mix-' || (t // 4) || '-' || coalesce(doc_id::VARCHAR, '')), 1 + 8 * (t % 4), 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM met, range(16) r(t)),
+trials AS (SELECT source, t, abs(sum(CASE WHEN u < part THEN size ELSE 0 END) + any_value(whole * s) - any_value(target)) AS off FROM draws GROUP BY source, t),
+best AS (SELECT source, arg_min(t, (off, t)) AS t FROM trials GROUP BY source)
+SELECT d.doc_id, d.size, d.s AS source_size, d.target, CASE WHEN size > 0 THEN size * (whole + CASE WHEN u < part THEN 1 ELSE 0 END) ELSE 0 END::BIGINT AS taken
+FROM draws d JOIN best b ON d.t = b.t AND d.source IS NOT DISTINCT FROM b.source
+"""
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -97,6 +126,17 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.mark(docs, words=3, percent=85).drop("tkey")
 
 
+OP10_SQL = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT e.x, reach.r FROM reach JOIN edges e ON e.y = reach.doc_id)
+SELECT doc_id, any_value(coalesce(n, 0)) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_quality": op2_quality,
@@ -110,4 +150,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": op10_minhash,
 }
 
-ORACLE: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL}
+ORACLE: dict[str, str] = {"op1_repeats": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op10_minhash": OP10_SQL}

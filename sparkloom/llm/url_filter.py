@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import picked, shared_dir
 
 LABELLED = 20_000
 ROUNDS, DEPTH, BINS, RATE = 8, 3, 16, 0.3
@@ -65,7 +65,7 @@ def lexical(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     size = F.greatest(F.length(url), F.lit(1))
     counts = F.transform(F.array_distinct(F.split(url, "")), lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))).cast("double") / size)
     entropy = F.aggregate(F.filter(counts, lambda p: p > 0), F.lit(0.0), lambda s, p: s - p * F.log(p))
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    base = picked(pages, page_id=id_col, url=url_col)
     base = base.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     less = lambda c, pattern: (F.length(c) - F.length(F.regexp_replace(c, pattern, ""))).cast("double")
     return base.select(
