@@ -101,12 +101,17 @@ def _rows(splitter, deltas: pd.DataFrame, last: bool) -> Iterator[tuple]:
             yield seq + 1, field, text
 
 
+def _framed(req_id: int, rows: list[tuple]) -> pd.DataFrame:
+    texts = lambda k: pd.Series([r[k] for r in rows], dtype=object)  # noqa: E731  plain strings, for Arrow
+    return pd.DataFrame({"req_id": [req_id] * len(rows), "seq": [r[0] for r in rows], "field": texts(1), "text": texts(2)})
+
+
 def split_batch(deltas: DataFrame, make=Thinking) -> DataFrame:
     """req_id, seq, field, text for whole streams (req_id, seq, delta); what is held at the end comes one past the last seq."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(_rows(make(), pdf.sort_values("seq"), True))
-        return pd.DataFrame({"req_id": pdf["req_id"].iloc[0], "seq": [r[0] for r in rows], "field": [r[1] for r in rows], "text": [r[2] for r in rows]})
+        return _framed(pdf["req_id"].iloc[0], rows)
 
     return deltas.groupBy("req_id").applyInPandas(work, OUT)
 
@@ -127,7 +132,7 @@ class ThinkingProcessor(StatefulProcessor):
             self.state.clear()
         else:
             self.state.update((splitter.phase, splitter.held, splitter.open))
-        yield pd.DataFrame({"req_id": key[0], "seq": [r[0] for r in made], "field": [r[1] for r in made], "text": [r[2] for r in made]})
+        yield _framed(key[0], made)
 
     def close(self) -> None:
         pass
