@@ -32,6 +32,8 @@ from .common import bound_arrow_batches, fold_of, picked, text_of, unwrapped, wr
 POSITIVES, UNLABELLED = 4_000, 8_000
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
+#: Rows of either sample below which no prior is estimated.
+FEW = 20
 
 _KINDS = {
     "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "blank": (32,), "feed": (10,), "high": range(128, 256),
@@ -121,6 +123,8 @@ def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
     cuts = [np.unique(np.concatenate([[both[:, j].min()], np.quantile(both[:, j], grid)])) for j in range(both.shape[1])]
     model = Model(cuts, np.zeros(sum(map(len, cuts))), 0.0, 0.5)
     p, u = model.design(positive), model.design(unlabelled)
+    if prior is None and min(len(p), len(u)) < FEW:
+        prior = 0.5  # too few rows to tell
     if prior is None:
         # each half scored by a model of the other half
         halves = [slice(0, None, 2), slice(1, None, 2)]

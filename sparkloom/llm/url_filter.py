@@ -122,18 +122,18 @@ def fit(sample: DataFrame, features=FEATURES, rounds: int = ROUNDS, depth: int =
     if not 0 < blocked < n:
         return trees
     # equal rows of bins are one row from here on
-    binned = sample.select(*[trees.bin_of(f).alias(f) for f in features], "blocked").groupBy(*features).agg(F.count("*").alias("n"), F.sum("blocked").alias("b"))
+    binned = sample.select(*[trees.bin_of(f).alias(f) for f in features], "blocked").groupBy(*features).agg(F.count("*").alias("row_n"), F.sum("blocked").alias("row_b"))
     binned = binned.coalesce(4).checkpoint()
     melted = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("bin")) for f in features])).alias("m")
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-trees.margin(trees.by_bin)))
-        graded = binned.withColumn("p", p).withColumn("g", F.col("n") * F.col("p") - F.col("b")).withColumn("h", F.col("n") * F.col("p") * (1 - F.col("p")))
+        graded = binned.withColumn("row_p", p).withColumn("row_g", F.col("row_n") * F.col("row_p") - F.col("row_b")).withColumn("row_h", F.col("row_n") * F.col("row_p") * (1 - F.col("row_p")))
         tree = None
         for _level in range(depth):
             # a node's name is its path of l and r from the root
             node = F.lit("") if tree is None else _walk_names(tree)
             sums = (
-                graded.withColumn("node", node).select("node", "g", "h", melted).groupBy("node", "m.feature", "m.bin")
+                graded.select(node.alias("node"), F.col("row_g").alias("g"), F.col("row_h").alias("h"), melted).groupBy("node", "m.feature", "m.bin")
                 .agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
             )
             splits = _best_splits(sums, features, rate)
