@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, picked, shared_dir, text_of, unwrapped, wrapped
+from .common import broadcast_if_small, picked, stage, text_of, unwrapped, wrapped
 
 MIN_SITES = 8
 LG_K = 12
@@ -45,12 +45,13 @@ def exploded(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Data
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """h, g of the lines on ``min_sites`` sites or more."""
-    shared_dir(lines.sparkSession)
     low, high = min_sites * (1 - BAND) - 0.5, min_sites * (1 + BAND) + 0.5
-    spread = lines.groupBy("h", "g").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites")).filter(F.col("sites") >= low).checkpoint()
+    spread = lines.groupBy("h", "g").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites")).filter(F.col("sites") >= low)
+    spread = stage(spread, "spread")
     near = spread.filter(F.col("sites") <= high).select("h", "g")
     counted = lines.join(broadcast_if_small(near), ["h", "g"]).select("h", "g", "site").distinct().groupBy("h", "g").agg(F.count("*").alias("n"))
-    return spread.filter(F.col("sites") > high).select("h", "g").unionByName(counted.filter(F.col("n") >= min_sites).select("h", "g")).checkpoint()
+    wide = spread.filter(F.col("sites") > high).select("h", "g")
+    return stage(wide.unionByName(counted.filter(F.col("n") >= min_sites).select("h", "g")), "boilerplate")
 
 
 def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", to: str = "clean") -> DataFrame:

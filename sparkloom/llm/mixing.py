@@ -82,7 +82,7 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
 def _planned(docs: DataFrame, sized: DataFrame, size: Column, weights: tuple[int, ...], cap: int, trials: int) -> DataFrame:
     """The columns of ``docs(doc_id, source, ...)``, __size, __copies and, as __of, what the mix decides for the source."""
     shared_dir(docs.sparkSession)  # checkpoint() below needs the folder
-    rates = source_table(sized, weights, cap).withColumnRenamed("source", "s_source").checkpoint()
+    rates = stage(source_table(sized, weights, cap).withColumnRenamed("source", "s_source"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rates = rates.withColumn("whole", F.floor(rate).cast("long")).withColumn("part", rate - F.floor(rate))
     drawn = [F.sum(F.when(_draw(F.col("doc_id"), t) < F.col("part"), F.col("size")).otherwise(F.lit(0).cast("long"))) for t in range(trials)]
@@ -92,7 +92,8 @@ def _planned(docs: DataFrame, sized: DataFrame, size: Column, weights: tuple[int
         .agg(F.array(*drawn).alias("drawn"))
     )
     off = F.transform("drawn", lambda x: F.abs(x + F.col("whole") * F.col("source_size") - F.col("target")))
-    seeded = sums.withColumn("trial", F.array_position(off, F.array_min(off)) - 1).drop("drawn").checkpoint()
+    seeded = sums.withColumn("trial", F.array_position(off, F.array_min(off)) - 1).drop("drawn")
+    seeded = stage(seeded, "seeds")
     chosen = F.lit(None).cast("double")
     for t in range(trials):
         chosen = F.when(F.col("__of.trial") == t, _draw(F.col("doc_id"), t)).otherwise(chosen)
