@@ -8,11 +8,12 @@ Every class has a signature of ``coords`` minima, and is posted under its coordi
   written at all, so that a class without company posts nothing, and frequent passages stay in the tail;
 * skip: in a posting list only sizes meet that could reach the similarity.
 
-Lists are merged through pivots, not by all pairs: each round compares every member of a list with up to a few pivots,
-counts coordinate collisions on the two signatures, retains pairs with ``matches`` or more, confirms them on the full
-shingle sets, and joins components.  A pivot that has met its whole list leaves it, and a list is done once its
-members are in one component; so no link between components goes untested, and a family of n near copies costs about n
-comparisons instead of n squared.  Rounds go on until no list is left.
+Lists are merged in two rounds.  In the first, each member of a list meets the list's smallest alone; collisions are counted on
+the two signatures, pairs with ``matches`` or more are retained and confirmed on the full shingle sets, and components are
+joined.  So a family of n near copies costs about n comparisons and becomes one component.  In the second, lists that still hold
+several components are merged in blocks of ``BLOCK`` members: collisions and common shingles are counted for all pairs of a block
+at once, in arrays, and what leaves the task is a tree of the links between components.  No link between components goes untested,
+no group, however large, gathers in a task, and no more links are told than members.
 
 A pair at similarity 0.8 agrees in 40 of 64 coordinates with probability 0.9996, at 0.85 with 0.999998: that is the one way a link
 may be missed.  Shingles are compared as 64-bit hashes.
@@ -31,18 +32,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import WordHashes, ascii_lower_words, batches, bound_arrow_batches, broadcast_if_small, scramble, shingle_set, stage, text_of
+from .common import WordHashes, ascii_lower_words, batches, bound_arrow_batches, broadcast_if_small, picked, scramble, shingle_set, stage, text_of, unwrapped, wrapped
 from .graph import components
 
 COORDS = 64
 MATCHES = 40
-#: Pivots of a list in the first round and in those after it.
-FIRST_PIVOTS, MORE_PIVOTS = 1, 8
+#: Members of a list that a task compares with as many others at a time.
+BLOCK = 512
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.list_(pa.int64()))])
-_SETS = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("members", pa.list_(pa.int64()))])
+_SETS = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("members", pa.list_(pa.int64())), ("brief", pa.binary())])
 
 
 class Signer:
@@ -88,7 +88,7 @@ def signed(docs: DataFrame, words: int, coords: int, id_col: str = "doc_id", tex
 
         yield from batches(_SIGNED, rows())
 
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tkey"), text_of(text_col).alias("text"))
+    raw = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("tkey"), text_of().alias("text"))
     return raw.mapInArrow(work, "doc_id long, tkey long, n long, digest binary, sig array<long>")
 
 
@@ -102,7 +102,7 @@ def postings(classes: DataFrame, coords: int, matches: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(digest, n, members) for the classes in ``wanted(digest, doc_id, tkey)``, from their texts."""
+    """(digest, n, members, brief: the members' upper 32 bits) for the classes in ``wanted(digest, doc_id, tkey)``, from their texts."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -110,13 +110,13 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, te
             for part in parts:
                 for digest, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     members = shingle_set(hashes.of(ascii_lower_words(text)), words)
-                    yield digest, len(members), members.view(np.int64)
+                    yield digest, len(members), members.view(np.int64), (members >> np.uint64(32)).astype("<u4").tobytes()
 
         yield from batches(_SETS, rows(), 256)
 
-    raw = docs.select(F.col(id_col).cast("long").alias("d_id"), F.xxhash64(text_of(text_col)).alias("d_key"), text_of(text_col).alias("text"))
+    raw = picked(docs, d_id=id_col, text=text_col).select(F.col("d_id").cast("long"), F.xxhash64(text_of()).alias("d_key"), text_of().alias("text"))
     met = raw.join(broadcast_if_small(wanted), F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_key") == F.col("tkey")))
-    return met.select("digest", "text").mapInArrow(work, "digest binary, n long, members array<long>").dropDuplicates(["digest"])
+    return met.select("digest", "text").mapInArrow(work, "digest binary, n long, members array<long>, brief binary").dropDuplicates(["digest"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -141,30 +141,99 @@ def links(docs: DataFrame, base: DataFrame, words: int, percent: int, coords: in
     wanted = stage(wanted.select("digest", "at.doc_id", "at.tkey", "sig"), "wanted")
     sets = stage(shingle_sets(docs, wanted.drop("sig"), words, id_col, text_col).join(wanted.select("digest", "sig"), "digest"), "sets")
 
-    edges, labels, turn = None, None, 0
-    while True:
-        if labels is None:
-            open_lists = posted.withColumn("label", F.col("digest"))
-        else:
-            open_lists = posted.join(labels, F.col("digest") == F.col("node"), "left").withColumn("label", F.coalesce("label", "digest")).drop("node")
-        mixed = open_lists.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("key")
-        open_lists = open_lists.join(mixed, "key").checkpoint()
-        if open_lists.isEmpty():
-            return labels
-        spread = open_lists.groupBy("label").agg(F.count_distinct("digest").alias("size"))
-        rank = Window.partitionBy("key").orderBy("size", "digest")
-        ranked = open_lists.join(spread, "label").withColumn("place", F.row_number().over(rank))
-        pivots = ranked.filter(F.col("place") <= (MORE_PIVOTS if turn else FIRST_PIVOTS))
-        pivots = pivots.select("key", F.col("digest").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl")).checkpoint()
-        fits = (F.col("label") != F.col("pl")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
-        pairs = open_lists.join(pivots, "key").filter(fits).select(F.greatest("digest", "p").alias("a"), F.least("digest", "p").alias("b")).distinct()
-        fresh = _confirmed(pairs, sets, matches, percent)
-        edges = (fresh if edges is None else fresh.unionByName(edges)).checkpoint()
-        if not edges.isEmpty():
-            labels = components(edges)
-            edges = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).checkpoint()
-        posted = open_lists.drop("label").join(pivots.select("key", F.col("p").alias("digest")), ["key", "digest"], "left_anti").checkpoint()
-        turn += 1
+    # first round: every member with its list's smallest
+    lowest = posted.groupBy("key").agg(F.min("digest").alias("p"))
+    pairs = posted.join(lowest, "key").filter("digest <> p").select(F.col("digest").alias("a"), F.col("p").alias("b")).distinct()
+    edges = _confirmed(pairs, sets, matches, percent).checkpoint()
+    # components() gives a star for each component: its edges say what the links said
+    labels = components(edges)
+    # second round: what lists still hold of different components
+    open_lists = posted.join(labels, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", F.coalesce("label", "digest").alias("label"))
+    several = open_lists.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m")).filter("l <> h")
+    lists = open_lists.join(several.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("cuts")), "key")
+    more = _confirmed(merged_lists(lists, sets, matches, percent), sets, matches, percent).checkpoint()
+    if more.isEmpty():
+        return labels
+    stars = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return components(stars.unionByName(more))
+
+
+_PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _linked(briefs: list[np.ndarray], sizes: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
+    """Whether members ``low`` and ``high`` of a block reach the similarity: common shingles as one matrix product."""
+    flat = np.concatenate(briefs)
+    names, counts = np.unique(flat, return_counts=True)
+    names = names[counts > 1]  # a shingle that one member has is common to no pair
+    place = np.searchsorted(names, flat)
+    place[place == len(names)] = 0
+    known = (names[place] == flat) if len(names) else np.zeros(len(flat), bool)
+    has = np.zeros((len(briefs), max(1, len(names))), np.float32)
+    has[np.repeat(np.arange(len(briefs)), [len(b) for b in briefs])[known], place[known]] = 1
+    common = has[low] @ has[high].T
+    return common * 100 >= (sizes[low][:, None] + sizes[high][None, :] - common) * percent
+
+
+def _tree(rows: list[tuple], matches: int, percent: int) -> Iterator[tuple]:
+    """Links that join the labels of one block: a pair for each two labels that meet, none that says nothing new."""
+    mine, sizes = np.array([r[3] for r in rows]), np.array([r[5] for r in rows])
+    label = np.unique([r[6] for r in rows], return_inverse=True)[1]
+    low, high = np.flatnonzero(mine == rows[0][1]), np.flatnonzero(mine == rows[0][2])
+    if not len(low) or not len(high):
+        return
+    sig = np.array([r[7] for r in rows], np.int64)
+    ok = label[low][:, None] != label[high][None, :]
+    ok &= np.minimum(sizes[low][:, None], sizes[high][None, :]) * 100 >= np.maximum(sizes[low][:, None], sizes[high][None, :]) * percent
+    hits = np.zeros(ok.shape, np.int16)
+    for c in range(sig.shape[1]):
+        hits += sig[low, c][:, None] == sig[high, c][None, :]
+    ok &= hits >= matches
+    if not ok.any():
+        return
+    ok &= _linked([np.frombuffer(r[8], "<u4") for r in rows], sizes, low, high, percent)
+    owner = list(range(label.max() + 1))
+
+    def root(x: int) -> int:
+        while owner[x] != x:
+            owner[x] = owner[owner[x]]
+            x = owner[x]
+        return x
+
+    for x, y in zip(*np.nonzero(ok), strict=True):
+        p, q = root(label[low[x]]), root(label[high[y]])
+        if p != q:
+            owner[p] = q
+            a, b = rows[low[x]][4], rows[high[y]][4]
+            yield max(a, b), min(a, b)
+
+
+def merged_lists(lists: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+    """(a, b): links between the labels of ``lists(key, digest, n, label, cuts)`` that collide in ``matches`` coordinates.
+
+    A list is cut into blocks, and each pair of blocks is one piece of work; a member goes to as many as there are blocks."""
+    own = F.pmod(F.xxhash64("digest"), F.col("cuts")).cast("int")
+    dealt = lists.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    dealt = dealt.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "digest", "n", "label")
+    with_sets = dealt.join(sets.select("digest", "sig", "brief"), "digest")
+    order = ["key", "i", "j"]
+    sorted_rows = with_sets.repartition(*order).sortWithinPartitions(*order).select(*order, "own", "digest", "n", "label", "sig", "brief")
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs():
+            held: list[tuple] = []
+            for part in parts:
+                for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if held and row[:3] != held[0][:3]:
+                        yield from _tree(held, matches, percent)
+                        held = []
+                    held.append(row)
+            if held:
+                yield from _tree(held, matches, percent)
+
+        yield from batches(_PAIR, pairs(), 8192)
+
+    return sorted_rows.mapInArrow(work, "a binary, b binary").distinct()
 
 
 def mark(docs: DataFrame, words: int = 5, percent: int = 80, coords: int = COORDS, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,7 +255,6 @@ def mark(docs: DataFrame, words: int = 5, percent: int = 80, coords: int = COORD
 def survivors(docs: DataFrame, words: int = 5, percent: int = 80, coords: int = COORDS, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with its columns: of each component the rows with the smallest id."""
     out = mark(docs, words, percent, coords, matches, id_col, text_col).filter("NOT kept").select("doc_id", "tkey").distinct()
-    out = out.select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key"))
-    keyed = docs.withColumn("__text", F.xxhash64(text_of(text_col)))
-    gone = keyed[id_col].cast("long").eqNullSafe(out["__id"]) & (keyed["__text"] == out["__key"])
-    return keyed.join(broadcast_if_small(out), gone, "left_anti").drop("__text")
+    keyed = wrapped(docs, id=id_col, text=text_col).withColumn("key", F.xxhash64(text_of()))
+    gone = F.col("id").cast("long").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("tkey"))
+    return unwrapped(keyed.join(broadcast_if_small(stage(out, "dropped")), gone, "left_anti"), docs.columns)
