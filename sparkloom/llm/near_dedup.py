@@ -95,7 +95,8 @@ def signed(docs: DataFrame, words: int, coords: int, id_col: str = "doc_id", tex
 def postings(classes: DataFrame, coords: int, matches: int) -> DataFrame:
     """(key, digest, n): the prefix postings of every class that could agree with another in ``matches`` coordinates."""
     posts = classes.select("digest", "n", F.explode("sig").alias("key"))
-    often = posts.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    # written, so that the join shuffles both sides for itself and Spark can split a frequent value's partition; so are the tables below
+    often = stage(posts.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
     shared = posts.join(often, "key").groupBy("digest").agg(F.any_value("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
     room = F.size("keys") - F.lit(matches - 1)  # prefix less the pairs that are this class's own
     return shared.filter(room > 0).select("digest", "n", F.explode(F.slice("keys", F.lit(1), room)).alias("k")).select("k.key", "digest", "n")
@@ -142,7 +143,7 @@ def links(docs: DataFrame, base: DataFrame, words: int, percent: int, coords: in
     sets = stage(shingle_sets(docs, wanted.drop("sig"), words, id_col, text_col).join(wanted.select("digest", "sig"), "digest"), "sets")
 
     # first round: every member with its list's smallest
-    lowest = posted.groupBy("key").agg(F.min("digest").alias("p"))
+    lowest = stage(posted.groupBy("key").agg(F.min("digest").alias("p")), "pivots")
     pairs = posted.join(lowest, "key").filter("digest <> p").select(F.col("digest").alias("a"), F.col("p").alias("b")).distinct()
     edges = _confirmed(pairs, sets, matches, percent).checkpoint()
     # components() gives a star for each component: its edges say what the links said
@@ -150,7 +151,7 @@ def links(docs: DataFrame, base: DataFrame, words: int, percent: int, coords: in
     # second round: what lists still hold of different components
     open_lists = posted.join(labels, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", F.coalesce("label", "digest").alias("label"))
     several = open_lists.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m")).filter("l <> h")
-    lists = open_lists.join(several.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("cuts")), "key")
+    lists = open_lists.join(stage(several.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("cuts")), "lists"), "key")
     more = _confirmed(merged_lists(lists, sets, matches, percent), sets, matches, percent).checkpoint()
     if more.isEmpty():
         return labels
@@ -247,7 +248,7 @@ def mark(docs: DataFrame, words: int = 5, percent: int = 80, coords: int = COORD
         lowest = linked.groupBy("label").agg(F.min("own").alias("lowest"))
         named = linked.join(lowest, "label").select("digest", "lowest")
         owner = owner.join(named, "digest", "left").select("digest", F.coalesce("lowest", "own").alias("own"))
-    found = with_words.join(owner, "digest").select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.col("own").alias("component_id"))
+    found = with_words.join(stage(owner, "owners"), "digest").select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.col("own").alias("component_id"))
     alone = base.filter("digest IS NULL").select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
