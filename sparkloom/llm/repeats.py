@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, ascii_lower_words, batches, bound_arrow_batches, broadcast_if_small, ngram_hashes, shared_dir, stage, text_of
+from .common import WordHashes, ascii_lower_words, batches, bound_arrow_batches, broadcast_if_small, ngram_hashes, picked, shared_dir, stage, text_of
 
 LENGTH, GRAM = 50, 6
 
@@ -86,7 +86,7 @@ def suffixes(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(c).cast(f.type) for c, f in zip(out, _SUFFIX, strict=True)], schema=_SUFFIX)
 
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tkey"), text_of(text_col).alias("text"))
+    raw = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("tkey"), text_of().alias("text"))
     return raw.mapInArrow(work, _SUFFIX_SQL)
 
 
@@ -107,7 +107,7 @@ def _contexts(docs: DataFrame, entries: DataFrame, id_col: str, text_col: str) -
 
     by_doc = entries.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("gram", "context", "pos", "left", "right", "own")).alias("wanted")).withColumnsRenamed({"doc_id": "w_id", "tkey": "w_key"})
     keys = entries.select(F.col("doc_id").alias("k_id"), F.col("tkey").alias("k_key")).distinct()
-    raw = docs.select(F.col(id_col).cast("long").alias("d_id"), F.xxhash64(text_of(text_col)).alias("d_key"), text_of(text_col).alias("text"))
+    raw = picked(docs, d_id=id_col, text=text_col).select(F.col("d_id").cast("long"), F.xxhash64(text_of()).alias("d_key"), text_of().alias("text"))
     raw = raw.join(broadcast_if_small(keys), F.col("d_id").eqNullSafe(F.col("k_id")) & (F.col("d_key") == F.col("k_key")), "left_semi")
     met = raw.join(by_doc, F.col("d_id").eqNullSafe(F.col("w_id")) & (F.col("d_key") == F.col("w_key")))
     return met.select("text", "wanted").mapInArrow(work, _CONTEXT_SQL).dropDuplicates(["gram", "context"])
@@ -167,19 +167,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     """One row for each repeated passage of a document: doc_id, start_word, end_word (exclusive), n_words, match_id."""
     shared_dir(docs.sparkSession)
     kept = stage(suffixes(docs, length, gram, id_col, text_col), "suffixes")
-    often = kept.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # written, so that the join below shuffles both sides by itself and Spark can split a frequent gram's partition
+    often = stage(kept.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
     kept = stage(kept.join(often, "gram"), "repeated")
     groups = kept.groupBy("gram", "context").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("own"), F.min(F.struct("doc_id", "tkey", "pos", "left", "right")).alias("at")
     )
     groups = groups.checkpoint()
-    several = groups.groupBy("gram").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("gram")
+    several = stage(groups.groupBy("gram").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("gram"), "several")
     entries = groups.join(several, "gram").select("gram", "context", "own", "at.*")
     contexts = stage(_contexts(docs, entries, id_col, text_col), "contexts")
     matches = neighbours(contexts, ["gram", "after", "before"], length).unionByName(neighbours(contexts, ["gram", "before", "after"], length))
     whole = groups.filter("n > 1").select("gram", "context", F.col("at.left").alias("l"), F.col("at.right").alias("r"), F.col("own").alias("other"))
     # the two sides of a join on (gram, context): places, and at most a few matches an entry
-    told = matches.unionByName(whole).groupBy("gram", "context", "l", "r").agg(F.min("other").alias("other"))
+    told = stage(matches.unionByName(whole).groupBy("gram", "context", "l", "r").agg(F.min("other").alias("other")), "told")
     spans = kept.join(told, ["gram", "context"]).select("doc_id", "tkey", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e"), "other")
     spans = spans.groupBy("doc_id", "tkey", "s", "e").agg(F.min("other").alias("other"))
     by_doc = Window.partitionBy("doc_id", "tkey").orderBy("s", "e")
