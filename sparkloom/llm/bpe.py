@@ -23,6 +23,7 @@ import mmap
 import os
 import re
 import tempfile
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -34,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bound_arrow_batches
+from .common import batches, bound_arrow_batches, picked, unwrapped, wrapped
 
 #: Pieces in the lexicon, and pieces that one task's frequency summary holds.
 LEXICON_WORDS = 32_768
@@ -149,8 +150,13 @@ class _State:
         self.edges, self.final, self.below = {}, False, 0
 
 
+#: A word whose checksum isn't marked is not in the lexicon: most unseen words need no walk.
+_FILTER_BITS = 19
+_FILTER = (1 << _FILTER_BITS) - 1
+
+
 def build_lexicon(entries: dict[bytes, list[int]]) -> bytes:
-    """The automaton and its id table as one blob: a header of eight lengths, then flat arrays."""
+    """The automaton and its id table as one blob: a header of nine lengths, then flat arrays."""
     register: dict[tuple, _State] = {}
     root = _State()
     path: list[tuple[_State, int]] = []
@@ -204,6 +210,9 @@ def build_lexicon(entries: dict[bytes, list[int]]) -> bytes:
         flat.extend(entries[word])
         starts.append(len(flat))
     arrays = [np.array(first, "<u4"), np.array(targets, "<u4"), np.array(outputs, "<u4"), np.array(starts, "<u4"), np.array(flat, "<u4"), np.array(letters, "u1"), np.array(final, "u1")]
+    marks = np.zeros(1 << _FILTER_BITS, "u1")
+    marks[[zlib.crc32(w) & _FILTER for w in words]] = 1
+    arrays.append(marks)
     head = np.array([order[id(root)], *map(len, arrays)], "<u4")
     return head.tobytes() + b"".join(a.tobytes() for a in arrays)
 
@@ -219,16 +228,18 @@ class Lexicon:
             f.write(blob)
             f.flush()
             self.map = mmap.mmap(f.fileno(), len(blob), access=mmap.ACCESS_READ)
-        head = np.frombuffer(self.map, "<u4", 8)
-        self.root, at, arrays, starts = int(head[0]), 32, [], []
-        for n, kind in zip(head[1:].tolist(), ("<u4",) * 5 + ("u1",) * 2, strict=True):
+        head = np.frombuffer(self.map, "<u4", 9)
+        self.root, at, arrays, starts = int(head[0]), 36, [], []
+        for n, kind in zip(head[1:].tolist(), ("<u4",) * 5 + ("u1",) * 3, strict=True):
             arrays.append(memoryview(np.frombuffer(self.map, kind, n, at)))
             starts.append(at)
             at += n * np.dtype(kind).itemsize
-        self.first, self.targets, self.outputs, self.starts, self.flat, _, self.final = arrays
+        self.first, self.targets, self.outputs, self.starts, self.flat, _, self.final, self.marks = arrays
         self.letters = starts[5]
 
     def ids(self, word: bytes) -> list[int] | None:
+        if not self.marks[zlib.crc32(word) & _FILTER]:
+            return None
         state, ordinal = self.root, 0
         for letter in word:
             edge = self.map.find(_ONE[letter], self.letters + self.first[state], self.letters + self.first[state + 1]) - self.letters
@@ -267,7 +278,7 @@ def frequent_pieces(docs: DataFrame, path: str, text_col: str = "text", words: i
                 pieces[piece] += n
         yield from batches(schema, pieces.items(), 20_000)
 
-    summed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    summed = picked(docs, text=text_col).select(F.col("text").cast("string")).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     return [r["piece"] for r in summed.orderBy(F.desc("n"), "piece").limit(words).collect()]
 
 
@@ -294,7 +305,7 @@ _UNEVEN = re.compile(r"\A\s|[^\S \n]|\s\s|\s\Z")
 class Encoder:
     """Whole texts to ids and back, on a worker."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, unseen: int = 400_000):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, unseen: int = 600_000):
         self.vocab, self.lexicon = vocab, lexicon
         self.memo = _Memo(self._piece, unseen // 4)
         self.words = [_Memo(self._word, unseen // 4), _Memo(lambda w: self._word(" " + w), unseen)]
@@ -307,7 +318,9 @@ class Encoder:
     def _word(self, word: str) -> str:
         if word.lstrip(" ").isalpha():
             return self._piece(word)
-        return ",".join(map(self.memo.__getitem__, self.vocab.pattern.findall(word)))
+        after_blank, memo = self.words[True], self.memo
+        # a word in front of a comma is the word that is known without one
+        return ",".join([after_blank[p[1:]] if p[0] == " " and p[1:].isalpha() else memo[p] for p in self.vocab.pattern.findall(word)])
 
     def runs(self, text: str, size: int = 1 << 18) -> Iterator[str]:
         """Ids in decimal joined by commas, for one run of pieces after another."""
@@ -393,8 +406,8 @@ def _mapped(docs: DataFrame, path: str, text_col: str, words: int, added: list[s
         for part in texts:
             yield pd.DataFrame([work(encoder, t or "") for t in part], columns=[n for n, _ in fields])
 
-    out = docs.withColumn("__out", run(F.col(f"`{text_col}`").cast("string")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"__out.{n}").alias(n) for n, _ in fields])
+    out = wrapped(docs, text=text_col).withColumn("__out", run(F.col("text").cast("string")))
+    return unwrapped(out, docs.columns, **{n: F.col(f"__out.{n}") for n, _ in fields})
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", to: str = "text") -> DataFrame:
@@ -406,4 +419,4 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", to: str = "text")
         for part in ids:
             yield pd.Series([b"".join(known[str(i)] for i in (x if x is not None else ())).decode("utf-8", "replace") for x in part], dtype=object)
 
-    return tokens.withColumn(to, run(F.col(f"`{ids_col}`")))
+    return unwrapped(wrapped(tokens, ids=ids_col).withColumn("__out", run("ids")), tokens.columns, **{to: F.col("__out")})
