@@ -49,10 +49,10 @@ def _shared(label: bytes, text: bytes, start: int) -> int:
 
 
 class _Node:
-    __slots__ = ("label", "kids", "owner", "rows", "file")
+    __slots__ = ("label", "kids", "owner", "rows", "files")
 
     def __init__(self, label: bytes):
-        self.label, self.kids, self.owner, self.rows, self.file = label, None, None, 0, None
+        self.label, self.kids, self.owner, self.rows, self.files = label, None, None, 0, None
 
 
 class PatriciaOwners:
@@ -69,8 +69,8 @@ class PatriciaOwners:
     def insert(self, text: bytes, owner: int | None, rows: int = 1) -> None:
         node, at = self.root, 0
         while True:
-            if node.file is not None:
-                pickle.dump((text, owner, rows), node.file, protocol=5)
+            if node.files is not None:
+                pickle.dump((text, owner, rows), node.files[-1], protocol=5)
                 return
             if at == len(text):
                 return self._own(node, owner, rows)
@@ -99,7 +99,7 @@ class PatriciaOwners:
         """The subtree with most bytes below the first fork, and the prefix above it."""
         prefix, node = b"", self.root
         while True:
-            open_kids = [k for k in (node.kids or {}).values() if k.file is None]
+            open_kids = [k for k in (node.kids or {}).values() if k.files is None]
             if not open_kids:
                 return None
             if len(node.kids) > 1 or node.rows:
@@ -121,7 +121,7 @@ class PatriciaOwners:
         todo = [(top, prefix)]
         while todo:
             node, above = todo.pop()
-            if node.file is not None:
+            if node.files is not None:
                 continue
             text = above + node.label
             if node.rows:
@@ -138,8 +138,21 @@ class PatriciaOwners:
         self.held -= self._weight(top)
         top.label, top.kids, top.rows, top.owner = top.label[:1], None, 0, None
 
+    @staticmethod
+    def scratches(top: _Node) -> list:
+        """The scratch files of all spilled subtrees in ``top``."""
+        files, todo = [], [top]
+        while todo:
+            node = todo.pop()
+            files.extend(node.files or ())
+            todo.extend((node.kids or {}).values())
+        return files
+
     def spill(self) -> bool:
-        """Move the heaviest subtree to an unnamed scratch file; later strings below it go straight there."""
+        """Move the heaviest subtree to an unnamed scratch file; later strings below it go straight there.
+
+        Subtrees of it that were spilled before, when the first fork was further down, keep their files: the node takes
+        these over."""
         found = self.heaviest()
         if found is None:
             return False
@@ -148,31 +161,33 @@ class PatriciaOwners:
         for entry in self.walk(top, prefix):
             pickle.dump(entry, scratch, protocol=5)
         self.held -= self._weight(top)
-        top.label, top.kids, top.rows, top.owner, top.file = top.label[:1], None, 0, None, scratch
+        top.files = [*self.scratches(top), scratch]
+        top.label, top.kids, top.rows, top.owner = top.label[:1], None, 0, None
         return True
 
     def drain(self) -> Iterator[tuple[bytes, int | None, int]]:
         """Every entry once: those in memory, then each spilled subtree through a trie of its own."""
-        files, todo = [], [self.root]
+        spilled, todo = [], [self.root]
         while todo:
             node = todo.pop()
-            if node.file is not None:
-                files.append(node.file)
+            if node.files is not None:
+                spilled.append(node.files)
             todo.extend((node.kids or {}).values())
         yield from self.walk(self.root)
         self.root, self.held = _Node(b""), 0
-        for scratch in files:
-            scratch.seek(0)
+        for files in spilled:
             below = PatriciaOwners(self.smallest, self.memory)
-            with scratch:
-                while True:
-                    try:
-                        entry = pickle.load(scratch)
-                    except EOFError:
-                        break
-                    below.insert(*entry)
-                    if below.full() and not below.spill():
-                        below.memory *= 2
+            for scratch in reversed(files):  # the last one has the highest forks
+                scratch.seek(0)
+                with scratch:
+                    while True:
+                        try:
+                            entry = pickle.load(scratch)
+                        except EOFError:
+                            break
+                        below.insert(*entry)
+                        if below.full() and not below.spill():
+                            below.memory *= 2
             yield from below.drain()
 
 
@@ -204,14 +219,18 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
     def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            trie = PatriciaOwners(smallest, memory)
+            trie, due = PatriciaOwners(smallest, memory), 0
             for part in parts:
                 for text, owner, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     trie.insert(text, owner, n)
+                    due += n
                     while trie.full() and trie.spill():
                         pass
             for text, owner, n in trie.drain():
+                due -= n
                 yield hashlib.sha256(text).hexdigest(), owner, n
+            if due:
+                raise RuntimeError(f"{due} rows without an owner")
 
         yield from batches(_OWNER, rows())
 
@@ -221,11 +240,18 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     return dealt.mapInArrow(merge, "text_sha256 string, keep_id long, group_size long")
 
 
+def _owned(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` with the owner of their text; a text without one is an error."""
+    met = rows.join(table.withColumn("known", F.lit(True)), "text_sha256", "left")
+    sure = F.when(F.col("known"), F.col("group_size")).otherwise(F.raise_error(F.concat(F.lit("no owner for text "), "text_sha256")).cast("long"))
+    return met.withColumn("group_size", sure).drop("known")
+
+
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", memory: int = MEMORY) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     table = owners(docs, id_col, text_col, keep, memory)
     rows = picked(docs, doc_id=id_col, text=text_col).select("doc_id", F.sha2(text_of().cast("binary"), 256).alias("text_sha256"))
-    return rows.join(table, "text_sha256").select(
+    return _owned(rows, table).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
@@ -234,6 +260,6 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """The input's rows that own their text, one for each text, with the input's columns."""
     table = owners(docs, id_col, text_col, keep, memory)
     keyed = wrapped(docs, id=id_col, text=text_col).withColumn("text_sha256", F.sha2(text_of().cast("binary"), 256))
-    met = keyed.join(table, "text_sha256").filter(F.col("id").cast("long").eqNullSafe(F.col("keep_id")))
+    met = _owned(keyed, table).filter(F.col("id").cast("long").eqNullSafe(F.col("keep_id")))
     once = met.filter("group_size = 1").unionByName(met.filter("group_size > 1").dropDuplicates(["text_sha256"]))
     return unwrapped(once, docs.columns)

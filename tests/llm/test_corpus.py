@@ -186,6 +186,43 @@ def test_trie_spills_and_keeps_everything():
     assert got == sorted((t, min(i), len(i)) for t, i in want.items())
 
 
+@pytest.mark.parametrize("late", [[b"other start" * 9], [b""], [b"<html>" + b"z" * 80, b"<", b""]])
+def test_trie_keeps_what_it_spilled_below_a_later_fork(late):
+    rng = np.random.default_rng(8)
+    head = b"<html><head>" * 20
+    texts = [head + rng.bytes(int(n)) for n in rng.integers(1, 60, 400)]
+    texts = texts + [t for one in late for t in (one, *[head + rng.bytes(40) for _ in range(150)], texts[7])]
+    trie = exact_dedup.PatriciaOwners(memory=6_000)
+    for i, text in enumerate(texts):
+        trie.insert(text, i)
+        while trie.full() and trie.spill():
+            pass
+    got = list(trie.drain())
+    assert len(got) == len(set(texts))
+    assert {t: (o, n) for t, o, n in got} == {t: (texts.index(t), texts.count(t)) for t in texts}
+
+
+def test_exact_dedup_of_a_shared_head_loses_nothing(spark):
+    head = "<html><head>" * 50
+    texts = [head + hashlib.sha256(b"%d" % (i % 500)).hexdigest()[: 10 + i % 50] for i in range(900)] + ["an other start", ""] + [head + hashlib.sha256(b"x%d" % i).hexdigest() for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    first: dict[str, int] = {}
+    for i, text in enumerate(texts):
+        first.setdefault(text, i)
+    got = exact_dedup.mark(docs, memory=8_000).collect()
+    assert sorted((r["doc_id"], r["keep_id"]) for r in got) == [(i, first[t]) for i, t in enumerate(texts)]
+    assert sorted(r["doc_id"] for r in exact_dedup.survivors(docs, memory=8_000).collect()) == sorted(first.values())
+
+
+@pytest.mark.parametrize("ask", [exact_dedup.mark, exact_dedup.survivors])
+def test_a_text_without_an_owner_is_an_error(spark, monkeypatch, ask):
+    docs = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], "doc_id long, text string")
+    some = exact_dedup.owners(docs).filter(F.col("keep_id").isNotNull())
+    monkeypatch.setattr(exact_dedup, "owners", lambda *_: some)
+    with pytest.raises(Exception, match="no owner"):
+        ask(docs).collect()
+
+
 def test_exact_dedup_edges(edge, empty):
     for memory in (exact_dedup.MEMORY, 2000):
         got = exact_dedup.mark(edge, keep="largest", memory=memory).toPandas()
