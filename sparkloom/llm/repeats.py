@@ -1,4 +1,4 @@
-"""Suffix-array dedup with sparse suffix arrays.
+"""Repeated passages by sparse suffixes.
 
 Passages of ``length`` words or more that occur more than once, within a document or in several, are found by their sparse
 suffixes.  A suffix is retained where its first ``gram`` words have the smallest hash of the ``length - gram + 1`` grams of a
@@ -8,13 +8,14 @@ for the passages that chose it; the words of these are its context.
 1. Retained suffixes are counted by the hash of their first words; those that occur once are done with.
 2. Suffixes with the same context repeat it as a whole.  From there on such a group is one entry, so a passage that a third of the
    documents hold never gathers.
-3. Where a gram has several contexts, their words are fetched, and the entries are sorted as a suffix array is, by the words that
-   follow, and once more by the words that precede.  A range partitioning with the whole context as key spreads one gram over tasks;
-   each task leaves its first and last entry, so that neighbours meet across tasks too.
-4. Neighbours are compared and matches extended left and right, word by word.  What reaches ``length`` words is a repeat.
+3. An entry can repeat a passage with another only if both share half of one around the gram: ``(length - gram) // 2`` words before
+   it, or the words from it on that fill a passage up.  Entries that share neither half with another entry are done with.
+4. Of the others each passage is hashed, and the hashes that several entries of a gram have are the repeats.  All passages of an
+   entry hold its gram, so its repeats are one run of words: the furthest reach before the gram and after it.
 
 Overlapping repeats of a document are merged, which restores passages longer than a context.  Words are those between ASCII white
-space, with A-Z lower-cased; they are compared as hashes (64 bits in grams and whole contexts, 32 for a word of an extension).
+space, with A-Z lower-cased; they are compared as hashes
+(64 bits for a gram, a half, a passage and a whole context).
 
 Defined cases: a null, empty or short text has no repeats; rows that repeat an id and a text are places of their own; ``match_id`` is
 the smallest id among the places found equal, the document's own if it repeats itself alone; null ids take part; an empty table gives an
@@ -27,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,14 +36,30 @@ from .common import WordHashes, ascii_lower_words, batches, bound_arrow_batches,
 
 LENGTH, GRAM = 50, 6
 
-_SUFFIX = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("pos", pa.int32()), ("gram", pa.int64()), ("context", pa.int64()), ("left", pa.int32()), ("right", pa.int32())])
-_SUFFIX_SQL = "doc_id long, tkey long, pos int, gram long, context long, left int, right int"
-_CONTEXT = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("before", pa.binary()), ("after", pa.binary()), ("own", pa.int64())])
-_CONTEXT_SQL = "gram long, context long, before binary, after binary, own long"
-_MATCH = pa.schema(
-    [("gram", pa.int64()), ("context", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("other", pa.int64()), ("part", pa.int32()), ("last", pa.bool_()), ("before", pa.binary()), ("after", pa.binary()), ("own", pa.int64())]
+_SUFFIX = pa.schema(
+    [("doc_id", pa.int64()), ("tkey", pa.int64()), ("pos", pa.int32()), ("gram", pa.int64()), ("context", pa.int64()), ("left", pa.int32()), ("right", pa.int32()), ("head", pa.int64()), ("tail", pa.int64())]
 )
-_MATCH_SQL = "gram long, context long, l int, r int, other long, part int, last boolean, before binary, after binary, own long"
+_SUFFIX_SQL = "doc_id long, tkey long, pos int, gram long, context long, left int, right int, head long, tail long"
+_CONTEXT = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("own", pa.int64()), ("left", pa.int32()), ("keys", pa.list_(pa.int64()))])
+_CONTEXT_SQL = "gram long, context long, own long, left int, keys array<long>"
+_HEAD, _TAIL = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+
+
+class _Runs:
+    """Hashes of runs of words: a polynomial over the words, read off prefix sums."""
+
+    def __init__(self):
+        self.base, self.back = np.uint64(0xD6E8FEB86659FD93), np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def read(self, hashes: np.ndarray) -> None:
+        if len(self.powers) <= len(hashes):
+            grow = 2 * len(hashes) + 1
+            self.powers, self.inverse = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(grow, b, np.uint64))]) for b in (self.base, self.back))
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * self.powers[: len(hashes)])])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * self.inverse[start]
 
 
 def retained(hashes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,14 +74,15 @@ def retained(hashes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tupl
 
 
 def suffixes(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str) -> DataFrame:
-    """One row for each retained suffix: its place, gram, hash and reach of the context."""
+    """One row for each retained suffix: its place, gram, hash and reach of the context, and the hashes of the two halves that its
+    passages have in common, null where the context doesn't reach that far."""
     bound_arrow_batches(docs.sparkSession)
+    before = (length - gram) // 2  # a passage holds as many words before the gram, or else ``upto`` words from there on
+    upto = length + 1 - before
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        # a context's hash: a polynomial over its words, read off prefix sums
-        base, back = np.uint64(0xD6E8FEB86659FD93), np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-        powers = inverse = np.ones(1, np.uint64)
+        runs = _Runs()
         for part in parts:
             out = [[] for _ in _SUFFIX]
             for doc_id, tkey, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
@@ -73,16 +90,15 @@ def suffixes(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str
                 places, grams, left, right = retained(hashes, length, gram)
                 if not len(places):
                     continue
-                if len(powers) <= len(hashes):
-                    grow = 2 * len(hashes) + 1
-                    powers, inverse = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(grow, b, np.uint64))]) for b in (base, back))
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers[: len(hashes)])])
-                start = places - left
-                context = (sums[places + right] - sums[start]) * inverse[start]
+                runs.read(hashes)
+                context = runs.of(places - left, places + right)
                 context ^= (left * 1000 + right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                n = len(places)
-                for column, values in zip(out, ([doc_id] * n, [tkey] * n, places, grams.view(np.int64), context.view(np.int64), left, right), strict=True):
-                    column.append(pa.array(values, pa.int64()) if isinstance(values, list) else pa.array(values))
+                n, far, wide = len(places), left >= before, right >= upto
+                head = runs.of(places - np.where(far, before, 0), places + gram) ^ _HEAD
+                tail = runs.of(places, places + np.where(wide, upto, 0)) ^ _TAIL
+                halves = (pa.array(h.view(np.int64), mask=~has) for h, has in ((head, far), (tail, wide)))
+                for column, values in zip(out, ([doc_id] * n, [tkey] * n, places, grams.view(np.int64), context.view(np.int64), left, right, *halves), strict=True):
+                    column.append(pa.array(values, pa.int64()) if isinstance(values, list) else values if isinstance(values, pa.Array) else pa.array(values))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(c).cast(f.type) for c, f in zip(out, _SUFFIX, strict=True)], schema=_SUFFIX)
 
@@ -90,18 +106,18 @@ def suffixes(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str
     return raw.mapInArrow(work, _SUFFIX_SQL)
 
 
-def _contexts(docs: DataFrame, entries: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """gram, context, the words before (nearest first) and after as 32-bit hashes, and the entry's smallest id."""
+def _contexts(docs: DataFrame, entries: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+    """gram, context, the entry's smallest id, the context's reach to the left, and the hash of each of its passages from the left on."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            memo = WordHashes()
+            memo, runs = WordHashes(), _Runs()
             for part in parts:
                 for text, wanted in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    words = (memo.of(ascii_lower_words(text)) >> np.uint64(32)).astype(">u4")
+                    runs.read(memo.of(ascii_lower_words(text)))
                     for w in wanted:
-                        at = w["pos"]
-                        yield w["gram"], w["context"], words[at - w["left"] : at][::-1].tobytes(), words[at : at + w["right"]].tobytes(), w["own"]
+                        starts = np.arange(w["pos"] - w["left"], w["pos"] + w["right"] - length + 1)
+                        yield w["gram"], w["context"], w["own"], w["left"], runs.of(starts, starts + length).view(np.int64)
 
         yield from batches(_CONTEXT, rows(), 4096)
 
@@ -113,54 +129,19 @@ def _contexts(docs: DataFrame, entries: DataFrame, id_col: str, text_col: str) -
     return met.select("text", "wanted").mapInArrow(work, _CONTEXT_SQL).dropDuplicates(["gram", "context"])
 
 
-def _same(a: bytes, b: bytes) -> int:
-    """Words that two contexts share from their front on."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 4
-    x, y = np.frombuffer(a, "u4", n // 4), np.frombuffer(b, "u4", n // 4)
-    return int((x != y).argmax())
-
+def _alike(entries: DataFrame) -> DataFrame:
+    """The entries that share a half with another one."""
+    halved = entries.withColumn("half", F.explode(F.array_compact(F.array("head", "tail"))))
+    shared = stage(halved.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half"), "halves")
+    return halved.join(shared, "half").drop("half", "head", "tail").dropDuplicates(["gram", "context"])
 
-def _compare(a: tuple, b: tuple, length: int) -> Iterator[tuple]:
-    """Matches of two neighbours (gram, context, before, after, own), told from either side."""
-    if a[0] == b[0]:
-        r, l = _same(a[3], b[3]), _same(a[2], b[2])
-        if l + r >= length:
-            low = min((x for x in (a[4], b[4]) if x is not None), default=None)
-            for e in (a, b):
-                yield e[0], e[1], l, r, low, None, None, None, None, None
 
-
-def neighbours(contexts: DataFrame, by: list[str], length: int) -> DataFrame:
-    """Matches between neighbours of the order ``by``, across the borders of tasks as well."""
-    spark = contexts.sparkSession
-
-    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            part_id, held, first = TaskContext.get().partitionId(), None, True
-            for part in parts:
-                for entry in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if first:
-                        yield entry[0], entry[1], 0, 0, None, part_id, False, entry[2], entry[3], entry[4]
-                        first = False
-                    else:
-                        yield from _compare(held, entry, length)
-                    held = entry
-            if held is not None:
-                yield held[0], held[1], 0, 0, None, part_id, True, held[2], held[3], held[4]
-
-        yield from batches(_MATCH, rows(), 4096)
-
-    order = [*by, "context"]
-    sorted_rows = contexts.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = stage(sorted_rows.mapInArrow(work, _MATCH_SQL), "neighbours")
-    # two rows a task
-    edges = sorted(found.filter("part IS NOT NULL").collect(), key=lambda e: (e["part"], e["last"]))
-    entry = lambda e: (e["gram"], e["context"], bytes(e["before"]), bytes(e["after"]), e["own"])
-    across = [m for a, b in zip(edges, edges[1:]) if a["last"] and not b["last"] for m in _compare(entry(a), entry(b), length)]
-    more = spark.createDataFrame([(m[0], m[1], m[2], m[3], m[4]) for m in across], "gram long, context long, l int, r int, other long")
-    return found.filter("part IS NULL").select("gram", "context", "l", "r", "other").unionByName(more)
+def matched(contexts: DataFrame, length: int) -> DataFrame:
+    """gram, context, l, r, other: how far the passages that an entry shares with others reach, and the smallest id of those."""
+    passages = contexts.select("gram", "context", "own", "left", F.posexplode("keys").alias("at", "key"))
+    shared = stage(passages.groupBy("gram", "key").agg(F.count("*").alias("n"), F.min("own").alias("other")).filter("n > 1").drop("n"), "passages")
+    met = passages.join(shared, ["gram", "key"]).withColumn("l", F.col("left") - F.col("at"))
+    return met.groupBy("gram", "context").agg(F.max("l").alias("l"), F.max(F.lit(length) - F.col("l")).alias("r"), F.min("other").alias("other"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,15 +152,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     often = stage(kept.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
     kept = stage(kept.join(often, "gram"), "repeated")
     groups = kept.groupBy("gram", "context").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("own"), F.min(F.struct("doc_id", "tkey", "pos", "left", "right")).alias("at")
+        F.count("*").alias("n"), F.min("doc_id").alias("own"), F.min(F.struct("doc_id", "tkey", "pos", "left", "right", "head", "tail")).alias("at")
     )
     groups = groups.checkpoint()
     several = stage(groups.groupBy("gram").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("gram"), "several")
-    entries = groups.join(several, "gram").select("gram", "context", "own", "at.*")
-    contexts = stage(_contexts(docs, entries, id_col, text_col), "contexts")
-    matches = neighbours(contexts, ["gram", "after", "before"], length).unionByName(neighbours(contexts, ["gram", "before", "after"], length))
+    entries = stage(groups.join(several, "gram").select("gram", "context", "own", "at.*"), "entries")
+    contexts = stage(_contexts(docs, stage(_alike(entries), "alike"), length, id_col, text_col), "contexts")
+    matches = matched(contexts, length)
     whole = groups.filter("n > 1").select("gram", "context", F.col("at.left").alias("l"), F.col("at.right").alias("r"), F.col("own").alias("other"))
-    # the two sides of a join on (gram, context): places, and at most a few matches an entry
+    # the two sides of a join on (gram, context): places, and at most two rows an entry
     told = stage(matches.unionByName(whole).groupBy("gram", "context", "l", "r").agg(F.min("other").alias("other")), "told")
     spans = kept.join(told, ["gram", "context"]).select("doc_id", "tkey", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e"), "other")
     spans = spans.groupBy("doc_id", "tkey", "s", "e").agg(F.min("other").alias("other"))

@@ -84,6 +84,19 @@ def test_repeats_equal_brute_force(spark):
     assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got.collect()} == brute_repeats(rows, 14)
 
 
+def test_repeats_in_a_family_of_edited_copies(spark):
+    rng = np.random.default_rng(11)
+    parent = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    rows = []
+    for i in range(1000):
+        text = list(parent)
+        for at in rng.choice(200, rng.integers(5, 9), replace=False):
+            text[at] = f"e{rng.integers(0, 40)}"
+        rows.append((i, " ".join(text)))
+    got = repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == brute_repeats(rows, 50)
+
+
 def test_repeats_edges(edge, empty):
     got = {(r["doc_id"], r["match_id"]) for r in repeats.repeats(edge).collect()}
     assert {(7, 7), (8, 7)} <= got and {d for d, _ in got} == {7, 8}
