@@ -14,13 +14,15 @@ every text is scored whole.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the language that sorts first;
 documents without a language, held-out ones and null ids aren't learned from; with no language learned every text is ``und``; rows that
-repeat are scored alike; a word of any length is scored whole; an empty table gives an empty result; other columns and
+repeat are scored alike; a word of any length is learned from and scored whole; an empty table gives an empty result; other columns and
 their names play no part.
 """
 
 from __future__ import annotations
 
 import functools
+import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -231,6 +233,59 @@ def expected_counts(vocab: Pieces, words: list[str], weights: np.ndarray, probab
     return counts
 
 
+def _found(vocab: Pieces, codes: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and number of the pieces that end after place ``a`` and at ``b`` at the latest."""
+    low = max(0, a - vocab.longest + 1)
+    part, power = codes[low:b], _powers(vocab.longest)
+    rolling, out = np.zeros(len(part), np.uint64), []
+    for n in range(1, min(vocab.longest, len(part)) + 1):
+        rolling[n - 1 :] = part[: len(part) - n + 1] * power[n - 1] + rolling[n - 1 :]
+        first = max(n - 1, a - low)
+        found = vocab.find(rolling[first:])
+        hit = np.flatnonzero(found >= 0)
+        ends = hit + first + low + 1
+        out.append((ends - n, ends, found[hit]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def long_counts(vocab: Pieces, word: str, probability: np.ndarray, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Piece numbers and expected counts for one word of any length: forward and backward values as logarithms, and the
+    pieces of one block of places at a time."""
+    codes = _codes(_START + word)
+    top = len(codes)
+    forward, back = array("d", bytes(8 * (top + 1))), array("d", bytes(8 * (top + 1)))
+    for a in range(0, top, block):
+        b = min(top, a + block)
+        starts, ends, piece = _found(vocab, codes, a, b)
+        order, k = np.argsort(ends, kind="stable"), 0
+        starts, ends, chance = starts[order].tolist(), [*ends[order].tolist(), 0], probability[piece[order]].tolist()
+        for i in range(a + 1, b + 1):
+            base, total = forward[i - 1], _RARE
+            while ends[k] == i:
+                total += math.exp(forward[starts[k]] - base) * chance[k]
+                k += 1
+            forward[i] = base + math.log(total)
+    pieces_used, amounts = [], []
+    for b in range(top, 0, -block):
+        a = max(0, b - block)
+        starts, ends, piece = _found(vocab, codes, a, min(top, b + vocab.longest - 1))
+        inside = np.flatnonzero((starts >= a) & (starts < b))
+        order, k = inside[np.argsort(-starts[inside], kind="stable")], 0
+        starts, ends, piece = starts[order], ends[order], piece[order]
+        begins, stops, chance = [*starts.tolist(), -1], ends.tolist(), probability[piece].tolist()
+        for i in range(b - 1, a - 1, -1):
+            base, total = back[i + 1], _RARE
+            while begins[k] == i:
+                total += math.exp(back[stops[k]] - base) * chance[k]
+                k += 1
+            back[i] = base + math.log(total)
+        share = np.frombuffer(forward)[starts] + np.frombuffer(back)[ends] - forward[top]
+        names, at = np.unique(piece, return_inverse=True)
+        pieces_used.append(names)
+        amounts.append(np.bincount(at, np.exp(share) * probability[piece], len(names)))
+    return np.concatenate(pieces_used), np.concatenate(amounts)
+
+
 def train(docs: DataFrame, path: str, per_language: int = PER_LANGUAGE, smoothing: float = 0.1) -> Model:
     """Learn from rows with text and language outside the held-out fold."""
     bound_arrow_batches(docs.sparkSession)
@@ -265,6 +320,9 @@ def train(docs: DataFrame, path: str, per_language: int = PER_LANGUAGE, smoothin
             langs, words, n = (c.to_pylist() for c in part.columns)
             for lang in set(langs):
                 mine = [i for i, x in enumerate(langs) if x == lang and len(words[i]) <= 40]
+                for i in (i for i, x in enumerate(langs) if x == lang and len(words[i]) > 40):
+                    used, amounts = long_counts(vocab, words[i], flat)
+                    np.add.at(sums[number[lang]], used, amounts * n[i])
                 for at in range(0, len(mine), 8192):
                     block = mine[at : at + 8192]
                     sums[number[lang]] += expected_counts(vocab, [words[i] for i in block], np.array([n[i] for i in block], float), flat)

@@ -328,6 +328,30 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(langid._long_likelihood(vocab, "thereon", p), want[0])
 
 
+@pytest.mark.parametrize("block", [1, 7, 1 << 14])
+def test_long_words_count_as_short_ones_do(block):
+    vocab = langid.pieces(queries.tokenizer_path(queries.PIECES))
+    flat = np.exp(-1.5 * np.maximum(1, 4 - vocab.lengths) - 3.0)
+    for word in ("a", "thereon", "漢字", "internationalisierungsmaßnahme𝄞xyz"):
+        used, amounts = langid.long_counts(vocab, word, flat, block)
+        got = np.zeros(len(vocab))
+        np.add.at(got, used, amounts)
+        assert np.allclose(got, langid.expected_counts(vocab, [word], np.ones(1), flat), rtol=1e-9, atol=1e-12)
+    used, amounts = langid.long_counts(vocab, "straße" * 2000, flat, 500 * block)
+    assert np.isclose((amounts * vocab.lengths[used]).sum(), 12_001, rtol=1e-3)
+
+
+def test_langid_learns_scripts_without_spaces(spark):
+    path = queries.tokenizer_path(queries.PIECES)
+    letters = [p for p in langid.pieces(path).names if len(p) == 1 and p.isalpha() and "\u4e00" <= p <= "\u9fff"]
+    assert len(letters) >= 80
+    rng = np.random.default_rng(2)
+    rows = [(i, "".join(rng.choice(letters[:40] if i % 2 else letters[40:80], 60)), "ab"[i % 2]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, path).join(docs, "doc_id").toPandas()
+    assert got.held_out.any() and (got.lang == got.lang_pred).all()
+
+
 def test_langid_edges(edge, empty, spark):
     path = queries.tokenizer_path(queries.PIECES)
     got = {r["doc_id"]: r for r in langid.identify(edge.filter("doc_id IS NOT NULL"), path).collect()}
