@@ -42,7 +42,7 @@ MATCHES = 40
 BLOCK = 512
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.list_(pa.int64()))])
-_SETS = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("members", pa.list_(pa.int64())), ("brief", pa.binary())])
+_SETS = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("members", pa.list_(pa.int64()))])
 
 
 class Signer:
@@ -103,7 +103,7 @@ def postings(classes: DataFrame, coords: int, matches: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(digest, n, members, brief: the members' upper 32 bits) for the classes in ``wanted(digest, doc_id, tkey)``, from their texts."""
+    """(digest, n, members) for the classes in ``wanted(digest, doc_id, tkey)``, from their texts."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -111,13 +111,13 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, te
             for part in parts:
                 for digest, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     members = shingle_set(hashes.of(ascii_lower_words(text)), words)
-                    yield digest, len(members), members.view(np.int64), (members >> np.uint64(32)).astype("<u4").tobytes()
+                    yield digest, len(members), members.view(np.int64)
 
         yield from batches(_SETS, rows(), 256)
 
     raw = picked(docs, d_id=id_col, text=text_col).select(F.col("d_id").cast("long"), F.xxhash64(text_of()).alias("d_key"), text_of().alias("text"))
     met = raw.join(broadcast_if_small(wanted), F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_key") == F.col("tkey")))
-    return met.select("digest", "text").mapInArrow(work, "digest binary, n long, members array<long>, brief binary").dropDuplicates(["digest"])
+    return met.select("digest", "text").mapInArrow(work, "digest binary, n long, members array<long>").dropDuplicates(["digest"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -162,17 +162,17 @@ def links(docs: DataFrame, base: DataFrame, words: int, percent: int, coords: in
 _PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _linked(briefs: list[np.ndarray], sizes: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
+def _linked(sets: list[np.ndarray], sizes: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
     """Whether members ``low`` and ``high`` of a block reach the similarity: common shingles as one matrix product."""
-    flat = np.concatenate(briefs)
+    flat = np.concatenate(sets)
     names, counts = np.unique(flat, return_counts=True)
     names = names[counts > 1]  # a shingle that one member has is common to no pair
     place = np.searchsorted(names, flat)
     place[place == len(names)] = 0
     known = (names[place] == flat) if len(names) else np.zeros(len(flat), bool)
-    has = np.zeros((len(briefs), max(1, len(names))), np.float32)
-    has[np.repeat(np.arange(len(briefs)), [len(b) for b in briefs])[known], place[known]] = 1
-    common = has[low] @ has[high].T
+    has = np.zeros((len(sets), max(1, len(names))), np.float32)
+    has[np.repeat(np.arange(len(sets)), [len(m) for m in sets])[known], place[known]] = 1
+    common = (has[low] @ has[high].T).astype(np.int64)  # whole numbers, so that a pair right at the threshold isn't rounded away
     return common * 100 >= (sizes[low][:, None] + sizes[high][None, :] - common) * percent
 
 
@@ -192,7 +192,7 @@ def _tree(rows: list[tuple], matches: int, percent: int) -> Iterator[tuple]:
     ok &= hits >= matches
     if not ok.any():
         return
-    ok &= _linked([np.frombuffer(r[8], "<u4") for r in rows], sizes, low, high, percent)
+    ok &= _linked([r[8] for r in rows], sizes, low, high, percent)
     owner = list(range(label.max() + 1))
 
     def root(x: int) -> int:
@@ -216,15 +216,16 @@ def merged_lists(lists: DataFrame, sets: DataFrame, matches: int, percent: int)
     own = F.pmod(F.xxhash64("digest"), F.col("cuts")).cast("int")
     dealt = lists.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     dealt = dealt.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "digest", "n", "label")
-    with_sets = dealt.join(sets.select("digest", "sig", "brief"), "digest")
+    with_sets = dealt.join(sets.select("digest", "sig", "members"), "digest")
     order = ["key", "i", "j"]
-    sorted_rows = with_sets.repartition(*order).sortWithinPartitions(*order).select(*order, "own", "digest", "n", "label", "sig", "brief")
+    sorted_rows = with_sets.repartition(*order).sortWithinPartitions(*order).select(*order, "own", "digest", "n", "label", "sig", "members")
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs():
             held: list[tuple] = []
             for part in parts:
-                for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                *plain, members = part.columns
+                for row in zip(*(c.to_pylist() for c in plain), (m.values.to_numpy() for m in members), strict=True):
                     if held and row[:3] != held[0][:3]:
                         yield from _tree(held, matches, percent)
                         held = []

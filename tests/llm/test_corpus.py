@@ -464,6 +464,31 @@ def test_blocks_of_a_list_meet(spark, monkeypatch):
     assert got == brute_components(rows, 3, 85)
 
 
+def test_second_round_tells_shingles_with_equal_upper_halves_apart(spark):
+    names = [f"w{i}" for i in range(400_000)]
+    # a word alone is a shingle of its own
+    shingles = near_dedup.scramble(near_dedup.WordHashes().of([n.encode() for n in names]) + np.uint64(1)) >> np.uint64(32)
+    order = np.argsort(shingles, kind="stable")
+    at = int(np.flatnonzero(np.diff(shingles[order]) == 0)[0])
+    u, v = names[order[at]], names[order[at + 1]]
+    texts = [f"{u} {v} c d", f"{u} {v} c d e", f"{u} p q r", f"{v} p q r"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = docs.select(F.col("text").cast("binary").alias("digest"), "doc_id", F.xxhash64("text").alias("tkey"))
+    sets = near_dedup.shingle_sets(docs, wanted, 1, "doc_id", "text").withColumn("sig", F.array(F.lit(1).cast("long")))
+    rows = [(k // 2, t.encode(), len(t.split()), t.encode(), 1) for k, t in enumerate(texts)]
+    lists = spark.createDataFrame(rows, "key long, digest binary, n long, label binary, cuts int")
+    got = {(bytes(r["a"]).decode(), bytes(r["b"]).decode()) for r in near_dedup.merged_lists(lists, sets, 1, 80).collect()}
+    assert got == {(max(texts[:2]), min(texts[:2]))}
+
+
+def test_common_shingles_of_long_documents_are_whole_numbers():
+    # 680,017 of 800,020 shingles in common are 85 percent; a float of 32 bits can't hold a hundred times that
+    shared = np.arange(680_017, dtype=np.int64)
+    sets = [np.concatenate([shared, np.arange(at, at + n)]) for at, n in ((10**7, 60_001), (2 * 10**7, 60_002))]
+    linked = lambda s: near_dedup._linked(s, np.array(list(map(len, s))), np.array([0]), np.array([1]), 85).item()
+    assert linked(sets) and not linked([s[1:] for s in sets])
+
+
 def test_near_duplicate_edges(edge, empty):
     got = near_dedup.mark(edge).toPandas()
     assert len(got) == len(RAW) and (got[got.n_shingles == 0].kept).all()
