@@ -1,12 +1,13 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives and unlabelled web text train one additive logistic model by the non-negative risk of Kiryo et al.
-(2017): prior * R_pos(+) + max(0, R_unl(-) - prior * R_pos(-)).  The class prior is estimated from the same two
-samples: a first model tells positives from unlabelled text, and the prior is the smallest ratio, over its thresholds, of
-the unlabelled share above to the positive share above (the anchor estimate, with a binomial allowance).
+(2017): prior * R_pos(+) + max(0, R_unl(-) - prior * R_pos(-)).  A first model tells the positives from the unlabelled
+sample, and the class prior is the smallest ratio, over its thresholds, of the share above among all rows of the learning
+fold to the positive share above (the anchor estimate, with a binomial allowance).
 
 Samples are bounded: ``positives`` trusted rows and ``unlabelled`` rows, those with the smallest hashes of their ids, from
-the learning fold alone.  They are what the driver holds, at every corpus size.  Scoring reads every whole text, once.
+the learning fold alone.  They are what the driver holds, at every corpus size.  The prior reads every whole text of the learning fold, and
+scoring every whole text, once each.
 
 The inputs of a score are properties of the text only: shares of character classes, word and line lengths, repetition of
 words and neighbours.  Each is cut at its sample quantiles, and the model adds one weight for each cut passed.
@@ -20,11 +21,12 @@ further columns pass through ``accepted``.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_arrow_batches, fold_of, picked, text_of, unwrapped, wrapped
@@ -105,16 +107,29 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, deca
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives in the unlabelled sample, from scores of a positive-against-unlabelled model."""
+    cuts = _anchors(positive)
+    return _smallest_ratio(positive, cuts, np.array([(unlabelled >= cut).sum() for cut in cuts]), len(unlabelled))
+
+
+def _anchors(positive: np.ndarray) -> np.ndarray:
+    return np.unique(np.quantile(positive, np.linspace(0.0, 0.6, 61)))
+
+
+def _smallest_ratio(positive: np.ndarray, cuts: np.ndarray, counts: np.ndarray, total: int) -> float:
+    """The prior from the number of rows, of ``total``, at each of the ``cuts`` or above."""
     best = 1.0
-    for cut in np.unique(np.quantile(positive, np.linspace(0.0, 0.6, 61))):
-        above, among = float((unlabelled >= cut).mean()), float((positive >= cut).mean())
-        slack = 1.0 / np.sqrt(max(1, len(unlabelled))) + 1.0 / np.sqrt(max(1, len(positive)))
+    for cut, count in zip(cuts, counts, strict=True):
+        above, among = float(count) / max(1, total), float((positive >= cut).mean())
+        slack = 1.0 / np.sqrt(max(1, total)) + 1.0 / np.sqrt(max(1, len(positive)))
         best = min(best, (above + slack * 0.5 * np.sqrt(above * (1 - above) + 1e-9)) / max(among, 1e-9))
     return float(np.clip(best, 0.02, 0.98))
 
 
-def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, bins: int = 16) -> Model:
-    """Fit the model on feature rows of trusted positives and of unlabelled text."""
+def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, bins: int = 16, halves: tuple[np.ndarray, np.ndarray] | None = None, above: Callable | None = None) -> Model:
+    """Fit the model on feature rows of trusted positives and of unlabelled text.
+
+    ``above(model, fitted, cuts)`` counts the corpus's rows at each cut or above, and all rows, where row half k is scored by
+    ``fitted[k]``; ``halves`` are the samples' halves.  Without them the prior comes from the samples."""
     if not len(positive) or not len(unlabelled):
         known = 0.5 if prior is None else prior
         return Model([np.zeros(0) for _ in FEATURES], np.zeros(0), float(np.log(known / (1 - known))), known)
@@ -127,23 +142,29 @@ def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
         prior = 0.5  # too few rows to tell
     if prior is None:
         # each half scored by a model of the other half
-        halves = [slice(0, None, 2), slice(1, None, 2)]
-        sp, su = np.zeros(len(p)), np.zeros(len(u))
-        for a, b in (halves, halves[::-1]):
-            w, c = _fit(p[a], u[a], None, 2e-3, 200, 0.05)
-            sp[b], su[b] = p[b] @ w + c, u[b] @ w + c
-        prior = estimate_prior(sp, su)
+        sides = halves or (np.arange(len(p)) % 2, np.arange(len(u)) % 2)
+        ph, uh = (h if 0 < h.sum() < len(h) else np.arange(len(h)) % 2 for h in sides)
+        sp, su, fitted = np.zeros(len(p)), np.zeros(len(u)), []
+        for k in (0, 1):
+            w, c = _fit(p[ph != k], u[uh != k], None, 2e-3, 200, 0.05)
+            sp[ph == k], su[uh == k] = p[ph == k] @ w + c, u[uh == k] @ w + c
+            fitted.append((w, c))
+        prior = _smallest_ratio(sp, _anchors(sp), *above(model, fitted, _anchors(sp))) if above else estimate_prior(sp, su)
     model.weights, model.bias = _fit(p, u, prior, 1e-3, 500, 0.05)
     model.prior = prior
     return model
 
 
-def _sample(rows: DataFrame, at_most: int) -> np.ndarray:
-    """Features of the ``at_most`` rows with the smallest hash of the id; they are computed where the rows are."""
+def _half() -> Column:
+    return F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
+
+
+def _sample(rows: DataFrame, at_most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and halves of the ``at_most`` rows with the smallest hash of the id; they are computed where the rows are."""
     picked = rows.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(at_most)
-    made = picked.select("doc_id", _features_udf()("text").alias("x")).collect()
+    made = picked.select("doc_id", _half().alias("half"), _features_udf()("text").alias("x")).collect()
     made.sort(key=lambda r: r["doc_id"])
-    return np.array([r["x"] for r in made]).reshape(len(made), len(FEATURES))
+    return np.array([r["x"] for r in made]).reshape(len(made), len(FEATURES)), np.array([r["half"] for r in made], int)
 
 
 def _features_udf():
@@ -162,10 +183,31 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     trusted = labels.filter(learning & (F.col("quality") == 1)).select("doc_id").orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(positives).distinct()
     texts = docs.filter(learning).select("doc_id", text_of().alias("text"))
     # both sides of this join are bounded by ``positives`` ids
-    return learn(_sample(texts.join(F.broadcast(trusted), "doc_id", "left_semi"), positives), _sample_ids(texts, unlabelled), prior)
+    (p, p_half), (u, u_half) = _sample(texts.join(F.broadcast(trusted), "doc_id", "left_semi"), positives), _sample_ids(texts, unlabelled)
+
+    def above(model: Model, fitted: list[tuple[np.ndarray, float]], cuts: np.ndarray) -> tuple[np.ndarray, int]:
+        schema = pa.schema([("at", pa.int64()), ("n", pa.int64())])
+
+        def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(len(cuts) + 1, np.int64)
+            for part in parts:
+                if not part.num_rows:
+                    continue
+                half = part.column(0).to_numpy()
+                x = model.design(np.array([features(t) for t in part.column(1).to_pylist()]))
+                scores = np.where(half == 0, *(x @ w + c for w, c in fitted))
+                seen += np.bincount(np.searchsorted(cuts, scores, side="right"), minlength=len(seen))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], schema=schema)
+
+        counts = np.zeros(len(cuts) + 1, np.int64)
+        for r in texts.select(_half().alias("half"), "text").mapInArrow(work, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            counts[r["at"]] = r["n"]
+        return counts[::-1].cumsum()[::-1][1:], int(counts.sum())
+
+    return learn(p, u, prior, halves=(p_half, u_half), above=above)
 
 
-def _sample_ids(texts: DataFrame, at_most: int) -> np.ndarray:
+def _sample_ids(texts: DataFrame, at_most: int) -> tuple[np.ndarray, np.ndarray]:
     """As ``_sample``, but the texts are read for the picked ids alone: ids are sorted without their texts first."""
     picked = texts.select("doc_id").orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(at_most).distinct()
     return _sample(texts.join(F.broadcast(picked), "doc_id", "left_semi"), at_most)

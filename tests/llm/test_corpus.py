@@ -124,6 +124,20 @@ def test_quality_tells_junk_apart():
     assert (model.score(held[0]) >= 0.7).mean() > 0.95 and (model.score(held[1]) < 0.7).mean() > 0.95
 
 
+def test_the_prior_is_that_of_the_whole_corpus(spark):
+    rng = np.random.default_rng(4)
+    clean = lambda: " ".join(f"word{x}" for x in rng.integers(0, 400, 60)) + "."
+    junk = lambda: "$$ ## BUY 99 || " * int(rng.integers(5, 20))
+    ids = spark.range(1600).select(F.col("id").alias("doc_id")).filter(quality.fold_of("doc_id", quality.FOLDS) != quality.HELD_OUT)
+    ids = [r["doc_id"] for r in ids.orderBy(F.xxhash64(F.lit("quality"), "doc_id")).collect()]
+    # 200 rows of the sample of 240 are clean, and one in ten of the others
+    texts = [clean() if k < 200 or k % 10 == 0 else junk() for k in range(len(ids))]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, t in zip(ids, texts, strict=True) if t.startswith("word")], "doc_id long, quality int")
+    true = sum(t.startswith("word") for t in texts) / len(texts)
+    assert true < 0.3 and abs(quality.train(docs, labels, unlabelled=240).prior - true) < 0.1
+
+
 def test_quality_edges(edge, empty, labels, spark):
     got = quality.scored(edge, labels).toPandas()
     assert len(got) == len(RAW) and got.score.notna().all() and not got[got.doc_id.isna()].held_out.any()
