@@ -9,8 +9,8 @@ Pieces never cross white space, so a text falls apart into words, and the distin
 one array step for each word position and piece length.  A character outside the vocabulary is a piece of its own with
 a small probability.
 
-The model is fitted on at most about ``per_language`` documents of a language, those with the smallest hashes of their ids;
-every text is scored whole.
+The model is fitted on at most about ``per_language`` documents of a language, those with the smallest hashes of their ids, and on
+the ``most`` languages with most documents; every text is scored whole.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the language that sorts first;
 documents without a language, held-out ones and null ids aren't learned from; with no language learned every text is ``und``; rows that
@@ -21,6 +21,7 @@ their names play no part.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from array import array
 from collections import Counter
@@ -32,11 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bound_arrow_batches, fold_of, picked, text_of
+from .common import batches, bound_arrow_batches, fold_of, picked, returned_memory, text_of
 
 PER_LANGUAGE = 3_000
-#: More languages than this in the labels are an error: the model has one column each.
-MOST_LANGUAGES = 500
+#: Bytes of word likelihoods that a task remembers, in each of two generations.
+ROOM = 12 << 20
+#: Languages that are learned at most, those with most documents: the model has a number for each language and piece.
+LANGUAGES = 500
+#: Words that a task counts, and languages that it sums, before it hands them on.
+COUNTED, SUMMED = 200_000, 64
 FOLDS, HELD_OUT = 5, 0
 TEMPERATURE = 0.2
 _START = "▁"
@@ -161,32 +166,59 @@ def _long_likelihood(vocab: Pieces, word: str, probability: np.ndarray) -> np.nd
     return log
 
 
+class _Known:
+    """Word -> row of numbers, in two generations: a full younger one becomes the older, and what is asked for often moves on."""
+
+    def __init__(self, width: int, room: int):
+        self.most = max(512, room // (200 + 4 * width))
+        self.width, self.young, self.older = width, ({}, np.zeros((self.most, width), np.float32)), ({}, None)
+
+    def fill(self, words: list[str], out: np.ndarray) -> list[int]:
+        """Put the rows that are known into ``out``; returns the places of the other words."""
+        names, rows = self.young
+        at = np.fromiter(map(names.get, words, itertools.repeat(-1)), np.int64, len(words))
+        out[at >= 0] = rows[at[at >= 0]]
+        rest = np.flatnonzero(at < 0).tolist()
+        names, rows = self.older
+        met = [i for i in rest if words[i] in names]
+        if met:
+            out[met] = rows[[names[words[i]] for i in met]]
+            self.keep([words[i] for i in met], out[met])
+            gone = set(met)
+            rest = [i for i in rest if i not in gone]
+        return rest
+
+    def keep(self, words: list[str], rows: np.ndarray) -> None:
+        for at in range(0, len(words), self.most):
+            part = words[at : at + self.most]
+            if len(self.young[0]) + len(part) > self.most:
+                self.older, self.young = self.young, ({}, np.zeros((self.most, self.width), np.float32))
+            names, held = self.young
+            held[len(names) : len(names) + len(part)] = rows[at : at + len(part)]
+            names.update(zip(part, range(len(names), len(names) + len(part))))
+
+
 class Model:
     """Piece probabilities of each language; ``score`` gives log likelihoods of words."""
 
-    def __init__(self, path: str, languages: list[str], probability: np.ndarray):
+    def __init__(self, path: str, languages: list[str], probability: np.ndarray, room: int = ROOM):
         self.path, self.languages, self.probability = path, languages, probability
-        self.memo: dict[str, np.ndarray] = {}
+        self.known = _Known(len(languages), room)
 
-    def words(self, words: list[str], block: int = 8192, room: int = 300_000) -> np.ndarray:
+    def words(self, words: list[str], cells: int = 1 << 21) -> np.ndarray:
+        """A row for each of the different ``words``; a block of words has about ``cells`` forward values."""
         vocab, out = pieces(self.path), np.zeros((len(words), len(self.languages)), np.float32)
-        if len(self.memo) > room:
-            self.memo.clear()
-        fresh = [i for i, w in enumerate(words) if w not in self.memo]
+        fresh = self.known.fill(words, out)
         for i in fresh:
             if len(words[i]) > 40:
                 out[i] = _long_likelihood(vocab, words[i], self.probability)
         short = [i for i in fresh if len(words[i]) <= 40]
+        block = max(64, min(8192, cells // (42 * max(1, len(self.languages)))))
         for at in range(0, len(short), block):
             part = short[at : at + block]
             lattice = Lattice(vocab, [words[i] for i in part])
             out[np.array(part)[lattice.order]] = lattice.forward(self.probability)[1]
-        new = set(fresh)
-        for i, w in enumerate(words):
-            if i not in new:
-                out[i] = self.memo[w]
-        for i in short:
-            self.memo[words[i]] = out[i].copy()
+        self.known.keep([words[i] for i in short], out[short])
         return out
 
     def texts(self, texts: list[str | None], temperature: float = TEMPERATURE) -> list[tuple[str, float]]:
@@ -286,47 +318,65 @@ def long_counts(vocab: Pieces, word: str, probability: np.ndarray, block: int =
     return np.concatenate(pieces_used), np.concatenate(amounts)
 
 
-def train(docs: DataFrame, path: str, per_language: int = PER_LANGUAGE, smoothing: float = 0.1) -> Model:
+def train(docs: DataFrame, path: str, per_language: int = PER_LANGUAGE, smoothing: float = 0.1, most: int = LANGUAGES) -> Model:
     """Learn from rows with text and language outside the held-out fold."""
-    bound_arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_arrow_batches(spark)
     fold = picked(docs, doc_id="doc_id", text="text", lang="lang").filter((fold_of("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = fold.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    languages = [r["lang"] for r in sizes]
+    sizes = fold.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    languages = sorted(r["lang"] for r in sizes)
     number = {lang: i for i, lang in enumerate(languages)}
     if not languages:
         return Model(path, [], np.zeros((len(pieces(path)), 0)))
     # each language keeps the ids under its own cut of a uniform hash, which leaves about per_language of them
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20))
-    keep = functools.reduce(lambda c, r: c | ((F.col("lang") == r["lang"]) & (draw < int(min(1.0, per_language / r["n"]) * (1 << 20)))), sizes, F.lit(False))
+    draws = 1 << 20
+    cuts = spark.createDataFrame([(r["lang"], int(min(1.0, per_language / r["n"]) * draws)) for r in sizes], "of string, cut int")
+    chosen = fold.join(F.broadcast(cuts), F.col("lang") == F.col("of")).filter(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(draws)) < F.col("cut"))
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags: dict[str, Counter] = {}
-        for part in parts:
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                bags.setdefault(lang, Counter()).update(letters_of(text))
-        yield from batches(schema, ((lang, w, n) for lang, bag in bags.items() for w, n in bag.items()), 20_000)
 
-    counted = fold.filter(keep).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        def told() -> Iterator[pa.RecordBatch]:
+            yield from batches(schema, ((lang, w, n) for lang, bag in bags.items() for w, n in bag.items()), 20_000)
+            bags.clear()
+
+        with returned_memory():
+            for part in parts:
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    bags.setdefault(lang, Counter()).update(letters_of(text))
+                if sum(map(len, bags.values())) > COUNTED:
+                    yield from told()
+            yield from told()
+
+    counted = chosen.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     expected = pa.schema([("lang", pa.string()), ("piece", pa.int32()), ("n", pa.float64())])
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = pieces(path)
         flat = np.exp(-1.5 * np.maximum(1, 4 - vocab.lengths) - 3.0)  # longer pieces first, before anything is known
-        sums = np.zeros((len(languages), len(vocab)))
-        for part in parts:
-            langs, words, n = (c.to_pylist() for c in part.columns)
-            for lang in set(langs):
-                mine = [i for i, x in enumerate(langs) if x == lang and len(words[i]) <= 40]
-                for i in (i for i, x in enumerate(langs) if x == lang and len(words[i]) > 40):
-                    used, amounts = long_counts(vocab, words[i], flat)
-                    np.add.at(sums[number[lang]], used, amounts * n[i])
-                for at in range(0, len(mine), 8192):
-                    block = mine[at : at + 8192]
-                    sums[number[lang]] += expected_counts(vocab, [words[i] for i in block], np.array([n[i] for i in block], float), flat)
-        yield from batches(expected, ((lang, int(p), float(sums[i, p])) for lang, i in number.items() for p in np.flatnonzero(sums[i])), 20_000)
+        sums: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            yield from batches(expected, ((lang, int(p), float(held[p])) for lang, held in sums.items() for p in np.flatnonzero(held)), 20_000)
+            sums.clear()
+
+        with returned_memory():
+            for part in parts:
+                langs, words, n = (c.to_pylist() for c in part.columns)
+                for lang in dict.fromkeys(langs):
+                    if lang not in sums and len(sums) >= SUMMED:
+                        yield from told()
+                    held = sums.setdefault(lang, np.zeros(len(vocab)))
+                    of_lang = [i for i, x in enumerate(langs) if x == lang]
+                    mine = [i for i in of_lang if len(words[i]) <= 40]
+                    for i in (i for i in of_lang if len(words[i]) > 40):
+                        used, amounts = long_counts(vocab, words[i], flat)
+                        np.add.at(held, used, amounts * n[i])
+                    for at in range(0, len(mine), 8192):
+                        block = mine[at : at + 8192]
+                        held += expected_counts(vocab, [words[i] for i in block], np.array([n[i] for i in block], float), flat)
+            yield from told()
 
     # languages times pieces: bounded by the model's own size
     rows = counted.mapInArrow(gather, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
@@ -337,22 +387,18 @@ def train(docs: DataFrame, path: str, per_language: int = PER_LANGUAGE, smoothin
     return Model(path, languages, counts / counts.sum(axis=0))
 
 
-_HELD: dict[str, Model] = {}
-
-
 def identify(docs: DataFrame, path: str, model: Model | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every document."""
     model = model or train(docs, path)
-    mark = f"{hash((model.path, tuple(model.languages), model.probability.tobytes()))}"
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.probability))
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if mark not in _HELD:  # one model a worker, with what it remembers of words
-            _HELD.clear()
-            _HELD[mark] = Model(path, *shared.value)
-        for texts in parts:
-            yield pd.DataFrame(_HELD[mark].texts(texts.tolist(), temperature), columns=["lang_pred", "score"])
+        with returned_memory():
+            known = Model(path, *shared.value)
+            for texts in parts:
+                yield pd.DataFrame(known.texts(texts.tolist(), temperature), columns=["lang_pred", "score"])
+            del known
 
     held = F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     return picked(docs, doc_id="doc_id", text="text").select("doc_id", held.alias("held_out"), run(text_of()).alias("out")).select("doc_id", "held_out", "out.lang_pred", "out.score")
