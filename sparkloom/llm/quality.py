@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow_batches, fold_of, picked, text_of, unwrapped, wrapped
+from .common import bound_arrow_batches, fold_of, picked, returned_memory, text_of, unwrapped, wrapped
 
 POSITIVES, UNLABELLED = 4_000, 8_000
 THRESHOLD = 0.7
@@ -159,12 +159,20 @@ def _half() -> Column:
     return F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
 
 
-def _sample(rows: DataFrame, at_most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and halves of the ``at_most`` rows with the smallest hash of the id; they are computed where the rows are."""
-    picked = rows.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(at_most)
-    made = picked.select("doc_id", _half().alias("half"), _features_udf()("text").alias("x")).collect()
-    made.sort(key=lambda r: r["doc_id"])
-    return np.array([r["x"] for r in made]).reshape(len(made), len(FEATURES)), np.array([r["half"] for r in made], int)
+def _sample(texts: DataFrame, ids: DataFrame, at_most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and halves of the rows with these ids, ``at_most`` of them by the hash of the id.
+
+    Features are computed where the rows are, for these ids alone, and only then are rows brought together: no text moves.
+    ``ids`` are at most ``at_most`` different ids; an id that rows repeat is why rows are limited again."""
+    made = texts.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", _half().alias("half"), _features_udf()("text").alias("x"))
+    found = made.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id", "x").limit(at_most).collect()
+    found.sort(key=lambda r: (r["doc_id"], r["x"]))
+    return np.array([r["x"] for r in found]).reshape(len(found), len(FEATURES)), np.array([r["half"] for r in found], int)
+
+
+def _first_ids(rows: DataFrame, at_most: int) -> DataFrame:
+    """The ids of the ``at_most`` rows with the smallest hash of the id."""
+    return rows.select("doc_id").orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(at_most).distinct()
 
 
 def _features_udf():
@@ -180,23 +188,23 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     bound_arrow_batches(docs.sparkSession)
     learning = fold_of("doc_id", FOLDS) != HELD_OUT
     docs, labels = picked(docs, doc_id="doc_id", text="text"), picked(labels, doc_id="doc_id", quality="quality")
-    trusted = labels.filter(learning & (F.col("quality") == 1)).select("doc_id").orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(positives).distinct()
     texts = docs.filter(learning).select("doc_id", text_of().alias("text"))
-    # both sides of this join are bounded by ``positives`` ids
-    (p, p_half), (u, u_half) = _sample(texts.join(F.broadcast(trusted), "doc_id", "left_semi"), positives), _sample_ids(texts, unlabelled)
+    p, p_half = _sample(texts, _first_ids(labels.filter(learning & (F.col("quality") == 1)), positives), positives)
+    u, u_half = _sample(texts, _first_ids(texts, unlabelled), unlabelled)
 
     def above(model: Model, fitted: list[tuple[np.ndarray, float]], cuts: np.ndarray) -> tuple[np.ndarray, int]:
         schema = pa.schema([("at", pa.int64()), ("n", pa.int64())])
 
         def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = np.zeros(len(cuts) + 1, np.int64)
-            for part in parts:
-                if not part.num_rows:
-                    continue
-                half = part.column(0).to_numpy()
-                x = model.design(np.array([features(t) for t in part.column(1).to_pylist()]))
-                scores = np.where(half == 0, *(x @ w + c for w, c in fitted))
-                seen += np.bincount(np.searchsorted(cuts, scores, side="right"), minlength=len(seen))
+            with returned_memory():
+                for part in parts:
+                    if not part.num_rows:
+                        continue
+                    half = part.column(0).to_numpy()
+                    x = model.design(np.array([features(t) for t in part.column(1).to_pylist()]))
+                    scores = np.where(half == 0, *(x @ w + c for w, c in fitted))
+                    seen += np.bincount(np.searchsorted(cuts, scores, side="right"), minlength=len(seen))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], schema=schema)
 
         counts = np.zeros(len(cuts) + 1, np.int64)
@@ -207,21 +215,16 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return learn(p, u, prior, halves=(p_half, u_half), above=above)
 
 
-def _sample_ids(texts: DataFrame, at_most: int) -> tuple[np.ndarray, np.ndarray]:
-    """As ``_sample``, but the texts are read for the picked ids alone: ids are sorted without their texts first."""
-    picked = texts.select("doc_id").orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(at_most).distinct()
-    return _sample(texts.join(F.broadcast(picked), "doc_id", "left_semi"), at_most)
-
-
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: Model | None = None, whole_rows: bool = False) -> DataFrame:
     """The input's columns, held_out, score and predicted; with ``whole_rows`` the rows at the threshold or above, as they came."""
     model = model or train(docs, labels)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            x = np.array([features(t) for t in texts]).reshape(len(texts), len(FEATURES))
-            yield pd.Series(model.score(x))
+        with returned_memory():
+            for texts in parts:
+                x = np.array([features(t) for t in texts]).reshape(len(texts), len(FEATURES))
+                yield pd.Series(model.score(x))
 
     held = F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     out = wrapped(docs, doc_id="doc_id", text="text").withColumn("score", score(text_of()))
