@@ -35,11 +35,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bound_arrow_batches, picked, unwrapped, wrapped
+from .common import Memo, batches, bound_arrow_batches, picked, returned_memory, unwrapped, wrapped
 
 #: Pieces in the lexicon, and pieces that one task's frequency summary holds.
 LEXICON_WORDS = 32_768
 SUMMARY_WORDS = 65_536
+#: Characters that a word of the summaries, and so a piece of the lexicon, has at most; longer ones are merged.
+LONGEST = 64
 
 #: The split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -83,7 +85,8 @@ class Vocabulary:
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is special, text) in turn."""
         if self.at_special is None:
-            yield False, text
+            if text:
+                yield False, text
             return
         for i, part in enumerate(self.at_special.split(text)):
             if part:
@@ -265,39 +268,25 @@ def frequent_pieces(docs: DataFrame, path: str, text_col: str = "text", words: i
         return Counter({w: n - cut for w, n in kept if n > cut})
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, counts = vocabulary(path), Counter()
-        for part in parts:
-            for text in part.column(0).to_pylist():
-                if text:
-                    counts.update(text.split())
-                    if len(counts) > 4 * summary:
-                        counts = shrink(counts)
-        pieces: Counter = Counter()
-        for word, n in shrink(counts).items():
-            for piece in vocab.pattern.findall(" " + word):
-                pieces[piece] += n
-        yield from batches(schema, pieces.items(), 20_000)
+        with returned_memory():
+            vocab, counts = vocabulary(path), Counter()
+            for part in parts:
+                for text in part.column(0).to_pylist():
+                    if text:
+                        counts.update([w for w in text.split() if len(w) < LONGEST])
+                        if len(counts) > 3 * summary:
+                            counts = shrink(counts)
+            pieces: Counter = Counter()
+            for word, n in shrink(counts).items():
+                for piece in vocab.pattern.findall(" " + word):
+                    pieces[piece] += n
+            del counts
+            yield from batches(schema, pieces.items(), 20_000)
 
     summed = picked(docs, text=text_col).select(F.col("text").cast("string")).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     return [r["piece"] for r in summed.orderBy(F.desc("n"), "piece").limit(words).collect()]
 
 
-class _Memo(dict):
-    """Remembers what ``make`` gave.  At ``room`` entries the older go, but for the first eighth: what a worker meets first
-    is mostly what is frequent."""
-
-    def __init__(self, make, room: int):
-        super().__init__()
-        self.make, self.room = make, room
-
-    def __missing__(self, key: str) -> str:
-        if len(self) >= self.room:
-            for old in list(itertools.islice(self, self.room // 8, self.room // 2)):
-                del self[old]
-        value = self[key] = self.make(key)
-        return value
-
-
 #: White space that is not one blank or line feed between two words.
 _UNEVEN = re.compile(r"\A\s|[^\S \n]|\s\s|\s\Z")
 
@@ -305,10 +294,11 @@ _UNEVEN = re.compile(r"\A\s|[^\S \n]|\s\s|\s\Z")
 class Encoder:
     """Whole texts to ids and back, on a worker."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, unseen: int = 600_000):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, room: int = 16 << 20):
+        """``room``: bytes that are remembered of words and pieces, twice over."""
         self.vocab, self.lexicon = vocab, lexicon
-        self.memo = _Memo(self._piece, unseen // 4)
-        self.words = [_Memo(self._word, unseen // 4), _Memo(lambda w: self._word(" " + w), unseen)]
+        self.memo = Memo(self._piece, room // 8)
+        self.words = [Memo(self._word, room // 8), Memo(lambda w: self._word(" " + w), room - room // 4)]
 
     def _piece(self, piece: str) -> str:
         raw = piece.encode()
@@ -373,17 +363,6 @@ def lexicon_for(docs: DataFrame, path: str, text_col: str = "text", words: int =
     return build_lexicon({p.encode(): vocab.merge(p.encode()) for p in frequent_pieces(docs, path, text_col, words)})
 
 
-_HELD: dict[str, object] = {}
-
-
-def _encoder(path: str, blob: bytes) -> Encoder:
-    """One encoder a worker: the last lexicon's."""
-    mark = hashlib.sha256(blob).hexdigest()
-    if _HELD.get("mark") != (path, mark):
-        _HELD.update(mark=(path, mark), encoder=Encoder(vocabulary(path), Lexicon(blob)))
-    return _HELD["encoder"]
-
-
 def encode(docs: DataFrame, path: str, text_col: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
     """The input's columns and ``ids array<int>``."""
     return _mapped(docs, path, text_col, words, ["ids array<int>"], lambda e, t: (e.encode(t),))
@@ -402,9 +381,11 @@ def _mapped(docs: DataFrame, path: str, text_col: str, words: int, added: list[s
 
     @F.pandas_udf(f"struct<{struct}>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(path, shared.value)
-        for part in texts:
-            yield pd.DataFrame([work(encoder, t or "") for t in part], columns=[n for n, _ in fields])
+        with returned_memory():
+            encoder = Encoder(vocabulary(path), Lexicon(shared.value))
+            for part in texts:
+                yield pd.DataFrame([work(encoder, t or "") for t in part], columns=[n for n, _ in fields])
+            del encoder
 
     out = wrapped(docs, text=text_col).withColumn("__out", run(F.col("text").cast("string")))
     return unwrapped(out, docs.columns, **{n: F.col(f"__out.{n}") for n, _ in fields})

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -92,23 +96,64 @@ def ascii_lower_words(text: str | bytes | None) -> list[bytes]:
     return raw.lower().split()
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembering up to ``limit`` words of a worker."""
+class Memo(dict):
+    """Remembers what ``make`` gives for a text, in two generations of ``room`` bytes each, about.
 
-    def __init__(self, limit: int = 200_000):
-        super().__init__()
-        self.limit = limit
+    What the younger lacks is looked up in the older one; a younger one that is full becomes the older.  So what is asked for often
+    stays, however much is asked for once, and a long key is made anew each time."""
+
+    #: Bytes of an entry besides its characters, and the longest key that is remembered.
+    ENTRY, LONGEST = 200, 512
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
+    def __init__(self, make: Callable, room: int):
+        super().__init__()
+        self.make, self.room, self.held, self.older = make, room, 0, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.LONGEST:
+                return value
+        self.held += self.ENTRY + 2 * len(key)
+        if self.held > self.room:
+            self.older, self.held = dict(self), 0
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        self[key] = value
         return value
 
+
+class WordHashes(Memo):
+    """word -> 64-bit hash, remembering words of up to twice ``room`` bytes."""
+
+    def __init__(self, room: int = 8 << 20):
+        super().__init__(xxhash.xxh3_64_intdigest, room)
+
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+@cache
+def _c_library():
+    try:
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+@contextmanager
+def returned_memory():
+    """At the end, what a worker's task has freed goes back to the system: Python workers outlive tasks and stages."""
+    try:
+        yield
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if _c_library() is not None:
+            _c_library().malloc_trim(0)
+
+
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -157,9 +202,10 @@ def _pack(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def bound_arrow_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Lower the session's Arrow batch length to ``rows`` so that a batch of long texts stays in a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bound_arrow_batches(spark: SparkSession, rows: int = 1024, size: int = 8 << 20) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows and ``size`` bytes, so that a batch of long texts stays in a worker's
+    memory.  Spark takes these from the session alone; larger settings of the caller's are lowered, smaller ones stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))

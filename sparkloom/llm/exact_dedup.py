@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bound_arrow_batches, picked, text_of, unwrapped, wrapped
+from .common import batches, bound_arrow_batches, picked, returned_memory, text_of, unwrapped, wrapped
 
 #: Bytes of labels that one trie holds before it lets a subtree go.
-MEMORY = 96 << 20
+MEMORY = 48 << 20
 
 
 def _shared(label: bytes, text: bytes, start: int) -> int:
@@ -215,7 +215,8 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
                             yield from trie.drain()
             yield from trie.drain()
 
-        yield from batches(_PART, rows())
+        with returned_memory():
+            yield from batches(_PART, rows())
 
     def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -232,7 +233,8 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
             if due:
                 raise RuntimeError(f"{due} rows without an owner")
 
-        yield from batches(_OWNER, rows())
+        with returned_memory():
+            yield from batches(_OWNER, rows())
 
     raw = picked(docs, owner=id_col, text=text_col).select(F.col("owner").cast("long"), text_of().cast("binary").alias("text"))
     parts = raw.mapInArrow(combine, "text binary, owner long, n long")

@@ -33,13 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_lower_words, batches, bound_arrow_batches, broadcast_if_small, picked, scramble, shingle_set, stage, text_of, unwrapped, wrapped
+from .common import WordHashes, ascii_lower_words, batches, bound_arrow_batches, broadcast_if_small, picked, returned_memory, scramble, shingle_set, stage, text_of, unwrapped, wrapped
 from .graph import components
 
 COORDS = 64
 MATCHES = 40
-#: Members of a list that a task compares with as many others at a time.
-BLOCK = 512
+#: Members of a list that a task compares with as many others at a time, and shingles that they hold together, about.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+#: Cells of the matrix in which a block's common shingles are counted, a slice of the shingles at a time.
+CELLS = 1 << 22
+#: Sets that a task remembers to have signed; past it a copy is signed again.
+SIGNED_SETS = 1 << 15
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.list_(pa.int64()))])
 _SETS = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("members", pa.list_(pa.int64()))])
@@ -83,10 +87,13 @@ def signed(docs: DataFrame, words: int, coords: int, id_col: str = "doc_id", tex
                         continue
                     digest = hashlib.blake2b(members.tobytes(), digest_size=16).digest()
                     fresh = digest not in met
+                    if fresh and len(met) >= SIGNED_SETS:
+                        met.clear()
                     met.add(digest)
                     yield doc_id, tkey, len(members), digest, signer.sign(members) if fresh else None
 
-        yield from batches(_SIGNED, rows())
+        with returned_memory():
+            yield from batches(_SIGNED, rows())
 
     raw = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("tkey"), text_of().alias("text"))
     return raw.mapInArrow(work, "doc_id long, tkey long, n long, digest binary, sig array<long>")
@@ -113,7 +120,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, te
                     members = shingle_set(hashes.of(ascii_lower_words(text)), words)
                     yield digest, len(members), members.view(np.int64)
 
-        yield from batches(_SETS, rows(), 256)
+        with returned_memory():
+            yield from batches(_SETS, rows(), 256)
 
     raw = picked(docs, d_id=id_col, text=text_col).select(F.col("d_id").cast("long"), F.xxhash64(text_of()).alias("d_key"), text_of().alias("text"))
     met = raw.join(broadcast_if_small(wanted), F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_key") == F.col("tkey")))
@@ -150,8 +158,9 @@ def links(docs: DataFrame, base: DataFrame, words: int, percent: int, coords: in
     labels = components(edges)
     # second round: what lists still hold of different components
     open_lists = posted.join(labels, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", F.coalesce("label", "digest").alias("label"))
-    several = open_lists.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m")).filter("l <> h")
-    lists = open_lists.join(stage(several.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("cuts")), "lists"), "key")
+    several = open_lists.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m"), F.sum("n").alias("held")).filter("l <> h")
+    cuts = F.greatest(F.ceil(F.col("m") / BLOCK), F.least(F.ceil(F.col("held") / BLOCK_SHINGLES), F.col("m"))).cast("int")
+    lists = open_lists.join(stage(several.select("key", cuts.alias("cuts")), "lists"), "key")
     more = _confirmed(merged_lists(lists, sets, matches, percent), sets, matches, percent).checkpoint()
     if more.isEmpty():
         return labels
@@ -163,16 +172,24 @@ _PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _linked(sets: list[np.ndarray], sizes: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
-    """Whether members ``low`` and ``high`` of a block reach the similarity: common shingles as one matrix product."""
-    flat = np.concatenate(sets)
-    names, counts = np.unique(flat, return_counts=True)
-    names = names[counts > 1]  # a shingle that one member has is common to no pair
-    place = np.searchsorted(names, flat)
-    place[place == len(names)] = 0
-    known = (names[place] == flat) if len(names) else np.zeros(len(flat), bool)
-    has = np.zeros((len(sets), max(1, len(names))), np.float32)
-    has[np.repeat(np.arange(len(sets)), [len(m) for m in sets])[known], place[known]] = 1
-    common = (has[low] @ has[high].T).astype(np.int64)  # whole numbers, so that a pair right at the threshold isn't rounded away
+    """Whether members ``low`` and ``high`` of a block reach the similarity: common shingles by matrix products, each over a slice
+    of the shingles, so that memory is that of the sets and of ``CELLS`` numbers however long the texts are."""
+    members = np.unique(np.concatenate([low, high]))
+    flat = np.concatenate([sets[m] for m in members])
+    owner = np.repeat(np.arange(len(members)), [len(sets[m]) for m in members])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    again = np.concatenate([[False], flat[1:] == flat[:-1]])
+    shared = again | np.concatenate([again[1:], [False]])  # a shingle that one member has is common to no pair
+    name, owner = np.cumsum(~again[shared]) - 1, owner[shared]
+    rows, columns = np.searchsorted(members, low), np.searchsorted(members, high)
+    common = np.zeros((len(low), len(high)), np.int64)
+    width = max(1, CELLS // len(members))
+    for start in range(0, int(name[-1]) + 1 if len(name) else 0, width):
+        a, b = np.searchsorted(name, [start, start + width])
+        has = np.zeros((len(members), int(name[b - 1]) + 1 - start), np.float32)
+        has[owner[a:b], name[a:b] - start] = 1
+        common += (has[rows] @ has[columns].T).astype(np.int64)  # whole numbers below 2**24: none is rounded
     return common * 100 >= (sizes[low][:, None] + sizes[high][None, :] - common) * percent
 
 
@@ -192,6 +209,8 @@ def _tree(rows: list[tuple], matches: int, percent: int) -> Iterator[tuple]:
     ok &= hits >= matches
     if not ok.any():
         return
+    left, right = ok.any(axis=1), ok.any(axis=0)
+    low, high, ok = low[left], high[right], ok[left][:, right]
     ok &= _linked([r[8] for r in rows], sizes, low, high, percent)
     owner = list(range(label.max() + 1))
 
@@ -233,7 +252,8 @@ def merged_lists(lists: DataFrame, sets: DataFrame, matches: int, percent: int)
             if held:
                 yield from _tree(held, matches, percent)
 
-        yield from batches(_PAIR, pairs(), 8192)
+        with returned_memory():
+            yield from batches(_PAIR, pairs(), 8192)
 
     return sorted_rows.mapInArrow(work, "a binary, b binary").distinct()
 

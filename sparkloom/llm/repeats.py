@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, ascii_lower_words, batches, bound_arrow_batches, broadcast_if_small, ngram_hashes, picked, shared_dir, stage, text_of
+from .common import WordHashes, ascii_lower_words, batches, bound_arrow_batches, broadcast_if_small, ngram_hashes, picked, returned_memory, shared_dir, stage, text_of
 
 LENGTH, GRAM = 50, 6
 
@@ -119,7 +119,8 @@ def _contexts(docs: DataFrame, entries: DataFrame, length: int, id_col: str, tex
                         starts = np.arange(w["pos"] - w["left"], w["pos"] + w["right"] - length + 1)
                         yield w["gram"], w["context"], w["own"], w["left"], runs.of(starts, starts + length).view(np.int64)
 
-        yield from batches(_CONTEXT, rows(), 4096)
+        with returned_memory():
+            yield from batches(_CONTEXT, rows(), 4096)
 
     by_doc = entries.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("gram", "context", "pos", "left", "right", "own")).alias("wanted")).withColumnsRenamed({"doc_id": "w_id", "tkey": "w_key"})
     keys = entries.select(F.col("doc_id").alias("k_id"), F.col("tkey").alias("k_key")).distinct()

@@ -176,7 +176,7 @@ def test_bpe_round_trip_and_empty(edge, empty):
 def test_bpe_pieces_of_any_kind(tokenizer):
     vocab = bpe.vocabulary(queries.tokenizer_path())
     words = [" the", "the", " and", "ing", "x" * 9]
-    coder = bpe.Encoder(vocab, bpe.Lexicon(bpe.build_lexicon({w.encode(): vocab.merge(w.encode()) for w in words})), unseen=64)
+    coder = bpe.Encoder(vocab, bpe.Lexicon(bpe.build_lexicon({w.encode(): vocab.merge(w.encode()) for w in words})), room=4_000)
     rng = np.random.default_rng(2)
     pool = list("ab Z9\n\t '.,") + ["é", "漢", "𝄞", "\x85", "\x1c", " ", "<|endoftext|>", " the", "'ll", "͸"]
     for _ in range(1500):
