@@ -1,11 +1,17 @@
 """Retrieval: BM25, exact cosine neighbours, fusion, reranking, cuts, citations and context packing.
 
 All operators take many queries at once, as rows of (qid, ...), and rank with ``score desc, id asc``.
+
+What several steps read (tokens, postings, hits) is written once.  Joins with such a table are broadcast or shuffled by Spark's
+threshold on its bytes.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import text as X
-from sparkloom.functions.joins import small_side
+from sparkloom.sources.tables import written
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"dense": 1.0, "content": 0.8, "title": 0.5}
@@ -35,60 +41,105 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(X.tokens(F.col("query")))).alias("term"))
 
 
+@dataclass
+class TextIndex:
+    """The postings of some fields, how many chunks have a term, and the collection's statistics.
+
+    ``postings``: field, term, id, tf, dl, keep; ``frequencies``: field, term, df; ``chunks`` and ``lengths``: number of chunks, and
+    the mean length of each field."""
+
+    postings: DataFrame
+    frequencies: DataFrame
+    chunks: int
+    lengths: dict[str, float]
+
+
+def text_index(chunks: DataFrame, fields: tuple[str, ...] = ("content", "title"), where: Column | None = None, terms: DataFrame | None = None) -> TextIndex:
+    """Index the chunks: texts are cut into tokens once.
+
+    Statistics are those of the whole collection.  ``where`` marks the chunks that a search may find; with ``terms(term)`` the
+    postings of other terms are left out."""
+    keep = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    cut = chunks.select("id", keep.alias("keep"), *[X.tokens(F.col(f)).alias(f) for f in fields])
+    tokens = written(cut.select("id", "keep", *fields, *[F.size(f).alias(f"{f}_size") for f in fields]), "tokens")
+    told = tokens.agg(F.count("*").alias("n"), *[F.avg(f"{f}_size").alias(f) for f in fields]).first()
+    rows = _union([tokens.select(F.lit(f).alias("field"), "id", "keep", F.col(f"{f}_size").alias("dl"), F.explode(f).alias("term")) for f in fields])
+    if terms is not None:
+        rows = rows.join(written(terms.select("term").distinct(), "terms"), "term", "left_semi")
+    counted = rows.groupBy("field", "term", "id").agg(F.count("*").alias("tf"), F.any_value("dl").alias("dl"), F.any_value("keep").alias("keep"))
+    postings = written(counted, "postings")
+    frequencies = written(postings.groupBy("field", "term").agg(F.count("*").alias("df")), "frequencies")
+    return TextIndex(postings, frequencies, told["n"], {f: told[f] or 0.0 for f in fields})
+
+
+def bm25_leg(index: TextIndex, terms: DataFrame, field: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """qid, id, score, rank by one field of an index, for ``terms(qid, term)``."""
+    df = F.col("df")
+    idf = F.log(1 + (F.lit(index.chunks) - df + 0.5) / (df + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.lengths[field])))
+    of_field = lambda table: table.filter(F.col("field") == field).drop("field")
+    met = of_field(index.postings).filter("keep").join(of_field(index.frequencies), "term").join(terms, "term")
+    return ranked(met.groupBy("qid", "id").agg(F.sum(part).alias("score")), k)
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, field: str, k: int, where: Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """qid, id, score, rank.  Statistics are those of the whole collection; ``where`` narrows the hits alone.
-
-    Tokens that no query asks for are dropped inside the scan's stage, so the shuffle carries matching terms only."""
-    terms = query_terms(queries)
-    wanted = small_side(terms.select("term").distinct())
-    keep = F.lit(True) if where is None else where
-    rows = chunks.select("id", X.tokens(F.col(field)).alias("t"), keep.alias("keep")).withColumn("dl", F.size("t"))
-    total = chunks.select(F.size(X.tokens(F.col(field))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    found = rows.select("id", "dl", "keep", F.explode("t").alias("term")).join(wanted, "term", "left_semi")
-    tf = found.groupBy("id", "term").agg(F.count("*").alias("tf"), F.any_value("dl").alias("dl"), F.any_value("keep").alias("keep"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # one row a query term
-    weighted = tf.filter("keep").join(small_side(df), "term").crossJoin(F.broadcast(total))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = weighted.select("id", "term", part.alias("part")).join(small_side(terms), "term").groupBy("qid", "id").agg(F.sum("part").alias("score"))
-    return ranked(scores, k)
+    """qid, id, score, rank.  Statistics are those of the whole collection; ``where`` narrows the hits alone."""
+    terms = written(query_terms(queries), "asked")
+    return bm25_leg(text_index(chunks, (field,), where, terms), terms, field, k, k1, b)
+
+
+def _numbers(vectors: DataFrame, key: str) -> DataFrame:
+    """key, embedding (array<double>) of the vectors that have a direction: none that is null, empty or zero, or has a component that is null
+    or not finite."""
+    v = F.col("embedding")
+    rows = vectors.select(key, v.cast("array<double>").alias("embedding"))
+    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return rows.filter(F.coalesce(sound, F.lit(False)))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """qid, id, score, rank by exact cosine in double precision; zero vectors take no part.
+    """qid, id, score, rank by exact cosine in double precision.
 
-    ``vectors`` has (id, embedding), ``queries`` (qid, embedding).  A block of queries goes to every task; a batch of rows is
-    one matrix product and hands on its own best ``k`` for each query."""
+    ``vectors`` has (id, embedding), ``queries`` (qid, embedding); vectors of different lengths don't meet, and a qid that rows repeat
+    asks with its smallest vector.  A block of queries goes to every task; a batch of rows is a matrix product for each part
+    of the block, and hands on its own best ``k`` for each query."""
     spark = vectors.sparkSession
+    rows = _numbers(vectors.select(F.col("id").cast("string").alias("id"), "embedding"), "id")
+    asked = _numbers(queries, "qid").groupBy("qid").agg(F.min("embedding").alias("embedding"))
     out, last = None, None
     while True:
-        ahead = queries if last is None else queries.filter(F.col("qid") > last)
-        block = ahead.orderBy("qid").limit(QUERY_BLOCK).select("qid", F.col("embedding").cast("array<double>").alias("embedding")).collect()
-        block_rows = [r for r in block if r["embedding"] and any(r["embedding"])]
-        if block_rows:
-            shared = spark.sparkContext.broadcast(([r["qid"] for r in block_rows], np.array([r["embedding"] for r in block_rows])))
-            part = ranked(vectors.select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding IS NOT NULL").mapInPandas(_nearest(shared, k), "qid long, id string, score double"), k)
+        ahead = asked if last is None else asked.filter(F.col("qid") > last)
+        block = ahead.orderBy("qid").limit(QUERY_BLOCK).collect()
+        if block:
+            shared = spark.sparkContext.broadcast([(r["qid"], np.array(r["embedding"])) for r in block])
+            part = ranked(rows.mapInPandas(_nearest(shared, k), "qid long, id string, score double"), k)
             out = part if out is None else out.unionByName(part)
         if len(block) < QUERY_BLOCK:
             return spark.createDataFrame([], "qid long, id string, score double, rank int") if out is None else out
         last = block[-1]["qid"]
 
 
-def _nearest(shared, k: int):
+def _nearest(shared, k: int, at_a_time: int = 256):
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, q = shared.value
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
-        for part in parts:
-            x = np.stack(part["embedding"].to_numpy()) if len(part) else np.zeros((0, q.shape[1]))
-            norms = np.linalg.norm(x, axis=1)
-            x, ids = x[norms > 0] / norms[norms > 0, None], part["id"].to_numpy()[norms > 0]
-            if not len(x):
-                continue
-            near = q @ x.T
-            take = min(k, len(ids))
-            cut = np.partition(near, len(ids) - take, axis=1)[:, len(ids) - take]
-            who, what = np.nonzero(near >= cut[:, None] - 1e-12)
-            yield pd.DataFrame({"qid": np.array(qids)[who], "id": ids[what], "score": near[who, what]})
+        asked: dict[int, tuple[list, list]] = {}
+        for qid, vector in shared.value:
+            held = asked.setdefault(len(vector), ([], []))
+            held[0].append(qid)
+            held[1].append(vector / np.linalg.norm(vector))
+        by_length = {n: (np.array(qids), np.stack(vectors)) for n, (qids, vectors) in asked.items()}
+        for part in filter(len, parts):
+            for n, same in part.groupby(part["embedding"].map(len)):
+                if n not in by_length:
+                    continue
+                qids, q = by_length[n]
+                x, ids = np.stack(same["embedding"].to_numpy()), same["id"].to_numpy()
+                x = x / np.linalg.norm(x, axis=1)[:, None]
+                take = min(k, len(ids))
+                for at in range(0, len(qids), at_a_time):
+                    near = q[at : at + at_a_time] @ x.T
+                    cut = np.partition(near, len(ids) - take, axis=1)[:, len(ids) - take]
+                    who, what = np.nonzero(near >= cut[:, None] - 2e-9)  # all that can tie with the last one at nine decimals
+                    yield pd.DataFrame({"qid": qids[at + who], "id": ids[what], "score": near[who, what]})
 
     return work
 
@@ -127,19 +178,43 @@ def mode_of(mode: Column) -> Column:
 def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = 10, where: Column | None = None, rrf: bool = False) -> DataFrame:
     """qid, id, score, rank.  ``queries`` has (qid, query, embedding), ``vectors`` (id, embedding).  Each leg of a hybrid search is cut to
     ``k`` first.  Sparse search looks at contents alone, a hybrid one at titles too."""
-    asked = queries.select("qid", "query")
-    if mode not in ("dense", "sparse"):
-        mode = "hybrid"
-    in_scope = vectors if where is None else vectors.join(chunks.filter(where).select("id"), "id", "left_semi")
-    if mode == "sparse":
-        return bm25(chunks, asked, "content", k, where)
-    near = dense(in_scope, queries.select("qid", "embedding"), k)
-    if mode == "dense":
-        return near
-    legs = {"dense": near, "content": bm25(chunks, asked, "content", k, where), "title": bm25(chunks, asked, "title", k, where)}
+    mode = mode if mode in ("dense", "sparse") else "hybrid"
+    fields = {"dense": (), "sparse": ("content",), "hybrid": ("content", "title")}[mode]
+    legs: dict[str, DataFrame] = {}
+    if mode != "sparse":
+        in_scope = vectors if where is None else vectors.join(chunks.filter(where).select("id"), "id", "left_semi")
+        legs["dense"] = dense(in_scope, queries.select("qid", "embedding"), k)
+    if fields:
+        terms = written(query_terms(queries.select("qid", "query")), "asked")
+        index = text_index(chunks, fields, where, terms)
+        legs |= {f: bm25_leg(index, terms, f, k) for f in fields}
+    if mode != "hybrid":
+        return next(iter(legs.values()))
     return fuse_rrf(legs, k) if rrf else fuse_weighted(legs, k)
 
 
+def hit_rows(hits: DataFrame, chunks: DataFrame, mode: str = "hybrid") -> DataFrame:
+    """Hits with their chunks' fields, missing ones as '', 0 or {}; a search by one leg says which leg's score it is."""
+    defaults = {"string": "", "int": 0, "bigint": 0}
+    fields = [F.coalesce(F.col(n), F.lit("{}" if n == "metadata" else defaults[t])).alias(n) for n, t in chunks.dtypes if n not in ("id", "dense_vector")]
+    met = chunks.select("id", *fields).join(written(hits.select("qid", "id", "rank", "score"), "hits"), "id")
+    leg = lambda name: (F.col("score") if mode == name else F.lit(None).cast("double")).alias(f"{name}_score")
+    return met.select("qid", "rank", *[c for c in chunks.columns if c != "dense_vector"], "score", leg("dense"), leg("sparse"))
+
+
+def shown_hits(rows: DataFrame) -> DataFrame:
+    """What a service tells of a hit."""
+    return rows.select("qid", "rank", "id", "doc_name", "chapter", "content", "score")
+
+
+def responses(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """qid, total, hits: a record for every query of ``asked(qid)``, with no hits too."""
+    hit = F.struct("rank", "id", "doc_name", "chapter", "content", "score")
+    listed = rows.groupBy("qid").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    empty = F.array().cast(listed.schema["hits"].dataType)
+    return asked.select("qid").distinct().join(listed, "qid", "left").select("qid", F.coalesce(F.size("hits"), F.lit(0)).alias("total"), F.coalesce("hits", empty).alias("hits"))
+
+
 def overlap_score(query: Column, document: Column) -> Column:
     """A stand-in reranker: the share of query tokens in the document, through a sigmoid."""
     asked = F.array_distinct(X.tokens(query))
@@ -147,14 +222,82 @@ def overlap_score(query: Column, document: Column) -> Column:
     return 1 / (1 + F.exp(-(4 * share - 2)))
 
 
+def scorer(model) -> object:
+    """A reranker from a batched model: ``model(queries, documents)`` gives raw scores for two lists of texts; a sigmoid puts them
+    between 0 and 1.  For ``rerank``; a row whose text the model fails on has no score."""
+
+    @F.pandas_udf("double")
+    def run(queries: pd.Series, documents: pd.Series) -> pd.Series:
+        try:
+            raw = np.asarray(model(queries.tolist(), documents.tolist()), float)
+        except Exception:  # a model may fail in any way; each row is then tried by itself
+            raw = np.array([_or_nan(model, q, d) for q, d in zip(queries, documents, strict=True)])
+        return pd.Series(1 / (1 + np.exp(-raw))).where(~np.isnan(raw), None)
+
+    return lambda query, document: run(query, document)
+
+
+def _or_nan(model, query: str, document: str) -> float:
+    try:
+        return float(model([query], [document])[0])
+    except Exception:  # told as a missing score
+        return float("nan")
+
+
+def embedder(model) -> object:
+    """A column function from a batched model: ``model(texts)`` gives a vector for each text of a batch; an empty text has none."""
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        asked = texts.fillna("")
+        made = iter(model([t for t in asked if t]))
+        return pd.Series([[float(x) for x in next(made)] if t else None for t in asked], dtype=object)
+
+    return run
+
+
+def hashed_vector(texts: list[str], width: int = 64) -> list[list[float]]:
+    """A stand-in embedder: counts of tokens by their CRC-32, of unit length."""
+    out = []
+    for text in texts:
+        counts = np.zeros(width)
+        for token in re.findall(r"[^\W_]+", text.lower()):
+            counts[zlib.crc32(token.encode()) % width] += 1
+        norm = np.linalg.norm(counts)
+        out.append((counts / norm if norm else counts).tolist())
+    return out
+
+
+def embedding_inputs(value: Column) -> Column:
+    """array<string> of a request's input as JSON: a text, or a list of texts; token numbers have no text, so that a list of them is
+    one empty text and each list in a list is one."""
+    some = F.try_parse_json(value)
+    listed = F.try_variant_get(some, "$", "array<variant>")
+    texts = F.transform(listed, lambda x: F.when(F.schema_of_variant(x) == "STRING", x.cast("string")).otherwise(""))
+    numbers = F.exists(listed, lambda x: ~F.schema_of_variant(x).isin("STRING", "VOID") & ~F.startswith(F.schema_of_variant(x), F.lit("ARRAY")))
+    return F.when(listed.isNull(), F.array(F.coalesce(F.try_variant_get(some, "$", "string"), value))).when(numbers, F.array(F.lit(""))).otherwise(texts)
+
+
+def rerank_records(query: Column, documents: Column, most: Column, score=None) -> Column:
+    """array<struct<index, document, score>>, the best first, ``most`` of them at most (null: all); ties by index."""
+    rate = score or overlap_score
+    scored = F.transform(documents, lambda d, i: F.struct((-F.round(rate(query, d), 9)).alias("o"), i.alias("index"), d.alias("document"), F.round(rate(query, d), 9).alias("score")))
+    best = F.transform(F.array_sort(scored), lambda r: F.struct(r["index"].alias("index"), r["document"].alias("document"), r["score"].alias("score")))
+    return F.slice(best, F.lit(1), F.greatest(F.coalesce(most, F.size(documents)), F.lit(0)))
+
+
 def rerank(hits: DataFrame, chunks: DataFrame, queries: DataFrame, score=overlap_score) -> DataFrame:
-    """Hits with the reranker's score of chapter and content, in its order; equal scores keep the order they had."""
-    texts = chunks.select("id", "chapter", "content")
+    """Hits with the reranker's score of chapter and content, in its order; equal scores keep the order they had.
+
+    Where the reranker gives no score for one of a query's hits, that query keeps the scores and the order it had."""
     body = F.when(F.coalesce("chapter", F.lit("")) != "", F.concat(F.lit("【"), F.col("chapter"), F.lit("】\n"), F.coalesce("content", F.lit("")))).otherwise(F.coalesce("content", F.lit("")))
-    joined = texts.join(small_side(hits), "id").join(small_side(queries.select("qid", "query")), "qid")
-    rescored = joined.select("qid", "id", F.col("rank").alias("before"), score(F.col("query"), body).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "before")
-    return rescored.withColumn("rank", F.row_number().over(order)).drop("before")
+    asked = written(hits.select("qid", "id", "rank", F.col("score").alias("old")).join(queries.select("qid", "query"), "qid"), "candidates")
+    joined = chunks.select("id", body.alias("body")).join(asked, "id")
+    rescored = joined.select("qid", "id", F.col("rank").alias("before"), "old", score(F.col("query"), F.col("body")).alias("new"))
+    failed = F.max(F.col("new").isNull()).over(Window.partitionBy("qid"))
+    decided = rescored.withColumn("failed", failed).withColumn("score", F.when(F.col("failed"), F.col("old")).otherwise(F.col("new")))
+    order = Window.partitionBy("qid").orderBy(F.when(F.col("failed"), F.lit(0.0)).otherwise(-F.round("new", 9)), "before")
+    return decided.withColumn("rank", F.row_number().over(order)).select("qid", "id", "score", "rank")
 
 
 def overfetch(k: int) -> int:
@@ -179,7 +322,7 @@ def relevant(hits: DataFrame, ratio: float = 0.85, most: int = 3, weak: float =
 
 def citations(hits: DataFrame, chunks: DataFrame, preview: int = 100) -> DataFrame:
     """qid, index from 1, doc_name, chapter, content_preview, score."""
-    met = chunks.select("id", "doc_name", "chapter", "content").join(small_side(hits), "id")
+    met = chunks.select("id", "doc_name", "chapter", "content").join(written(hits.select("qid", "id", "rank", "score"), "hits"), "id")
     text = F.when(F.length("content") > preview, F.concat(F.substring("content", 1, preview), F.lit("..."))).otherwise(F.col("content"))
     return met.select("qid", F.col("rank").alias("index"), "doc_name", "chapter", text.alias("content_preview"), "score")
 
@@ -187,7 +330,7 @@ def citations(hits: DataFrame, chunks: DataFrame, preview: int = 100) -> DataFra
 def packed(hits: DataFrame, chunks: DataFrame, style: str = "generic", budget: int = 6000) -> DataFrame:
     """qid, context: entries with headers until the character budget.  The first that doesn't fit is shortened if over
     100 characters of it would remain, and nothing follows it."""
-    met = chunks.select("id", "doc_name", "chapter", "content").join(small_side(hits.select("qid", "id", "rank")), "id")
+    met = chunks.select("id", "doc_name", "chapter", "content").join(written(hits.select("qid", "id", "rank"), "hits"), "id")
     number, has = F.col("rank").cast("string"), F.coalesce("chapter", F.lit("")) != ""
     if style == "observation":
         head = F.concat(F.lit("【"), number, F.lit("†"), F.when(has, F.concat("chapter", F.lit("†"))).otherwise(""), "doc_name", F.lit("】"))

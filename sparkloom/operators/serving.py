@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.joins import small_side
 
 # Status of each error code; any other is 500.
 STATUS = {
@@ -14,17 +13,26 @@ STATUS = {
 }
 
 
-def resolve_model(requests: DataFrame, models: DataFrame) -> DataFrame:
-    """requests with ``resolved``: the exact name, else the same name trimmed and in lower case, else for null the first model."""
+def resolve_model(requests: DataFrame, models: DataFrame, unknown_to_first: bool = False) -> DataFrame:
+    """requests with ``resolved``: the exact name, else the same name trimmed and in lower case, else for null the first model.
+
+    An unknown name resolves to null, or with ``unknown_to_first`` to the first model."""
     key = lambda c: F.lower(F.trim(c))
     first = models.agg(F.min_by("name", "ord").alias("__first"))
-    exact = small_side(models.select(F.col("name").alias("__exact")))
-    loose = small_side(models.groupBy(key(F.col("name")).alias("__key")).agg(F.max_by("name", "ord").alias("__loose")))
+    exact = models.select(F.col("name").alias("__exact"))
+    loose = models.groupBy(key(F.col("name")).alias("__key")).agg(F.max_by("name", "ord").alias("__loose"))
     met = requests.join(exact, F.col("model") == F.col("__exact"), "left").join(loose, key(F.col("model")) == F.col("__key"), "left").crossJoin(F.broadcast(first))
-    found = F.when(F.col("model").isNull(), F.col("__first")).otherwise(F.coalesce("__exact", "__loose"))
+    other = F.col("__first") if unknown_to_first else F.lit(None).cast("string")
+    found = F.when(F.col("model").isNull(), F.col("__first")).otherwise(F.coalesce("__exact", "__loose", other))
     return met.withColumn("resolved", found).drop("__exact", "__key", "__loose", "__first")
 
 
+def required_model(requests: DataFrame, models: DataFrame) -> DataFrame:
+    """requests with ``known``, the model of exactly that name; null where there is none, with ``status`` 404 instead of 200."""
+    met = requests.join(models.select(F.col("name").alias("known")), F.col("model") == F.col("known"), "left")
+    return met.withColumn("status", F.when(F.col("known").isNull(), 404).otherwise(200))
+
+
 def model_listing(llms: DataFrame, embeddings: DataFrame, rerankers: DataFrame) -> DataFrame:
     """All models of the three kinds, as a bag."""
     tag = lambda df, kind: df.select("name", F.lit(kind).alias("kind"))

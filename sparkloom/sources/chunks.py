@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom import schemas
 from sparkloom.functions import text as X
+from sparkloom.sources.tables import written
 
 WINDOW, STEP = 512, 448
-#: Rows that a chapter scan takes at most, before it sorts.
-SCAN_CAP = 10_000
 
 
 def from_documents(docs: DataFrame, window: int = WINDOW, step: int = STEP) -> DataFrame:
-    """One row a chunk.  Chunks overlap by ``window - step`` characters; merging them gives the text back."""
+    """One row a chunk.  Chunks overlap by ``window - step`` characters; merging them gives the text back.
+
+    A text is cut once, into pieces of ``step`` characters that don't overlap; a chunk is a piece and the head of the next."""
     overlap = window - step
+    if not 0 <= overlap <= step:
+        raise ValueError("a chunk reaches into the next one at most")
     n = F.length("text")
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}+"), F.lit(0))
     count = F.greatest(F.lit(1), F.ceil((n - overlap) / step)).cast("int")
-    rows = docs.filter("text IS NOT NULL").select("doc_id", "lang", "source", "text", n.alias("n"), count.alias("chunks"), F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
+    pairs = F.arrays_zip(pieces.alias("a"), F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1))).alias("b"))
+    rows = docs.filter("text IS NOT NULL").select("doc_id", "lang", "source", n.alias("n"), count.alias("chunks"), F.posexplode_outer(pairs).alias("pos", "pair"))
+    rows = rows.withColumn("i", F.coalesce("pos", F.lit(0))).filter(F.col("i") < F.col("chunks"))
     start = F.col("i") * step
     chapter = F.concat(F.lit("part "), F.floor(F.col("i") / 4).cast("string"))
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
@@ -30,7 +38,7 @@ def from_documents(docs: DataFrame, window: int = WINDOW, step: int = STEP) -> D
         chapter.alias("chapter"),
         F.concat_ws("/", "lang", "source", chapter).alias("chapter_path"),
         F.col("i").alias("chunk_idx"),
-        F.substring("text", F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos")).alias("content"),
+        F.concat(F.coalesce("pair.a", F.lit("")), F.left(F.coalesce("pair.b", F.lit("")), F.lit(overlap))).alias("content"),
         X.title(name, chapter).alias("title"),
         "start_pos",
         "end_pos",
@@ -50,10 +58,19 @@ def predicate(doc_name: str | None = None, chapter_prefix: str | None = None) ->
     return out
 
 
-def chapter_scan(chunks: DataFrame, doc_name: str, prefix: str, fields: list[str] | None = None, cap: int = SCAN_CAP) -> DataFrame:
-    """Chunks of a document below a chapter: at most ``cap`` of them, then by index."""
+def chapter_scan(chunks: DataFrame, doc_name: str, prefix: str | None, fields: list[str] | None = None, cap: int | None = None) -> DataFrame:
+    """Chunks of a document below a chapter by index, all of them or the first ``cap``."""
     found = chunks.filter(predicate(doc_name, prefix)).select(*(sorted({*fields, "chunk_idx"}) if fields else chunks.columns))
-    return found.limit(cap).orderBy(F.coalesce("chunk_idx", F.lit(0)))
+    in_order = found.orderBy(F.coalesce("chunk_idx", F.lit(0)))
+    return in_order if cap is None else in_order.limit(cap)
+
+
+def chapter(chunks: DataFrame, doc_name: str, prefix: str | None, ignore_overlap: bool = False) -> DataFrame:
+    """One record of a document's chapter: doc_name, chapter_path, text, n_chunks; an empty text and 0 where there is no chunk."""
+    found = merged(chunks.filter(predicate(doc_name, prefix)), ["doc_name"], ignore_overlap)
+    asked = chunks.sparkSession.createDataFrame([(doc_name, prefix or "")], "doc_name string, chapter_path string")
+    met = asked.join(found, "doc_name", "left")
+    return met.select("doc_name", "chapter_path", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
 
 def merged(chunks: DataFrame, by: list[str], ignore_overlap: bool = False) -> DataFrame:
@@ -99,30 +116,42 @@ class ChunkStore:
         self.spark.sql(f"DROP TABLE {self._name(collection)}")
         return True
 
-    def insert(self, collection: str, chunks: DataFrame, vectors: DataFrame | None = None) -> list[str]:
-        """Append chunks with their titles; with vectors there must be one for each chunk.  Returns the ids."""
+    def insert(self, collection: str, chunks: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+        """Append chunks with their titles and vectors (id, embedding); with vectors there must be one for each chunk.  Returns the ids as
+        a table.  The rows are computed once."""
         self.get(collection)
+        named = chunks.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schemas.CHUNK if f.name not in chunks.columns})
+        named = named.withColumn("title", X.title(F.col("doc_name"), F.col("chapter"))).withColumn("metadata", F.coalesce("metadata", F.lit("{}")))
         if vectors is not None:
-            told = chunks.select("id").join(vectors.select("id", F.lit(1).alias("v")), "id", "full").agg(
-                F.count("*").alias("n"), F.count("v").alias("v")
-            ).first()
-            if told["n"] != told["v"] or told["n"] != chunks.count():
-                raise ValueError("chunks and vectors differ in length")
-        rows = chunks.withColumn("title", X.title(F.col("doc_name"), F.col("chapter"))).select(*[F.col(f.name).cast(f.dataType) for f in schemas.CHUNK])
-        rows.write.mode("append").format("parquet").insertInto(self._name(collection))
-        return [r["id"] for r in chunks.select("id").collect()]  # the caller's own ids
+            given = vectors.select(F.col("id").alias("vector_id"), F.col("embedding").alias("given"))
+            named = named.join(given, F.col("id") == F.col("vector_id"), "full").withColumn("dense_vector", F.col("given"))
+        rows = named.select(*[F.col(f.name).cast(f.dataType) for f in schemas.CHUNK], (F.col("vector_id").isNotNull() if vectors is not None else F.lit(True)).alias("has_vector"))
+        kept = written(rows, "insert")
+        if vectors is not None and not kept.filter("id IS NULL OR NOT has_vector").isEmpty():
+            raise ValueError("chunks and vectors differ in length")
+        kept.drop("has_vector").write.mode("append").format("parquet").insertInto(self._name(collection))
+        return kept.select("id")
 
     def delete_document(self, collection: str, doc_id: int) -> int:
-        """Rewrite the collection without a document's chunks; returns how many went."""
+        """Take a document's chunks out; returns how many went.
+
+        What stays is written to a new folder first, and then the table points there: a crash in between leaves the table as it was."""
         rows, name = self.get(collection), self._name(collection)
         gone = rows.filter(F.col("doc_id") == doc_id).count()
         if gone:
-            spare = f"{name}_next"
-            rows.filter(~F.col("doc_id").eqNullSafe(doc_id)).write.mode("overwrite").format("parquet").saveAsTable(spare)
-            self.spark.sql(f"DROP TABLE {name}")
-            self.spark.sql(f"ALTER TABLE {spare} RENAME TO {name}")
+            folder = self._location(name)
+            following = f"{folder.rstrip('/').rpartition('-v-')[0] or folder.rstrip('/')}-v-{uuid.uuid4().hex}"
+            rows.filter(~F.col("doc_id").eqNullSafe(doc_id)).write.parquet(following)
+            self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{following}'")
+            self.spark.catalog.refreshTable(name)
+            old = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
         return gone
 
+    def _location(self, name: str) -> str:
+        told = self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'").first()
+        return told["data_type"]
+
     def stats(self) -> DataFrame:
         """collection, n_chunks of every collection."""
         parts = [self.get(c).agg(F.count("*").alias("n_chunks")).select(F.lit(c).alias("collection"), "n_chunks") for c in self.names()]

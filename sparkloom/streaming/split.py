@@ -19,52 +19,48 @@ OPEN, CLOSE = "<think>", "</think>"
 OUT = "req_id long, seq long, field string, text string"
 
 
+def think_step(phase: str, text: str) -> tuple[str, str, list[tuple[str, str]]]:
+    """(phase, held, emitted) after the characters ``text``, which begin with what was held before.
+
+    A request is ``new`` until it is known whether it opens with a tag, then ``thought`` up to the closing tag, and ``answer``
+    afterwards; in ``bare`` the answer has not begun, so that line feeds are still dropped.  A thought keeps back a tag's length,
+    which a tag that is cut in two can't exceed."""
+    emitted: list[tuple[str, str]] = []
+    while text:
+        if phase == "new":
+            if OPEN.startswith(text) and text != OPEN:
+                break
+            opened = text.startswith(OPEN)
+            phase, text = ("thought", text[len(OPEN) :]) if opened else ("bare" if len(text) < len(OPEN) else "answer", text)
+        elif phase == "thought":
+            shut = text.find(CLOSE)
+            cut = max(0, len(text) - len(CLOSE)) if shut < 0 else shut
+            emitted += [("reasoning", text[:cut])] if cut else []
+            text = text[cut:]
+            if shut < 0:
+                break
+            phase, text = "bare", text[len(CLOSE) :]
+        else:
+            shown = text if phase == "answer" else text.lstrip("\n")
+            emitted += [("content", shown)] if shown else []
+            phase, text = "answer" if shown else phase, ""
+    return phase, text, emitted
+
+
 @dataclass
 class Thinking:
-    """Splits one stream into reasoning and content.
-
-    Phases: start (the opening tag may still come), inside, after.  Inside, as many characters as the closing tag has are held back.
-    ``open`` says that content has begun; until then line feeds at its front are dropped."""
+    """One request's place in ``think_step``."""
 
-    phase: str = "start"
+    phase: str = "new"
     held: str = ""
-    open: bool = False
 
     def feed(self, delta: str) -> list[tuple[str, str]]:
-        if not delta:
-            return []
-        self.held += delta
-        if self.phase == "start":
-            self._start()
-        out = self._inside() if self.phase == "inside" else []
-        return out + self._content() if self.phase == "after" else out
-
-    def _start(self) -> None:
-        if len(self.held) < len(OPEN) and OPEN.startswith(self.held):
-            return
-        if self.held.startswith(OPEN):
-            self.phase, self.held = "inside", self.held[len(OPEN) :]
-        else:
-            # a short first piece leaves the front to be trimmed, a long one doesn't
-            self.phase, self.open = "after", len(self.held) >= len(OPEN)
-
-    def _inside(self) -> list[tuple[str, str]]:
-        before, tag, rest = self.held.partition(CLOSE)
-        if tag:
-            self.phase, self.held = "after", rest.lstrip("\n")
-        else:
-            keep = min(len(CLOSE), len(self.held))
-            before, self.held = self.held[: len(self.held) - keep], self.held[len(self.held) - keep :]
-        return [("reasoning", before)] if before else []
-
-    def _content(self) -> list[tuple[str, str]]:
-        text = self.held if self.open else self.held.lstrip("\n")
-        self.held, self.open = "", self.open or bool(text)
-        return [("content", text)] if text else []
+        self.phase, self.held, emitted = think_step(self.phase, self.held + delta)
+        return emitted
 
     def flush(self) -> list[tuple[str, str]]:
-        text, self.held = self.held, ""
-        return [("reasoning" if self.phase == "inside" else "content", text)] if text else []
+        rest, self.held = self.held, ""
+        return [("reasoning" if self.phase == "thought" else "content", rest)] if rest else []
 
 
 @dataclass
@@ -116,40 +112,76 @@ def split_batch(deltas: DataFrame, make=Thinking) -> DataFrame:
     return deltas.groupBy("req_id").applyInPandas(work, OUT)
 
 
-class ThinkingProcessor(StatefulProcessor):
-    """The thinking splitter as a keyed streaming operator; deltas arrive by seq, and ``last`` marks a request's end."""
+class SplitProcessor(StatefulProcessor):
+    """A splitter as a keyed streaming operator; deltas arrive by seq, and ``last`` marks a request's end.
+
+    A splitter's kind gives ``state_schema``, ``begin`` from what was kept, and ``state_of`` what is to be kept."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("split", "phase string, held string, open boolean")
+        self.state = handle.getValueState("split", self.state_schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = self.state.get() if self.state.exists() else None
-        splitter = Thinking(*now) if now else Thinking()
+        splitter = self.begin(self.state.get() if self.state.exists() else None)
         deltas = pd.concat(list(rows)).sort_values("seq")
         ended = bool(deltas["last"].any())
         made = list(_rows(splitter, deltas, ended))
         if ended:
             self.state.clear()
         else:
-            self.state.update((splitter.phase, splitter.held, splitter.open))
+            self.state.update(self.state_of(splitter))
         yield _framed(key[0], made)
 
     def close(self) -> None:
         pass
 
 
-def split_stream(deltas: DataFrame) -> DataFrame:
+class ThinkingProcessor(SplitProcessor):
+    state_schema = "phase string, held string"
+
+    def begin(self, now):
+        return Thinking(*now) if now else Thinking()
+
+    def state_of(self, splitter) -> tuple:
+        return splitter.phase, splitter.held
+
+
+class StopProcessor(SplitProcessor):
+    state_schema = "held string, done boolean"
+
+    def __init__(self, words: tuple[str, ...]):
+        self.words = words
+
+    def begin(self, now):
+        return Stops(self.words, *now) if now else Stops(self.words)
+
+    def state_of(self, splitter) -> tuple:
+        return splitter.held, splitter.done
+
+
+def split_stream(deltas: DataFrame, processor: SplitProcessor | None = None) -> DataFrame:
     """A streaming frame (req_id, seq, delta, last) to req_id, seq, field, text."""
-    return deltas.groupBy("req_id").transformWithStateInPandas(ThinkingProcessor(), OUT, "Update", "None")
+    return deltas.groupBy("req_id").transformWithStateInPandas(processor or ThinkingProcessor(), OUT, "Update", "None")
+
+
+def stop_stream(deltas: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """A streaming frame (req_id, seq, delta, last), each request cut at its first stop word."""
+    return split_stream(deltas, StopProcessor(words))
 
 
-def blocks(events: DataFrame) -> DataFrame:
-    """req_id, block, field, text: runs of deltas of the same field as numbered blocks, in order."""
+def blocks(events: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """req_id, block, field, text: runs of deltas of the same field as numbered blocks, in order.
+
+    A request of ``requests(req_id)`` without any delta is one empty block of content.  A request's deltas are one sequence, so
+    the unit of work is a request, as long as its answer."""
     by = Window.partitionBy("req_id").orderBy("seq")
     new = F.coalesce((F.col("field") != F.lag("field").over(by)).cast("int"), F.lit(0))
     numbered = events.withColumn("new", new).withColumn("block", F.sum("new").over(by))
     piece = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    return numbered.groupBy("req_id", "block").agg(F.any_value("field").alias("field"), F.array_join(F.transform(piece, lambda x: x["text"]), "").alias("text"))
+    made = numbered.groupBy("req_id", "block").agg(F.any_value("field").alias("field"), F.array_join(F.transform(piece, lambda x: x["text"]), "").alias("text"))
+    if requests is None:
+        return made
+    silent = requests.select("req_id").distinct().join(events.select("req_id").distinct(), "req_id", "left_anti")
+    return made.unionByName(silent.select("req_id", F.lit(0).cast("long").alias("block"), F.lit("content").alias("field"), F.lit("").alias("text")))
 
 
 def deltas_of(cumulative: DataFrame) -> DataFrame:
@@ -160,12 +192,35 @@ def deltas_of(cumulative: DataFrame) -> DataFrame:
     return grown.select("req_id", "seq", F.substring("text", F.col("seen") + 1, F.length("text")).alias("delta"))
 
 
-def call_events(calls: DataFrame) -> DataFrame:
-    """req_id, call, step, event, payload: header, arguments and end of each call in ``calls array<struct<id, name, arguments>>``."""
+def call_events(calls: DataFrame, protocol: str = "blocks") -> DataFrame:
+    """req_id, call, step, event, payload of each call in ``calls array<struct<id, name, arguments>>``.
+
+    ``blocks`` tells a call in three events, start, delta and stop; ``chunks`` in two, the header and the arguments."""
     each = calls.select("req_id", F.posexplode("calls").alias("call", "c"))
-    steps = F.array(
-        F.struct(F.lit("start").alias("event"), F.to_json(F.struct("c.id", "c.name")).alias("payload")),
-        F.struct(F.lit("delta").alias("event"), F.col("c.arguments").alias("payload")),
-        F.struct(F.lit("stop").alias("event"), F.lit("").alias("payload")),
-    )
+    head, body = F.to_json(F.struct("c.id", "c.name")), F.col("c.arguments")
+    told = {"blocks": (("start", head), ("delta", body), ("stop", F.lit(""))), "chunks": (("header", head), ("arguments", body))}[protocol]
+    steps = F.array(*[F.struct(F.lit(event).alias("event"), payload.alias("payload")) for event, payload in told])
     return each.select("req_id", "call", F.posexplode(steps).alias("step", "e")).select("req_id", "call", "step", "e.event", "e.payload")
+
+
+#: Framings of event rows: names of the first, a delta's and the last event.
+FRAMINGS = {
+    "chunks": ("role", "delta", "done"),
+    "blocks": ("message_start", "content_block_delta", "message_stop"),
+    "knowledge": ("start", "delta", "end"),
+}
+
+
+def event_rows(deltas: DataFrame, framing: str) -> DataFrame:
+    """req_id, seq, event, payload: the rows of a server's event stream for split deltas (req_id, seq, field, text).
+
+    Every request has a first event and a last one with the number of its deltas; payloads are JSON.  Numbers come from the
+    deltas' order in their request."""
+    first, middle, last = FRAMINGS[framing]
+    by = Window.partitionBy("req_id").orderBy("seq", F.col("field").desc())
+    body = deltas.select("req_id", F.row_number().over(by).cast("long").alias("seq"), F.lit(middle).alias("event"), F.to_json(F.struct("field", "text")).alias("payload"))
+    ends = deltas.groupBy("req_id").agg(F.count("*").alias("n"))
+    edge = lambda seq, event, payload: ends.select("req_id", seq.cast("long").alias("seq"), F.lit(event).alias("event"), payload.alias("payload"))
+    start = edge(F.lit(0), first, F.to_json(F.struct(F.lit("assistant").alias("role"))))
+    stop = edge(F.col("n") + 1, last, F.to_json(F.struct(F.col("n").alias("deltas"))))
+    return start.unionByName(body).unionByName(stop)

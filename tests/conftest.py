@@ -9,14 +9,14 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from sparkloom.session import STATE_STORE
 
     from pyspark.sql import SparkSession
 
     made = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.driver.memory", "4g").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.streaming.stateStore.providerClass", STATE_STORE).getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).config("spark.sql.session.timeZone", "UTC").config("spark.sql.streaming.stateStore.providerClass", STATE_STORE).getOrCreate()
     )
     made.sparkContext.setLogLevel("ERROR")
     yield made

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def test_calls_cascade_and_allow_list():
     assert T.parse(tagged) == [("a", '{"x": 1}')]
     assert T.parse(tagged, {"b"}) == [("b", "{}")]
     assert T.parse("<tool_call>{bad}</tool_call>") == []
-    assert T.strip_calls(tagged, ["a", "b"]) == ""
+    assert T.strip_calls(tagged) == '{"name": "b", "arguments": {}}' and T.strip_calls("say " + tagged, {"b"}) == 'say <tool_call>{"name": "a", "arguments": {"x": 1}}</tool_call>'
     assert T.parse('x\n{"q": 1}', {"y"}, "named") == []
 
 
@@ -91,8 +92,9 @@ def test_store_round_trip(spark):
     with pytest.raises(LookupError):
         store.get("missing")
     with pytest.raises(ValueError):
-        store.insert("t", chunks, spark.createDataFrame([("1_0",)], "id string"))
-    assert len(store.insert("t", chunks)) == chunks.count() == store.get("t").count()
+        store.insert("t", chunks, spark.createDataFrame([("1_0", [1.0])], "id string, embedding array<float>"))
+    vectors = chunks.select("id", F.array(F.lit(0.5), F.lit(1.0)).alias("embedding"))
+    assert store.insert("t", chunks, vectors).count() == chunks.count() == store.get("t").filter("dense_vector = array(0.5F, 1.0F) AND metadata = '{}'").count()
     assert store.delete_document("t", 1) == chunks.filter("doc_id = 1").count()
     assert [tuple(r) for r in store.stats().collect()] == [("t", 1)]
     assert not store.delete("t") and store.delete("t", confirm=True) and not store.exists("t")
@@ -106,3 +108,38 @@ def test_search_filters_and_empty_hits(spark):
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", [1.0, 1.0]), ("d", None)], "id string, embedding array<float>")
     near = S.dense(vectors, spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0])], "qid long, embedding array<float>"), 5)
     assert [(r["qid"], r["id"], round(r["score"], 6)) for r in near.orderBy("rank").collect()] == [(1, "a", 1.0), (1, "c", 0.707107)]
+
+
+OUTPUTS = [
+    ('Sure.\n<tool_call>\n{"name": "look", "arguments": {"q": "a}b", "n": {"x": 1}}}\n</tool_call>', None, "default", [("look", '{"q": "a}b", "n": {"x": 1}}')], "Sure."),
+    ("<tool_call><function=run><parameter=cmd>ls -la</parameter><parameter=n>3</parameter></function></tool_call>", None, "default", [("run", '{"cmd": "ls -la", "n": 3}')], ""),
+    ('look\n```json\n{"q": "x"}\n```\nend', ["look"], "default", [("look", '{"q": "x"}')], "end"),
+    ('text {"name": "look", "arguments": "{}"} and {"name": "other", "arguments": {}}', ["look"], "default", [("look", "{}")], 'text  and {"name": "other", "arguments": {}}'),
+    ('{"name": "bad", "arguments": {', None, "default", [], '{"name": "bad", "arguments": {'),
+    ('[{"name": "one", "arguments": {"a": 1}}, {"name": "two"}]', None, "array", [("one", '{"a": 1}'), ("two", "{}")], ""),
+    ('look\n{"q": 1}', None, "named", [("look", '{"q": 1}')], ""),
+    ('Writing: \nI go：Write\npath\n{"content": "z"}', ["Write"], "named", [("Write", '{"content": "z"}')], "Writing:"),
+    ("no calls at all", None, "default", [], "no calls at all"),
+    ('look\n{"q": 1}', ["other"], "named", [], 'look\n{"q": 1}'),
+]
+
+
+@pytest.mark.parametrize(("text", "allowed", "style", "calls", "rest"), OUTPUTS)
+def test_call_forms(text, allowed, style, calls, rest):
+    assert T.parse(text, set(allowed or ()), style) == calls
+    assert T.strip_calls(text, set(allowed or ()), style) == rest
+
+
+def test_a_call_far_below_its_name_and_open_braces_cost_no_square():
+    far = "look\n" + " " * 5000 + '{"q": 1}'
+    assert T.parse(far, {"look"}) == [("look", '{"q": 1}')] and T.strip_calls(far, {"look"}) == ""
+    began = time.perf_counter()
+    assert T.parse("{" * 50_000 + "look\n" * 20_000, {"look"}) == []
+    assert time.perf_counter() - began < 5
+
+
+def test_schema_walk_keeps_properties_named_description():
+    tool = {"type": "function", "function": {"name": "f", "description": "abcdefghij", "parameters": {"type": "object", "description": "x", "properties": {"description": {"type": "string", "description": "y"}}}}}
+    made = T.compact_tool(tool, 5)
+    assert made["function"]["description"] == "abcde..." and made["function"]["parameters"] == {"type": "object", "properties": {"description": {"type": "string"}}}
+    assert T.compact_tool(tool, 0) == tool and T.compact_tool("x", 5) == "x" and tool["function"]["description"] == "abcdefghij"
