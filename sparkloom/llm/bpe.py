@@ -21,7 +21,6 @@ import itertools
 import json
 import mmap
 import os
-import re
 import tempfile
 import zlib
 from collections import Counter
@@ -287,14 +286,14 @@ def frequent_pieces(docs: DataFrame, path: str, text_col: str = "text", words: i
     return [r["piece"] for r in summed.orderBy(F.desc("n"), "piece").limit(words).collect()]
 
 
-#: White space that is not one blank or line feed between two words.
-_UNEVEN = re.compile(r"\A\s|[^\S \n]|\s\s|\s\Z")
+#: What white space below ``AGREED`` must not be for words to be encoded one by one: two in a row, or any but blank and line feed.
+_UNEVEN = ("  ", "\n\n", " \n", "\n ", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0")
 
 
 class Encoder:
     """Whole texts to ids and back, on a worker."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, room: int = 16 << 20):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, room: int = 48 << 20):
         """``room``: bytes that are remembered of words and pieces, twice over."""
         self.vocab, self.lexicon = vocab, lexicon
         self.memo = Memo(self._piece, room // 8)
@@ -327,7 +326,7 @@ class Encoder:
     def _plain(self, text: str) -> bool:
         """Whether all white space is single blanks and line feeds between words.  No piece then crosses the front of a
         blank or either side of a line feed, so words can be encoded one by one."""
-        return self.vocab.beyond.search(text) is None and _UNEVEN.search(text) is None
+        return not (text[0].isspace() or text[-1].isspace() or any(u in text for u in _UNEVEN)) and self.vocab.beyond.search(text) is None
 
     def _by_words(self, text: str) -> Iterator[str]:
         at_start, after_blank, feed = self.words[False].__getitem__, self.words[True].__getitem__, f",{self.memo[chr(10)]},"
