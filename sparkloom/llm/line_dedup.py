@@ -62,8 +62,8 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id",
     gone = hits.groupBy(F.col("id").alias("gone_id"), F.col("tkey").alias("gone_key")).agg(F.collect_set("pos").alias("gone"))
     keyed = wrapped(docs, id=id_col, text=text_col).withColumn("key", F.xxhash64(text_of()))
     met = keyed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
-    parts, none = _lines(text_of()), F.array().cast("array<int>")
-    gone_here = F.coalesce(F.col("gone"), none)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone_here)
-    text = F.when(F.size(gone_here) == 0, text_of()).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(parts, i + 1)), "\n"))
-    return unwrapped(met, docs.columns, **{to: text, "n_lines": F.size(parts), "n_removed": F.size(gone_here)})
+    # a column of its own, which the text below reads twice: Spark then doesn't split the text again for every line
+    met = met.withColumn("__lines", _lines(text_of())).withColumn("__gone", F.coalesce(F.col("gone"), F.array().cast("array<int>")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    text = F.when(F.size("__gone") == 0, text_of()).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(F.col("__lines"), i + 1)), "\n"))
+    return unwrapped(met, docs.columns, **{to: text, "n_lines": F.size("__lines"), "n_removed": F.size("__gone")})
