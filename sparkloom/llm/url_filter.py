@@ -10,7 +10,7 @@ column expression, so scoring stays inside the scan's stage.
 
 Features: length, host length, depth, digit ratio, letter entropy, parameters, hyphens, labels of the host, length of the
 last path part, suffix length, and the suffix's smoothed share of blocked labels (its statistics come from the training
-sample, so the table that is broadcast has at most ``labelled`` rows).
+sample, out of fold for the sample's own rows, so the table that is broadcast has at most ``labelled`` rows).
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and no rule; it is judged on the features that it has;
 with no labelled URL, or labels of one kind, the trees are empty and the verdict is the majority's (allow where unknown); ties go
@@ -28,6 +28,8 @@ from .common import picked, shared_dir
 
 LABELLED = 20_000
 ROUNDS, DEPTH, BINS, RATE = 8, 3, 16, 0.3
+#: Parts of the sample: a row's suffix rate comes from the other ones.
+PARTS = 5
 #: Verdict, host, path.
 RULES = (
     ("block", "com", "/en/"),
@@ -181,21 +183,41 @@ def _grow(tree, name: str, splits: dict[str, dict]):
     return {**tree, "left": _grow(tree["left"], name + "l", splits), "right": _grow(tree["right"], name + "r", splits)}
 
 
-def judge(pages: DataFrame, rules=RULES, labelled: int = LABELLED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict and the trees' block probability for every row."""
+def _rates(sample: DataFrame, share: Column) -> tuple[DataFrame, Column, Column]:
+    """(known_suffix, told) of the sample, a row's rate without the rows of its own part, and the rate of a row that isn't in the sample.
+
+    ``told`` has the labels and blocked ones of a suffix in each part of the sample.  A row that is learned from must not meet its own
+    label in a feature, so that its rate comes from the other parts; a suffix that these don't know has the sample's share, as
+    an unseen one has."""
+    parts = sample.groupBy("suffix", "part").agg(F.count("*").alias("n"), F.sum("blocked").alias("b"))
+    told = parts.groupBy("suffix").agg(F.collect_list(F.struct("part", "n", "b")).alias("told")).withColumnRenamed("suffix", "known_suffix")
+    others = lambda kept: (_total(kept, "b") + 2 * share) / (_total(kept, "n") + 2)
+    own = F.filter("told", lambda t: t["part"] != F.col("part"))
+    return told, F.coalesce(others(own), share), F.coalesce(others(F.col("told")), share)
+
+
+def _total(told: Column, field: str) -> Column:
+    return F.aggregate(told, F.lit(0).cast("long"), lambda s, t: s + t[field])
+
+
+def judge(pages: DataFrame, rules=RULES, labelled: int = LABELLED, id_col: str = "page_id", url_col: str = "url", learn: Column | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict and the trees' block probability for every row.
+
+    ``learn``, of page_id, says which of the URLs that a rule decides may be learned from; None: all."""
     shared_dir(pages.sparkSession)  # checkpoint() needs the folder
     made = lexical(pages, id_col, url_col)
     text, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     made = made.withColumn("rule", text).withColumn("ruled", verdict)
     sample = (
-        made.filter("ruled IS NOT NULL").withColumn("blocked", (F.col("ruled") == "block").cast("int"))
-        .orderBy(F.xxhash64(F.lit("urls"), "url"), "url").limit(labelled).checkpoint()
+        made.filter(F.col("ruled").isNotNull() & (F.lit(True) if learn is None else learn)).withColumn("blocked", (F.col("ruled") == "block").cast("int"))
+        .orderBy(F.xxhash64(F.lit("urls"), "url"), "url").limit(labelled).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "url"), F.lit(PARTS))).checkpoint()
     )
-    rates = sample.groupBy("suffix").agg(((F.sum("blocked") + 1) / (F.count("*") + 2)).alias("suffix_rate"))
+    told = sample.agg(F.avg("blocked")).first()[0]
+    told_of, own, whole = _rates(sample, F.lit(0.25 if told is None else float(told)))
     # a checkpoint gives it columns of its own; at most ``labelled`` rows
-    rates = F.broadcast(rates.withColumnRenamed("suffix", "known_suffix").checkpoint())
-    known = lambda df: df.join(rates, F.col("suffix") == F.col("known_suffix"), "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(0.5)))
-    trees = fit(known(sample))
+    rates = F.broadcast(told_of.checkpoint())
+    known = lambda df, rate: df.join(rates, F.col("suffix") == F.col("known_suffix"), "left").withColumn("suffix_rate", rate)
+    trees = fit(known(sample, own))
     margin = trees.margin(trees.by_feature)
     said = F.coalesce(F.col("ruled"), F.when(margin > 0, F.lit("block")).otherwise(F.lit("allow")))
-    return known(made).select("page_id", "host", "path", "rule", said.alias("verdict"), (1 / (1 + F.exp(-margin))).alias("block_score"))
+    return known(made, whole).select("page_id", "host", "path", "rule", said.alias("verdict"), (1 / (1 + F.exp(-margin))).alias("block_score"))
