@@ -13,9 +13,9 @@ Buckets are counted first and cut by salts into blocks of about ``ROW_BLOCK`` ro
 with a third of the rows is many blocks, and a block sends at most ``k`` rows a query on.  Equal vectors are led by their k + 1 smallest ids: others can't be among the k nearest
 under the tie rule.  That drops no result.  A query that has found fewer than ``k`` is searched again over all rows, in blocks.
 
-Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as query or candidate; nor do
-those of another length than the most common one; ties go to the smaller id; rows that repeat an id and vector are one row; a table with fewer than k
-candidates gives them all; an empty table gives an empty result; other columns and their names play no part.
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as query or candidate; vectors of
+different lengths have no cosine and are searched apart; ties go to the smaller id; of rows that repeat an id the one with the smallest vector
+counts; a table with fewer than k candidates gives them all; an empty table gives an empty result; other columns and their names play no part.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def _leaders(rows: DataFrame, k: int) -> DataFrame:
     """The k + 1 smallest ids of each vector; Spark ranks within the scan tasks first."""
     order = Window.partitionBy("embedding").orderBy("vec_id")
-    return rows.dropDuplicates(["vec_id", "embedding"]).withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= k + 1).drop("__r")
+    return rows.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= k + 1).drop("__r")
 
 
 def _cosines(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -167,13 +167,20 @@ def search(embeddings: DataFrame, every: int = 50, k: int = 5, tables: int = TAB
     spark = embeddings.sparkSession
     bound_arrow_batches(spark, 2048)
     shared_dir(spark)
-    rows = usable(embeddings, id_col, vector_col)
-    common = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = common["d"]
-    rows = rows.filter(F.size("embedding") == dim)
-    queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    # one vector an id
+    usable_rows = usable(embeddings, id_col, vector_col).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    rows = stage(usable_rows.withColumn("dim", F.size("embedding")), "embeddings")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # vectors of different lengths have no cosine: each length is an index of its own
+    for r in rows.groupBy("dim").agg(F.count_if(F.col("vec_id") % every == 0).alias("asked")).filter("asked > 0").orderBy("dim").collect():
+        out = out.unionByName(_search_length(rows.filter(F.col("dim") == r["dim"]).drop("dim"), r["dim"], every, k, tables, probes, recall, tune))
+    return out
+
+
+def _search_length(rows: DataFrame, dim: int, every: int, k: int, tables: int, probes: int | None, recall: float, tune: int) -> DataFrame:
+    """``search`` among the vectors of one length, one row an id."""
+    spark = rows.sparkSession
+    queries = rows.filter(F.col("vec_id") % every == 0)
     rows = stage(_leaders(rows, k), "vectors")
     hashing = CrossPolytope(dim, tables)
     probes = probes or tuned_probes(rows, queries, hashing, k, recall, tune)
