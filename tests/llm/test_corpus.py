@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -298,6 +299,12 @@ def test_ann_edges(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_ann_searches_each_length_and_one_vector_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.6, 0.8]), (2, [1.0, 0.1]), (2, [0.0, 1.0]), (50, [1.0, 0.0, 0.0]), (51, [0.0, 1.0, 0.0]), (100, [2.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().sort_values(["query_id", "rank"])
+    assert [(r.query_id, r.vec_id, round(r.score, 6)) for r in got.itertuples()] == [(0, 1, 0.6), (0, 2, 0.0), (50, 51, 0.0)]
+
+
 # --- lines
 
 
@@ -313,6 +320,19 @@ def test_line_edges(edge):
     assert line_dedup.cleaned(edge).count() == len(RAW)
 
 
+def test_a_text_of_many_lines_costs_its_length(spark):
+    def took(n):
+        text = "\n".join(f"line {i}" if i % 1000 else "foot" for i in range(n))
+        docs = spark.createDataFrame([(0, text, "s0")] + [(i, "foot", f"s{i}") for i in range(1, 12)], "doc_id long, text string, source string")
+        began = time.perf_counter()
+        got = line_dedup.cleaned(docs).filter("doc_id = 0").first()
+        assert (got["n_lines"], got["n_removed"]) == (n, -(-n // 1000)) and got["clean"] == "\n".join(x for x in text.split("\n") if x != "foot")
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(60_000) < 15 + 3 * took(30_000)
+
+
 # --- languages
 
 
@@ -417,6 +437,28 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in url_filter.judge(df.filter("page_id = 7")).collect()} == {"allow"}
 
 
+def test_verdicts_of_held_out_urls(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    learn = F.pmod(F.crc32(F.col("page_id").cast("string").cast("binary")), F.lit(4)) != 0
+    got = url_filter.judge(pages, learn=learn).filter(F.col("rule").isNotNull() & ~learn).toPandas()
+    right = (got.block_score > 0.5) == (got.verdict == "block")
+    assert len(got) > 100 and right.mean() > 0.75
+
+
+def test_a_suffix_does_not_tell_its_own_label(spark):
+    urls = [(i, f"http://{'b' if i % 2 else 'a'}{i}.org/{'es' if i % 2 else 'fr'}/") for i in range(60)]
+    rules = [("block" if i % 2 else "allow", f"{'b' if i % 2 else 'a'}{i}.org", "/") for i in range(40)]
+    got = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), rules).filter("rule IS NULL").toPandas()
+    assert got.block_score.nunique() <= 4 and set(got.verdict) <= {"allow", "block"}
+
+
+def test_url_edges(spark):
+    long = "http://h.com/" + "a/" * 20_000 + "?" + "q=1&" * 20_000
+    rows = [(1, long), (1, long), (2, "http://com/en/1"), (2, "http://com/en/1"), (None, "http://x.net/de/1")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).toPandas()
+    assert len(got) == 5 and got.groupby(["page_id"], dropna=False).verdict.nunique().max() == 1 and list(got[got.page_id == 1].path.map(len)) == [40_001] * 2
+
+
 def test_trees_learn_a_rule(spark):
     spark.sparkContext.getCheckpointDir() or url_filter.shared_dir(spark)
     rows = [(float(i % 17), float(i % 5), int((i % 17 > 8) != (i % 5 > 2))) for i in range(2000)]
