@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -127,7 +128,7 @@ def stop_reason(finish: Column) -> Column:
 
 def tool_choice(kind: Column, name: Column) -> Column:
     """The second protocol's tool choice as the first one's: a word, or the JSON of a named function."""
-    named = F.to_json(F.struct(F.lit("function").alias("type"), F.struct(name.alias("name")).alias("function")))
+    named = _function_json(F.struct(name.alias("name")))
     return F.when(kind == "any", "required").when((kind == "tool") & (F.coalesce(name, F.lit("")) != ""), named).otherwise("auto")
 
 
@@ -166,6 +167,97 @@ def tools_of(tools: Column, functions: Column) -> Column:
     return F.when(F.size(tools) > 0, tools).when(F.size(functions) > 0, wrapped)
 
 
+def legacy_choice(function_call: Column) -> Column:
+    """A legacy function_call as a tool choice: auto and none are words, a named one is the JSON of a function."""
+    name = F.get_json_object(function_call, "$.name")
+    return F.when(function_call.isin("auto", "none"), function_call).when(F.coalesce(name, F.lit("")) != "", _function_json(F.struct(name.alias("name"))))
+
+
+def _function_json(value: Column) -> Column:
+    return F.to_json(F.struct(F.lit("function").alias("type"), value.alias("function")))
+
+
+def tool_definitions(tools: Column) -> Column:
+    """The second protocol's tools array<struct<name, description, schema>> as JSON texts of the first one's; schemas are JSON texts."""
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    return F.transform(
+        tools,
+        lambda t: F.concat(
+            F.lit('{"type":"function","function":{"name":'), quoted(F.coalesce(t["name"], F.lit(""))), F.lit(',"description":'), quoted(F.coalesce(t["description"], F.lit(""))),
+            F.lit(',"parameters":'), F.coalesce(t["schema"], F.lit("{}")), F.lit("}}"),
+        ),
+    )
+
+
+def tool_names(tools: Column) -> Column:
+    """The different names in tool definitions (JSON texts), wrapped or not."""
+    names = F.transform(tools, lambda t: F.coalesce(F.get_json_object(t, "$.function.name"), F.get_json_object(t, "$.name")))
+    return F.array_distinct(F.filter(names, lambda n: F.coalesce(n, F.lit("")) != ""))
+
+
+def system_text(text: Column, blocks: Column | None = None) -> Column:
+    """A system field, a text or array<struct<type, text>>, as one text."""
+    if blocks is None:
+        return F.coalesce(text, F.lit(""))
+    listed = F.filter(blocks, lambda b: (b["type"] == "text") & (F.coalesce(b["text"], F.lit("")) != ""))
+    return F.coalesce(text, F.array_join(F.transform(listed, lambda b: b["text"]), "\n"), F.lit(""))
+
+
+def request_messages(system: Column, messages: Column, request: Column) -> Column:
+    """A whole request of the second protocol as array<struct<role, content, tool_call_id, calls>>.
+
+    ``messages`` is array<struct<turn, role, blocks>>; the system text goes first where there is one."""
+    calls = "array<struct<id: string, name: string, arguments: string>>"
+    shape = f"array<struct<role: string, content: string, tool_call_id: string, calls: {calls}>>"
+    none, empty = F.lit(None).cast("string"), F.array().cast(calls)
+    row = lambda who, content, call=none, made=empty: F.struct(who.alias("role"), content.alias("content"), call.alias("tool_call_id"), made.alias("calls"))
+
+    def turn(m: Column) -> Column:
+        said = assistant_blocks(m["blocks"], F.concat_ws("|", request.cast("string"), m["turn"].cast("string")))
+        users = F.transform(user_blocks(m["blocks"]), lambda u: row(u["role"], u["content"], u["tool_call_id"]))
+        return F.when(m["role"] == "assistant", F.array(row(F.lit("assistant"), said["content"], none, said["calls"])).cast(shape)).otherwise(users.cast(shape))
+
+    head = F.when(F.coalesce(system, F.lit("")) != "", F.array(row(F.lit("system"), system)).cast(shape)).otherwise(F.array().cast(shape))
+    return F.concat(head, F.flatten(F.transform(messages, turn)))
+
+
+def ignored_parameters(**given: Column) -> Column:
+    """Names of the parameters that are set and play no part, for a warning."""
+    return F.filter(F.array(*[F.when(value.isNotNull(), F.lit(name)) for name, value in given.items()]), lambda x: x.isNotNull())
+
+
+def thinking_flag(requested: Column, configured: Column) -> Column:
+    """Whether to think: the request's word, else the model's setting, else no."""
+    return F.coalesce(requested, configured, F.lit(False))
+
+
+def parameter_record(given: Column, known: tuple[str, ...]) -> Column:
+    """struct of the known keys of map<string, string> ``given``, and the others as map ``extra``."""
+    others = F.map_filter(given, lambda k, v: ~k.isin(*known))
+    return F.struct(*[F.try_element_at(given, F.lit(k)).alias(k) for k in known], others.alias("extra"))
+
+
+def counted_tokens(count) -> object:
+    """A token counter from a batched function ``count(texts)``; a text that it fails on counts 0."""
+
+    @F.pandas_udf("int")
+    def run(texts: pd.Series) -> pd.Series:
+        asked = texts.fillna("").tolist()
+        try:
+            return pd.Series(count(asked))
+        except Exception:  # a tokenizer may fail in any way; each text is then tried by itself
+            return pd.Series([_or_zero(count, t) for t in asked])
+
+    return run
+
+
+def _or_zero(count, text: str) -> int:
+    try:
+        return int(count([text])[0])
+    except Exception:  # told as 0
+        return 0
+
+
 def assistant_blocks(blocks: Column, request: Column) -> Column:
     """Typed blocks of an assistant as struct<content, calls array<struct<id, name, arguments>>>; thinking is dropped."""
     texts = F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit("")))

@@ -1,6 +1,6 @@
 """Registered queries: how operators are put together over the tables, each with the same query in SQL."""
 
-from sparkloom.plans import dialogue, retrieval, service
+from sparkloom.plans import chat, dialogue, retrieval, service
 
-QUERIES = {**retrieval.QUERIES, **dialogue.QUERIES, **service.QUERIES}
-ORACLE = {**retrieval.ORACLE, **dialogue.ORACLE, **service.ORACLE}
+QUERIES = {**retrieval.QUERIES, **dialogue.QUERIES, **service.QUERIES, **chat.QUERIES}
+ORACLE = {**retrieval.ORACLE, **dialogue.ORACLE, **service.ORACLE, **chat.ORACLE}

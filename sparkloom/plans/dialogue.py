@@ -122,10 +122,6 @@ def intent_conversations(spark, d):
 ANSWERS = [
     (1, '{"intent": "Chitchat", "should_search": false, "rewrite_needed": false}'), (2, '```json\n{"intent": "follow_up", "rewrite_needed": true}\n```'), (3, "no json"), (4, '{"intent": "strange"}'), (5, "{}"),
 ]
-MODEL_PLANS = [
-    (1, "chitchat|0.8|false|false"), (2, "follow_up|0.8|true|true"), (3, "follow_up|0.3|true|true"), (4, "knowledge_query|0.8|true|false"), (5, "knowledge_query|0.8|true|false"),
-]
-
 
 def intent_model(spark, d):
     rows = literal(spark, ANSWERS, "id int, answer string").withColumn("i", V.intent_of_answer(F.col("answer")))
@@ -336,33 +332,50 @@ def filename_sanitize(spark, d):
 
 # --- tool calls and streams
 
-OUTPUTS = [
-    (1, 'Sure.\n<tool_call>\n{"name": "look", "arguments": {"q": "a}b", "n": {"x": 1}}}\n</tool_call>', None, "default"), (2, "<tool_call><function=run><parameter=cmd>ls -la</parameter><parameter=n>3</parameter></function></tool_call>", None, "default"),
-    (3, 'look\n```json\n{"q": "x"}\n```', ["look"], "default"), (4, 'text {"name": "look", "arguments": "{}"} and {"name": "other", "arguments": {}}', ["look"], "default"), (5, '{"name": "bad", "arguments": {', None, "default"),
-    (6, '[{"name": "one", "arguments": {"a": 1}}, {"name": "two"}]', None, "array"), (7, 'look\n{"q": 1}', None, "named"), (8, 'Writing: \nI go：Write\npath\n{"content": "z"}', None, "named"), (9, "no calls at all", None, "default"),
-    (10, 'look\n{"q": 1}', ["other"], "named"), (11, None, None, "default"),
-]
+def called(spark: SparkSession, d: str) -> DataFrame:
+    """Assistant texts with a call behind them, in a form by (conv_id + turn) modulo 4: tagged, function tags, a named line, a plain object."""
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
+    given = F.concat(F.lit('{"conv": '), conv, F.lit(', "turn": '), turn, F.lit("}"))
+    stated = F.concat(F.lit('{"name": "look", "arguments": '), given, F.lit("}"))
+    call = (
+        F.when(kind == 0, F.concat(F.lit("<tool_call>\n"), stated, F.lit("\n</tool_call>")))
+        .when(kind == 1, F.concat(F.lit("<tool_call><function=look><parameter=conv>"), conv, F.lit("</parameter><parameter=turn>"), turn, F.lit("</parameter></function></tool_call>")))
+        .when(kind == 2, F.concat(F.lit("look\n```json\n"), given, F.lit("\n```")))
+        .otherwise(stated)
+    )
+    rows = turns(spark, d).filter("role = 'assistant'")
+    return rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat("text", F.lit("\n"), call).alias("text"), F.array(F.lit("look")).alias("allowed"), F.lit("default").alias("style"))
 
 
-def _outputs(spark):
-    return literal(spark, OUTPUTS, "id int, text string, allowed array<string>, style string").withColumn("calls", T.tool_calls("id", "text", "allowed", "style"))
+def _outputs(spark, d):
+    return called(spark, d).withColumn("calls", T.tool_calls("id", "text", "allowed", "style"))
 
 
 def tool_call_parse(spark, d):
-    return _outputs(spark).select("id", F.posexplode("calls").alias("n", "c")).select("id", "n", F.col("c.id").alias("call_id"), "c.name", "c.arguments")
+    return _outputs(spark, d).select("id", F.posexplode("calls").alias("n", "c")).select("id", "n", F.col("c.id").alias("call_id"), "c.name", "c.arguments")
 
 
 def tool_call_strip(spark, d):
-    return _outputs(spark).select("id", T.text_without_calls("text", F.transform("calls", lambda c: c["name"])).alias("text"), T.parse_missed(F.col("text"), F.col("allowed")).alias("looks_like_calls"))
+    made = called(spark, d).select("id", T.text_without_calls("text", "allowed", "style").alias("rest"), T.parse_missed(F.col("text"), F.col("allowed")).alias("looks_like_calls"))
+    return made.withColumnRenamed("rest", "text")  # an alias text would be what the lambda means
 
 
 def tool_events(spark, d):
-    return Z.call_events(_outputs(spark).select(F.col("id").alias("req_id"), "calls"))
+    return Z.call_events(_outputs(spark, d).select(F.col("id").alias("req_id"), "calls"))
+
+
+def tool_events_chunks(spark, d):
+    return Z.call_events(_outputs(spark, d).select(F.col("id").alias("req_id"), "calls"), "chunks")
+
+
+_TOOL = """'{"type": "function", "function": {"name": "f' || conv_id || '", "description": "' || %s || '", "parameters": {"type": "object", %s"properties": {"description": {"type": "string"%s}, "n": {"type": "integer"}}}}}'"""
+TOOL, COMPACT = _TOOL % ("'about ' || role || ' ' || conv_id", '"description": "x", ', ', "description": "y"'), _TOOL % ("substr('about ' || role || ' ' || conv_id, 1, 8) || '...'", "", "")
 
 
 def schema_compact(spark, d):
-    tool = '{"type": "function", "function": {"name": "f", "description": "abcdefghij", "parameters": {"type": "object", "description": "x", "properties": {"description": {"type": "string", "description": "y"}}}}}'
-    return literal(spark, [(1, tool, 5), (2, tool, 0)], "id int, tool string, most int").select("id", T.compact_tools("tool", "most").alias("tool"))
+    """A tool definition for every turn, with descriptions at every level and a property of that name."""
+    return turns(spark, d).select("conv_id", "turn", T.compact_tools(F.expr(TOOL), F.lit(8)).alias("tool"))
 
 
 def pieces(spark, d, size: int = 7) -> DataFrame:
@@ -374,15 +387,106 @@ def pieces(spark, d, size: int = 7) -> DataFrame:
 
 
 def stream_think(spark, d):
-    return Z.split_batch(pieces(spark, d))
+    return Z.whole(Z.split_batch(pieces(spark, d)))
 
 
 def stream_blocks(spark, d):
-    return Z.blocks(Z.split_batch(pieces(spark, d)))
+    cut = pieces(spark, d)
+    return Z.blocks(Z.split_batch(cut), cut)
 
 
 def stream_stop(spark, d):
-    return Z.split_batch(pieces(spark, d), lambda: Z.Stops((" the ", "\n\n")))
+    return Z.whole(Z.split_batch(pieces(spark, d), lambda: Z.Stops((" the ", "\n\n")))).select("req_id", "content")
+
+
+def event_stream(spark, d):
+    """Turns as deltas, in each framing."""
+    deltas = turns(spark, d).select(F.col("conv_id").alias("req_id"), F.col("turn").alias("seq"), F.col("role").alias("field"), F.lower("role").alias("text"))
+    out = [Z.event_rows(deltas, f).select(F.lit(f).alias("framing"), "req_id", "seq", "event", "payload") for f in Z.FRAMINGS]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+# --- small operators over all conversations
+
+
+def intent_chosen(spark, d):
+    """The rules' intent against that of a model, which always says topic_switch."""
+    query, history = V.query_and_history(F.col("messages"))
+    rows = gathered(spark, d).select("conv_id", query.alias("query"), (F.size(history) > 0).alias("has"))
+    model = V.intent_of_answer(F.lit('{"intent": "topic_switch"}'))
+    made = V.chosen_intent(V.intent(F.col("query"), F.col("has")), model)
+    return rows.select("conv_id", made["intent"].alias("intent"), made["confidence"].alias("confidence"), V.chosen_intent(model, None, False, F.col("has"))["rewrite_needed"].alias("when_off"))
+
+
+def rewrite_gated(spark, d):
+    query, history = V.query_and_history(F.col("messages"))
+    rows = gathered(spark, d).select("conv_id", query.alias("query"), (F.size(history) > 0).alias("has"))
+    made = F.when(V.rewrite_gate(F.col("has"), True), V.rewritten(F.col("query"), F.concat(F.lit('"'), "query", F.lit('?"'))))
+    return rows.select("conv_id", F.coalesce(made["query"], "query").alias("query"), F.coalesce(made["applied"], F.lit(False)).alias("applied"), V.rewrite_gate(F.col("has"), True, "never").alias("never"))
+
+
+def message_normalize(spark, d):
+    """Roles in upper case, and no content beside calls."""
+    rows = tooled(spark, d).withColumn("role", F.upper("role")).withColumn("content", F.when(F.col("calls").isNull(), F.col("content")).otherwise(""))
+    arrays = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content", "calls", "tool_call_id", "name"))).alias("m"))
+    return arrays.select("conv_id", F.explode(M.normalised(F.col("m"))).alias("m")).select("conv_id", "m.turn", "m.role", "m.content")
+
+
+def history_clean(spark, d):
+    none = F.lit(None).cast("string")
+    rows = thought(spark, d).select("conv_id", "turn", "role", F.col("text").alias("content"), none.alias("calls"), none.alias("tool_call_id"))
+    arrays = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content", "calls", "tool_call_id"))).alias("m"))
+    return arrays.select("conv_id", F.explode(M.without_thinking(F.col("m"))).alias("m")).select("conv_id", "m.turn", "m.content")
+
+
+def prune_rendered(spark, d):
+    """How many turns have to go until the texts' characters fit into 900."""
+    sizes = gathered(spark, d).select("conv_id", F.transform("messages", lambda m: F.length(m["content"])).alias("sizes"))
+    return sizes.select("conv_id", M.drop_oldest(F.col("sizes"), F.lit(900)).alias("gone"))
+
+
+def tool_injection(spark, d):
+    made = P.with_system_text(F.col("messages"), F.lit("\n\nTools: look"))
+    return gathered(spark, d).select("conv_id", F.element_at(made, 1)["role"].alias("role"), F.element_at(made, 1)["content"].alias("content"), F.size(made).alias("n"))
+
+
+def special_clean(spark, d):
+    marked = F.concat(F.lit("<s>"), F.col("text"), F.lit("<|tool|><think></s>"))
+    return turns(spark, d).select("conv_id", "turn", X.clean_special(marked, ["<s>", "</s>", "<|tool|>", "<think>"]).alias("text"))
+
+
+SETTINGS = [(1, "a", None, 0, 4096, 5, 7), (2, "", None, 2048, 4096, None, 7), (3, None, ["x", ""], None, -1, None, None), (4, None, [""], None, 32, 9, None)]
+
+
+def request_settings(spark, d):
+    """Stop words, window and token limit of a request."""
+    rows = literal(spark, SETTINGS, "id int, one string, many array<string>, set int, seen int, completion int, legacy int")
+    return rows.select("id", F.array_join(M.stops(F.col("one"), F.col("many")), ",").alias("stops"), M.context_window(F.col("set"), F.lit(0), F.col("seen")).alias("win"), M.client_limit(F.col("completion"), F.col("legacy")).alias("most"))
+
+
+def allowed_names(spark, d):
+    """The different names of the tools that a conversation may call, one for each of its roles."""
+    rows = gathered(spark, d).select("conv_id", F.transform("messages", lambda m: F.concat(F.lit('{"type":"function","function":{"name":"'), m["role"], F.lit('"}}'))).alias("tools"))
+    return rows.select("conv_id", F.array_join(F.array_sort(M.tool_names(F.col("tools"))), ",").alias("names"))
+
+
+def legacy_tools(spark, d):
+    """Legacy function definitions and choices as tools."""
+    text = lambda c: F.concat(F.lit('{"name":"'), c, F.lit('"}'))
+    rows = turns(spark, d).select("conv_id", "turn", F.array(text(F.col("role"))).alias("functions"), F.when(F.col("role") == "user", "auto").otherwise(text(F.col("role"))).alias("call"))
+    return rows.select("conv_id", "turn", F.element_at(M.tools_of(F.array().cast("array<string>"), F.col("functions")), 1).alias("tool"), M.legacy_choice(F.col("call")).alias("choice"))
+
+
+def block_messages(spark, d):
+    """A request of the second protocol for every conversation: a system field, and turns as typed blocks."""
+    none = F.lit(None).cast("string")
+    block = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), none.alias("id"), none.alias("name"), none.alias("input"), none.alias("tool_use_id"), none.alias("content"))
+    use = F.struct(F.lit("tool_use").alias("type"), none.alias("text"), none.alias("id"), F.lit("look").alias("name"), F.lit('{"q":1}').alias("input"), none.alias("tool_use_id"), none.alias("content"))
+    result = F.struct(F.lit("tool_result").alias("type"), none.alias("text"), none.alias("id"), none.alias("name"), none.alias("input"), F.lit("t1").alias("tool_use_id"), F.lit("found").alias("content"))
+    blocks = F.when(F.col("role") == "assistant", F.array(block, use)).otherwise(F.array(result, block))
+    asked = turns(spark, d).filter("role <> 'system'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", blocks.alias("blocks")))).alias("messages"))
+    made = asked.select("conv_id", F.posexplode(M.request_messages(F.concat(F.lit("sys "), F.col("conv_id").cast("string")), F.col("messages"), F.col("conv_id"))).alias("at", "m"))
+    return made.select("conv_id", "at", "m.role", "m.content", "m.tool_call_id", F.size("m.calls").alias("n_calls"))
 
 
 def stream_delta(spark, d):
@@ -390,6 +494,13 @@ def stream_delta(spark, d):
     return Z.deltas_of(rows)
 
 
+_CALLED = """called AS (SELECT conv_id * 100 + turn AS id, (conv_id + turn) % 4 AS kind, text, 'call_' || substr(sha256((conv_id * 100 + turn)::VARCHAR || '|0'), 1, 8) AS call_id,
+  '{"conv": ' || conv_id || ', "turn": ' || turn || '}' AS arguments FROM conversations WHERE role = 'assistant')"""
+_PIECED = f"""{THOUGHT}, pieced AS (SELECT conv_id * 100 + turn AS req_id, text, starts_with(text, '<think>') AS opened, strpos(text, '</think>') AS p FROM thought WHERE role = 'assistant' AND text <> ''),
+split AS (SELECT req_id, CASE WHEN NOT opened THEN '' WHEN p > 0 THEN substring(text, 8, p - 8) ELSE substring(text, 8) END AS reasoning,
+  CASE WHEN opened AND p = 0 THEN '' WHEN opened THEN ltrim(substring(text, p + 8), chr(10)) WHEN length(text) < 7 THEN ltrim(text, chr(10)) ELSE text END AS content FROM pieced)"""
+
+
 _STRIPPED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<think>.*?</think>', '', 'g'), '(?s)<think>.*$', ''), '\n\s*\n', chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
 _GATHERED = "last AS (SELECT conv_id, max(turn) FILTER (role = 'user') AS lu, max(turn) AS lt FROM conversations GROUP BY conv_id), asked AS (SELECT c.conv_id, c.turn, c.text FROM conversations c JOIN last USING (conv_id) WHERE turn = coalesce(lu, lt))"
 _RECENT = "ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)"
@@ -410,7 +521,8 @@ QUERIES = {
     for f in (
         query_history_split, intent_rules, intent_conversations, intent_model, rewrite_history, query_rewrite, prompt_history, prompt_messages_generic, prompt_messages_observation, model_family, role_normalize,
         think_strip, think_split, token_estimate, message_cost, tool_groups, trim_budget, max_tokens, finish_reason, stop_cut, tool_choice_map, request_validation, user_block_split, response_blocks,
-        *map(_template, [*P.TEMPLATES, "separated_reasoning"]), strategy_lookup, filename_sanitize, tool_call_parse, tool_call_strip, tool_events, schema_compact, stream_think, stream_blocks, stream_stop, stream_delta,
+        *map(_template, [*P.TEMPLATES, "separated_reasoning"]), strategy_lookup, filename_sanitize, tool_call_parse, tool_call_strip, tool_events, tool_events_chunks, schema_compact, stream_think, stream_blocks, stream_stop, stream_delta, event_stream,
+        intent_chosen, rewrite_gated, message_normalize, history_clean, prune_rendered, tool_injection, special_clean, request_settings, allowed_names, legacy_tools, block_messages,
     )
 }
 
@@ -418,9 +530,15 @@ ORACLE = TEMPLATE_ORACLE | {
     "query_history_split": f"WITH {_GATHERED} SELECT a.conv_id, a.text AS query, (SELECT count(*) FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn < a.turn)::INT AS n_history FROM asked a",
     "intent_rules": f"SELECT id::INT AS id, {INTENT_CASE} AS plan FROM (SELECT id, trim(query) AS q, has FROM {values_sql(SAYINGS, 'id, query, has')})",
     "intent_conversations": f"WITH {_GATHERED} SELECT id, {INTENT_CASE} AS plan FROM (SELECT conv_id AS id, trim(text) AS q, EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn < a.turn) AS has FROM asked a)",
-    "intent_model": f"SELECT id::INT AS id, plan FROM {values_sql(MODEL_PLANS, 'id, plan')}",
+    "intent_model": f"""WITH a AS (SELECT id, regexp_replace(regexp_replace(answer, '^```[a-z]*\\n', ''), '\\n```$', '') AS body FROM {values_sql(ANSWERS, 'id, answer')}),
+  j AS (SELECT id, json_valid(body) AS ok, CASE WHEN json_valid(body) THEN body ELSE '{{}}' END AS body FROM a), n AS (SELECT *, lower(coalesce(json_extract_string(body, '$.intent'), '')) AS name FROM j)
+  SELECT id::INT AS id, CASE WHEN ok THEN CASE WHEN name IN ('follow_up', 'topic_switch', 'clarification', 'chitchat') THEN name ELSE 'knowledge_query' END || '|0.8|' || coalesce(json_extract_string(body, '$.should_search'), 'true') || '|' || coalesce(json_extract_string(body, '$.rewrite_needed'), 'false')
+    ELSE 'follow_up|0.3|true|true' END AS plan FROM n""",
     "rewrite_history": f"WITH {_RECENT} SELECT conv_id, string_agg({_NAME} || ': ' || text, chr(10) ORDER BY turn) AS text, string_agg({_NAME} || ': ' || substring(text, 1, 200), chr(10) ORDER BY turn) AS short FROM ranked WHERE k <= 4 GROUP BY conv_id",
-    "query_rewrite": "SELECT id::INT AS id, query, applied FROM (VALUES (1, 'cats', false), (2, 'What is a cat?', true), (3, 'it', false), (4, 'Birds', true)) t(id, query, applied)",
+    "query_rewrite": f"""WITH r AS (SELECT id, query, trim(answer) AS t FROM {values_sql(REWRITES, 'id, query, answer')}),
+  d AS (SELECT id, query, CASE WHEN length(t) > 1 AND starts_with(t, '"') AND ends_with(t, '"') THEN substring(t, 2, length(t) - 2) ELSE t END AS t FROM r),
+  s AS (SELECT id, query, CASE WHEN length(t) > 1 AND starts_with(t, ) AND ends_with(t, ) THEN substring(t, 2, length(t) - 2) ELSE t END AS t FROM d)
+  SELECT id::INT AS id, CASE WHEN t <> '' THEN t ELSE query END AS query, t <> '' AND lower(t) <> lower(query) AS applied FROM s""",
     "prompt_history": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE role IN ('user', 'assistant'))
   SELECT c.conv_id, coalesce(string_agg(r.role || ':' || r.text, chr(10) ORDER BY r.turn) FILTER (k <= 2), '') AS text FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id""",
     "prompt_messages_generic": _prompt_sql(f"'user:' || CASE WHEN conv_id % 2 = 0 THEN {_q(V.FOUND_HEAD)} || 'hit ' || conv_id || {_q(V.QUESTION_HEAD)} || text || {_q(V.FOUND_TAIL)} ELSE {_q(V.NO_RESULT + V.QUESTION_HEAD)} || text END"),
@@ -447,7 +565,48 @@ ORACLE = TEMPLATE_ORACLE | {
   CASE WHEN NOT starts_with(text, '<think>') THEN text WHEN p > 0 THEN regexp_replace(substring(text, p + 8), '^\\s+|\\s+$', '', 'g') ELSE '' END AS content FROM (SELECT *, strpos(text, '</think>') AS p FROM thought WHERE role = 'assistant')),
   blocks AS (SELECT conv_id, turn, 0 AS o, 'thinking' AS type, reasoning AS text FROM parts WHERE reasoning <> '' UNION ALL SELECT conv_id, turn, 1, 'text', content FROM parts WHERE content <> '' OR reasoning = '')
   SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY o) - 1)::INT AS part, type, text FROM blocks""",
-    "strategy_lookup": f"SELECT id::INT AS id, strategy FROM {values_sql(STRATEGIES, 'id, name, strategy')}",
-    "filename_sanitize": f"SELECT id::INT AS id, file FROM {values_sql(NAMES, 'id, name, file')}",
+    "strategy_lookup": f"""WITH k AS (SELECT id, replace(lower(trim(coalesce(name, 'generic'))), '_', '-') AS key FROM {values_sql([x[:2] for x in STRATEGIES], 'id, name')}),
+  p AS (SELECT *, replace(key, 'phi-4', 'phi4') AS phi FROM k)
+  SELECT id::INT AS id, CASE WHEN contains(key, 'qwen') THEN coalesce(nullif(regexp_extract(key, 'qwen[23]'), ''), 'qwen')
+    WHEN contains(key, 'glm') THEN CASE WHEN contains(key, 'z1') THEN 'glm4-z1' WHEN contains(key, 'glm4') THEN 'glm4' ELSE 'glm' END
+    WHEN contains(key, 'deepseek') THEN CASE WHEN contains(key, 'r1') THEN 'deepseek-r1' ELSE 'deepseek' END
+    WHEN contains(phi, 'phi4') THEN 'phi4' || CASE WHEN contains(key, 'mini') THEN '-mini' ELSE '' END || CASE WHEN contains(key, 'reason') THEN '-reasoning' ELSE '' END ELSE 'generic' END AS strategy FROM p""",
+    "filename_sanitize": f"""SELECT id::INT AS id, coalesce(nullif(trim(regexp_replace(coalesce(nullif(name, ''), 'default'), '[<>:"/\\\\|?*]+', '_', 'g'), ' .'), ''), 'default') AS file FROM {values_sql([n[:2] for n in NAMES], 'id, name')}""",
+    "tool_call_parse": f"WITH {_CALLED} SELECT id, 0 AS n, call_id, 'look' AS name, arguments FROM called",
+    "tool_call_strip": f"WITH {_CALLED} SELECT id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, kind <> 2 AS looks_like_calls FROM called",
+    "tool_events": f"""WITH {_CALLED} SELECT id AS req_id, 0 AS call, step::INT AS step, CASE step WHEN 0 THEN 'start' WHEN 1 THEN 'delta' ELSE 'stop' END AS event,
+  CASE step WHEN 0 THEN '{{"id":"' || call_id || '","name":"look"}}' WHEN 1 THEN arguments ELSE '' END AS payload FROM called, range(3) r(step)""",
+    "tool_events_chunks": f"""WITH {_CALLED} SELECT id AS req_id, 0 AS call, step::INT AS step, CASE step WHEN 0 THEN 'header' ELSE 'arguments' END AS event,
+  CASE step WHEN 0 THEN '{{"id":"' || call_id || '","name":"look"}}' ELSE arguments END AS payload FROM called, range(2) r(step)""",
+    "schema_compact": f"SELECT conv_id, turn, {COMPACT} AS tool FROM conversations",
+    "stream_think": f"WITH {_PIECED} SELECT req_id, reasoning, content FROM split WHERE reasoning <> '' OR content <> ''",
+    "stream_blocks": f"""WITH {_PIECED}, parts AS (SELECT req_id, 0 AS o, 'reasoning' AS field, reasoning AS text FROM split WHERE reasoning <> '' UNION ALL SELECT req_id, 1, 'content', content FROM split WHERE content <> '' OR reasoning = '')
+  SELECT req_id, row_number() OVER (PARTITION BY req_id ORDER BY o) - 1 AS block, field, text FROM parts""",
+    "stream_stop": f"""WITH {_PIECED}, cut AS (SELECT req_id, text, least(coalesce(nullif(strpos(text, ' the '), 0), 1e9), coalesce(nullif(strpos(text, chr(10) || chr(10)), 0), 1e9)) AS upto FROM pieced)
+  SELECT req_id, content FROM (SELECT req_id, CASE WHEN upto < 1e9 THEN substring(text, 1, upto::BIGINT - 1) ELSE text END AS content FROM cut) WHERE content <> ''""",
+    "event_stream": """WITH framings AS (SELECT * FROM (VALUES ('chunks', 'role', 'delta', 'done'), ('blocks', 'message_start', 'content_block_delta', 'message_stop'), ('knowledge', 'start', 'delta', 'end')) t(framing, a, b, c)),
+  ends AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+  SELECT framing, conv_id AS req_id, 0::BIGINT AS seq, a AS event, '{"role":"assistant"}' AS payload FROM ends, framings
+  UNION ALL SELECT framing, conv_id, row_number() OVER (PARTITION BY framing, conv_id ORDER BY turn), b, '{"field":"' || role || '","text":"' || lower(role) || '"}' FROM conversations, framings
+  UNION ALL SELECT framing, conv_id, n + 1, c, '{"deltas":' || n || '}' FROM ends, framings""",
+    "intent_chosen": f"""WITH {_GATHERED}, plans AS (SELECT conv_id, has, string_split({INTENT_CASE}, '|') AS p FROM (SELECT conv_id, trim(text) AS q, EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn < a.turn) AS has FROM asked a))
+  SELECT conv_id, CASE WHEN p[2]::DOUBLE < 0.7 THEN 'topic_switch' ELSE p[1] END AS intent, CASE WHEN p[2]::DOUBLE < 0.7 THEN 0.8 ELSE p[2]::DOUBLE END AS confidence, has AS when_off FROM plans""",
+    "rewrite_gated": f"""WITH {_GATHERED}, h AS (SELECT conv_id, text, EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn < a.turn) AS has FROM asked a)
+  SELECT conv_id, CASE WHEN has THEN text || '?' ELSE text END AS query, has AS applied, false AS never FROM h""",
+    "message_normalize": f"WITH {TOOLED} SELECT conv_id, turn, role, CASE WHEN calls IS NULL THEN content END AS content FROM tooled",
+    "history_clean": f"WITH {THOUGHT} SELECT * FROM (SELECT conv_id, turn, {_STRIPPED} AS content FROM thought) WHERE content <> ''",
+    "prune_rendered": """WITH r AS (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS behind FROM conversations)
+  SELECT conv_id, (count(*) FILTER (behind > 900))::INT AS gone FROM r GROUP BY conv_id""",
+    "tool_injection": """WITH f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS m FROM conversations)
+  SELECT conv_id, 'system' AS role, CASE WHEN role = 'system' THEN text || chr(10) || chr(10) || 'Tools: look' ELSE 'Tools: look' END AS content, (m + CASE WHEN role = 'system' THEN 0 ELSE 1 END)::INT AS n FROM f WHERE k = 1""",
+    "special_clean": "SELECT conv_id, turn, replace(replace(text, '<s>', ''), '</s>', '') || '<|tool|><think>' AS text FROM conversations",
+    "request_settings": """SELECT * FROM (VALUES (1::INT, 'a', 4096::INT, 5::INT), (2, NULL, 2048, 7), (3, 'x', NULL, NULL), (4, NULL, 32, 9)) t(id, stops, win, most)""",
+    "allowed_names": "SELECT conv_id, string_agg(role, ',' ORDER BY role) AS names FROM (SELECT DISTINCT conv_id, role FROM conversations) GROUP BY conv_id",
+    "legacy_tools": """SELECT conv_id, turn, '{"type":"function","function":{"name":"' || role || '"}}' AS tool, CASE WHEN role = 'user' THEN 'auto' ELSE '{"type":"function","function":{"name":"' || role || '"}}' END AS choice FROM conversations""",
+    "block_messages": """WITH r AS (SELECT conv_id, turn, part, role, text FROM conversations, range(2) p(part) WHERE role <> 'system'),
+  m AS (SELECT conv_id, turn, part, CASE WHEN role = 'assistant' THEN 'assistant' WHEN part = 0 THEN 'tool' ELSE 'user' END AS role, CASE WHEN role <> 'assistant' AND part = 0 THEN 'found' ELSE text END AS content,
+    CASE WHEN role <> 'assistant' AND part = 0 THEN 't1' END AS tool_call_id, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS n_calls FROM r WHERE role <> 'assistant' OR part = 0
+    UNION ALL SELECT DISTINCT conv_id, -1, 0, 'system', 'sys ' || conv_id, NULL, 0 FROM r)
+  SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) - 1)::INT AS at, role, content, tool_call_id, n_calls::INT AS n_calls FROM m""",
     "stream_delta": "SELECT conv_id AS req_id, turn AS seq, substring(text, seen + 1) AS delta FROM (SELECT *, coalesce(max(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM conversations) WHERE length(text) > seen",
 }

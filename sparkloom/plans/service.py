@@ -36,6 +36,12 @@ def model_lookup(spark, d):
     return R.resolve_model(literal(spark, ASKED, "id int, model string"), _models(spark)).select("id", "resolved")
 
 
+def model_defaults(spark, d):
+    """Each event asks for a model by its type: unknown names go to the first model, or are a 404."""
+    asked = table(spark, d, "events").select("event_id", F.col("event_type").alias("model"))
+    return R.resolve_model(R.required_model(asked, _models(spark)), _models(spark), unknown_to_first=True).select("event_id", "resolved", "status")
+
+
 def model_listing(spark, d):
     other = literal(spark, OTHERS, "name string, kind string")
     return R.model_listing(_models(spark), other.filter("kind = 'embedding'"), other.filter("kind = 'reranker'"))
@@ -80,11 +86,15 @@ def validation_message(spark, d):
     return rows.select("id", R.validation_message(F.col("errors")).alias("message"))
 
 
-QUERIES = {f.__name__: f for f in (model_lookup, model_listing, usage_by_model, deployment_metrics, least_loaded, latest_log_per_model, auto_workers, error_status, request_log, validation_message)}
+QUERIES = {f.__name__: f for f in (model_lookup, model_defaults, model_listing, usage_by_model, deployment_metrics, least_loaded, latest_log_per_model, auto_workers, error_status, request_log, validation_message)}
 
 _REPLICAS = f"{REQUESTS}, replicas AS (SELECT model, replica, 100000 AS capacity, count(*) AS active, count(*) FILTER (status = 503) AS rejected FROM requests GROUP BY model, replica)"
 ORACLE = {
-    "model_lookup": "SELECT id::INT AS id, resolved FROM (VALUES (1, 'Alpha-7B'), (2, 'Alpha-7B'), (3, 'Alpha-7B'), (4, NULL), (5, 'beta')) t(id, resolved)",
+    "model_lookup": f"""WITH m AS (SELECT * FROM {values_sql(MODELS, 'ord, name, c, r')}), q AS (SELECT * FROM {values_sql(ASKED, 'id, model')})
+  SELECT q.id::INT AS id, CASE WHEN q.model IS NULL THEN (SELECT arg_min(name, ord) FROM m) ELSE coalesce(e.name, l.name) END AS resolved
+  FROM q LEFT JOIN m e ON e.name = q.model LEFT JOIN m l ON lower(trim(l.name)) = lower(trim(q.model))""",
+    "model_defaults": f"""WITH m AS (SELECT * FROM {values_sql(MODELS, 'ord, name, c, r')}), e AS (SELECT event_id, event_type AS model FROM events)
+  SELECT event_id, coalesce(m.name, (SELECT arg_min(name, ord) FROM m)) AS resolved, CASE WHEN m.name IS NULL THEN 404 ELSE 200 END::INT AS status FROM e LEFT JOIN m ON m.name = e.model""",
     "model_listing": f"SELECT name, 'llm' AS kind FROM {values_sql(MODELS, 'ord, name, c, r')} UNION ALL SELECT name, kind FROM {values_sql(OTHERS, 'name, kind')}",
     "usage_by_model": f"WITH {REQUESTS} SELECT model, count(*) AS requests, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, sum(prompt_tokens + completion_tokens)::BIGINT AS total_tokens FROM requests GROUP BY model",
     "deployment_metrics": f"WITH {_REPLICAS} SELECT model, count(*) AS replicas, sum(capacity)::BIGINT AS capacity, sum(active)::BIGINT AS active, sum(rejected)::BIGINT AS rejected FROM replicas GROUP BY model",
@@ -93,5 +103,6 @@ ORACLE = {
     "auto_workers": f"SELECT greatest(4, least(sum(c * r) + {len(OTHERS)}, 128))::INT AS workers FROM {values_sql(MODELS, 'ord, name, c, r')}",
     "error_status": f"SELECT id::INT AS id, status::INT AS status, CASE WHEN status < 500 THEN 'invalid_request_error' ELSE 'server_error' END AS type FROM (SELECT id, CASE code {' '.join(f"WHEN '{k}' THEN {v}" for k, v in R.STATUS.items())} ELSE 500 END AS status FROM {values_sql(CODES, 'id, code')})",
     "request_log": f"WITH {REQUESTS} SELECT model, count(*) AS requests, count(*) FILTER (status >= 400) AS failed, round(avg(ms), 6) AS mean_ms FROM requests GROUP BY model",
-    "validation_message": "SELECT id::INT AS id, message FROM (VALUES (1, 'body -> top_k: too large; query: missing'), (2, '')) t(id, message)",
+    "validation_message": """WITH e AS (SELECT * FROM (VALUES (1, 0, ['body', 'top_k'], 'too large'), (1, 1, ['query'], 'missing')) t(id, k, loc, msg))
+  SELECT i::INT AS id, coalesce(string_agg(array_to_string(loc, ' -> ') || ': ' || msg, '; ' ORDER BY k), '') AS message FROM (VALUES (1), (2)) n(i) LEFT JOIN e ON e.id = i GROUP BY i""",
 }

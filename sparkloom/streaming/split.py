@@ -168,12 +168,20 @@ def stop_stream(deltas: DataFrame, words: tuple[str, ...]) -> DataFrame:
     return split_stream(deltas, StopProcessor(words))
 
 
+def whole(events: DataFrame) -> DataFrame:
+    """req_id, reasoning, content: what the deltas of a request say together, in order."""
+    said = lambda field: F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct("seq", "text"))))
+    joined = lambda name: F.array_join(F.transform(name, lambda x: x["text"]), "").alias(name)
+    gathered = events.groupBy("req_id").agg(said("reasoning").alias("reasoning"), said("content").alias("content"))
+    return gathered.select("req_id", joined("reasoning"), joined("content"))
+
+
 def blocks(events: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     """req_id, block, field, text: runs of deltas of the same field as numbered blocks, in order.
 
     A request of ``requests(req_id)`` without any delta is one empty block of content.  A request's deltas are one sequence, so
     the unit of work is a request, as long as its answer."""
-    by = Window.partitionBy("req_id").orderBy("seq")
+    by = Window.partitionBy("req_id").orderBy("seq", F.col("field") != "reasoning")  # one delta may end a thought and begin the answer
     new = F.coalesce((F.col("field") != F.lag("field").over(by)).cast("int"), F.lit(0))
     numbered = events.withColumn("new", new).withColumn("block", F.sum("new").over(by))
     piece = F.array_sort(F.collect_list(F.struct("seq", "text")))
@@ -217,7 +225,7 @@ def event_rows(deltas: DataFrame, framing: str) -> DataFrame:
     Every request has a first event and a last one with the number of its deltas; payloads are JSON.  Numbers come from the
     deltas' order in their request."""
     first, middle, last = FRAMINGS[framing]
-    by = Window.partitionBy("req_id").orderBy("seq", F.col("field").desc())
+    by = Window.partitionBy("req_id").orderBy("seq", F.col("field") != "reasoning")
     body = deltas.select("req_id", F.row_number().over(by).cast("long").alias("seq"), F.lit(middle).alias("event"), F.to_json(F.struct("field", "text")).alias("payload"))
     ends = deltas.groupBy("req_id").agg(F.count("*").alias("n"))
     edge = lambda seq, event, payload: ends.select("req_id", seq.cast("long").alias("seq"), F.lit(event).alias("event"), payload.alias("payload"))
