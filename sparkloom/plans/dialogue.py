@@ -536,8 +536,8 @@ ORACLE = TEMPLATE_ORACLE | {
     ELSE 'follow_up|0.3|true|true' END AS plan FROM n""",
     "rewrite_history": f"WITH {_RECENT} SELECT conv_id, string_agg({_NAME} || ': ' || text, chr(10) ORDER BY turn) AS text, string_agg({_NAME} || ': ' || substring(text, 1, 200), chr(10) ORDER BY turn) AS short FROM ranked WHERE k <= 4 GROUP BY conv_id",
     "query_rewrite": f"""WITH r AS (SELECT id, query, trim(answer) AS t FROM {values_sql(REWRITES, 'id, query, answer')}),
-  d AS (SELECT id, query, CASE WHEN length(t) > 1 AND starts_with(t, '"') AND ends_with(t, '"') THEN substring(t, 2, length(t) - 2) ELSE t END AS t FROM r),
-  s AS (SELECT id, query, CASE WHEN length(t) > 1 AND starts_with(t, ) AND ends_with(t, ) THEN substring(t, 2, length(t) - 2) ELSE t END AS t FROM d)
+  d AS (SELECT id, query, CASE WHEN length(t) > 1 AND starts_with(t, chr(34)) AND ends_with(t, chr(34)) THEN substring(t, 2, length(t) - 2) ELSE t END AS t FROM r),
+  s AS (SELECT id, query, CASE WHEN length(t) > 1 AND starts_with(t, chr(39)) AND ends_with(t, chr(39)) THEN substring(t, 2, length(t) - 2) ELSE t END AS t FROM d)
   SELECT id::INT AS id, CASE WHEN t <> '' THEN t ELSE query END AS query, t <> '' AND lower(t) <> lower(query) AS applied FROM s""",
     "prompt_history": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE role IN ('user', 'assistant'))
   SELECT c.conv_id, coalesce(string_agg(r.role || ':' || r.text, chr(10) ORDER BY r.turn) FILTER (k <= 2), '') AS text FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id""",
