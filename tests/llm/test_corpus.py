@@ -113,6 +113,21 @@ def test_quality_held_out(spark, docs):
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in zip(got.doc_id, got.held_out))
 
 
+def test_quality_of_held_out_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    known = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    got = queries.op2_quality(spark, folder).join(known, "doc_id").filter("held_out").toPandas()
+    good, bad = got[got.quality == 1].score, got[got.quality == 0].score
+    auc = np.mean([(x > bad).mean() + (x == bad).mean() / 2 for x in good])
+    assert auc > 0.85 and (good >= 0.7).mean() > 0.9 and (bad < 0.7).mean() > 0.3
+
+
+def test_quality_learns_from_an_id_that_many_rows_repeat(spark):
+    rows = [(1, f"clean words number {i}.") for i in range(200)] + [(i, "clean words.") for i in range(2, 60)]
+    model = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (5, 1)], "doc_id long, quality int"), positives=30, unlabelled=40)
+    assert 0 < model.prior < 1
+
+
 def test_quality_tells_junk_apart():
     rng = np.random.default_rng(0)
     clean = lambda: " ".join(rng.choice(["tion", "ther", "ing", "and", "of"], rng.integers(20, 200))) + "."
@@ -189,6 +204,33 @@ def test_bpe_pieces_of_any_kind(tokenizer):
     assert coder.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_memo_holds_what_is_asked_for_often_and_no_long_key():
+    made = []
+    memo = bpe.Memo(lambda k: made.append(k) or k.upper(), room=50 * 210)
+    for i in range(3000):
+        assert memo[f"once{i}"] == f"ONCE{i}" and memo["often"] == "OFTEN" and len(memo) <= 60
+    assert made.count("often") == 1
+    assert memo["x" * 600] == "X" * 600 and "x" * 600 not in memo
+
+
+def test_a_vocabulary_without_special_tokens_takes_empty_texts(tmp_path, tokenizer):
+    import json
+
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    (tmp_path / "plain.json").write_text(json.dumps(spec | {"added_tokens": []}), encoding="utf-8")
+    vocab = bpe.Vocabulary(str(tmp_path / "plain.json"))
+    coder = bpe.Encoder(vocab, bpe.Lexicon(bpe.build_lexicon({})))
+    assert coder.encode("") == [] and coder.digest("")[0] == 0
+    for text in ("a b", " a", "a\u00a0b", "a\n\nb", "x" * 700 + " y"):
+        assert coder.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_long_piece_is_not_in_the_lexicon(spark):
+    docs = spark.createDataFrame([(1, "q" * 100_000 + " the the"), (2, None)], "doc_id long, text string")
+    assert max(map(len, bpe.frequent_pieces(docs, queries.tokenizer_path()))) <= bpe.LONGEST
+
+
 def test_lexicon_holds_its_words_alone():
     words = {w.encode(): [i, i + 1] for i, w in enumerate(["a", "ab", "abs", "cabs", "cab", "z"])}
     lexicon = bpe.Lexicon(bpe.build_lexicon(words))
@@ -386,6 +428,25 @@ def test_langid_learns_scripts_without_spaces(spark):
     assert got.held_out.any() and (got.lang == got.lang_pred).all()
 
 
+def test_langid_of_more_languages_than_it_learns(spark):
+    path = queries.tokenizer_path(queries.PIECES)
+    rows = [(i, "the cat sat" if i % 3 else "der Hund lief", "en" if i % 3 else "de") for i in range(90)] + [(100 + i, "zzz", f"x{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(docs, path, most=2).languages == ["de", "en"] and len(langid.train(docs, path).languages) > 20
+
+
+def test_word_rows_move_on_to_the_next_generation():
+    known = langid._Known(2, 0)
+    for i in range(40):
+        words = ["often", *(f"w{i}x{j}" for j in range(100))]
+        out = np.zeros((101, 2), np.float32)
+        fresh = known.fill(words, out)
+        assert (0 in fresh) == (i == 0) and (i == 0 or out[0].tolist() == [1.0, 2.0])
+        out[fresh] = [1.0, 2.0]
+        known.keep([words[k] for k in fresh], out[fresh])
+        assert len(known.young[0]) <= known.most
+
+
 def test_langid_edges(edge, empty, spark):
     path = queries.tokenizer_path(queries.PIECES)
     got = {r["doc_id"]: r for r in langid.identify(edge.filter("doc_id IS NOT NULL"), path).collect()}
@@ -545,6 +606,16 @@ def test_common_shingles_of_long_documents_are_whole_numbers():
     assert linked(sets) and not linked([s[1:] for s in sets])
 
 
+def test_common_shingles_in_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, n)) for n in (120, 150, 200, 5, 90, 140)]
+    sizes, low, high = np.array(list(map(len, sets))), np.array([0, 1, 4]), np.array([1, 2, 3, 5])
+    want = [[100 * len(np.intersect1d(sets[a], sets[b])) >= 30 * len(np.union1d(sets[a], sets[b])) for b in high] for a in low]
+    for cells in (6, 100, 1 << 22):
+        monkeypatch.setattr(near_dedup, "CELLS", cells)
+        assert near_dedup._linked(sets, sizes, low, high, 30).tolist() == want
+
+
 def test_near_duplicate_edges(edge, empty):
     got = near_dedup.mark(edge).toPandas()
     assert len(got) == len(RAW) and (got[got.n_shingles == 0].kept).all()

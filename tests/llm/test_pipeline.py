@@ -4,12 +4,31 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
+
 import corpus_pipeline
 from sparkloom.llm import queries
 from tests.llm.test_corpus import brute_components
 from tests.oracle import DATA
 
 
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, score double, size int, digest string, TEXT2 string, keep_id long, n_tokens int"
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_run_on_odd_rows(spark, tmp_path, kind):
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "the cat sat on the mat.", "en", "a", 23), (4, "the cat sat on the mat.", "en", "b", 23), (4, "the cat sat on the mat.", "en", "b", 23), (None, "no id here.", None, None, 11)]
+    made = spark.createDataFrame([(*r, 0.5, 1, "d", "t", 9, 8) for r in rows] if kind == "odd" else [], EXTRA)
+    made.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(3, 1), (None, 1), (2, None)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, work in corpus_pipeline.STAGES:
+        out = work(spark, docs, str(tmp_path))
+        assert name == "bpe" or out.columns == docs.columns
+        assert out.count() <= docs.count() * (3 if name == "mixing" else 1)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+
+
 def test_stages_on_their_own_inputs(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = [docs]
