@@ -37,7 +37,7 @@ from .common import batches, bound_arrow_batches, fold_of, picked, returned_memo
 
 PER_LANGUAGE = 3_000
 #: Bytes of word likelihoods that a task remembers, in each of two generations.
-ROOM = 12 << 20
+ROOM = 32 << 20
 #: Languages that are learned at most, those with most documents: the model has a number for each language and piece.
 LANGUAGES = 500
 #: Words that a task counts, and languages that it sums, before it hands them on.
