@@ -51,6 +51,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_freed(spark: SparkSession) -> None:
+    """Shuffle and checkpoint files that nothing refers to any more go now: Spark removes them when the driver's collector meets
+    their owners, which a driver with room to spare may put off for the whole run."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast when it is counted to hold at most ``limit`` rows; otherwise the join shuffles."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

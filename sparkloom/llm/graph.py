@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import files_freed
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of ``edges(a, b)``; the label is the smallest node reachable.
@@ -26,6 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(told) == mark:
             break
         mark = tuple(told)
+        files_freed(edges.sparkSession)
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     )

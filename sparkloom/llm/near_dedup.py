@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_lower_words, batches, bound_arrow_batches, broadcast_if_small, picked, returned_memory, scramble, shingle_set, stage, text_of, unwrapped, wrapped
+from .common import WordHashes, ascii_lower_words, batches, bound_arrow_batches, broadcast_if_small, files_freed, picked, returned_memory, scramble, shingle_set, stage, text_of, unwrapped, wrapped
 from .graph import components
 
 COORDS = 64
@@ -146,10 +146,14 @@ def links(docs: DataFrame, base: DataFrame, words: int, percent: int, coords: in
     if posted.isEmpty():
         return None
     named = posted.select("digest").distinct()
-    wanted = base.join(named, "digest").groupBy("digest").agg(F.min(F.struct("doc_id", "tkey")).alias("at"), F.max("sig").alias("sig"))
+    # 16 bits of each value count collisions: none that agree are missed, and the sets decide
+    brief = base.select("digest", "doc_id", "tkey", F.transform("sig", lambda x: F.shiftright(x, 48).cast("short")).alias("sig"))
+    wanted = brief.join(named, "digest").groupBy("digest").agg(F.min(F.struct("doc_id", "tkey")).alias("at"), F.max("sig").alias("sig"))
     wanted = stage(wanted.select("digest", "at.doc_id", "at.tkey", "sig"), "wanted")
     sets = stage(shingle_sets(docs, wanted.drop("sig"), words, id_col, text_col).join(wanted.select("digest", "sig"), "digest"), "sets")
 
+    files_freed(docs.sparkSession)
+
     # first round: every member with its list's smallest
     lowest = stage(posted.groupBy("key").agg(F.min("digest").alias("p")), "pivots")
     pairs = posted.join(lowest, "key").filter("digest <> p").select(F.col("digest").alias("a"), F.col("p").alias("b")).distinct()
@@ -158,10 +162,9 @@ def links(docs: DataFrame, base: DataFrame, words: int, percent: int, coords: in
     labels = components(edges)
     # second round: what lists still hold of different components
     open_lists = posted.join(labels, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", F.coalesce("label", "digest").alias("label"))
-    several = open_lists.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m"), F.sum("n").alias("held")).filter("l <> h")
-    cuts = F.greatest(F.ceil(F.col("m") / BLOCK), F.least(F.ceil(F.col("held") / BLOCK_SHINGLES), F.col("m"))).cast("int")
-    lists = open_lists.join(stage(several.select("key", cuts.alias("cuts")), "lists"), "key")
+    lists = open_lists.join(stage(dealt_lists(open_lists), "lists"), "key")
     more = _confirmed(merged_lists(lists, sets, matches, percent), sets, matches, percent).checkpoint()
+    files_freed(docs.sparkSession)
     if more.isEmpty():
         return labels
     stars = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
@@ -200,7 +203,7 @@ def _tree(rows: list[tuple], matches: int, percent: int) -> Iterator[tuple]:
     low, high = np.flatnonzero(mine == rows[0][1]), np.flatnonzero(mine == rows[0][2])
     if not len(low) or not len(high):
         return
-    sig = np.array([r[7] for r in rows], np.int64)
+    sig = np.stack([r[7] for r in rows])
     ok = label[low][:, None] != label[high][None, :]
     ok &= np.minimum(sizes[low][:, None], sizes[high][None, :]) * 100 >= np.maximum(sizes[low][:, None], sizes[high][None, :]) * percent
     hits = np.zeros(ok.shape, np.int16)
@@ -228,12 +231,30 @@ def _tree(rows: list[tuple], matches: int, percent: int) -> Iterator[tuple]:
             yield max(a, b), min(a, b)
 
 
-def merged_lists(lists: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """(a, b): links between the labels of ``lists(key, digest, n, label, cuts)`` that collide in ``matches`` coordinates.
+def dealt_lists(open_lists: DataFrame) -> DataFrame:
+    """(key, most, rest, apart) for the lists with several labels: the label with most members, the number of blocks for the other
+    members, and of those for its own, which is 0 where the whole list is one block."""
+    of_label = open_lists.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("held"))
+    top = F.max(F.struct("m", "label", "held")).alias("top")
+    several = of_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("m").alias("m"), F.sum("held").alias("held"), top).filter("labels > 1")
+    cuts = lambda m, held: F.greatest(F.ceil(m / BLOCK), F.least(F.ceil(held / BLOCK_SHINGLES), m)).cast("int")
+    whole = cuts(F.col("m"), F.col("held")) == 1
+    rest = cuts(F.col("m") - F.col("top.m"), F.col("held") - F.col("top.held"))
+    apart = cuts(F.col("top.m"), F.col("top.held"))
+    return several.select("key", F.col("top.label").alias("most"), F.when(whole, 1).otherwise(rest).alias("rest"), F.when(whole, 0).otherwise(apart).alias("apart"))
 
-    A list is cut into blocks, and each pair of blocks is one piece of work; a member goes to as many as there are blocks."""
-    own = F.pmod(F.xxhash64("digest"), F.col("cuts")).cast("int")
-    dealt = lists.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+
+def merged_lists(lists: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+    """(a, b): links between the labels of ``lists(key, digest, n, label, most, rest, apart)`` that collide in ``matches`` coordinates.
+
+    A list is cut into blocks, and each pair of blocks is one piece of work.  Members of the label with most of a list have nothing
+    to tell each other: their blocks come after the others' and meet those alone, so that a family with a few strangers in its list
+    is dealt once for each block of strangers, and not once for each block of its own."""
+    large = (F.col("apart") > 0) & (F.col("label") == F.col("most"))
+    in_block = lambda n: F.pmod(F.xxhash64("digest"), n).cast("int")
+    own = F.when(large, F.col("rest") + in_block(F.col("apart"))).otherwise(in_block(F.col("rest")))
+    last = F.when(large, F.col("rest")).otherwise(F.col("rest") + F.col("apart")) - 1
+    dealt = lists.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), last)))
     dealt = dealt.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "digest", "n", "label")
     with_sets = dealt.join(sets.select("digest", "sig", "members"), "digest")
     order = ["key", "i", "j"]
@@ -243,8 +264,8 @@ def merged_lists(lists: DataFrame, sets: DataFrame, matches: int, percent: int)
         def pairs():
             held: list[tuple] = []
             for part in parts:
-                *plain, members = part.columns
-                for row in zip(*(c.to_pylist() for c in plain), (m.values.to_numpy() for m in members), strict=True):
+                *plain, sig, members = part.columns
+                for row in zip(*(c.to_pylist() for c in plain), *((x.values.to_numpy() for x in c) for c in (sig, members)), strict=True):
                     if held and row[:3] != held[0][:3]:
                         yield from _tree(held, matches, percent)
                         held = []
