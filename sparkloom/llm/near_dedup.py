@@ -232,28 +232,30 @@ def _tree(rows: list[tuple], matches: int, percent: int) -> Iterator[tuple]:
 
 
 def dealt_lists(open_lists: DataFrame) -> DataFrame:
-    """(key, most, rest, apart) for the lists with several labels: the label with most members, the number of blocks for the other
+    """(key, most, cuts, apart) for the lists with several labels: the label with most members, the number of blocks for the other
     members, and of those for its own, which is 0 where the whole list is one block."""
     of_label = open_lists.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("held"))
     top = F.max(F.struct("m", "label", "held")).alias("top")
     several = of_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("m").alias("m"), F.sum("held").alias("held"), top).filter("labels > 1")
-    cuts = lambda m, held: F.greatest(F.ceil(m / BLOCK), F.least(F.ceil(held / BLOCK_SHINGLES), m)).cast("int")
-    whole = cuts(F.col("m"), F.col("held")) == 1
-    rest = cuts(F.col("m") - F.col("top.m"), F.col("held") - F.col("top.held"))
-    apart = cuts(F.col("top.m"), F.col("top.held"))
-    return several.select("key", F.col("top.label").alias("most"), F.when(whole, 1).otherwise(rest).alias("rest"), F.when(whole, 0).otherwise(apart).alias("apart"))
+    blocks = lambda m, held: F.greatest(F.ceil(m / BLOCK), F.least(F.ceil(held / BLOCK_SHINGLES), m)).cast("int")
+    whole = blocks(F.col("m"), F.col("held")) == 1
+    rest = blocks(F.col("m") - F.col("top.m"), F.col("held") - F.col("top.held"))
+    apart = blocks(F.col("top.m"), F.col("top.held"))
+    return several.select("key", F.col("top.label").alias("most"), F.when(whole, 1).otherwise(rest).alias("cuts"), F.when(whole, 0).otherwise(apart).alias("apart"))
 
 
 def merged_lists(lists: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """(a, b): links between the labels of ``lists(key, digest, n, label, most, rest, apart)`` that collide in ``matches`` coordinates.
+    """(a, b): links between the labels of ``lists(key, digest, n, label, cuts, most, apart)`` that collide in ``matches`` coordinates.
 
-    A list is cut into blocks, and each pair of blocks is one piece of work.  Members of the label with most of a list have nothing
+    A list is cut into blocks, and each pair of blocks is one piece of work; without ``most`` and ``apart`` any two blocks meet.  Members of the label with most of a list have nothing
     to tell each other: their blocks come after the others' and meet those alone, so that a family with a few strangers in its list
     is dealt once for each block of strangers, and not once for each block of its own."""
+    if "apart" not in lists.columns:
+        lists = lists.select("*", F.lit(None).cast("binary").alias("most"), F.lit(0).alias("apart"))
     large = (F.col("apart") > 0) & (F.col("label") == F.col("most"))
     in_block = lambda n: F.pmod(F.xxhash64("digest"), n).cast("int")
-    own = F.when(large, F.col("rest") + in_block(F.col("apart"))).otherwise(in_block(F.col("rest")))
-    last = F.when(large, F.col("rest")).otherwise(F.col("rest") + F.col("apart")) - 1
+    own = F.when(large, F.col("cuts") + in_block(F.col("apart"))).otherwise(in_block(F.col("cuts")))
+    last = F.when(large, F.col("cuts")).otherwise(F.col("cuts") + F.col("apart")) - 1
     dealt = lists.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), last)))
     dealt = dealt.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "digest", "n", "label")
     with_sets = dealt.join(sets.select("digest", "sig", "members"), "digest")

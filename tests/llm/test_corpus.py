@@ -581,6 +581,25 @@ def test_blocks_of_a_list_meet(spark, monkeypatch):
     assert got == brute_components(rows, 3, 85)
 
 
+def test_the_largest_label_of_a_list_meets_all_others(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    texts = [f"same words in all of these and one of its own w{i}" for i in range(14)]
+    label = [b"A" if i < 9 else b"BCDEF"[i - 9 : i - 8] for i in range(14)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = docs.select(F.col("text").cast("binary").alias("digest"), "doc_id", F.xxhash64("text").alias("tkey"))
+    # each stranger collides with one member of the large label alone, and the last with the one before it alone
+    near = {9: 0, 10: 3, 11: 5, 12: 8, 13: 12}
+    sig = [[i, 100 + i] for i in range(9)] + [[near[i], 200 + i] for i in range(9, 13)] + [[300, 212]]
+    shown = spark.createDataFrame([(t.encode(), x) for t, x in zip(texts, sig, strict=True)], "digest binary, sig array<short>")
+    sets = near_dedup.shingle_sets(docs, wanted, 1, "doc_id", "text").join(shown, "digest")
+    open_lists = spark.createDataFrame([(7, t.encode(), len(set(t.split())), x) for t, x in zip(texts, label, strict=True)], "key long, digest binary, n long, label binary")
+    cuts = near_dedup.dealt_lists(open_lists)
+    row = cuts.first()
+    assert (bytes(row["most"]), row["cuts"], row["apart"]) == (b"A", 3, 5)
+    got = {frozenset((bytes(r["a"]).decode(), bytes(r["b"]).decode())) for r in near_dedup.merged_lists(open_lists.join(cuts, "key"), sets, 1, 80).collect()}
+    assert got == {frozenset((texts[x], texts[y])) for x, y in near.items()}
+
+
 def test_second_round_tells_shingles_with_equal_upper_halves_apart(spark):
     names = [f"w{i}" for i in range(400_000)]
     # a word alone is a shingle of its own
