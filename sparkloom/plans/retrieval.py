@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import text as X
 from sparkloom.operators import search as S
 from sparkloom.sources import chunks as C
 
@@ -21,9 +20,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, query: the first eight tokens of every benchmark item."""
-    rows = table(spark, sf_dir, "benchmark")
-    return rows.select(F.col("item_id").alias("qid"), F.array_join(F.slice(X.tokens(F.col("text")), 1, 8), " ").alias("query"))
+    """qid, query: the whole text of every benchmark item."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +63,7 @@ def _tokens(field: str) -> str:
     return f"list_filter(string_split_regex(lower({field}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
-QUERIES_SQL = f"""queries AS (SELECT item_id AS qid, array_to_string(list_slice({_tokens('text')}, 1, 8), ' ') AS query FROM benchmark),
+QUERIES_SQL = f"""queries AS (SELECT item_id AS qid, text AS query FROM benchmark),
 terms AS (SELECT DISTINCT qid, unnest({_tokens('query')}) AS term FROM queries)"""
 
 
