@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, langid, line_dedup, mixing, near_dedup, quality, repeats, url_filter
+from . import ann, bpe, exact_dedup, langid, line_dedup, mixing, near_dedup, prefix_trie, quality, repeats, topk, url_filter
 
 #: The vocabulary that ``op3`` encodes with.
 TOKENIZER = "byte_bpe_50k.json"
@@ -137,6 +137,43 @@ reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT e.x, reach.r FR
 SELECT doc_id, any_value(coalesce(n, 0)) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
 """
 
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), shared_heads=True)
+
+
+# CRC-32 of a decimal text, bit by bit: 8 + 1 steps a byte, as a fold over a list
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''), lambda b: [ord(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, o: CASE WHEN o >= 0 THEN xor(a, o) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295::BIGINT)"""
+OP11_SQL = f"""
+WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), left(coalesce(text, ''), 64),
+  sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, {_CRC} % 6 AS h, c - c % 100 AS base FROM (SELECT DISTINCT c FROM own)),
+parts AS (SELECT i.c, 0 AS side, o.p, o.r, o.x FROM ids i JOIN own o ON o.c = i.base AND o.p < i.h UNION ALL SELECT o.c, 1, o.p, o.r, o.x FROM ids i JOIN own o USING (c) WHERE o.p >= i.h),
+turns AS (SELECT c, sha256(length(r) || ':' || r || x) AS t, length(x) AS n, row_number() OVER (PARTITION BY c ORDER BY side, p) AS d FROM parts),
+lists AS (SELECT c, coalesce(l, []) AS l, coalesce(len(l), 0) AS total FROM ids LEFT JOIN (SELECT c, list(t ORDER BY d) AS l FROM turns GROUP BY c) USING (c)),
+paths AS (SELECT c, total, d, sha256(array_to_string(l[:d], ',')) AS k, sha256(array_to_string(l[:d - 1], ',')) AS pk FROM (SELECT *, unnest(range(total + 1)) AS d FROM lists)),
+nodes AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, any_value(pk) AS pk, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = total), '')) AS ends_sha256 FROM paths GROUP BY d, k),
+sized AS (SELECT nodes.*, (n_convs - 1) * coalesce(n, 0) AS saved FROM nodes LEFT JOIN turns ON turns.c = conv_id AND turns.d = nodes.d),
+kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT s.*, coalesce(n_children, 0) AS n_children FROM sized s LEFT JOIN kids USING (d, k)),
+below AS (SELECT p.d, p.k, sum(f.saved) AS saved_tokens, count(*) FILTER (f.n_children = 0) AS n_leaves FROM full_nodes f JOIN paths p ON p.c = f.conv_id AND p.d <= f.d GROUP BY p.d, p.k)
+SELECT f.conv_id, f.d::BIGINT AS depth, u.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN below USING (d, k) LEFT JOIN nodes u ON f.d > 0 AND u.d = f.d - 1 AND u.k = f.pk
+"""
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH sound AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM sound q JOIN sound c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scores) WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_quality": op2_quality,
@@ -148,6 +185,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_minhash": op10_minhash,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_topk": op13_topk,
 }
 
-ORACLE: dict[str, str] = {"op1_repeats": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op10_minhash": OP10_SQL}
+ORACLE: dict[str, str] = {"op1_repeats": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op10_minhash": OP10_SQL,
+                          "op11_prefix_trie": OP11_SQL, "op13_topk": OP13_SQL}
