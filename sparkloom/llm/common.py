@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a table of a few narrow columns is broadcast; past it the same join shuffles.
 BROADCAST_ROWS = 200_000
 
+#: A key with this share of the rows or more is joined by broadcast: at most a thousand keys.
+HOT_KEYS = 1000
+
 #: A run of anything but ASCII white space, as the contracts define a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,6 +66,15 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def hot_join(many: DataFrame, one: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join with a table of unique keys that knows how many rows of ``many`` each meets (``weight``): keys with a thousandth of them or
+    more are at most a thousand and are broadcast, the others are shuffled."""
+    total = one.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(one.filter(F.col(weight) >= max(total / HOT_KEYS, 1.5)))
+    cold = one.filter(F.col(weight) < max(total / HOT_KEYS, 1.5))
+    return many.join(hot.drop(weight), on).unionByName(many.join(hot.select(*on), on, "left_anti").join(cold.drop(weight), on))
+
+
 def _place(names: list[str], name: str) -> int:
     """Where a column is: by its exact name, else by the name in any case."""
     if name in names:

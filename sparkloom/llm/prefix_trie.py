@@ -30,12 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_arrow_batches, picked, returned_memory, stage
+from .common import bound_arrow_batches, hot_join, picked, returned_memory, stage
 
 #: Turns that one task chains at a time.
 BLOCK = 1024
-#: A key with this share of the rows or more is joined by broadcast: at most a thousand keys.
-HOT = 1000
 #: Chains of one member that meet the chains above it in one group.
 CHAINS = 1024
 #: Ids whose high bits agree are joined in one text before a hash reads them: 2 ** 12 ids.
@@ -141,15 +139,6 @@ def prefixes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     return within.select("conv_id", "pos", "digest", "n_chars", _sha(F.concat(start, "chain")).alias("prefix"), parent.alias("parent"), (F.col("run") + carried).alias("total"))
 
 
-def _met(many: DataFrame, one: DataFrame, on: list[str], weight: str) -> DataFrame:
-    """Inner join with a table of unique keys that knows how many rows of ``many`` each meets (``weight``): keys with a thousandth of them or
-    more are at most a thousand and are broadcast, the others are shuffled."""
-    total = one.agg(F.sum(weight)).first()[0] or 0
-    hot = F.broadcast(one.filter(F.col(weight) >= max(total / HOT, 1.5)))
-    cold = one.filter(F.col(weight) < max(total / HOT, 1.5))
-    return many.join(hot.drop(weight), on).unionByName(many.join(hot.select(*on), on, "left_anti").join(cold.drop(weight), on))
-
-
 def _ends_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SHA-256 over the texts of each node, which come in order, joined by commas."""
     node, state = None, None
@@ -190,13 +179,13 @@ def nodes(turns: DataFrame) -> DataFrame:
     above = alone.filter("n_children > 0").select(F.col("prefix").alias("parent"), F.col("conv_id").alias("parent_conv_id"), F.col("n_convs").alias("parent_n"), "n_children")
     child = alone.filter("parent IS NOT NULL")
     top = alone.filter("parent IS NULL").withColumns({"parent_conv_id": F.lit(None).cast("long"), "parent_n": F.lit(None).cast("long")})
-    linked = stage(_met(child, above.withColumnRenamed("n_children", "weight"), ["parent"], "weight").unionByName(top), "trie-linked")
+    linked = stage(hot_join(child, above.withColumnRenamed("n_children", "weight"), ["parent"], "weight").unionByName(top), "trie-linked")
     # chains: nodes with the same members
     saved = F.sum((F.col("n_convs") - 1) * F.col("n_chars"))
     chains = linked.groupBy("conv_id", "n_convs").agg(F.min("depth").alias("top"), F.count("*").alias("weight"), F.min(F.col("total") - F.col("n_chars")).alias("ahead"), saved.alias("saved"), F.count_if(F.col("n_children") == 0).alias("leaves"))
     chains = stage(chains, "trie-chain-tops")
     starts = linked.filter(F.coalesce(F.col("parent_n") != F.col("n_convs"), F.lit(False))).select("prefix", F.col("conv_id").alias("head"), F.col("n_convs").alias("size"), F.col("depth").alias("from"), F.col("n_convs").alias("weight"))
-    on_path = _met(paths.select("prefix", "conv_id"), starts, ["prefix"], "weight").drop("prefix")
+    on_path = hot_join(paths.select("prefix", "conv_id"), starts, ["prefix"], "weight").drop("prefix")
     # each chain goes to all chains above it and to itself
     heads = stage(chains.groupBy("conv_id").agg(F.ceil(F.count("*") / CHAINS).cast("int").alias("cuts")), "trie-heads")
     low = chains.join(heads, "conv_id").select("conv_id", F.pmod(F.xxhash64("n_convs"), F.col("cuts")).cast("int").alias("cut"), "top", "saved", "leaves")
@@ -208,7 +197,7 @@ def nodes(turns: DataFrame) -> DataFrame:
     summed = summed.unionByName(whole).join(chains.filter("n_convs > 1").select("conv_id", "n_convs", "ahead", "weight"), ["conv_id", "n_convs"])
     summed = stage(summed, "trie-sums")
     out = ["prefix", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children"]
-    met = _met(linked.filter("n_convs > 1"), summed, ["conv_id", "n_convs"], "weight")
+    met = hot_join(linked.filter("n_convs > 1"), summed, ["conv_id", "n_convs"], "weight")
     spared = F.col("all_saved") - (F.col("n_convs") - 1) * (F.col("total") - F.col("n_chars") - F.col("ahead"))
     many = met.select(*out, F.col("all_leaves").alias("n_leaves"), spared.alias("saved_tokens"))
     one = linked.filter("n_convs = 1").select(*out, F.lit(1).cast("long").alias("n_leaves"), zero.alias("saved_tokens"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, langid, line_dedup, mixing, near_dedup, prefix_trie, quality, repeats, topk, url_filter
+from . import ann, bpe, collocations, exact_dedup, langid, line_dedup, mixing, near_dedup, prefix_trie, quality, repeats, topk, url_filter
 
 #: The vocabulary that ``op3`` encodes with.
 TOKENIZER = "byte_bpe_50k.json"
@@ -163,6 +163,24 @@ FROM full_nodes f JOIN below USING (d, k) LEFT JOIN nodes u ON f.d > 0 AND u.d =
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang),
+grams AS (SELECT lang, m, list_slice(w, i, i + m - 1) AS p, count(*) AS f FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, range(1, 6) t(m)) GROUP BY ALL HAVING count(*) >= 100),
+inside AS (SELECT DISTINCT lang, p, f FROM (SELECT lang, f, k, list_slice(p, i, i + k - 1) AS p FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM grams WHERE m > 2)))),
+cuts AS (SELECT g.lang, g.m, g.p, g.f AS a, k, x.f AS l, y.f AS r, n, (1000 * g.f::HUGEINT * n) // (x.f::HUGEINT * y.f) AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM grams WHERE m > 1) g
+  JOIN grams x ON x.lang = g.lang AND x.p = list_slice(g.p, 1, k) JOIN grams y ON y.lang = g.lang AND y.p = list_slice(g.p, k + 1, g.m) JOIN totals t ON t.lang = g.lang),
+best AS (SELECT lang, p, array_to_string(p, ' ') AS phrase, any_value(a) AS a, any_value(n) AS n, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM cuts GROUP BY lang, p),
+kept AS (SELECT b.* FROM best b ANTI JOIN (SELECT g.lang, g.p FROM grams g JOIN inside i ON i.lang = g.lang AND i.p = g.p AND 100 * i.f >= 100 * g.f) d ON d.lang = b.lang AND d.p = b.p)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+"""
+
+
 def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
@@ -186,8 +204,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_minhash": op10_minhash,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
     "op13_topk": op13_topk,
 }
 
 ORACLE: dict[str, str] = {"op1_repeats": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op10_minhash": OP10_SQL,
-                          "op11_prefix_trie": OP11_SQL, "op13_topk": OP13_SQL}
+                          "op11_prefix_trie": OP11_SQL, "op12_collocations": OP12_SQL, "op13_topk": OP13_SQL}
