@@ -342,20 +342,34 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]
         yield where, flat[starts[where][:, None] + np.arange(m)]
 
 
-def _reading(shared):
-    """(a, b, part, f) for each phrase, its heads (part = number of words, the whole one included) and tails (100 + words before it) in a block."""
+_READ = "a long, b long, f long, heads array<long>, tails array<long>"
+
+
+def _reading(shared, least: int):
+    """For each phrase: its count, and those of the first k words and of what follows them, where this block has them (else 0).  A phrase that the
+    block counts below ``least`` is left out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (levels, sa, sb, _), counts = shared.value
         slots = Slots(levels, sa, sb)
+
+        def count(words: np.ndarray) -> np.ndarray:
+            at = slots.find(*keys_of(words))
+            return np.where(at >= 0, counts[at], 0)
+
         for batch in batches:
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
             for where, words in _by_length(batch):
-                m = words.shape[1]
-                for part, cut in [(k, words[:, :k]) for k in range(1, m + 1)] + [(100 + k, words[:, k:]) for k in range(1, m)]:
-                    at = slots.find(*keys_of(cut))
-                    hit = at >= 0
-                    yield pa.RecordBatch.from_arrays([pa.array(a[where][hit]), pa.array(b[where][hit]), pa.array(np.full(hit.sum(), part, np.int32)), pa.array(counts[at[hit]])], names=["a", "b", "part", "f"])
+                own = slots.find(*keys_of(words))
+                f = np.where(own >= 0, counts[own], 0)
+                open_ones = (own < 0) | (f >= least)
+                where, words, f = where[open_ones], words[open_ones], f[open_ones]
+                cuts = range(1, words.shape[1])
+                sides = [np.stack([count(part(k)) for k in cuts], axis=1) for part in (lambda k: words[:, :k], lambda k: words[:, k:])]
+                some = (f > 0) | (sides[0] > 0).any(axis=1) | (sides[1] > 0).any(axis=1)
+                offsets = pa.array(np.arange(some.sum() + 1, dtype=np.int32) * len(cuts), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(side[some].reshape(-1))) for side in sides]
+                yield pa.RecordBatch.from_arrays([pa.array(a[where][some]), pa.array(b[where][some]), pa.array(f[some]), *lists], names=["a", "b", "f", "heads", "tails"])
 
     return work
 
@@ -415,15 +429,14 @@ def mine(documents: DataFrame, least: int = 100, longest: int = LONGEST, top: in
             continue
         lists = _unpacked(row)
         counts = lists[3] + _mapped_array(runs, len(lists[3]), "int64", None, _slot_counts(filters, least, longest, share(lists)))
-        part = stage(phrases.mapInArrow(_reading(share((lists, counts))), "a long, b long, part int, f long"), "colloc-read")
+        part = stage(phrases.mapInArrow(_reading(share((lists, counts)), least), _READ), "colloc-read")
         read = part if read is None else read.unionByName(part)
     if read is None:
         return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
-    # at most 2 * longest values a phrase
-    values = phrases.join(read.groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct("part", "f"))).alias("parts")), ["a", "b"])
-    whole = values.withColumn("f", F.col("parts")[F.size("words")]).filter(F.col("f") >= least)
-    side = lambda first: F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda k: F.col("parts")[k + first])
-    whole = stage(whole.select("a", "b", "words", "f", side(0).alias("heads"), side(100).alias("tails")), "colloc-phrases")
+    # one row a phrase and block; a count is in one block alone
+    side = lambda name: F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda k: F.aggregate(name, F.lit(0).cast("long"), lambda x, y: x + y[k]))
+    whole = phrases.join(read.groupBy("a", "b").agg(F.sum("f").alias("f"), F.collect_list("heads").alias("heads"), F.collect_list("tails").alias("tails")).filter(F.col("f") >= least), ["a", "b"])
+    whole = stage(whole.select("a", "b", "words", "f", side("heads").alias("heads"), side("tails").alias("tails")), "colloc-phrases")
     longer = whole.mapInArrow(_parents, "a long, b long, longer long").groupBy("a", "b").agg(F.max("longer").alias("longer"))
     kept = whole.join(longer, ["a", "b"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < percent * F.col("f"))).drop("longer")
     kept = stage(kept, "colloc-kept")
