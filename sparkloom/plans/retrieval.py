@@ -114,15 +114,6 @@ def chunk_title(spark, d):
     return chunks(spark, d).select("id", "title")
 
 
-def chunk_stats(spark, d):
-    docs = table(spark, d, "documents")
-    return C.from_documents(docs).groupBy(F.substring_index("chapter_path", "/", 1).alias("collection")).agg(F.count("*").alias("n_chunks"))
-
-
-def chunk_delete_doc(spark, d):
-    return chunks(spark, d).filter(F.col("doc_id") != 7).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
-
-
 def chapter_scan(spark, d):
     return C.chapter_scan(chunks(spark, d), "doc-0.txt", "fr/", ["id", "chunk_idx", "content"])
 
@@ -224,7 +215,7 @@ terms AS (SELECT DISTINCT qid::BIGINT AS qid, unnest({_tokens('query')}) AS term
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_build, chunk_title, chunk_stats, chunk_delete_doc, chapter_scan, chapter_merge, chapter_parts, bm25_content_topk, bm25_title_topk, bm25_filtered_topk, dense_topk,
+        chunk_build, chunk_title, chapter_scan, chapter_merge, chapter_parts, bm25_content_topk, bm25_title_topk, bm25_filtered_topk, dense_topk,
         dense_topk_multi, hybrid_weighted, hybrid_rrf, rerank_cut_threshold, hit_filter, citations, context_pack, context_pack_overflow, search_modes,
     )
 }
@@ -232,8 +223,6 @@ QUERIES = {
 ORACLE = {
     "chunk_build": f"WITH {CHUNKS} SELECT * EXCLUDE (lang) FROM chunks",
     "chunk_title": f"WITH {CHUNKS} SELECT id, title FROM chunks",
-    "chunk_stats": f"WITH {CHUNKS} SELECT lang AS collection, count(*) AS n_chunks FROM chunks GROUP BY lang",
-    "chunk_delete_doc": f"WITH {CHUNKS} SELECT doc_id, count(*) AS n_chunks FROM chunks WHERE doc_id <> 7 GROUP BY doc_id",
     "chapter_scan": f"WITH {CHUNKS} SELECT id, chunk_idx, content FROM chunks WHERE doc_name = 'doc-0.txt' AND starts_with(chapter_path, 'fr/') ORDER BY chunk_idx",
     "chapter_merge": f"WITH {CHUNKS} SELECT doc_id, sha256(any_value(text)) AS text_sha256, count(*)::INT AS n_chunks FROM chunks JOIN documents USING (doc_id) GROUP BY doc_id",
     "chapter_parts": f"""WITH {CHUNKS} SELECT doc_id, chapter_path, (max(end_pos) - min(start_pos))::INT AS n_chars, count(*)::INT AS n_chunks FROM chunks GROUP BY doc_id, chapter_path""",

@@ -1,15 +1,11 @@
-"""The chunk store: documents cut into overlapping chunks, and collections of chunks as Parquet tables."""
+"""Documents cut into overlapping chunks, and chunks merged again; ``sparkloom.sources.store`` keeps collections of them."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom import schemas
 from sparkloom.functions import text as X
-from sparkloom.sources.tables import written
 
 WINDOW, STEP = 512, 448
 
@@ -81,81 +77,3 @@ def merged(chunks: DataFrame, by: list[str], ignore_overlap: bool = False) -> Da
     whole = lambda x: (F.lit(ignore_overlap)) | (x["o"] <= 0) | (x["o"] >= F.length(x["c"]))
     text = F.transform("p", lambda x, at: F.when((at == 0) | whole(x), x["c"]).otherwise(F.substring(x["c"], x["o"] + 1, F.length(x["c"]))))
     return sorted_pieces.select(*by, F.array_join(text, "").alias("text"), F.size("p").alias("n_chunks"))
-
-
-class ChunkStore:
-    """Collections as tables of the session's catalog, one fixed schema for all."""
-
-    def __init__(self, spark: SparkSession, database: str = "default"):
-        self.spark, self.database = spark, database
-
-    def _name(self, collection: str) -> str:
-        return f"{self.database}.kb_{collection}"
-
-    def create(self, collection: str) -> str:
-        """Create the collection; nothing happens if it exists."""
-        if not self.exists(collection):
-            self.spark.createDataFrame([], schemas.CHUNK).write.format("parquet").saveAsTable(self._name(collection))
-        return collection
-
-    def exists(self, collection: str) -> bool:
-        return self.spark.catalog.tableExists(self._name(collection))
-
-    def names(self) -> list[str]:
-        return sorted(t.name[3:] for t in self.spark.catalog.listTables(self.database) if t.name.startswith("kb_"))
-
-    def get(self, collection: str) -> DataFrame:
-        if not self.exists(collection):
-            raise LookupError(f"no collection {collection!r}")
-        return self.spark.table(self._name(collection))
-
-    def delete(self, collection: str, confirm: bool = False) -> bool:
-        """Drop the collection if that is confirmed; False where there was nothing to drop or no confirmation."""
-        if not confirm or not self.exists(collection):
-            return False
-        self.spark.sql(f"DROP TABLE {self._name(collection)}")
-        return True
-
-    def insert(self, collection: str, chunks: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
-        """Append chunks with their titles and vectors (id, embedding); with vectors there must be one for each chunk.  Returns the ids as
-        a table.  The rows are computed once."""
-        self.get(collection)
-        named = chunks.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schemas.CHUNK if f.name not in chunks.columns})
-        named = named.withColumn("title", X.title(F.col("doc_name"), F.col("chapter"))).withColumn("metadata", F.coalesce("metadata", F.lit("{}")))
-        if vectors is not None:
-            given = vectors.select(F.col("id").alias("vector_id"), F.col("embedding").alias("given"))
-            named = named.join(given, F.col("id") == F.col("vector_id"), "full").withColumn("dense_vector", F.col("given"))
-        rows = named.select(*[F.col(f.name).cast(f.dataType) for f in schemas.CHUNK], (F.col("vector_id").isNotNull() if vectors is not None else F.lit(True)).alias("has_vector"))
-        kept = written(rows, "insert")
-        if vectors is not None and not kept.filter("id IS NULL OR NOT has_vector").isEmpty():
-            raise ValueError("chunks and vectors differ in length")
-        kept.drop("has_vector").write.mode("append").format("parquet").insertInto(self._name(collection))
-        return kept.select("id")
-
-    def delete_document(self, collection: str, doc_id: int) -> int:
-        """Take a document's chunks out; returns how many went.
-
-        What stays is written to a new folder first, and then the table points there: a crash in between leaves the table as it was."""
-        rows, name = self.get(collection), self._name(collection)
-        gone = rows.filter(F.col("doc_id") == doc_id).count()
-        if gone:
-            folder = self._location(name)
-            following = f"{folder.rstrip('/').rpartition('-v-')[0] or folder.rstrip('/')}-v-{uuid.uuid4().hex}"
-            rows.filter(~F.col("doc_id").eqNullSafe(doc_id)).write.parquet(following)
-            self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{following}'")
-            self.spark.catalog.refreshTable(name)
-            old = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
-        return gone
-
-    def _location(self, name: str) -> str:
-        told = self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'").first()
-        return told["data_type"]
-
-    def stats(self) -> DataFrame:
-        """collection, n_chunks of every collection."""
-        parts = [self.get(c).agg(F.count("*").alias("n_chunks")).select(F.lit(c).alias("collection"), "n_chunks") for c in self.names()]
-        out = self.spark.createDataFrame([], "collection string, n_chunks long")
-        for part in parts:
-            out = out.unionByName(part)
-        return out

@@ -4,14 +4,18 @@ A join with such a table is broadcast or shuffled by Spark's own threshold on it
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the session's checkpoint folder, else the warehouse."""
+    """A folder that driver and executors share: the session's checkpoint folder.  Where none is named, a single machine takes the warehouse, and a
+    cluster, whose executors need not see that, gets an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 

@@ -14,6 +14,7 @@ from sparkloom.functions import text as X
 from sparkloom.operators import messages as M
 from sparkloom.operators import search as S
 from sparkloom.sources import chunks as C
+from sparkloom.sources.store import ChunkStore
 
 
 def value(spark, column):
@@ -82,7 +83,7 @@ def test_chunks_merge_to_the_text(spark):
 
 
 def test_store_round_trip(spark):
-    store = C.ChunkStore(spark)
+    store = ChunkStore(spark)
     for name in store.names():
         store.delete(name, confirm=True)
     docs = spark.createDataFrame([(1, "a" * 1000, "en", "s"), (2, "b", "en", "s")], "doc_id long, text string, lang string, source string")
