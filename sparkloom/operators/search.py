@@ -88,7 +88,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, field: str, k: int, where: Colum
     return bm25_leg(text_index(chunks, (field,), where, terms), terms, field, k, k1, b)
 
 
-def _numbers(vectors: DataFrame, key: str) -> DataFrame:
+def directed(vectors: DataFrame, key: str) -> DataFrame:
     """key, embedding (array<double>) of the vectors that have a direction: none that is null, empty or zero, or has a component that is null
     or not finite."""
     v = F.col("embedding")
@@ -104,8 +104,8 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asks with its smallest vector.  A block of queries goes to every task; a batch of rows is a matrix product for each part
     of the block, and hands on its own best ``k`` for each query."""
     spark = vectors.sparkSession
-    rows = _numbers(vectors.select(F.col("id").cast("string").alias("id"), "embedding"), "id")
-    asked = _numbers(queries, "qid").groupBy("qid").agg(F.min("embedding").alias("embedding"))
+    rows = directed(vectors.select(F.col("id").cast("string").alias("id"), "embedding"), "id")
+    asked = directed(queries, "qid").groupBy("qid").agg(F.min("embedding").alias("embedding"))
     out, last = None, None
     while True:
         ahead = asked if last is None else asked.filter(F.col("qid") > last)
@@ -119,21 +119,26 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         last = block[-1]["qid"]
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length; the largest component's power of two goes first, so that squares neither overflow nor vanish."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _nearest(shared, k: int, at_a_time: int = 256):
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked: dict[int, tuple[list, list]] = {}
         for qid, vector in shared.value:
             held = asked.setdefault(len(vector), ([], []))
             held[0].append(qid)
-            held[1].append(vector / np.linalg.norm(vector))
+            held[1].append(unit_rows(vector[None])[0])
         by_length = {n: (np.array(qids), np.stack(vectors)) for n, (qids, vectors) in asked.items()}
         for part in filter(len, parts):
             for n, same in part.groupby(part["embedding"].map(len)):
                 if n not in by_length:
                     continue
                 qids, q = by_length[n]
-                x, ids = np.stack(same["embedding"].to_numpy()), same["id"].to_numpy()
-                x = x / np.linalg.norm(x, axis=1)[:, None]
+                x, ids = unit_rows(np.stack(same["embedding"].to_numpy())), same["id"].to_numpy()
                 take = min(k, len(ids))
                 for at in range(0, len(qids), at_a_time):
                     near = q[at : at + at_a_time] @ x.T

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators import vectors as V
 from sparkloom.plans import retrieval as R
 from sparkloom.sources import chunks as C
 from sparkloom.sources.store import ChunkStore
@@ -95,15 +96,25 @@ def index_changed_topk(spark, d):
     return with_store(spark, work, ("content",))
 
 
+def vector_topk(spark, d):
+    """Found by an inverted file that grew with two inserts, all cells probed: what exact search finds, but for what its residuals leave out."""
+    rows = R.vectors(spark, d).select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    index = V.build(rows.filter(half))
+    V.insert(index, rows.filter(~half))
+    return R.shown(V.search(index, R.query_vectors(spark, d), R.K, len(index.centroids)))
+
+
 _CHANGED = """changed AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN ' again' ELSE '' END AS text, lang, source FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 5 = 0)"""
 _CHANGED_CHUNKS = f"{_CHANGED}, {R.CHUNKS.replace('FROM documents', 'FROM changed')}"
 
-QUERIES = {f.__name__: f for f in (chunk_stats, chunk_delete_doc, store_changes, index_topk, index_changed_topk)}
+QUERIES = {f.__name__: f for f in (chunk_stats, chunk_delete_doc, store_changes, index_topk, index_changed_topk, vector_topk)}
 
 ORACLE = {
     "chunk_stats": f"WITH {R.CHUNKS} SELECT lang AS collection, count(*) AS n_chunks FROM chunks GROUP BY lang",
     "chunk_delete_doc": f"WITH {R.CHUNKS} SELECT doc_id, count(*) AS n_chunks FROM chunks WHERE doc_id <> 7 GROUP BY doc_id",
     "store_changes": f"WITH {_CHANGED_CHUNKS} SELECT doc_id, count(*) AS n_chunks, sum(length(content))::BIGINT AS n_chars, max(end_pos)::INT AS end_pos FROM chunks GROUP BY doc_id",
     "index_topk": f"WITH {R.CHUNKS}, {R.QUERIES_SQL}, {R._bm25('content', 'content')} {R.SHOW} content",
+    "vector_topk": R.ORACLE["dense_topk_multi"],
     "index_changed_topk": f"WITH {_CHANGED_CHUNKS}, {R.QUERIES_SQL}, {R._bm25('content', 'content', R.K, "starts_with(chapter_path, 'en/')")} {R.SHOW} content",
 }

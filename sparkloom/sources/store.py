@@ -25,6 +25,7 @@ from sparkloom.sources.tables import written
 
 BUCKETS = 16
 FIELDS = ("content", "title")
+OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
 
 _LOG = "seq long, done boolean"
 _DELETES = "doc_id long, seq long, bucket int"
@@ -192,7 +193,12 @@ class ChunkStore:
         target, name = self._table(collection, kind), self._name(collection, kind)
         kept = {r[by] for r in rows.select(by).distinct().collect()}  # at most as many as there are buckets
         if kept:
-            rows.select(*target.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
+            mode = self.spark.conf.get(OVERWRITE, "static")  # insertInto takes this from the session alone
+            self.spark.conf.set(OVERWRITE, "dynamic")
+            try:
+                rows.select(*target.columns).write.mode("overwrite").insertInto(name)
+            finally:
+                self.spark.conf.set(OVERWRITE, mode)
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         folder = self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'").first()["data_type"]
         for bucket in set(buckets) - kept:
