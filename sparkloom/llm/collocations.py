@@ -1,8 +1,8 @@
 """Collocations: phrases of 2 to 5 words that occur often, by how much oftener than their parts let expect.
 
 Words are counted per language first.  Texts are kept as runs of 64-bit word hashes (seeded by the language), broken at words that can't be
-frequent.  Then, for each length in turn, the tasks count hashed phrases whose two shorter parts may be frequent in a numpy array of ``BUCKETS`` counters that
-stop at ``least``; the arrays are summed as a tree.  A bucket below ``least`` holds no frequent phrase, so that no frequent phrase is lost.
+frequent.  Then, for each length in turn, the tasks count hashed phrases whose two shorter parts may be frequent in a numpy array of twice ``BUCKETS`` counters that
+stop at ``least``, under two hashes; the arrays are summed as a tree.  A counter below ``least`` belongs to no frequent phrase, so that none is lost.
 
 The phrases that pass all filters are the candidates.  In blocks of about ``SLOTS`` they get a minimal perfect hash with their 128-bit keys stored
 by slot.  The tasks look up each occurrence, compare the key, count with ``bincount`` by slot, and the arrays are summed as a tree: exact counts.  What
@@ -11,7 +11,7 @@ a cut needs, the counts of a phrase's two parts, is read by slot in the same way
 Two words of one 64-bit hash, one of which could be frequent, are noticed in the word table, and all is hashed again with another seed.
 
 Memory is bounded by ``BUCKETS`` and ``SLOTS`` at any size.  Runs are read once for each length and once for each block of candidates; where so many phrases
-are hashed that each bucket is full, the filters let more through and the work grows, not the error.
+are hashed that each counter is full, the filters let more through and the work grows, not the error.
 
 Defined cases: null text is empty; null language counts as ``und``; words that no neighbour can join are counted as words; texts of any length
 are cut into pieces of about a megabyte between phrases; repeated rows count as often as they are there; an empty table gives an empty
@@ -149,6 +149,12 @@ def keys_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
+def _counters(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A phrase's two counters, one for each lane, in an array of two halves."""
+    mask = np.uint64(size // 2 - 1)
+    return (a & mask).astype(np.int64), (b & mask).astype(np.int64) + size // 2
+
+
 def _levels(h: np.ndarray, sketches: list[np.ndarray], least: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each length from 2 on: where phrases start whose parts, and they themselves by the sketches at hand, may be frequent, and their keys."""
     at = np.flatnonzero(h)
@@ -159,8 +165,8 @@ def _levels(h: np.ndarray, sketches: list[np.ndarray], least: int, longest: int)
         at = np.flatnonzero(may[:-1] & may[1:])
         a[at], b[at] = _longer(a[at], h[at + m - 1], 0), _longer(b[at], h[at + m - 1], 1)
         if m - 2 < len(sketches):
-            sketch = sketches[m - 2]
-            at = at[sketch[a[at] & np.uint64(len(sketch) - 1)] >= least]
+            first, second = _counters(a[at], b[at], len(sketches[m - 2]))
+            at = at[(sketches[m - 2][first] >= least) & (sketches[m - 2][second] >= least)]
         may[:] = False
         may[at] = True
         yield m, at, a[at], b[at]
@@ -218,11 +224,12 @@ def _mapped_array(rows: DataFrame, size: int, kind: str, most: int | None, add)
 
 def _sketch(runs: DataFrame, sketches, level: int, least: int, buckets: int, kind: str) -> np.ndarray:
     def add(held: np.ndarray, h: np.ndarray) -> None:
-        for m, _, a, _ in _levels(h, sketches.value, least, level):
+        for m, _, a, b in _levels(h, sketches.value, least, level):
             if m == level:
-                np.add(held, np.bincount((a & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), out=held)
+                for counters in _counters(a, b, 2 * buckets):
+                    np.add(held, np.bincount(counters, minlength=2 * buckets), out=held)
 
-    return _mapped_array(runs, buckets, kind, least, add)
+    return _mapped_array(runs, 2 * buckets, kind, least, add)
 
 
 class Slots:
