@@ -14,7 +14,7 @@ with a third of the rows is many blocks, and a block sends at most ``k`` rows a
 under the tie rule.  That drops no result.  A query that has found fewer than ``k`` is searched again over all rows, in blocks.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as query or candidate; vectors of
-different lengths have no cosine and are searched apart; ties go to the smaller id; of rows that repeat an id the one with the smallest vector
+different lengths have no cosine and are searched apart; components of any finite size count; ties go to the smaller id; of rows that repeat an id the one with the smallest vector
 counts; a table with fewer than k candidates gives them all; an empty table gives an empty result; other columns and their names play no part.
 """
 
@@ -90,6 +90,13 @@ def _leaders(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= k + 1).drop("__r")
 
 
+def stacked(vectors: pd.Series) -> np.ndarray:
+    """Vectors as rows of a matrix, each divided by the power of two of its largest component: that changes no cosine and no bucket, and
+    squares neither overflow nor vanish."""
+    x = np.stack(vectors.to_numpy())
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def _cosines(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Exact cosines in double precision, summed in one order for every block."""
     return (queries @ rows.T) / (np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None, :])
@@ -127,7 +134,7 @@ def _scan(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> DataFram
         best = None
         for part in parts:
             if len(part):
-                now = best_of(ids, vectors, part["vec_id"].to_numpy(), np.stack(part["embedding"].to_numpy()), k)
+                now = best_of(ids, vectors, part["vec_id"].to_numpy(), stacked(part["embedding"]), k)
                 best = now if best is None else pd.concat([best, now])
                 best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
         if best is not None:
@@ -146,12 +153,12 @@ def tuned_probes(rows: DataFrame, queries: DataFrame, hashing: CrossPolytope, k:
     picked = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(tune).collect()
     if not picked:
         return 1
-    q_ids, q = np.array([r["vec_id"] for r in picked]), np.array([r["embedding"] for r in picked], float)
+    q_ids, q = np.array([r["vec_id"] for r in picked]), stacked(pd.Series([np.array(r["embedding"]) for r in picked]))
     truth = _top(_scan(rows, q_ids, q, k), k).join(rows, "vec_id").select("query_id", "embedding").collect()  # at most tune * k rows
     if not truth:
         return 1
     place = {int(i): n for n, i in enumerate(q_ids)}
-    mine, x = np.array([place[r["query_id"]] for r in truth]), np.array([r["embedding"] for r in truth], float)
+    mine, x = np.array([place[r["query_id"]] for r in truth]), stacked(pd.Series([np.array(r["embedding"]) for r in truth]))
     needed = np.full(len(x), 1 << 30)
     for t in range(hashing.tables):
         order = hashing.probes(q, t)
@@ -187,13 +194,13 @@ def _search_length(rows: DataFrame, dim: int, every: int, k: int, tables: int, p
 
     def post(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in filter(len, parts):
-            x = np.stack(part["embedding"].to_numpy())
+            x = stacked(part["embedding"])
             for t in range(tables):
                 yield pd.DataFrame({"block": hashing.bucket(x, t) + t * 2 * hashing.width, "vec_id": part["vec_id"], "embedding": part["embedding"]})
 
     def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in filter(len, parts):
-            x = np.stack(part["embedding"].to_numpy())
+            x = stacked(part["embedding"])
             for t in range(tables):
                 order = hashing.probes(x, t)
                 for p in range(min(probes, order.shape[1])):
@@ -212,7 +219,7 @@ def _search_length(rows: DataFrame, dim: int, every: int, k: int, tables: int, p
     def meet(block: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(asking):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, x = np.stack(asking["embedding"].to_numpy()), np.stack(block["embedding"].to_numpy())
+        q, x = stacked(asking["embedding"]), stacked(block["embedding"])
         return best_of(asking["vec_id"].to_numpy(), q, block["vec_id"].to_numpy(), x, k)
 
     found = left.groupBy("block", "rs", "qs").cogroup(right.groupBy("block", "rs", "qs")).applyInPandas(meet, _FOUND)
@@ -227,7 +234,7 @@ def _search_length(rows: DataFrame, dim: int, every: int, k: int, tables: int, p
         if not picked:
             return top
         q_ids = np.array([r["vec_id"] for r in picked])
-        again = _top(_scan(rows, q_ids, np.array([r["embedding"] for r in picked], float), k), k)
+        again = _top(_scan(rows, q_ids, stacked(pd.Series([np.array(r["embedding"]) for r in picked])), k), k)
         done = F.broadcast(spark.createDataFrame([(int(i),) for i in q_ids], "query_id long"))
         top = top.join(done, "query_id", "left_anti").unionByName(again).checkpoint()
         last = int(q_ids[-1])

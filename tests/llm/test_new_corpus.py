@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sparkloom.llm import collocations, common, prefix_trie, topk
+from sparkloom.llm import ann, collocations, common, prefix_trie, topk
 
 # --- conversation prefix trie
 
@@ -203,3 +203,18 @@ def test_topk_of_nothing(spark):
     empty = spark.createDataFrame([], WIDE)
     assert topk.search(empty).collect() == []
     assert topk.search(spark.createDataFrame([(50, [1.0])], "vec_id long, embedding array<double>")).collect() == []
+
+
+def test_ann_of_very_large_and_small_vectors(spark):
+    """Squares of these components overflow or vanish; their cosines don't."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=16) * 10.0 ** rng.choice([-170, 0, 170])).tolist()) for i in range(60)]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1.0).collect()}
+    unit = [np.array(v) / np.abs(v).max() for _, v in rows]
+    unit = np.array([v / np.linalg.norm(v) for v in unit])
+    for q in (0, 50):
+        near = unit @ unit[q]
+        near[q] = -2
+        best = np.argsort(-near)[:5]
+        assert [got[q, r + 1][0] for r in range(5)] == best.tolist()
+        assert np.allclose([got[q, r + 1][1] for r in range(5)], near[best])
