@@ -67,8 +67,15 @@ def tooled_arrays(spark: SparkSession, d: str) -> DataFrame:
     return tooled(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("messages"))
 
 
-def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def cases(spark: SparkSession, d: str, rows: list[tuple], schema: str) -> DataFrame:
+    """Every event is a request of one of the cases, which take turns; its id is the event's."""
+    some = spark.createDataFrame(rows, schema).withColumnRenamed("id", "case")
+    turn = (F.pmod(F.col("event_id"), F.lit(len(rows))) + 1).cast("int")
+    return table(spark, d, "events").select(F.col("event_id").cast("int").alias("id"), turn.alias("case")).join(F.broadcast(some), "case").drop("case")
+
+
+def cases_sql(rows: list[tuple], names: str) -> str:
+    return f"(SELECT event_id AS id, t.* EXCLUDE (id) FROM events JOIN {values_sql(rows, names)} ON t.id = event_id % {len(rows)} + 1)"
 
 
 def values_sql(rows: list[tuple], names: str) -> str:
@@ -111,7 +118,7 @@ def _intents(rows: DataFrame) -> DataFrame:
 
 
 def intent_rules(spark, d):
-    return _intents(literal(spark, SAYINGS, "id int, query string, has boolean"))
+    return _intents(cases(spark, d, SAYINGS, "id int, query string, has boolean"))
 
 
 def intent_conversations(spark, d):
@@ -124,7 +131,7 @@ ANSWERS = [
 ]
 
 def intent_model(spark, d):
-    rows = literal(spark, ANSWERS, "id int, answer string").withColumn("i", V.intent_of_answer(F.col("answer")))
+    rows = cases(spark, d, ANSWERS, "id int, answer string").withColumn("i", V.intent_of_answer(F.col("answer")))
     return rows.select("id", F.concat_ws("|", "i.intent", F.col("i.confidence").cast("string"), F.col("i.should_search").cast("string"), F.col("i.rewrite_needed").cast("string")).alias("plan"))
 
 
@@ -137,7 +144,7 @@ REWRITES = [(1, "Cats", '"cats"'), (2, "it", " What is a cat? "), (3, "it", ""),
 
 def query_rewrite(spark, d):
     made = V.rewritten(F.col("query"), F.col("answer"))
-    return literal(spark, REWRITES, "id int, query string, answer string").select("id", made.alias("r")).select("id", F.col("r.query").alias("query"), F.col("r.applied").alias("applied"))
+    return cases(spark, d, REWRITES, "id int, query string, answer string").select("id", made.alias("r")).select("id", F.col("r.query").alias("query"), F.col("r.applied").alias("applied"))
 
 
 def prompt_history(spark, d):
@@ -163,7 +170,7 @@ MODELS = [(1, "GLM-4-9B"), (2, "chatGLM3"), (3, "Qwen3-4B"), (4, "deepseek-r1"),
 
 
 def model_family(spark, d):
-    return literal(spark, MODELS, "id int, name string").select("id", V.family(F.col("name")).alias("family"))
+    return cases(spark, d, MODELS, "id int, name string").select("id", V.family(F.col("name")).alias("family"))
 
 
 # --- message algebra
@@ -172,7 +179,7 @@ ROLES = [(1, " User "), (2, "Developer"), (3, None), (4, ""), (5, "tool"), (6, "
 
 
 def role_normalize(spark, d):
-    return literal(spark, ROLES, "id int, name string").select("id", M.role(F.col("name")).alias("role"))
+    return cases(spark, d, ROLES, "id int, name string").select("id", M.role(F.col("name")).alias("role"))
 
 
 def think_strip(spark, d):
@@ -225,7 +232,7 @@ LIMITS = [(1, 4096, 1000, None, None), (2, 4096, 4000, 2048, 512), (3, None, 100
 
 
 def max_tokens(spark, d):
-    rows = literal(spark, LIMITS, "id int, win int, prompt int, hw int, client int")
+    rows = cases(spark, d, LIMITS, "id int, win int, prompt int, hw int, client int")
     return rows.select("id", M.max_tokens(F.col("win"), F.col("prompt"), F.col("hw"), F.col("client")).alias("max_tokens"), M.reserve(F.coalesce("win", F.lit(1000)), F.col("client")).alias("reserve"))
 
 
@@ -234,7 +241,7 @@ FINISHES = [(1, 10, 10), (2, 9, 10), (3, 11, 10), (4, 5, 0), (5, 5, None), (6, 5
 
 def finish_reason(spark, d):
     made = M.finish_reason(F.col("n"), F.col("most"))
-    return literal(spark, FINISHES, "id int, n int, most int").select("id", made.alias("finish"), M.stop_reason(made).alias("stop"))
+    return cases(spark, d, FINISHES, "id int, n int, most int").select("id", made.alias("finish"), M.stop_reason(made).alias("stop"))
 
 
 def stop_cut(spark, d):
@@ -246,7 +253,7 @@ CHOICES = [(1, "auto", None), (2, "any", None), (3, "tool", "look"), (4, "tool",
 
 
 def tool_choice_map(spark, d):
-    rows = literal(spark, CHOICES, "id int, kind string, name string")
+    rows = cases(spark, d, CHOICES, "id int, kind string, name string")
     return rows.select("id", M.tool_choice(F.col("kind"), F.col("name")).alias("choice"), P.tool_choice_sentence(F.when(F.col("kind") == "any", "required").when(F.col("kind") == "tool", "function").otherwise(F.col("kind")), F.col("name")).alias("sentence"))
 
 
@@ -254,7 +261,7 @@ REQUESTS = [(1, 1, None, None), (2, 2, "json_object", False), (3, None, "text",
 
 
 def request_validation(spark, d):
-    rows = literal(spark, REQUESTS, "id int, n int, fmt string, parallel boolean")
+    rows = cases(spark, d, REQUESTS, "id int, n int, fmt string, parallel boolean")
     return rows.select("id", F.array_join(M.violations(F.col("n"), F.col("fmt"), F.col("parallel")), ",").alias("violations"))
 
 
@@ -320,14 +327,13 @@ STRATEGIES = [
 
 
 def strategy_lookup(spark, d):
-    return literal(spark, [s[:2] for s in STRATEGIES], "id int, name string").select("id", P.strategy(F.col("name")).alias("strategy"))
-
-
-NAMES = [(1, "a/b:c", "a_b_c"), (2, " . ", "default"), (3, None, "default"), (4, "plain-1.5", "plain-1.5"), (5, 'x<>|"y', "x_y"), (6, "", "default")]
+    return cases(spark, d, [s[:2] for s in STRATEGIES], "id int, name string").select("id", P.strategy(F.col("name")).alias("strategy"))
 
 
 def filename_sanitize(spark, d):
-    return literal(spark, [n[:2] for n in NAMES], "id int, name string").select("id", X.file_name(F.col("name")).alias("file"))
+    """Pages' addresses as names of files; every third ends in white space and a dot."""
+    ends = F.when(F.col("page_id") % 3 == 0, F.lit(" . ")).otherwise("")
+    return table(spark, d, "pages").select("page_id", X.file_name(F.concat("url", ends)).alias("file"))
 
 
 # --- tool calls and streams
@@ -455,13 +461,13 @@ def special_clean(spark, d):
     return turns(spark, d).select("conv_id", "turn", X.clean_special(marked, ["<s>", "</s>", "<|tool|>", "<think>"]).alias("text"))
 
 
-SETTINGS = [(1, "a", None, 0, 4096, 5, 7), (2, "", None, 2048, 4096, None, 7), (3, None, ["x", ""], None, -1, None, None), (4, None, [""], None, 32, 9, None)]
-
-
 def request_settings(spark, d):
-    """Stop words, window and token limit of a request."""
-    rows = literal(spark, SETTINGS, "id int, one string, many array<string>, set int, seen int, completion int, legacy int")
-    return rows.select("id", F.array_join(M.stops(F.col("one"), F.col("many")), ",").alias("stops"), M.context_window(F.col("set"), F.lit(0), F.col("seen")).alias("win"), M.client_limit(F.col("completion"), F.col("legacy")).alias("most"))
+    """Stop words, window and token limit of a request: each event asks for some of them."""
+    e, kind, kinds, number = table(spark, d, "events"), F.pmod("event_id", F.lit(4)), F.col("event_type"), F.col("event_id").cast("int")
+    one, many = F.when(kind == 0, kinds).when(kind == 1, F.lit("")), F.when(kind == 2, F.array(kinds, F.lit(""), F.lit("x"))).when(kind == 3, F.array(F.lit("")))
+    window = M.context_window(F.when(number % 3 == 0, number % 5 * 1024), number % 2 * -1, (number % 7 - 1) * 512)
+    most = M.client_limit(F.when(number % 2 == 0, number % 11), F.when(number % 3 != 0, number % 13))
+    return e.select("event_id", F.array_join(M.stops(one, many), ",").alias("stops"), window.alias("win"), most.alias("most"))
 
 
 def allowed_names(spark, d):
@@ -528,14 +534,14 @@ QUERIES = {
 
 ORACLE = TEMPLATE_ORACLE | {
     "query_history_split": f"WITH {_GATHERED} SELECT a.conv_id, a.text AS query, (SELECT count(*) FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn < a.turn)::INT AS n_history FROM asked a",
-    "intent_rules": f"SELECT id::INT AS id, {INTENT_CASE} AS plan FROM (SELECT id, trim(query) AS q, has FROM {values_sql(SAYINGS, 'id, query, has')})",
+    "intent_rules": f"SELECT id::INT AS id, {INTENT_CASE} AS plan FROM (SELECT id, trim(query) AS q, has FROM {cases_sql(SAYINGS, 'id, query, has')})",
     "intent_conversations": f"WITH {_GATHERED} SELECT id, {INTENT_CASE} AS plan FROM (SELECT conv_id AS id, trim(text) AS q, EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn < a.turn) AS has FROM asked a)",
-    "intent_model": f"""WITH a AS (SELECT id, regexp_replace(regexp_replace(answer, '^```[a-z]*\\n', ''), '\\n```$', '') AS body FROM {values_sql(ANSWERS, 'id, answer')}),
+    "intent_model": f"""WITH a AS (SELECT id, regexp_replace(regexp_replace(answer, '^```[a-z]*\\n', ''), '\\n```$', '') AS body FROM {cases_sql(ANSWERS, 'id, answer')}),
   j AS (SELECT id, json_valid(body) AS ok, CASE WHEN json_valid(body) THEN body ELSE '{{}}' END AS body FROM a), n AS (SELECT *, lower(coalesce(json_extract_string(body, '$.intent'), '')) AS name FROM j)
   SELECT id::INT AS id, CASE WHEN ok THEN CASE WHEN name IN ('follow_up', 'topic_switch', 'clarification', 'chitchat') THEN name ELSE 'knowledge_query' END || '|0.8|' || coalesce(json_extract_string(body, '$.should_search'), 'true') || '|' || coalesce(json_extract_string(body, '$.rewrite_needed'), 'false')
     ELSE 'follow_up|0.3|true|true' END AS plan FROM n""",
     "rewrite_history": f"WITH {_RECENT} SELECT conv_id, string_agg({_NAME} || ': ' || text, chr(10) ORDER BY turn) AS text, string_agg({_NAME} || ': ' || substring(text, 1, 200), chr(10) ORDER BY turn) AS short FROM ranked WHERE k <= 4 GROUP BY conv_id",
-    "query_rewrite": f"""WITH r AS (SELECT id, query, trim(answer) AS t FROM {values_sql(REWRITES, 'id, query, answer')}),
+    "query_rewrite": f"""WITH r AS (SELECT id, query, trim(answer) AS t FROM {cases_sql(REWRITES, 'id, query, answer')}),
   d AS (SELECT id, query, CASE WHEN length(t) > 1 AND starts_with(t, chr(34)) AND ends_with(t, chr(34)) THEN substring(t, 2, length(t) - 2) ELSE t END AS t FROM r),
   s AS (SELECT id, query, CASE WHEN length(t) > 1 AND starts_with(t, chr(39)) AND ends_with(t, chr(39)) THEN substring(t, 2, length(t) - 2) ELSE t END AS t FROM d)
   SELECT id::INT AS id, CASE WHEN t <> '' THEN t ELSE query END AS query, t <> '' AND lower(t) <> lower(query) AS applied FROM s""",
@@ -543,8 +549,8 @@ ORACLE = TEMPLATE_ORACLE | {
   SELECT c.conv_id, coalesce(string_agg(r.role || ':' || r.text, chr(10) ORDER BY r.turn) FILTER (k <= 2), '') AS text FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id""",
     "prompt_messages_generic": _prompt_sql(f"'user:' || CASE WHEN conv_id % 2 = 0 THEN {_q(V.FOUND_HEAD)} || 'hit ' || conv_id || {_q(V.QUESTION_HEAD)} || text || {_q(V.FOUND_TAIL)} ELSE {_q(V.NO_RESULT + V.QUESTION_HEAD)} || text END"),
     "prompt_messages_observation": _prompt_sql(f"'user:' || text || chr(10) || 'observation:' || CASE WHEN conv_id % 2 = 0 THEN 'hit ' || conv_id ELSE {_q(V.NOT_FOUND)} END"),
-    "model_family": f"SELECT id::INT AS id, CASE WHEN contains(lower(name), 'glm') THEN 'glm' WHEN contains(lower(name), 'qwen') THEN 'qwen' WHEN contains(lower(name), 'deepseek') THEN 'deepseek' ELSE 'generic' END AS family FROM {values_sql(MODELS, 'id, name')}",
-    "role_normalize": f"SELECT id::INT AS id, CASE WHEN r = 'developer' THEN 'system' WHEN r = '' THEN 'user' ELSE r END AS role FROM (SELECT id, lower(trim(coalesce(name, ''))) AS r FROM {values_sql(ROLES, 'id, name')})",
+    "model_family": f"SELECT id::INT AS id, CASE WHEN contains(lower(name), 'glm') THEN 'glm' WHEN contains(lower(name), 'qwen') THEN 'qwen' WHEN contains(lower(name), 'deepseek') THEN 'deepseek' ELSE 'generic' END AS family FROM {cases_sql(MODELS, 'id, name')}",
+    "role_normalize": f"SELECT id::INT AS id, CASE WHEN r = 'developer' THEN 'system' WHEN r = '' THEN 'user' ELSE r END AS role FROM (SELECT id, lower(trim(coalesce(name, ''))) AS r FROM {cases_sql(ROLES, 'id, name')})",
     "think_strip": f"WITH {THOUGHT} SELECT conv_id, turn, {_STRIPPED} AS text FROM thought",
     "think_split": f"""WITH {THOUGHT} SELECT conv_id, turn, CASE WHEN starts_with(text, '<think>') THEN nullif(regexp_replace(CASE WHEN p > 0 THEN substring(text, 8, p - 8) ELSE substring(text, 8) END, '^\\s+|\\s+$', '', 'g'), '') END AS reasoning,
   CASE WHEN NOT starts_with(text, '<think>') THEN text WHEN p > 0 THEN regexp_replace(substring(text, p + 8), '^\\s+|\\s+$', '', 'g') ELSE '' END AS content FROM (SELECT *, strpos(text, '</think>') AS p FROM thought)""",
@@ -553,25 +559,25 @@ ORACLE = TEMPLATE_ORACLE | {
     "tool_groups": f"WITH {TOOLED}, heads AS (SELECT conv_id, turn AS head_turn FROM tooled WHERE calls IS NOT NULL) SELECT t.conv_id, t.turn, h.head_turn FROM tooled t JOIN heads h ON h.conv_id = t.conv_id AND t.turn IN (h.head_turn, h.head_turn + 1)",
     "trim_budget": TRIM_SQL,
     "max_tokens": f"""SELECT id::INT AS id, coalesce(greatest(least(CASE WHEN prompt > 0 AND win - prompt - 256 > 0 THEN win - prompt - 256 END, hw, client), CASE WHEN least(CASE WHEN prompt > 0 AND win - prompt - 256 > 0 THEN win - prompt - 256 END, hw, client) IS NOT NULL THEN 1 END), 4096)::INT AS max_tokens,
-  (least(coalesce(client, 4096), coalesce(win, 1000) // 2) + 256)::INT AS reserve FROM {values_sql(LIMITS, 'id, win, prompt, hw, client')}""",
-    "finish_reason": f"SELECT id::INT AS id, CASE WHEN most > 0 AND n >= most THEN 'length' ELSE 'stop' END AS finish, CASE WHEN most > 0 AND n >= most THEN 'max_tokens' ELSE 'end_turn' END AS stop FROM {values_sql(FINISHES, 'id, n, most')}",
+  (least(coalesce(client, 4096), coalesce(win, 1000) // 2) + 256)::INT AS reserve FROM {cases_sql(LIMITS, 'id, win, prompt, hw, client')}""",
+    "finish_reason": f"SELECT id::INT AS id, CASE WHEN most > 0 AND n >= most THEN 'length' ELSE 'stop' END AS finish, CASE WHEN most > 0 AND n >= most THEN 'max_tokens' ELSE 'end_turn' END AS stop FROM {cases_sql(FINISHES, 'id, n, most')}",
     "stop_cut": "SELECT conv_id, turn, CASE WHEN least(a, b) < 1e9 THEN substring(text, 1, least(a, b)::BIGINT - 1) ELSE text END AS text FROM (SELECT *, coalesce(nullif(strpos(text, ' the '), 0), 1e9) AS a, coalesce(nullif(strpos(text, chr(10)), 0), 1e9) AS b FROM conversations)",
     "tool_choice_map": f"""SELECT id::INT AS id, CASE WHEN kind = 'any' THEN 'required' WHEN kind = 'tool' AND name <> '' THEN '{{"type":"function","function":{{"name":"' || name || '"}}}}' ELSE 'auto' END AS choice,
-  CASE WHEN kind = 'none' THEN 'Important: Do NOT call any tools. Respond with text only.' WHEN kind = 'any' THEN 'Important: You MUST call at least one tool in your response.' WHEN kind = 'tool' AND name <> '' THEN 'Important: You MUST call the tool "' || name || '" in your response.' ELSE '' END AS sentence FROM {values_sql(CHOICES, 'id, kind, name')}""",
-    "request_validation": f"SELECT id::INT AS id, concat_ws(',', CASE WHEN n > 1 THEN 'n' END, CASE WHEN fmt NOT IN ('text', '') THEN 'response_format' END, CASE WHEN NOT parallel THEN 'parallel_tool_calls' END) AS violations FROM {values_sql(REQUESTS, 'id, n, fmt, parallel')}",
+  CASE WHEN kind = 'none' THEN 'Important: Do NOT call any tools. Respond with text only.' WHEN kind = 'any' THEN 'Important: You MUST call at least one tool in your response.' WHEN kind = 'tool' AND name <> '' THEN 'Important: You MUST call the tool "' || name || '" in your response.' ELSE '' END AS sentence FROM {cases_sql(CHOICES, 'id, kind, name')}""",
+    "request_validation": f"SELECT id::INT AS id, concat_ws(',', CASE WHEN n > 1 THEN 'n' END, CASE WHEN fmt NOT IN ('text', '') THEN 'response_format' END, CASE WHEN NOT parallel THEN 'parallel_tool_calls' END) AS violations FROM {cases_sql(REQUESTS, 'id, n, fmt, parallel')}",
     "user_block_split": """SELECT conv_id, turn, part::INT AS part, CASE WHEN part = 1 THEN 'tool' ELSE 'user' END AS role, CASE WHEN part = 1 THEN conv_id::VARCHAR END AS tool_call_id,
   CASE part WHEN 0 THEN text WHEN 1 THEN turn::VARCHAR ELSE 'after' END AS content FROM conversations, range(3) r(part) WHERE role = 'user'""",
     "response_blocks": f"""WITH {THOUGHT}, parts AS (SELECT conv_id, turn, CASE WHEN starts_with(text, '<think>') THEN regexp_replace(CASE WHEN p > 0 THEN substring(text, 8, p - 8) ELSE substring(text, 8) END, '^\\s+|\\s+$', '', 'g') ELSE '' END AS reasoning,
   CASE WHEN NOT starts_with(text, '<think>') THEN text WHEN p > 0 THEN regexp_replace(substring(text, p + 8), '^\\s+|\\s+$', '', 'g') ELSE '' END AS content FROM (SELECT *, strpos(text, '</think>') AS p FROM thought WHERE role = 'assistant')),
   blocks AS (SELECT conv_id, turn, 0 AS o, 'thinking' AS type, reasoning AS text FROM parts WHERE reasoning <> '' UNION ALL SELECT conv_id, turn, 1, 'text', content FROM parts WHERE content <> '' OR reasoning = '')
   SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY o) - 1)::INT AS part, type, text FROM blocks""",
-    "strategy_lookup": f"""WITH k AS (SELECT id, replace(lower(trim(coalesce(name, 'generic'))), '_', '-') AS key FROM {values_sql([x[:2] for x in STRATEGIES], 'id, name')}),
+    "strategy_lookup": f"""WITH k AS (SELECT id, replace(lower(trim(coalesce(name, 'generic'))), '_', '-') AS key FROM {cases_sql([x[:2] for x in STRATEGIES], 'id, name')}),
   p AS (SELECT *, replace(key, 'phi-4', 'phi4') AS phi FROM k)
   SELECT id::INT AS id, CASE WHEN contains(key, 'qwen') THEN coalesce(nullif(regexp_extract(key, 'qwen[23]'), ''), 'qwen')
     WHEN contains(key, 'glm') THEN CASE WHEN contains(key, 'z1') THEN 'glm4-z1' WHEN contains(key, 'glm4') THEN 'glm4' ELSE 'glm' END
     WHEN contains(key, 'deepseek') THEN CASE WHEN contains(key, 'r1') THEN 'deepseek-r1' ELSE 'deepseek' END
     WHEN contains(phi, 'phi4') THEN 'phi4' || CASE WHEN contains(key, 'mini') THEN '-mini' ELSE '' END || CASE WHEN contains(key, 'reason') THEN '-reasoning' ELSE '' END ELSE 'generic' END AS strategy FROM p""",
-    "filename_sanitize": f"""SELECT id::INT AS id, coalesce(nullif(trim(regexp_replace(coalesce(nullif(name, ''), 'default'), '[<>:"/\\\\|?*]+', '_', 'g'), ' .'), ''), 'default') AS file FROM {values_sql([n[:2] for n in NAMES], 'id, name')}""",
+    "filename_sanitize": """SELECT page_id, coalesce(nullif(trim(regexp_replace(coalesce(nullif(url || CASE WHEN page_id % 3 = 0 THEN ' . ' ELSE '' END, ''), 'default'), '[<>:"/\\\\|?*]+', '_', 'g'), ' .'), ''), 'default') AS file FROM pages""",
     "tool_call_parse": f"WITH {_CALLED} SELECT id, 0 AS n, call_id, 'look' AS name, arguments FROM called",
     "tool_call_strip": f"WITH {_CALLED} SELECT id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, kind <> 2 AS looks_like_calls FROM called",
     "tool_events": f"""WITH {_CALLED} SELECT id AS req_id, 0 AS call, step::INT AS step, CASE step WHEN 0 THEN 'start' WHEN 1 THEN 'delta' ELSE 'stop' END AS event,
@@ -600,7 +606,9 @@ ORACLE = TEMPLATE_ORACLE | {
     "tool_injection": """WITH f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS m FROM conversations)
   SELECT conv_id, 'system' AS role, CASE WHEN role = 'system' THEN text || chr(10) || chr(10) || 'Tools: look' ELSE 'Tools: look' END AS content, (m + CASE WHEN role = 'system' THEN 0 ELSE 1 END)::INT AS n FROM f WHERE k = 1""",
     "special_clean": "SELECT conv_id, turn, replace(replace(text, '<s>', ''), '</s>', '') || '<|tool|><think>' AS text FROM conversations",
-    "request_settings": """SELECT * FROM (VALUES (1::INT, 'a', 4096::INT, 5::INT), (2, NULL, 2048, 7), (3, 'x', NULL, NULL), (4, NULL, 32, 9)) t(id, stops, win, most)""",
+    "request_settings": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 2 THEN event_type || ',x' END AS stops,
+  CASE WHEN event_id % 3 = 0 AND event_id % 5 > 0 THEN event_id % 5 * 1024 WHEN event_id % 7 > 1 THEN (event_id % 7 - 1) * 512 END::INT AS win,
+  coalesce(CASE WHEN event_id % 2 = 0 THEN event_id % 11 END, CASE WHEN event_id % 3 <> 0 THEN event_id % 13 END)::INT AS most FROM events""",
     "allowed_names": "SELECT conv_id, string_agg(role, ',' ORDER BY role) AS names FROM (SELECT DISTINCT conv_id, role FROM conversations) GROUP BY conv_id",
     "legacy_tools": """SELECT conv_id, turn, '{"type":"function","function":{"name":"' || role || '"}}' AS tool, CASE WHEN role = 'user' THEN 'auto' ELSE '{"type":"function","function":{"name":"' || role || '"}}' END AS choice FROM conversations""",
     "block_messages": """WITH r AS (SELECT conv_id, turn, part, role, text FROM conversations, range(2) p(part) WHERE role <> 'system'),

@@ -131,9 +131,14 @@ def bm25_content_topk(spark, d):
     return shown(S.bm25(chunks(spark, d), queries(spark, d), "content", K))
 
 
+def title_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth document asks for its own first part."""
+    docs = table(spark, d, "documents").filter(F.col("doc_id") % 50 == 0)
+    return docs.select(F.col("doc_id").alias("qid"), F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(".txt part 0")).alias("query"))
+
+
 def bm25_title_topk(spark, d):
-    asked = spark.createDataFrame([(1, "doc-3.txt part 0"), (2, "part 2"), (3, "doc 17 txt")], "qid long, query string")
-    return shown(S.bm25(chunks(spark, d), asked, "title", K))
+    return shown(S.bm25(chunks(spark, d), title_queries(spark, d), "title", K))
 
 
 def bm25_filtered_topk(spark, d):
@@ -184,8 +189,10 @@ def context_pack_overflow(spark, d):
 
 
 def search_modes(spark, d):
-    rows = spark.createDataFrame([(1, "Dense"), (2, "SPARSE"), (3, "hybrid"), (4, "other"), (5, None)], "n int, asked string")
-    return rows.select("n", S.mode_of(F.col("asked")).alias("mode"))
+    """Events ask for a mode in any case, for none, or for one that there isn't."""
+    kind = F.pmod("event_id", F.lit(5))
+    asked = F.when(kind == 0, "Dense").when(kind == 1, "SPARSE").when(kind == 2, "hybrid").when(kind == 3, F.col("event_type"))
+    return table(spark, d, "events").select("event_id", S.mode_of(asked).alias("mode"))
 
 
 def _packed_sql(source: str, style: str, budget: int) -> str:
@@ -209,8 +216,8 @@ scored AS (SELECT f.qid, f.id, f.rank AS before, 1 / (1 + exp(-(4 * (len(list_in
 reranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, before)::INT AS rank FROM scored)"""
 _KEPT = """kept AS (SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM fused)
   WHERE CASE WHEN best < 0.6 THEN rank = 1 ELSE score >= best * 0.85 END) WHERE n <= 3)"""
-_TITLE_QUERIES = f"""queries AS (SELECT * FROM (VALUES (1, 'doc-3.txt part 0'), (2, 'part 2'), (3, 'doc 17 txt')) t(qid, query)),
-terms AS (SELECT DISTINCT qid::BIGINT AS qid, unnest({_tokens('query')}) AS term FROM queries)"""
+_TITLE_QUERIES = f"""queries AS (SELECT doc_id AS qid, 'doc ' || doc_id || '.txt part 0' AS query FROM documents WHERE doc_id % 50 = 0),
+terms AS (SELECT DISTINCT qid, unnest({_tokens('query')}) AS term FROM queries)"""
 
 QUERIES = {
     f.__name__: f
@@ -239,6 +246,5 @@ ORACLE = {
   round(score, 6) AS score FROM fused JOIN chunks USING (id)""",
     "context_pack": f"{_hybrid(K)}, {_KEPT}, {_packed_sql('kept', 'generic', 6000)}",
     "context_pack_overflow": f"{_hybrid(K)}, {_packed_sql('fused', 'observation', 1700)}",
-    "search_modes": """SELECT n::INT AS n, CASE WHEN lower(asked) IN ('dense', 'sparse') THEN lower(asked) ELSE 'hybrid' END AS mode
-  FROM (VALUES (1, 'Dense'), (2, 'SPARSE'), (3, 'hybrid'), (4, 'other'), (5, NULL)) t(n, asked)""",
+    "search_modes": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'dense' WHEN 1 THEN 'sparse' ELSE 'hybrid' END AS mode FROM events",
 }

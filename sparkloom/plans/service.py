@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloom.operators import serving as R
-from sparkloom.plans.dialogue import literal, values_sql
 from sparkloom.plans.retrieval import table
 
-MODELS = [(1, "Alpha-7B", 4, 2), (2, "beta", 1, 1), (3, "Gamma", 8, 3)]
-OTHERS = [("embed-1", "embedding"), ("rank-1", "reranker")]
-ASKED = [(1, "Alpha-7B"), (2, " alpha-7b "), (3, None), (4, "missing"), (5, "BETA")]
-CODES = [(1, "MODEL_NOT_FOUND"), (2, "UNSUPPORTED_PARAMETER"), (3, "RESOURCE_LIMIT_ERROR"), (4, "SERVICE_OVERLOADED"), (5, "INFERENCE_ERROR"), (6, "ANY_OTHER"), (7, "CONTEXT_LENGTH_EXCEEDED"), (8, "MODEL_LOAD_ERROR"), (9, "CONFIGURATION_ERROR")]
+def models(spark, d):
+    """ord, name, max_concurrent, replicas: a model for each type of event but errors, named by the type with a capital."""
+    kinds = table(spark, d, "events").filter("event_type <> 'error'").groupBy("event_type").agg(F.count_distinct(F.pmod("user_id", F.lit(4))).cast("int").alias("replicas"))
+    order = F.row_number().over(Window.orderBy("event_type"))  # one row a type
+    return kinds.select(order.alias("ord"), F.initcap("event_type").alias("name"), (F.length("event_type") % 5 + 1).alias("max_concurrent"), "replicas")
 
 
-def _models(spark):
-    return literal(spark, MODELS, "ord int, name string, max_concurrent int, replicas int")
+MODELS = """models AS (SELECT row_number() OVER (ORDER BY event_type) AS ord, upper(event_type[1]) || event_type[2:] AS name, length(event_type) % 5 + 1 AS max_concurrent, count(DISTINCT user_id % 4) AS replicas
+  FROM events WHERE event_type <> 'error' GROUP BY event_type)"""
+
+
+def asked(spark, d):
+    """event_id, model: events ask for a model by its name, by something like it, by none, or by one that there isn't."""
+    name, kind = F.initcap("event_type"), F.pmod("event_id", F.lit(4))
+    model = F.when(kind == 0, name).when(kind == 1, F.concat(F.lit(" "), F.upper("event_type"))).when(kind == 2, F.concat(name, F.lit("-2")))
+    return table(spark, d, "events").select("event_id", model.alias("model"))
+
+
+ASKED = """asked AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN upper(event_type[1]) || event_type[2:] WHEN 1 THEN ' ' || upper(event_type) WHEN 2 THEN upper(event_type[1]) || event_type[2:] || '-2' END AS model FROM events)"""
 
 
 def requests(spark, d):
@@ -33,18 +44,28 @@ REQUESTS = """requests AS (SELECT event_id, ts, event_type AS model, user_id % 4
 
 
 def model_lookup(spark, d):
-    return R.resolve_model(literal(spark, ASKED, "id int, model string"), _models(spark)).select("id", "resolved")
+    return R.resolve_model(asked(spark, d), models(spark, d)).select("event_id", "resolved")
 
 
 def model_defaults(spark, d):
-    """Each event asks for a model by its type: unknown names go to the first model, or are a 404."""
-    asked = table(spark, d, "events").select("event_id", F.col("event_type").alias("model"))
-    return R.resolve_model(R.required_model(asked, _models(spark)), _models(spark), unknown_to_first=True).select("event_id", "resolved", "status")
+    """Unknown names go to the first model; asked for by its exact name alone, one that isn't there is a 404."""
+    known = models(spark, d)
+    return R.resolve_model(R.required_model(asked(spark, d), known), known, unknown_to_first=True).select("event_id", "resolved", "status")
+
+
+def others(spark, d):
+    """name, kind: an embedding model for each language, a reranker for each source."""
+    docs = table(spark, d, "documents")
+    named = lambda c, kind: docs.filter(F.col(c).isNotNull()).select(F.concat(F.lit(f"{kind}-"), c).alias("name"), F.lit(kind).alias("kind")).distinct()
+    return named("lang", "embedding").unionByName(named("source", "reranker"))
+
+
+OTHERS = """others AS (SELECT DISTINCT 'embedding-' || lang AS name, 'embedding' AS kind FROM documents WHERE lang IS NOT NULL UNION ALL SELECT DISTINCT 'reranker-' || source, 'reranker' FROM documents WHERE source IS NOT NULL)"""
 
 
 def model_listing(spark, d):
-    other = literal(spark, OTHERS, "name string, kind string")
-    return R.model_listing(_models(spark), other.filter("kind = 'embedding'"), other.filter("kind = 'reranker'"))
+    other = others(spark, d)
+    return R.model_listing(models(spark, d), other.filter("kind = 'embedding'"), other.filter("kind = 'reranker'"))
 
 
 def usage_by_model(spark, d):
@@ -69,12 +90,17 @@ def latest_log_per_model(spark, d):
 
 
 def auto_workers(spark, d):
-    return R.auto_workers(_models(spark), len(OTHERS))
+    return R.auto_workers(models(spark, d), others(spark, d).count())
+
+
+#: What a failed event tells: the codes with a status of their own, and one without.
+CODES = [*R.STATUS, "ANY_OTHER"]
 
 
 def error_status(spark, d):
+    code = F.element_at(F.array(*[F.lit(c) for c in CODES]), (F.pmod(F.col("user_id"), F.lit(len(CODES))) + 1).cast("int"))
     status, kind = R.error_status(F.col("code"))
-    return literal(spark, CODES, "id int, code string").select("id", status.alias("status"), kind.alias("type"))
+    return table(spark, d, "events").filter("event_type = 'error'").select("event_id", code.alias("code")).select("event_id", status.alias("status"), kind.alias("type"))
 
 
 def request_log(spark, d):
@@ -82,27 +108,29 @@ def request_log(spark, d):
 
 
 def validation_message(spark, d):
-    rows = spark.createDataFrame([(1, [(["body", "top_k"], "too large"), (["query"], "missing")]), (2, [])], "id int, errors array<struct<loc: array<string>, msg: string>>")
-    return rows.select("id", R.validation_message(F.col("errors")).alias("message"))
+    """An error for each turn that is too long, at its place in the request; a conversation without one has no message."""
+    place = F.array(F.lit("messages"), F.col("turn").cast("string"), "role")
+    error = F.when(F.length("text") > 300, F.struct(place.alias("loc"), F.concat(F.length("text").cast("string"), F.lit(" characters")).alias("msg")))
+    listed = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(error.isNotNull(), F.struct("turn", error.alias("e"))))).alias("l"))
+    return listed.select("conv_id", R.validation_message(F.transform("l", lambda x: x["e"])).alias("message"))
 
 
 QUERIES = {f.__name__: f for f in (model_lookup, model_defaults, model_listing, usage_by_model, deployment_metrics, least_loaded, latest_log_per_model, auto_workers, error_status, request_log, validation_message)}
 
 _REPLICAS = f"{REQUESTS}, replicas AS (SELECT model, replica, 100000 AS capacity, count(*) AS active, count(*) FILTER (status = 503) AS rejected FROM requests GROUP BY model, replica)"
 ORACLE = {
-    "model_lookup": f"""WITH m AS (SELECT * FROM {values_sql(MODELS, 'ord, name, c, r')}), q AS (SELECT * FROM {values_sql(ASKED, 'id, model')})
-  SELECT q.id::INT AS id, CASE WHEN q.model IS NULL THEN (SELECT arg_min(name, ord) FROM m) ELSE coalesce(e.name, l.name) END AS resolved
-  FROM q LEFT JOIN m e ON e.name = q.model LEFT JOIN m l ON lower(trim(l.name)) = lower(trim(q.model))""",
-    "model_defaults": f"""WITH m AS (SELECT * FROM {values_sql(MODELS, 'ord, name, c, r')}), e AS (SELECT event_id, event_type AS model FROM events)
-  SELECT event_id, coalesce(m.name, (SELECT arg_min(name, ord) FROM m)) AS resolved, CASE WHEN m.name IS NULL THEN 404 ELSE 200 END::INT AS status FROM e LEFT JOIN m ON m.name = e.model""",
-    "model_listing": f"SELECT name, 'llm' AS kind FROM {values_sql(MODELS, 'ord, name, c, r')} UNION ALL SELECT name, kind FROM {values_sql(OTHERS, 'name, kind')}",
+    "model_lookup": f"""WITH {MODELS}, {ASKED} SELECT event_id, CASE WHEN q.model IS NULL THEN (SELECT arg_min(name, ord) FROM models) ELSE coalesce(e.name, l.name) END AS resolved
+  FROM asked q LEFT JOIN models e ON e.name = q.model LEFT JOIN models l ON lower(trim(l.name)) = lower(trim(q.model))""",
+    "model_defaults": f"""WITH {MODELS}, {ASKED} SELECT event_id, coalesce(e.name, l.name, (SELECT arg_min(name, ord) FROM models)) AS resolved, CASE WHEN e.name IS NULL THEN 404 ELSE 200 END::INT AS status
+  FROM asked q LEFT JOIN models e ON e.name = q.model LEFT JOIN models l ON lower(trim(l.name)) = lower(trim(q.model))""",
+    "model_listing": f"WITH {MODELS}, {OTHERS} SELECT name, 'llm' AS kind FROM models UNION ALL SELECT name, kind FROM others",
     "usage_by_model": f"WITH {REQUESTS} SELECT model, count(*) AS requests, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, sum(prompt_tokens + completion_tokens)::BIGINT AS total_tokens FROM requests GROUP BY model",
     "deployment_metrics": f"WITH {_REPLICAS} SELECT model, count(*) AS replicas, sum(capacity)::BIGINT AS capacity, sum(active)::BIGINT AS active, sum(rejected)::BIGINT AS rejected FROM replicas GROUP BY model",
     "least_loaded": f"WITH {_REPLICAS} SELECT model, replica FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY active, replica) AS k FROM replicas WHERE active < capacity) WHERE k = 1",
     "latest_log_per_model": f"WITH {REQUESTS} SELECT model, ts, event_id, status::INT AS status FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ts DESC, event_id DESC) AS k FROM requests) WHERE k = 1",
-    "auto_workers": f"SELECT greatest(4, least(sum(c * r) + {len(OTHERS)}, 128))::INT AS workers FROM {values_sql(MODELS, 'ord, name, c, r')}",
-    "error_status": f"SELECT id::INT AS id, status::INT AS status, CASE WHEN status < 500 THEN 'invalid_request_error' ELSE 'server_error' END AS type FROM (SELECT id, CASE code {' '.join(f"WHEN '{k}' THEN {v}" for k, v in R.STATUS.items())} ELSE 500 END AS status FROM {values_sql(CODES, 'id, code')})",
+    "auto_workers": f"WITH {MODELS}, {OTHERS} SELECT greatest(4, least((SELECT sum(max_concurrent * replicas) FROM models) + (SELECT count(*) FROM others), 128))::INT AS workers",
+    "error_status": f"""SELECT event_id, status::INT AS status, CASE WHEN status < 500 THEN 'invalid_request_error' ELSE 'server_error' END AS type FROM (SELECT event_id, CASE code {' '.join(f"WHEN '{k}' THEN {v}" for k, v in R.STATUS.items())} ELSE 500 END AS status
+  FROM (SELECT event_id, list_extract({CODES}, (user_id % {len(CODES)} + 1)::INT) AS code FROM events WHERE event_type = 'error'))""",
     "request_log": f"WITH {REQUESTS} SELECT model, count(*) AS requests, count(*) FILTER (status >= 400) AS failed, round(avg(ms), 6) AS mean_ms FROM requests GROUP BY model",
-    "validation_message": """WITH e AS (SELECT * FROM (VALUES (1, 0, ['body', 'top_k'], 'too large'), (1, 1, ['query'], 'missing')) t(id, k, loc, msg))
-  SELECT i::INT AS id, coalesce(string_agg(array_to_string(loc, ' -> ') || ': ' || msg, '; ' ORDER BY k), '') AS message FROM (VALUES (1), (2)) n(i) LEFT JOIN e ON e.id = i GROUP BY i""",
+    "validation_message": """SELECT conv_id, coalesce(string_agg('messages -> ' || turn || ' -> ' || role || ': ' || length(text) || ' characters', '; ' ORDER BY turn) FILTER (length(text) > 300), '') AS message FROM conversations GROUP BY conv_id""",
 }
