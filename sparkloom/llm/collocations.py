@@ -4,13 +4,14 @@ Words are counted per language first.  Texts are kept as runs of 64-bit word has
 frequent.  Then, for each length in turn, the tasks count hashed phrases whose two shorter parts may be frequent in a numpy array of twice ``BUCKETS`` counters that
 stop at ``least``, under two hashes; the arrays are summed as a tree.  A counter below ``least`` belongs to no frequent phrase, so that none is lost.
 
-The phrases that pass all filters are the candidates.  In blocks of about ``SLOTS`` they get a minimal perfect hash with their 128-bit keys stored
+The phrases that pass all filters are the candidates.  The first task that has a phrase of a counter names those of its phrases that have
+that counter; then all look for phrases that nobody has named.  In blocks of about ``SLOTS`` they get a minimal perfect hash with their 128-bit keys stored
 by slot.  The tasks look up each occurrence, compare the key, count with ``bincount`` by slot, and the arrays are summed as a tree: exact counts.  What
 a cut needs, the counts of a phrase's two parts, is read by slot in the same way.
 
 Two words of one 64-bit hash, one of which could be frequent, are noticed in the word table, and all is hashed again with another seed.
 
-Memory is bounded by ``BUCKETS`` and ``SLOTS`` at any size.  Runs are read once for each length and once for each block of candidates; where so many phrases
+Memory is bounded by ``BUCKETS`` and ``SLOTS`` at any size.  Runs are read once for each length, once for the owners and the names each, and twice for each block of candidates; where so many phrases
 are hashed that each counter is full, the filters let more through and the work grows, not the error.
 
 Defined cases: null text is empty; null language counts as ``und``; words that no neighbour can join are counted as words; texts of any length
@@ -188,11 +189,14 @@ def _parts(node: int, array: np.ndarray) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([node], pa.int32()), pa.array([piece], pa.int32()), pa.array([array[at : at + PIECE].tobytes()], pa.binary())], names=["node", "piece", "data"])
 
 
-def tree_sum(parts: DataFrame, size: int, kind: str, most: int | None = None) -> np.ndarray:
-    """The sum of the tasks' arrays, ``FAN_IN`` at a time; no counter passes ``most``.  The driver gets ``size`` counters."""
+def tree_sum(parts: DataFrame, size: int, kind: str, most: int | None = None, largest: bool = False) -> np.ndarray:
+    """The sum of the tasks' arrays (or their ``largest`` counters), ``FAN_IN`` at a time; no counter passes ``most``.  The driver gets ``size``
+    counters."""
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, kind).astype(np.int64) for x in group.column("data").to_pylist())
+        total = np.zeros(1, np.int64)
+        for x in group.column("data").to_pylist():
+            total = (np.maximum if largest else np.add)(total, np.frombuffer(x, kind).astype(np.int64))
         total = total if most is None else np.minimum(total, most)
         return pa.table({"node": group.column("node")[:1], "piece": group.column("piece")[:1], "data": pa.array([total.astype(kind).tobytes()], pa.binary())})
 
@@ -207,7 +211,7 @@ def tree_sum(parts: DataFrame, size: int, kind: str, most: int | None = None) ->
     return out
 
 
-def _mapped_array(rows: DataFrame, size: int, kind: str, most: int | None, add) -> np.ndarray:
+def _mapped_array(rows: DataFrame, size: int, kind: str, most: int | None, add, largest: bool = False) -> np.ndarray:
     """One array a task, to which ``add(array, step)`` adds; then their sum."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +223,7 @@ def _mapped_array(rows: DataFrame, size: int, kind: str, most: int | None, add)
                     np.minimum(held, most, out=held)
             yield from _parts(TaskContext.get().partitionId(), held.astype(kind))
 
-    return tree_sum(rows.mapInArrow(work, _PARTS), size, kind, most)
+    return tree_sum(rows.mapInArrow(work, _PARTS), size, kind, most, largest)
 
 
 def _sketch(runs: DataFrame, sketches, level: int, least: int, buckets: int, kind: str) -> np.ndarray:
@@ -310,12 +314,52 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.append(first, np.flatnonzero(b != b[first][which])) if len(kinds) else first
 
 
-def _discovering(sketches, least: int, longest: int):
+def _rank() -> int:
+    """A number of this task, the larger the earlier; never 0."""
+    return (1 << 31) - 1 - TaskContext.get().partitionId()
+
+
+def _owners(runs: DataFrame, sketches, least: int, longest: int, buckets: int) -> np.ndarray:
+    """For each counter the first task that has a phrase of it."""
+
+    def add(held: np.ndarray, h: np.ndarray) -> None:
+        for _, _, a, _ in _levels(h, sketches.value, least, longest):
+            held[(a & np.uint64(buckets - 1)).astype(np.int64)] = _rank()
+
+    return _mapped_array(runs, buckets, "int32", None, add, largest=True)
+
+
+def _owned(owners):
+    """Phrases whose counter this task owns."""
+
+    def ready():
+        mine = owners.value == _rank()
+        return lambda a, _: mine[(a & np.uint64(len(mine) - 1)).astype(np.int64)]
+
+    return ready
+
+
+def _unnamed(lists, block: int, blocks: int):
+    """Phrases that belong in a block of candidates and aren't there."""
+
+    def ready():
+        levels, sa, sb, _ = lists.value
+        slots = Slots(levels, sa, sb)
+        return lambda a, b: (a.view(np.int64) % blocks == block) & (slots.find(a, b) < 0)
+
+    return ready
+
+
+def _discovering(sketches, least: int, longest: int, ready):
+    """The different phrases that pass all filters and that ``ready()(a, b)`` wants."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen_a, seen_b = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+        seen_a, seen_b, wanted = np.zeros(1, np.uint64), np.zeros(1, np.uint64), ready()
         with returned_memory():
             for h in _steps(batches):
                 for m, at, a, b in _levels(h, sketches.value, least, longest):
+                    some = wanted(a, b)
+                    at, a, b = at[some], a[some], b[some]
                     first = _distinct(a, b)
                     before = np.minimum(np.searchsorted(seen_a, a[first]), len(seen_a) - 1)
                     first = first[(seen_a[before] != a[first]) | (seen_b[before] != b[first])]
@@ -401,6 +445,17 @@ def _scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("phrase"), batch.column("f"), chosen[1], chosen[2], batch.column("n"), chosen[0]], names=["lang", "phrase", "a", "l", "r", "n", "score"])
 
 
+_NO_SLOTS = ([], np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _placed(found: DataFrame, slots: int) -> tuple[DataFrame, int, DataFrame]:
+    """The different candidates, the number of their blocks, and the blocks."""
+    candidates = stage(found.groupBy("a", "b").agg(F.any_value("words").alias("words"), F.max("known").alias("known")), "colloc-candidates")
+    blocks = max(1, -(-candidates.count() // slots))
+    placed = candidates.select(F.pmod("a", F.lit(blocks)).cast("int").alias("block"), "a", "b", "known")
+    return candidates, blocks, stage(placed.groupBy("block").applyInArrow(_block, _BUILT), "colloc-slots")
+
+
 def mine(documents: DataFrame, least: int = 100, longest: int = LONGEST, top: int = 2000, percent: int = 100, buckets: int = BUCKETS, slots: int = SLOTS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, rank, phrase, a (its count), l and r (those of the parts of its lowest-scoring cut), n (words of the language), score: each language's
     ``top`` phrases of 2 to ``longest`` words with a count of ``least`` or more.  A phrase inside a longer one that has ``percent`` of its count is left out."""
@@ -424,10 +479,20 @@ def mine(documents: DataFrame, least: int = 100, longest: int = LONGEST, top: in
     for level in range(2, longest + 1):
         sketches.append(_sketch(runs, share(list(sketches)), level, least, buckets, kind))
     filters = share(sketches)
-    found = runs.mapInArrow(_discovering(filters, least, longest), _CANDIDATE).unionByName(frequent.select("h", "f").mapInArrow(_single, _CANDIDATE))
-    candidates = stage(found.groupBy("a", "b").agg(F.any_value("words").alias("words"), F.max("known").alias("known")), "colloc-candidates")
-    blocks = max(1, -(-candidates.count() // slots))
-    built = stage(candidates.select(F.pmod("a", F.lit(blocks)).cast("int").alias("block"), "a", "b", "known").groupBy("block").applyInArrow(_block, _BUILT), "colloc-slots")
+    # each phrase is named by the task that owns its counter, not by all that meet it
+    owners = share(_owners(runs, filters, least, longest, buckets))
+    found = runs.mapInArrow(_discovering(filters, least, longest, _owned(owners)), _CANDIDATE).unionByName(frequent.select("h", "f").mapInArrow(_single, _CANDIDATE))
+    candidates, blocks, built = _placed(found, slots)
+    # what the owner of a counter doesn't have itself, others name
+    missed = None
+    for block in range(blocks):
+        row = built.filter(F.col("block") == block).first()
+        lists = share(_unpacked(row) if row else _NO_SLOTS)
+        part = runs.mapInArrow(_discovering(filters, least, longest, _unnamed(lists, block, blocks)), _CANDIDATE)
+        missed = part if missed is None else missed.unionByName(part)
+    missed = stage(missed, "colloc-missed")
+    if not missed.isEmpty():
+        candidates, blocks, built = _placed(candidates.unionByName(missed), slots)
     phrases = candidates.filter(F.size("words") > 1).select("a", "b", "words")
     read = None
     for block in range(blocks):
