@@ -42,7 +42,11 @@ def split_thinking(text: Column) -> tuple[Column, Column]:
 
 def estimate_tokens(text: Column) -> Column:
     """Two tokens for five characters, at least one for a text that isn't empty."""
-    n = F.length(F.coalesce(text, F.lit("")))
+    return tokens_of_length(F.length(F.coalesce(text, F.lit(""))))
+
+
+def tokens_of_length(n: Column) -> Column:
+    """As ``estimate_tokens``, for a text of ``n`` characters."""
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n * 2 / 5).cast("int"))).cast("int")
 
 

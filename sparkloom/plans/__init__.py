@@ -1,6 +1,6 @@
 """Registered queries: how operators are put together over the tables, each with the same query in SQL."""
 
-from sparkloom.plans import chat, dialogue, retrieval, service, store
+from sparkloom.plans import chat, dialogue, prompts, retrieval, service, store
 
-QUERIES = {**retrieval.QUERIES | store.QUERIES, **dialogue.QUERIES, **service.QUERIES, **chat.QUERIES}
-ORACLE = {**retrieval.ORACLE | store.ORACLE, **dialogue.ORACLE, **service.ORACLE, **chat.ORACLE}
+QUERIES = {**retrieval.QUERIES | store.QUERIES, **dialogue.QUERIES, **service.QUERIES, **chat.QUERIES | prompts.QUERIES}
+ORACLE = {**retrieval.ORACLE | store.ORACLE, **dialogue.ORACLE, **service.ORACLE, **chat.ORACLE | prompts.ORACLE}
