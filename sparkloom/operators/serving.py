@@ -91,3 +91,24 @@ def request_log(events: DataFrame, by: str) -> DataFrame:
     return events.groupBy(by).agg(F.count("*").alias("requests"), failed.alias("failed"), F.round(F.avg("ms"), 6).alias("mean_ms"))
 
 
+
+
+def deployed(models: DataFrame, engines: DataFrame, engine: str, device: str) -> DataFrame:
+    """One row a replica of each model that can be built: name, replica_id, engine, device, concurrent.
+
+    ``models`` has name, engine, device, devices, replicas, max_concurrent and found, whether its files are there; ``engines`` has engine, concurrent and preferred. A model
+    without engine or device takes the given ones. The device list counts if it is long enough for all replicas.  An engine that takes one request at a time gets one; any
+    other the model's number, or its preferred one if that is larger.  Models whose files or engine are missing have no replica."""
+    known = engines.select(F.col("engine").alias("__engine"), F.col("concurrent").alias("__many"), F.col("preferred").alias("__preferred"))
+    number = F.greatest(F.lit(1), F.coalesce("replicas", F.lit(1)))
+    met = models.filter(F.coalesce("found", F.lit(False))).withColumn("engine", F.coalesce("engine", F.lit(engine))).join(known, F.col("engine") == F.col("__engine"))
+    each = met.withColumn("__n", number).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    own = F.when(F.size("devices") >= F.col("__n"), F.get("devices", F.col("__i"))).otherwise(F.coalesce("device", F.lit(device)))
+    many = F.greatest("max_concurrent", F.when(F.col("__preferred") > 0, F.col("__preferred")))
+    return each.select("name", F.concat("name", F.lit("_r"), "__i").alias("replica_id"), "engine", own.alias("device"), F.when(F.col("__many"), many).otherwise(1).alias("concurrent"))
+
+
+def registry(models: DataFrame) -> DataFrame:
+    """kind, configured, loaded and the default of each kind, its first loaded model, from models (kind, ord, name, loaded)."""
+    loaded = F.coalesce("loaded", F.lit(False))
+    return models.groupBy("kind").agg(F.count("*").alias("configured"), F.count_if(loaded).alias("loaded"), F.min(F.when(loaded, F.struct("ord", "name")))["name"].alias("first"))
