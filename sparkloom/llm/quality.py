@@ -13,7 +13,8 @@ The inputs of a score are properties of the text only: shares of character class
 words and neighbours.  Each is cut at its sample quantiles, and the model adds one weight for each cut passed.
 
 Defined cases: a null text counts as empty; an empty text has all features 0 and is scored like any other; a score is never
-null; without positives or unlabelled rows every score is the prior (0.5 where that is unknown too); a null id is in no
+null; without positives or unlabelled rows every score is the prior (0.5 where that is unknown too); with few rows of
+either kind the estimated prior shrinks towards 0.5, half the way at 20 rows and by less than 0.003 at 266; a null id is in no
 fold, is not held out and isn't learned from; rows that repeat are scored alike; an empty table gives an empty result;
 further columns pass through ``accepted``.
 """
@@ -34,8 +35,8 @@ from .common import bound_arrow_batches, fold_of, picked, returned_memory, text_
 POSITIVES, UNLABELLED = 4_000, 8_000
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
-#: Rows of either sample below which no prior is estimated.
-FEW = 20
+#: Rows of the smaller sample at which the estimated prior weighs as much as 0.5; its weight grows with the square of the rows.
+STEADY = 20
 
 _KINDS = {
     "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "blank": (32,), "feed": (10,), "high": range(128, 256),
@@ -138,8 +139,9 @@ def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
     cuts = [np.unique(np.concatenate([[both[:, j].min()], np.quantile(both[:, j], grid)])) for j in range(both.shape[1])]
     model = Model(cuts, np.zeros(sum(map(len, cuts))), 0.0, 0.5)
     p, u = model.design(positive), model.design(unlabelled)
-    if prior is None and min(len(p), len(u)) < FEW:
-        prior = 0.5  # too few rows to tell
+    fewest = min(len(p), len(u))
+    if prior is None and fewest < 2:
+        prior = 0.5  # no half to learn from
     if prior is None:
         # each half scored by a model of the other half
         sides = halves or (np.arange(len(p)) % 2, np.arange(len(u)) % 2)
@@ -149,7 +151,8 @@ def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
             w, c = _fit(p[ph != k], u[uh != k], None, 2e-3, 200, 0.05)
             sp[ph == k], su[uh == k] = p[ph == k] @ w + c, u[uh == k] @ w + c
             fitted.append((w, c))
-        prior = _smallest_ratio(sp, _anchors(sp), *above(model, fitted, _anchors(sp))) if above else estimate_prior(sp, su)
+        estimate = _smallest_ratio(sp, _anchors(sp), *above(model, fitted, _anchors(sp))) if above else estimate_prior(sp, su)
+        prior = 0.5 + (estimate - 0.5) * fewest**2 / (fewest**2 + STEADY**2)
     model.weights, model.bias = _fit(p, u, prior, 1e-3, 500, 0.05)
     model.prior = prior
     return model

@@ -140,6 +140,30 @@ def test_quality_tells_junk_apart():
     assert (model.score(held[0]) >= 0.7).mean() > 0.95 and (model.score(held[1]) < 0.7).mean() > 0.95
 
 
+def test_the_prior_has_no_step():
+    """Drawn rows are the same at each size but for the last; the estimate alone is far from 0.5."""
+    rng = np.random.default_rng(1)
+    pos, unl = rng.normal(1, 1, (600, len(quality.FEATURES))), rng.normal(1, 1, (600, len(quality.FEATURES)))
+    priors = {n: quality.learn(pos[:n], unl[:n]).prior for n in (0, 1, 2, 5, 10, 18, 19, 20, 21, 22, 300)}
+    assert priors[0] == priors[1] == 0.5 and abs(priors[2] - 0.5) < 0.01
+    assert max(abs(priors[a] - priors[a + 1]) for a in (18, 19, 20, 21)) < 0.1
+    assert all(abs(priors[n] - 0.5) <= 0.5 * n * n / (n * n + quality.STEADY**2) for n in priors)
+    assert priors[300] > 0.6
+
+
+def test_quality_scores_are_those_of_the_texts_one_by_one(spark, docs):
+    """Every score of the query against features and weights applied in plain Python, summed cut by cut."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.train(docs, labels)
+    got = queries.op2_quality(spark, DATA).toPandas().set_index("doc_id").score
+    for row in docs.select("doc_id", "text").collect():
+        x, total, at = quality.features(row["text"]), model.bias, 0
+        for j, cuts in enumerate(model.cuts):
+            total += sum(w for cut, w in zip(cuts, model.weights[at : at + len(cuts)], strict=True) if x[j] > cut)
+            at += len(cuts)
+        assert abs(got[row["doc_id"]] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
 def test_the_prior_is_that_of_the_whole_corpus(spark):
     rng = np.random.default_rng(4)
     clean = lambda: " ".join(f"word{x}" for x in rng.integers(0, 400, 60)) + "."
@@ -476,7 +500,9 @@ def test_mixing_targets_and_copies(spark):
 
 
 def test_mixing_edges(edge, empty):
-    assert mixing.plan(edge).count() == len(RAW)
+    planned = mixing.plan(edge).toPandas()
+    assert len(planned) == len(RAW)
+    assert {i: set(planned[planned.doc_id == i]["size"]) for i in (1, 2, 3, 5, 7, 8)} == {1: {0}, 2: {0}, 3: {0}, 5: {6}, 7: {60_000}, 8: {60_001}}
     assert mixing.plan(empty).count() == mixing.mixed(empty).count() == 0
 
 
@@ -502,8 +528,24 @@ def test_verdicts_of_held_out_urls(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     learn = F.pmod(F.crc32(F.col("page_id").cast("string").cast("binary")), F.lit(4)) != 0
     got = url_filter.judge(pages, learn=learn).filter(F.col("rule").isNotNull() & ~learn).toPandas()
-    right = (got.block_score > 0.5) == (got.verdict == "block")
-    assert len(got) > 100 and right.mean() > 0.75
+    right, most = (got.block_score > 0.5) == (got.verdict == "block"), (got.verdict == "block").mean()
+    # one verdict for all would be right for 0.746 of them
+    assert len(got) > 100 and 0.7 < most < 0.8 and right.mean() > 0.85
+
+
+URL_SQL = """WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r(verdict, rh, rp) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+m AS (SELECT page_id, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) AS k FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, verdict FROM p LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (page_id)"""
+
+
+@pytest.mark.parametrize("folder", [DATA, "/root/testdata/sf0.01"])
+def test_hosts_paths_and_rules_of_all_pages(spark, folder):
+    got = queries.op9_url_filter(spark, folder).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"), F.col("verdict").isin("allow", "block").alias("one")).toPandas()
+    assert got.one.all() and got.rule.notna().any() and got.rule.isna().any()
+    same(got.drop(columns="one"), connected(folder).sql(URL_SQL).df())
 
 
 def test_a_suffix_does_not_tell_its_own_label(spark):
