@@ -10,12 +10,19 @@ for the passages that chose it; the words of these are its context.
    documents hold never gathers.
 3. An entry can repeat a passage with another only if both share half of one around the gram: ``(length - gram) // 2`` words before
    it, or the words from it on that fill a passage up.  Entries that share neither half with another entry are done with.
-4. Of the others each passage is hashed, and the hashes that several entries of a gram have are the repeats.  All passages of an
+4. The others of each gram are sorted by the words from it on, and by the words before it from right to left.  Neighbours are compared:
+   the lowest of the common lengths between two entries of an order is what these share, so that one pass with a stack tells every length
+   at which an entry shares words with another one.
+5. Matches are extended: the entries that share ``r`` words from the gram on, for each such ``r``, are sorted by the words before it, where an
+   entry's neighbours have the longest common words ``l`` of all.  With ``l + r >= length`` it is a repeat.  All passages of an
    entry hold its gram, so its repeats are one run of words: the furthest reach before the gram and after it.
 
+Orders are range-partitioned by whole entries, so a frequent gram is spread; a task hands on its last entry and its stack, a row
+a partition.
+
 Overlapping repeats of a document are merged, which restores passages longer than a context.  Words are those between ASCII white
 space, with A-Z lower-cased; they are compared as hashes
-(64 bits for a gram, a half, a passage and a whole context).
+(64 bits for a word, a gram, a half, a shared beginning and a whole context).
 
 Defined cases: a null, empty or short text has no repeats; rows that repeat an id and a text are places of their own; ``match_id`` is
 the smallest id among the places found equal, the document's own if it repeats itself alone; null ids take part; an empty table gives an
@@ -28,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,8 +48,14 @@ _SUFFIX = pa.schema(
     [("doc_id", pa.int64()), ("tkey", pa.int64()), ("pos", pa.int32()), ("gram", pa.int64()), ("context", pa.int64()), ("left", pa.int32()), ("right", pa.int32()), ("head", pa.int64()), ("tail", pa.int64())]
 )
 _SUFFIX_SQL = "doc_id long, tkey long, pos int, gram long, context long, left int, right int, head long, tail long"
-_CONTEXT = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("own", pa.int64()), ("left", pa.int32()), ("keys", pa.list_(pa.int64()))])
-_CONTEXT_SQL = "gram long, context long, own long, left int, keys array<long>"
+_CONTEXT = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("own", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
+_CONTEXT_SQL = "gram long, context long, own long, before binary, after binary"
+_MET = pa.schema(
+    [("gram", pa.int64()), ("context", pa.int64()), ("own", pa.int64()), ("kind", pa.int32()), ("mark", pa.int64()), ("part", pa.int32()), ("low", pa.int32()), ("depths", pa.list_(pa.int32()))]
+    + [("node", pa.int64()), ("edge", pa.binary())]
+)
+_MET_SQL = "gram long, context long, own long, kind int, mark long, part int, low int, depths array<int>, node long, edge binary"
+_ALL = 2**31 - 1
 _HEAD, _TAIL = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -106,18 +120,18 @@ def suffixes(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str
     return raw.mapInArrow(work, _SUFFIX_SQL)
 
 
-def _contexts(docs: DataFrame, entries: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """gram, context, the entry's smallest id, the context's reach to the left, and the hash of each of its passages from the left on."""
+def _contexts(docs: DataFrame, entries: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """gram, context, the entry's smallest id, and the hashes of the words before the gram, from right to left, and from it on."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            memo, runs = WordHashes(), _Runs()
+            memo = WordHashes()
             for part in parts:
                 for text, wanted in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    runs.read(memo.of(ascii_lower_words(text)))
+                    words = memo.of(ascii_lower_words(text)).astype(">u8")
                     for w in wanted:
-                        starts = np.arange(w["pos"] - w["left"], w["pos"] + w["right"] - length + 1)
-                        yield w["gram"], w["context"], w["own"], w["left"], runs.of(starts, starts + length).view(np.int64)
+                        at = w["pos"]
+                        yield w["gram"], w["context"], w["own"], words[at - w["left"] : at][::-1].tobytes(), words[at : at + w["right"]].tobytes()
 
         with returned_memory():
             yield from batches(_CONTEXT, rows(), 4096)
@@ -137,12 +151,97 @@ def _alike(entries: DataFrame) -> DataFrame:
     return halved.join(shared, "half").drop("half", "head", "tail").dropDuplicates(["gram", "context"])
 
 
+def _common(nodes: np.ndarray, keys: list[bytes]) -> np.ndarray:
+    """How many words each key shares with the one before it; -1 between different nodes."""
+    sizes = np.fromiter((len(k) // 8 for k in keys), np.int64, len(keys))
+    wide = int(sizes.max())
+    words = np.frombuffer(b"".join(k.ljust(8 * wide, b"\0") for k in keys), np.uint64).reshape(len(keys), wide)
+    differ = np.ones((len(keys) - 1, wide + 1), bool)
+    differ[:, :wide] = words[1:] != words[:-1]
+    return np.where(nodes[1:] == nodes[:-1], np.minimum(differ.argmax(axis=1), np.minimum(sizes[1:], sizes[:-1])), -1)
+
+
+def _below(depths: list[int], common: int) -> list[int]:
+    """The lengths shared with earlier entries, once the next one shares ``common`` words with the last."""
+    while depths and depths[-1] >= common:
+        depths.pop()
+    if common >= 0:
+        depths.append(common)
+    return depths
+
+
+def _one_way(rows: DataFrame, down: bool) -> DataFrame:
+    """``rows`` with ``depths``: the different numbers of words that an entry's key shares with those of its node that precede it."""
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, low, depths, last = TaskContext.get().partitionId(), _ALL, [], None
+        names = [f.name for f in _MET]
+
+        def border(node: int, key: bytes) -> pa.RecordBatch:
+            values = {"part": part, "low": low, "depths": list(depths), "node": node, "edge": key}
+            return pa.RecordBatch.from_pylist([values], schema=_MET)
+
+        for batch in parts:
+            if not batch.num_rows:
+                continue
+            nodes, keys = batch.column("node").to_numpy(), batch.column("key").to_pylist()
+            if last is None:
+                yield border(int(nodes[0]), keys[0])
+                common = [None, *_common(nodes, keys).tolist()]
+            else:
+                common = _common(np.concatenate([[last[0]], nodes]), [last[1], *keys]).tolist()
+            lows, stacks = [], []
+            for c in common:
+                if c is not None:
+                    low, depths = min(low, c), _below(depths, c)
+                lows.append(low)
+                stacks.append(list(depths))
+            last = int(nodes[-1]), keys[-1]
+            told = {"part": pa.array([part] * len(keys), pa.int32()), "low": pa.array(lows, pa.int32()), "depths": pa.array(stacks, pa.list_(pa.int32()))}
+            told |= {n: batch.column(n) for n in ("gram", "context", "own", "kind", "mark")}
+            yield pa.RecordBatch.from_arrays([told[n] if n in told else pa.nulls(len(keys), _MET.field(n).type) for n in names], schema=_MET)
+        if last is not None:
+            yield border(*last)
+
+    order = [F.desc(c) if down else F.asc(c) for c in ("node", "key", "gram", "context")]
+    met = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(work, _MET_SQL), "met")
+    # two rows a partition: its first key; its last one with the stack there
+    borders = sorted(met.filter("edge is not null").select("part", "low", "depths", "node", "edge").collect(), key=lambda b: (b["part"], -b["low"], len(b["depths"])))
+    carry, carries, last = [], [], None
+    for first, end in zip(borders[::2], borders[1::2], strict=True):
+        if last is not None:
+            carry = _below(carry, int(_common(np.array([last["node"], first["node"]]), [bytes(last["edge"]), bytes(first["edge"])])[0]))
+        carries.append((first["part"], list(carry)))
+        carry = [d for d in carry if d < end["low"]] + end["depths"]
+        last = end
+    handed = F.broadcast(rows.sparkSession.createDataFrame(carries, "part int, carry array<int>"))
+    whole = met.filter("edge is null").drop("node", "edge").join(handed, "part")
+    return whole.withColumn("depths", F.concat(F.filter("carry", lambda d: d < F.col("low")), "depths")).drop("carry", "low", "part")
+
+
+def shared_lengths(rows: DataFrame) -> DataFrame:
+    """Each row (node, key, gram, context, own, kind, mark) twice, without node and key: ``depths`` holds the different numbers of words
+    that its key shares with those of the same node that are sorted before it, and after it."""
+    return _one_way(rows, False).unionByName(_one_way(rows, True))
+
+
 def matched(contexts: DataFrame, length: int) -> DataFrame:
     """gram, context, l, r, other: how far the passages that an entry shares with others reach, and the smallest id of those."""
-    passages = contexts.select("gram", "context", "own", "left", F.posexplode("keys").alias("at", "key"))
-    shared = stage(passages.groupBy("gram", "key").agg(F.count("*").alias("n"), F.min("own").alias("other")).filter("n > 1").drop("n"), "passages")
-    met = passages.join(shared, ["gram", "key"]).withColumn("l", F.col("left") - F.col("at"))
-    return met.groupBy("gram", "context").agg(F.max("l").alias("l"), F.max(F.lit(length) - F.col("l")).alias("r"), F.min("other").alias("other"))
+    entry = contexts.select("gram", "context", "own", F.lit(0).cast("long").alias("mark"), "before", "after")
+    sides = entry.withColumn("at", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("before").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("after").alias("key")))))
+    sides = sides.select("gram", "context", "own", "mark", "at.kind", "at.key", F.xxhash64("gram", "at.kind").alias("node"))
+    lengths = shared_lengths(sides).groupBy("gram", "context").agg(
+        F.max(F.when(F.col("kind") == 0, F.array_max("depths"))).alias("left"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("kind") == 1, F.col("depths"))))).alias("rights")
+    )
+    lengths = stage(lengths.withColumn("rights", F.filter("rights", lambda r: r + F.col("left") >= length)).filter(F.size("rights") > 0), "lengths")
+    shared = contexts.join(lengths, ["gram", "context"]).withColumn("kind", F.explode("rights"))
+    shared = shared.withColumn("node", F.expr("xxhash64(gram, kind, substring(after, 1, 8 * kind))"))
+    shared = shared.withColumn("mark", F.expr(f"xxhash64(node, substring(before, 1, 8 * ({length} - kind)))"))
+    nodes = stage(shared.select("node", F.col("before").alias("key"), "gram", "context", "own", "kind", "mark"), "nodes")
+    extended = shared_lengths(nodes).withColumn("l", F.array_max("depths")).filter(F.col("l") + F.col("kind") >= length)
+    extended = stage(extended.groupBy("gram", "context", "own", "kind", "mark").agg(F.max("l").alias("l")), "extended")
+    firsts = stage(extended.groupBy("mark").agg(F.min("own").alias("other")), "firsts")
+    return extended.join(firsts, "mark").groupBy("gram", "context").agg(F.max("l").alias("l"), F.max("kind").alias("r"), F.min("other").alias("other"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,7 +257,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     groups = groups.checkpoint()
     several = stage(groups.groupBy("gram").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("gram"), "several")
     entries = stage(groups.join(several, "gram").select("gram", "context", "own", "at.*"), "entries")
-    contexts = stage(_contexts(docs, stage(_alike(entries), "alike"), length, id_col, text_col), "contexts")
+    contexts = stage(_contexts(docs, stage(_alike(entries), "alike"), id_col, text_col), "contexts")
     matches = matched(contexts, length)
     whole = groups.filter("n > 1").select("gram", "context", F.col("at.left").alias("l"), F.col("at.right").alias("r"), F.col("own").alias("other"))
     # the two sides of a join on (gram, context): places, and at most two rows an entry

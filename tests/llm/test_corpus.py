@@ -98,6 +98,67 @@ def test_repeats_in_a_family_of_edited_copies(spark):
     assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == brute_repeats(rows, 50)
 
 
+def test_shared_lengths_over_many_partitions(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        words = rng.integers(1, 3, rng.integers(0, 9)) if i % 4 else np.ones(8, np.int64)
+        rows.append((int(rng.integers(0, 3)), words.astype(">u8").tobytes(), 1, i, i, 0, 0))
+    schema = "node long, key binary, gram long, context long, own long, kind int, mark long"
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        met = repeats.shared_lengths(spark.createDataFrame(rows, schema)).select("context", "depths").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = collections.defaultdict(set)
+    for r in met:
+        assert r["depths"] == sorted(set(r["depths"]))
+        got[r["context"]].update(r["depths"])
+
+    def common(a, b):
+        n = 0
+        while a[8 * n : 8 * n + 8] and a[8 * n : 8 * n + 8] == b[8 * n : 8 * n + 8]:
+            n += 1
+        return n
+
+    assert len(met) == 800
+    for node, key, _, i, *_ in rows:
+        assert got[i] == {common(key, k) for n, k, _, j, *_ in rows if n == node and j != i}
+
+
+def brute_matches(rows, length):
+    out = {}
+    for gram, context, _, before, after in rows:
+        met = []
+        for g, c, own, b, a in rows:
+            if g == gram and c != context:
+                l = next((n for n in range(99) if b[8 * n : 8 * n + 8] != before[8 * n : 8 * n + 8] or not b[8 * n :] or not before[8 * n :]))
+                r = next((n for n in range(99) if a[8 * n : 8 * n + 8] != after[8 * n : 8 * n + 8] or not a[8 * n :] or not after[8 * n :]))
+                if l + r >= length:
+                    met.append((l, r, own))
+        if met:
+            out[gram, context] = tuple(f(x) for f, x in zip((max, max, min), zip(*met, strict=True), strict=True))
+    return out
+
+
+def test_extended_matches_equal_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = {}
+    for i in range(400):
+        gram = int(rng.integers(0, 3))
+        before = rng.choice([1, 1, 1, 1, 2], rng.integers(0, 10)).astype(">u8").tobytes()
+        after = np.concatenate([[7] * 3, rng.choice([1, 1, 1, 1, 2], rng.integers(3, 10))]).astype(">u8").tobytes()
+        rows[gram, before, after] = (gram, i, 1000 - i, before, after)
+    rows = list(rows.values())
+    got = repeats.matched(spark.createDataFrame(rows, "gram long, context long, own long, before binary, after binary"), 14).collect()
+    own = {(g, c): o for g, c, o, _, _ in rows}
+    want = {k: (l, r, min(o, own[k])) for k, (l, r, o) in brute_matches(rows, 14).items()}
+    assert {(r["gram"], r["context"]): (r["l"], r["r"], r["other"]) for r in got} == want and len(want) > 50
+
+
 def test_repeats_edges(edge, empty):
     got = {(r["doc_id"], r["match_id"]) for r in repeats.repeats(edge).collect()}
     assert {(7, 7), (8, 7)} <= got and {d for d, _ in got} == {7, 8}
