@@ -40,10 +40,11 @@ def model_listing(llms: DataFrame, embeddings: DataFrame, rerankers: DataFrame)
 
 
 def deployment_metrics(replicas: DataFrame) -> DataFrame:
-    """One record a model: capacity, active and rejected totals, and the replicas as a list by number."""
+    """One record a model: capacity, active and rejected totals (timeouts too, where they are told), and the replicas as a list by number."""
+    told = [F.sum("timeouts").alias("timeouts")] if "timeouts" in replicas.columns else []
     detail = F.array_sort(F.collect_list(F.struct("replica", "capacity", "active")))
     return replicas.groupBy("model").agg(
-        F.count("*").alias("replicas"), F.sum("capacity").alias("capacity"), F.sum("active").alias("active"), F.sum("rejected").alias("rejected"), F.to_json(detail).alias("detail")
+        F.count("*").alias("replicas"), F.sum("capacity").alias("capacity"), F.sum("active").alias("active"), F.sum("rejected").alias("rejected"), *told, F.to_json(detail).alias("detail")
     )
 
 
