@@ -62,18 +62,21 @@ def tool_groups(turns: DataFrame) -> DataFrame:
 
 
 def units(messages: Column) -> Column:
-    """The messages as array<struct<tokens, system, user, items>>: a tool group is one unit, any other message its own."""
-    head = lambda m: (m["role"] == "assistant") & (F.coalesce(m["calls"], F.lit("")) != "")
-    empty = F.array().cast("array<struct<open: boolean, role: string, tokens: int, turns: array<bigint>>>")
-    one = lambda m: F.array(F.struct(head(m).alias("open"), m["role"].alias("role"), cost(m).alias("tokens"), F.array(m["turn"]).alias("turns")))
-
-    def add(out: Column, m: Column) -> Column:
-        last = F.element_at(out, -1)
-        joins = (m["role"] == "tool") & (F.size(out) > 0) & F.coalesce(F.try_element_at(out, F.lit(-1))["open"], F.lit(False))
-        grown = F.struct(last["open"].alias("open"), last["role"].alias("role"), (last["tokens"] + cost(m)).alias("tokens"), F.concat(last["turns"], F.array(m["turn"])).alias("turns"))
-        return F.when(joins, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(out, one(m)))
-
-    return F.aggregate(messages, empty, add)
+    """The messages as array<struct<open, role, tokens, turns>>: a tool group is one unit, any other message its own.
+
+    A run is a message and the tool rows behind it; it stays one unit where its first message calls.  Runs are slices, so the work is in
+    proportion to the messages."""
+    head = lambda m: F.coalesce((m["role"] == "assistant") & (F.coalesce(m["calls"], F.lit("")) != ""), F.lit(False))
+    tool = lambda m: F.coalesce(m["role"] == "tool", F.lit(False))
+
+    def unit(run: Column) -> Column:
+        tokens = F.aggregate(run, F.lit(0), lambda n, m: n + cost(m).cast("int"))
+        return F.struct(head(run[0]).alias("open"), run[0]["role"].alias("role"), tokens.alias("tokens"), F.transform(run, lambda m: m["turn"].cast("long")).alias("turns"))
+
+    starts = F.array_compact(F.transform(messages, lambda m, i: F.when((i == 0) | ~tool(m), i)))
+    ends = F.slice(F.concat(starts, F.array(F.size(messages))), F.lit(2), F.size(starts))
+    runs = F.zip_with(starts, ends, lambda a, b: F.slice(messages, a + 1, b - a))
+    return F.flatten(F.transform(runs, lambda run: F.when(head(run[0]), F.array(unit(run))).otherwise(F.transform(run, lambda m: unit(F.array(m))))))
 
 
 def trimmed(messages: Column, budget: Column) -> Column:

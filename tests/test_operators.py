@@ -144,3 +144,34 @@ def test_schema_walk_keeps_properties_named_description():
     made = T.compact_tool(tool, 5)
     assert made["function"]["description"] == "abcde..." and made["function"]["parameters"] == {"type": "object", "properties": {"description": {"type": "string"}}}
     assert T.compact_tool(tool, 0) == tool and T.compact_tool("x", 5) == "x" and tool["function"]["description"] == "abcdefghij"
+
+
+def grouped_units(messages):
+    """Units one message after the other, as (turns, whether the unit is a tool group)."""
+    out = []
+    for turn, role, calls in messages:
+        if role == "tool" and out and out[-1][1]:
+            out[-1][0].append(turn)
+        else:
+            out.append(([turn], role == "assistant" and bool(calls)))
+    return out
+
+
+def test_units_equal_one_message_after_the_other(spark):
+    rng = random.Random(4)
+    role = lambda: rng.choice(["tool", "tool", "assistant", "user", "system", None])
+    rows = [(i, [(t, role(), rng.choice([None, "", '[{"id": "c"}]'])) for t in range(rng.randint(0, 12))]) for i in range(200)]
+    frame = spark.createDataFrame(rows, "id int, m array<struct<turn: bigint, role: string, calls: string>>")
+    null = F.lit(None).cast("string")
+    messages = F.transform("m", lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), F.lit("12345").alias("content"), x["calls"].alias("calls"), null.alias("tool_call_id"), null.alias("name")))
+    got = {r["id"]: r["u"] for r in frame.select("id", M.units(messages).alias("u")).collect()}
+    single = {r["id"]: r["c"] for r in frame.select("id", F.transform(messages, M.cost).alias("c")).collect()}
+    for i, listed in rows:
+        assert [(list(u["turns"]), u["open"]) for u in got[i]] == grouped_units(listed)
+        assert [u["tokens"] for u in got[i]] == [sum(single[i][t] for t in turns) for turns, _ in grouped_units(listed)]
+
+
+def test_units_of_a_long_conversation(spark):
+    item = F.struct(F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("x").alias("content"), *[F.lit(None).cast("string").alias(n) for n in ("calls", "tool_call_id", "name")])
+    long = spark.range(60_000).agg(F.array_sort(F.collect_list(item)).alias("m"))
+    assert long.select(F.size(M.units(F.col("m")))).first()[0] == 60_000
