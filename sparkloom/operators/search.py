@@ -2,7 +2,7 @@
 
 All operators take many queries at once, as rows of (qid, ...), and rank with ``score desc, id asc``.
 
-What several steps read (tokens, postings, hits) is written once.  Joins with such a table are broadcast or shuffled by Spark's
+What several steps read (tokens, hits) is written once.  Joins with such a table are broadcast or shuffled by Spark's
 threshold on its bytes.
 """
 
@@ -17,9 +17,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from sparkloom.functions import text as X
+from sparkloom.operators import scoring
 from sparkloom.sources.tables import written
 
 K1, B = 1.2, 0.75
@@ -43,49 +45,67 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 @dataclass
 class TextIndex:
-    """The postings of some fields, how many chunks have a term, and the collection's statistics.
+    """The tokens of some fields by chunk, written once, and the collection's statistics.
 
-    ``postings``: field, term, id, tf, dl, keep; ``frequencies``: field, term, df; ``chunks`` and ``lengths``: number of chunks, and
-    the mean length of each field."""
+    ``tokens``: id, keep, and for each field its tokens and ``<field>_size``; ``chunks`` and ``lengths``: number of chunks, and the mean length of
+    each field.  Ids are unique."""
 
-    postings: DataFrame
-    frequencies: DataFrame
+    tokens: DataFrame
     chunks: int
     lengths: dict[str, float]
 
 
-def text_index(chunks: DataFrame, fields: tuple[str, ...] = ("content", "title"), where: Column | None = None, terms: DataFrame | None = None) -> TextIndex:
+def text_index(chunks: DataFrame, fields: tuple[str, ...] = ("content", "title"), where: Column | None = None) -> TextIndex:
     """Index the chunks: texts are cut into tokens once.
 
-    Statistics are those of the whole collection.  ``where`` marks the chunks that a search may find; with ``terms(term)`` the
-    postings of other terms are left out."""
+    Statistics are those of the whole collection.  ``where`` marks the chunks that a search may find."""
     keep = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     cut = chunks.select("id", keep.alias("keep"), *[X.tokens(F.col(f)).alias(f) for f in fields])
     tokens = written(cut.select("id", "keep", *fields, *[F.size(f).alias(f"{f}_size") for f in fields]), "tokens")
     told = tokens.agg(F.count("*").alias("n"), *[F.avg(f"{f}_size").alias(f) for f in fields]).first()
-    rows = _union([tokens.select(F.lit(f).alias("field"), "id", "keep", F.col(f"{f}_size").alias("dl"), F.explode(f).alias("term")) for f in fields])
-    if terms is not None:
-        rows = rows.join(written(terms.select("term").distinct(), "terms"), "term", "left_semi")
-    counted = rows.groupBy("field", "term", "id").agg(F.count("*").alias("tf"), F.any_value("dl").alias("dl"), F.any_value("keep").alias("keep"))
-    postings = written(counted, "postings")
-    frequencies = written(postings.groupBy("field", "term").agg(F.count("*").alias("df")), "frequencies")
-    return TextIndex(postings, frequencies, told["n"], {f: told[f] or 0.0 for f in fields})
+    return TextIndex(tokens, told["n"], {f: told[f] or 0.0 for f in fields})
 
 
 def bm25_leg(index: TextIndex, terms: DataFrame, field: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """qid, id, score, rank by one field of an index, for ``terms(qid, term)``."""
-    df = F.col("df")
-    idf = F.log(1 + (F.lit(index.chunks) - df + 0.5) / (df + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.lengths[field])))
-    of_field = lambda table: table.filter(F.col("field") == field).drop("field")
-    met = of_field(index.postings).filter("keep").join(of_field(index.frequencies), "term").join(terms, "term")
-    return ranked(met.groupBy("qid", "id").agg(F.sum(part).alias("score")), k)
+    """qid, id, score, rank by one field of an index, for ``terms(qid, term)``.
+
+    A block of queries goes to every task, which scores its chunks and hands on the best (``operators/scoring.py``)."""
+    spark = terms.sparkSession
+    asked = written(terms.groupBy("qid").agg(F.collect_set("term").alias("terms")), "asked-terms")  # a query's own terms
+    out, last = None, None
+    while True:
+        ahead = asked if last is None else asked.filter(F.col("qid") > last)
+        block = ahead.orderBy("qid").limit(QUERY_BLOCK).collect()
+        if block:
+            part = _block_leg(index, block, asked.schema["qid"], field, k, k1, b)
+            out = part if out is None else out.unionByName(part)
+        if len(block) < QUERY_BLOCK:
+            return spark.createDataFrame([], "qid long, id string, score double, rank int") if out is None else out
+        last = block[-1]["qid"]
+
+
+def _block_leg(index: TextIndex, block: list, qid, field: str, k: int, k1: float, b: float) -> DataFrame:
+    spark = index.tokens.sparkSession
+    words = sorted({t for r in block for t in r["terms"]})
+    number = {w: i for i, w in enumerate(words)}
+    shared = spark.sparkContext.broadcast(words)
+    tokens = index.tokens.filter(F.col(f"{field}_size") > 0).select("id", "keep", field, f"{field}_size")
+    forward = written(tokens.mapInArrow(scoring.numbered(shared, field), scoring.NUMBERED), "asked-chunks")
+    df = np.zeros(len(words))
+    for row in forward.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # one row a term of the block
+        df[row["term"]] = row["count"]
+    queries = [np.array(sorted(number[t] for t in r["terms"]), int) for r in block]
+    asked = scoring.asked_block(queries, df, index.chunks, index.lengths[field] or 1.0, k, k1, b)
+    members = [(int(s), r["qid"]) for s, r in zip(asked.set_of, block, strict=True) if s >= 0] + [(asked.n_sets + i, r["qid"]) for i, r in enumerate(block)]
+    found = forward.filter("keep").mapInArrow(scoring.scored(spark.sparkContext.broadcast(asked)), scoring.HITS)
+    best = ranked(found.withColumnRenamed("no", "qid"), k).select(F.col("qid").alias("no"), "id", "score")
+    named = spark.createDataFrame(members, StructType([StructField("no", IntegerType()), qid]))
+    return ranked(best.join(F.broadcast(named), "no").groupBy("qid", "id").agg(F.max("score").alias("score")), k)
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, field: str, k: int, where: Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """qid, id, score, rank.  Statistics are those of the whole collection; ``where`` narrows the hits alone."""
-    terms = written(query_terms(queries), "asked")
-    return bm25_leg(text_index(chunks, (field,), where, terms), terms, field, k, k1, b)
+    return bm25_leg(text_index(chunks, (field,), where), query_terms(queries), field, k, k1, b)
 
 
 def directed(vectors: DataFrame, key: str) -> DataFrame:
@@ -125,26 +145,32 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _nearest(shared, k: int, at_a_time: int = 256):
+def _nearest(shared, k: int, at_a_time: int = 256, rows_at_a_time: int = 4096):
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked: dict[int, tuple[list, list]] = {}
         for qid, vector in shared.value:
             held = asked.setdefault(len(vector), ([], []))
             held[0].append(qid)
             held[1].append(unit_rows(vector[None])[0])
-        by_length = {n: (np.array(qids), np.stack(vectors)) for n, (qids, vectors) in asked.items()}
+        by_length = {n: (np.array(qids), np.stack(vectors), scoring.Best(len(qids), k)) for n, (qids, vectors) in asked.items()}
         for part in filter(len, parts):
             for n, same in part.groupby(part["embedding"].map(len)):
                 if n not in by_length:
                     continue
-                qids, q = by_length[n]
-                x, ids = unit_rows(np.stack(same["embedding"].to_numpy())), same["id"].to_numpy()
-                take = min(k, len(ids))
-                for at in range(0, len(qids), at_a_time):
-                    near = q[at : at + at_a_time] @ x.T
-                    cut = np.partition(near, len(ids) - take, axis=1)[:, len(ids) - take]
-                    who, what = np.nonzero(near >= cut[:, None] - 2e-9)  # all that can tie with the last one at nine decimals
-                    yield pd.DataFrame({"qid": qids[at + who], "id": ids[what], "score": near[who, what]})
+                _, q, best = by_length[n]
+                for first in range(0, len(same), rows_at_a_time):
+                    some = same.iloc[first : first + rows_at_a_time]
+                    x, ids = unit_rows(np.stack(some["embedding"].to_numpy())), some["id"].to_numpy()
+                    take = min(k, len(ids))
+                    for at in range(0, len(q), at_a_time):
+                        near, floor = q[at : at + at_a_time] @ x.T, best.floor[at : at + at_a_time]
+                        if take and np.isinf(floor).any():  # nothing to beat yet: the best of these rows
+                            floor = np.maximum(floor, np.partition(near, len(ids) - take, axis=1)[:, len(ids) - take] - scoring.NEAR)
+                        who, what = np.nonzero(near >= floor[:, None])
+                        best.add(at + who, ids[what], near[who, what])
+        for qids, _, best in by_length.values():
+            who, ids, score = best.rows()
+            yield pd.DataFrame({"qid": qids[who], "id": ids, "score": score})
 
     return work
 
@@ -190,8 +216,8 @@ def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str
         in_scope = vectors if where is None else vectors.join(chunks.filter(where).select("id"), "id", "left_semi")
         legs["dense"] = dense(in_scope, queries.select("qid", "embedding"), k)
     if fields:
-        terms = written(query_terms(queries.select("qid", "query")), "asked")
-        index = text_index(chunks, fields, where, terms)
+        terms = query_terms(queries.select("qid", "query"))
+        index = text_index(chunks, fields, where)
         legs |= {f: bm25_leg(index, terms, f, k) for f in fields}
     if mode != "hybrid":
         return next(iter(legs.values()))
