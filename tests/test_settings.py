@@ -96,3 +96,13 @@ def test_deployments(spark):
 def test_registry(spark):
     rows = spark.createDataFrame([("llm", 1, "a", False), ("llm", 2, "b", True), ("llm", 3, "c", True), ("reranker", 1, "r", None)], "kind string, ord int, name string, loaded boolean")
     assert sorted(tuple(r) for r in R.registry(rows).collect()) == [("llm", 3, 2, "b"), ("reranker", 1, 0, None)]
+
+
+def test_yaml_texts_of_one_file_are_dealt_over_the_cores(spark, tmp_path):
+    pytest.importorskip("yaml")
+    spark.range(64).select(F.col("id").alias("k"), F.lit("a: {b: [1, x]}").alias("t")).coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows = spark.read.parquet(str(tmp_path / "one"))
+    assert rows.rdd.getNumPartitions() == 1
+    made = S.from_yaml(rows, "k", "t")
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism
+    assert sorted((r["scope"], tuple(r["key"]), r["json"], r["error"]) for r in made.collect()) == sorted((str(i), ("a", "b"), '[1, "x"]', None) for i in range(64))
