@@ -64,12 +64,18 @@ def build(vectors: DataFrame, cells: int | None = None, path: str | None = None)
     total = index.whole.count()
     if total:
         cells = cells or min(CELLS, max(1, round(total**0.5)))
-        chosen = index.whole.orderBy(F.xxhash64("id")).limit(SAMPLE).select(array_to_vector("embedding").alias("features"))
+        chosen = sampled(index.whole).select(array_to_vector("embedding").alias("features"))
         index.centroids = np.array(KMeans(k=cells, seed=7, maxIter=10).fit(chosen).clusterCenters())
     add(index, index.whole)
     return index
 
 
+def sampled(vectors: DataFrame) -> DataFrame:
+    """``SAMPLE`` vectors at most, by a hash of the id; a limit leaves them in one task, so that they are dealt over all cores again."""
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    return vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).repartition(cores, "id")
+
+
 def insert(index: VectorIndex, vectors: DataFrame) -> None:
     """More vectors for the cells that there are."""
     rows = written(S.directed(vectors, "id").select("id", unit(F.col("embedding")).alias("embedding")), "vectors")

@@ -175,3 +175,10 @@ def test_extreme_vectors_have_a_direction(spark):
     rows = spark.createDataFrame([("a", [1e170, 1e169]), ("b", [1e-170, 1e-171]), ("c", [-1e300, 1.0])], "id string, embedding array<double>")
     asked = spark.createDataFrame([(1, [1e-200, 1e-201])], "qid long, embedding array<double>")
     assert [(r.id, round(r.score, 9)) for r in S.dense(rows, asked, 3).orderBy("rank").collect()] == [("a", 1.0), ("b", 1.0), ("c", round(-1 / 1.01**0.5, 9))]
+
+
+def test_the_sample_of_cells_is_dealt_over_the_cores(spark):
+    rows = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(200)], "id string, embedding array<double>")
+    made = V.sampled(rows)
+    assert made.count() == 200
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() == spark.sparkContext.defaultParallelism
