@@ -1,18 +1,18 @@
 """Collocations: phrases of 2 to 5 words that occur often, by how much oftener than their parts let expect.
 
 Words are counted per language first.  Texts are kept as runs of 64-bit word hashes (seeded by the language), broken at words that can't be
-frequent.  Then, for each length in turn, the tasks count hashed phrases whose two shorter parts may be frequent in a numpy array of twice ``BUCKETS`` counters that
-stop at ``least``, under two hashes; the arrays are summed as a tree.  A counter below ``least`` belongs to no frequent phrase, so that none is lost.
+frequent.  Then, for each length in turn, the tasks collect the phrases whose two shorter parts may be frequent, by bit arrays of the frequent phrases
+of the length before, add up equal ones as they go, and deal them by a hash over blocks.  The number of blocks follows the
+number of occurrences, so that a block is about ``SLOTS`` of them at any size of the input.
 
-The phrases that pass all filters are the candidates.  The first task that has a phrase of a counter names those of its phrases that have
-that counter; then all look for phrases that nobody has named.  In blocks of about ``SLOTS`` they get a minimal perfect hash with their 128-bit keys stored
-by slot.  The tasks look up each occurrence, compare the key, count with ``bincount`` by slot, and the arrays are summed as a tree: exact counts.  What
-a cut needs, the counts of a phrase's two parts, is read by slot in the same way.
+A block adds up counters of hashed phrases; a counter below ``least`` belongs to no frequent phrase, so that none is lost.  What is left are its candidates.  They
+get a minimal perfect hash with their 128-bit keys stored by slot; each arrival is looked up, its key compared and its count added by ``bincount`` by slot:
+exact counts.  What a cut needs, the counts of a phrase's two parts, is joined to the phrases that no longer one hides.
 
 Two words of one 64-bit hash, one of which could be frequent, are noticed in the word table, and all is hashed again with another seed.
 
-Memory is bounded by ``BUCKETS`` and ``SLOTS`` at any size.  Runs are read once for each length, once for the owners and the names each, and twice for each block of candidates; where so many phrases
-are hashed that each counter is full, the filters let more through and the work grows, not the error.
+Runs are read once for each length.  Memory is bounded by ``SLOTS``, ``HELD`` and ``BITS`` at any size; where more phrases are frequent than the bit arrays
+take, more occurrences are dealt and the work grows, not the error.
 
 Defined cases: null text is empty; null language counts as ``und``; words that no neighbour can join are counted as words; texts of any length
 are cut into pieces of about a megabyte between phrases; repeated rows count as often as they are there; an empty table gives an empty
@@ -23,11 +23,11 @@ from __future__ import annotations
 
 from collections import Counter, OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,9 +35,12 @@ from pyspark.sql.window import Window
 from .common import _MIX, Memo, bound_arrow_batches, hot_join, picked, returned_memory, scramble, stage
 
 LONGEST = 5
-BUCKETS, SLOTS = 1 << 22, 1 << 20
-#: Counters of an array that are one row, arrays that are summed at a time, word hashes of one row of runs.
-PIECE, FAN_IN, ROW = 1 << 16, 32, 1024
+#: The smallest and the largest bit array of frequent words or phrases; occurrences of a block.
+BUCKETS, BITS, SLOTS = 1 << 22, 1 << 29, 1 << 20
+#: Bits of an array for each frequent phrase, those that are one row, arrivals that a block adds up at a time, word hashes of one row of runs.
+SPARSE, PIECE, FAN_IN, ROW = 16, 1 << 19, 32, 1024
+#: Phrases that a task adds up before it deals them.
+HELD = 1 << 20
 #: Distinct words that a task counts before it hands them on; word hashes of one numpy step; bytes of a text that are cut at once.
 WORDS_HELD, STEP, BYTES = 200_000, 1 << 18, 1 << 20
 
@@ -94,13 +97,14 @@ def _phrased(seed: int, words):
     """Runs of the hashes of words that may be frequent; 0 breaks a run."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, mask = words.value, np.uint64(len(words.value) - 1)
+        bits = words.value.tobytes()
+        mask = 8 * len(bits) - 1
         memos: OrderedDict[str, Memo] = OrderedDict()
 
         def memo_of(lang: str) -> Memo:
             if lang not in memos:
                 of = _word_hash(lang, seed)
-                memos[lang] = Memo(lambda w: h if frequent[(h := of(w)) & int(mask)] else 0, 8 << 20)
+                memos[lang] = Memo(lambda w: h if bits[(at := (h := of(w)) & mask) >> 3] >> (at & 7) & 1 else 0, 8 << 20)
                 if len(memos) > 8:
                     memos.popitem(last=False)
             memos.move_to_end(lang)
@@ -150,27 +154,27 @@ def keys_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def _counters(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A phrase's two counters, one for each lane, in an array of two halves."""
-    mask = np.uint64(size // 2 - 1)
-    return (a & mask).astype(np.int64), (b & mask).astype(np.int64) + size // 2
+def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _levels(h: np.ndarray, sketches: list[np.ndarray], least: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length from 2 on: where phrases start whose parts, and they themselves by the sketches at hand, may be frequent, and their keys."""
+def _phrases(h: np.ndarray, filters: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where phrases of ``length`` words start whose parts may be frequent by the bits of the shorter lengths, and a hash of each."""
     at = np.flatnonzero(h)
     a, b = first_keys(h)
     may = np.zeros(len(h) + 1, bool)
     may[at] = True
-    for m in range(2, longest + 1):
+    for m in range(2, length + 1):
         at = np.flatnonzero(may[:-1] & may[1:])
         a[at], b[at] = _longer(a[at], h[at + m - 1], 0), _longer(b[at], h[at + m - 1], 1)
-        if m - 2 < len(sketches):
-            first, second = _counters(a[at], b[at], len(sketches[m - 2]))
-            at = at[(sketches[m - 2][first] >= least) & (sketches[m - 2][second] >= least)]
-        may[:] = False
-        may[at] = True
-        yield m, at, a[at], b[at]
+        if m < length:
+            bits = filters[m - 2]
+            mask = np.uint64(8 * len(bits) - 1)
+            at = at[_set(bits, a[at] & mask)]
+            at = at[_set(bits, b[at] & mask)]
+            may[:] = False
+            may[at] = True
+    return at, a[at]
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -179,61 +183,74 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield batch.column("ids").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
 
-_PARTS = "node int, piece int, data binary"
+def _bits(places: DataFrame, size: int) -> np.ndarray:
+    """A bit array of ``size`` with the bits at ``places(place)`` set, packed; made by pieces.  The driver gets the array."""
+    width = min(PIECE, size)
 
+    def made(group: pa.Table) -> pa.Table:
+        held = np.zeros(width, bool)
+        held[group.column("place").to_numpy() % width] = True
+        return pa.table({"piece": group.column("piece")[:1], "data": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
 
-def _parts(node: int, array: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The pieces of an array that aren't zero."""
-    for piece, at in enumerate(range(0, len(array), PIECE)):
-        if array[at : at + PIECE].any():
-            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int32()), pa.array([piece], pa.int32()), pa.array([array[at : at + PIECE].tobytes()], pa.binary())], names=["node", "piece", "data"])
+    pieces = places.select((F.col("place") / width).cast("int").alias("piece"), "place").distinct()
+    out = np.zeros(size // 8, np.uint8)
+    for row in stage(pieces.groupBy("piece").applyInArrow(made, "piece int, data binary"), "colloc-bits").toLocalIterator():
+        out[row["piece"] * width // 8 : (row["piece"] + 1) * width // 8] = np.frombuffer(row["data"], np.uint8)
+    return out
 
 
-def tree_sum(parts: DataFrame, size: int, kind: str, most: int | None = None, largest: bool = False) -> np.ndarray:
-    """The sum of the tasks' arrays (or their ``largest`` counters), ``FAN_IN`` at a time; no counter passes ``most``.  The driver gets ``size``
-    counters."""
+def _size(keys: int, least: int) -> int:
+    """Bits for so many keys: a power of two, bounded."""
+    return min(max(least, 64, 1 << (SPARSE * keys).bit_length()), max(least, BITS))
 
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(1, np.int64)
-        for x in group.column("data").to_pylist():
-            total = (np.maximum if largest else np.add)(total, np.frombuffer(x, kind).astype(np.int64))
-        total = total if most is None else np.minimum(total, most)
-        return pa.table({"node": group.column("node")[:1], "piece": group.column("piece")[:1], "data": pa.array([total.astype(kind).tobytes()], pa.binary())})
 
-    parts = stage(parts, "colloc-parts")
-    while (parts.agg(F.max("node")).first()[0] or 0) > 0:
-        up = parts.select((F.col("node") / FAN_IN).cast("int").alias("node"), "piece", "data")
-        parts = stage(up.groupBy("node", "piece").applyInArrow(add, _PARTS), "colloc-parts")
-    out = np.zeros(size, kind)
-    for row in parts.toLocalIterator():
-        piece = np.frombuffer(row["data"], kind)
-        out[row["piece"] * PIECE : row["piece"] * PIECE + len(piece)] = piece
-    return out
+def _added_up(words: np.ndarray, key: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal neighbours in the order of the keys as one row with the sum of their counts."""
+    order = np.argsort(key, kind="stable")
+    words, key, f = words[order], key[order], f[order]
+    fresh = np.append(True, (words[1:] != words[:-1]).any(axis=1))[: len(words)]
+    first = np.flatnonzero(fresh)
+    return words[first], key[first], np.add.reduceat(f, first) if len(first) else f
 
 
-def _mapped_array(rows: DataFrame, size: int, kind: str, most: int | None, add, largest: bool = False) -> np.ndarray:
-    """One array a task, to which ``add(array, step)`` adds; then their sum."""
+_DEALT = "block int, words binary, f binary"
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(size, np.int64)
-        with returned_memory():
-            for step in _steps(batches):
-                add(held, step)
-                if most is not None:
-                    np.minimum(held, most, out=held)
-            yield from _parts(TaskContext.get().partitionId(), held.astype(kind))
 
-    return tree_sum(rows.mapInArrow(work, _PARTS), size, kind, most, largest)
+def _dealing(filters, length: int, blocks: int):
+    """The phrases of a length that may be frequent, with their counts in the task, by blocks."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shorter = filters.value
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows, room = 0, HELD
+
+        def added() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return _added_up(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+        def told(words: np.ndarray, key: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+            block = (scramble(key) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            words, f = words[order], f[order].astype(np.uint32)
+            ends = np.append(0, np.cumsum(np.bincount(block, minlength=blocks)))
+            for some in np.array_split(np.flatnonzero(np.diff(ends)), max(1, len(f) // STEP)):
+                cells = [[x[ends[i] : ends[i + 1]].tobytes() for i in some] for x in (words, f)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], names=["block", "words", "f"])
 
-def _sketch(runs: DataFrame, sketches, level: int, least: int, buckets: int, kind: str) -> np.ndarray:
-    def add(held: np.ndarray, h: np.ndarray) -> None:
-        for m, _, a, b in _levels(h, sketches.value, least, level):
-            if m == level:
-                for counters in _counters(a, b, 2 * buckets):
-                    np.add(held, np.bincount(counters, minlength=2 * buckets), out=held)
+        with returned_memory():
+            for h in _steps(batches):
+                at, key = _phrases(h, shorter, length)
+                held.append((np.stack([h[at + j] for j in range(length)], axis=1), key, np.ones(len(at), np.int64)))
+                rows += len(at)
+                if rows > room:
+                    held[:] = [added()]
+                    rows = len(held[0][1])
+                    if 2 * rows > room or held[0][2].max() >> 31:  # few are equal: nothing is won by holding them longer
+                        yield from told(*held.pop())
+                        rows = 0
+            if held:
+                yield from told(*added())
 
-    return _mapped_array(runs, 2 * buckets, kind, least, add)
+    return work
 
 
 class Slots:
@@ -281,107 +298,52 @@ class Slots:
         return np.where(same, slots, -1)
 
 
-_BUILT = "block int, a binary, b binary, known binary, sizes binary, bits binary"
-
-
-def _block(group: pa.Table) -> pa.Table:
-    """A block's slots, and the counts that are known before by slot."""
-    a, b = (group.column(n).to_numpy().view(np.uint64) for n in ("a", "b"))
-    made = Slots.built(a, b)
-    known = np.zeros(len(a), np.int64)
-    known[made.find(a, b)] = group.column("known").to_numpy()
-    bits = np.concatenate([np.packbits(x) for x in made.levels])
-    sizes = np.array([len(x) for x in made.levels], np.int64)
-    cells = [made.a.tobytes(), made.b.tobytes(), known.tobytes(), sizes.tobytes(), bits.tobytes()]
-    return pa.table({"block": group.column("block")[:1].cast(pa.int32())} | {n: pa.array([c], pa.binary()) for n, c in zip(("a", "b", "known", "sizes", "bits"), cells, strict=True)})
-
-
-def _unpacked(row) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    levels, bits, at = [], np.frombuffer(row["bits"], np.uint8), 0
-    for size in np.frombuffer(row["sizes"], np.int64):
-        width = (int(size) + 7) // 8
-        levels.append(np.unpackbits(bits[at : at + width], count=int(size)).astype(bool))
-        at += width
-    return levels, np.frombuffer(row["a"], np.uint64), np.frombuffer(row["b"], np.uint64), np.frombuffer(row["known"], np.int64)
-
-
-_CANDIDATE = "a long, b long, words array<long>, known long"
-
-
-def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of each distinct pair at least once."""
-    kinds, first, which = np.unique(a, return_index=True, return_inverse=True)
-    return np.append(first, np.flatnonzero(b != b[first][which])) if len(kinds) else first
-
-
-def _rank() -> int:
-    """A number of this task, the larger the earlier; never 0."""
-    return (1 << 31) - 1 - TaskContext.get().partitionId()
-
-
-def _owners(runs: DataFrame, sketches, least: int, longest: int, buckets: int) -> np.ndarray:
-    """For each counter the first task that has a phrase of it."""
-
-    def add(held: np.ndarray, h: np.ndarray) -> None:
-        for _, _, a, _ in _levels(h, sketches.value, least, longest):
-            held[(a & np.uint64(buckets - 1)).astype(np.int64)] = _rank()
-
-    return _mapped_array(runs, buckets, "int32", None, add, largest=True)
-
-
-def _owned(owners):
-    """Phrases whose counter this task owns."""
-
-    def ready():
-        mine = owners.value == _rank()
-        return lambda a, _: mine[(a & np.uint64(len(mine) - 1)).astype(np.int64)]
-
-    return ready
-
-
-def _unnamed(lists, block: int, blocks: int):
-    """Phrases that belong in a block of candidates and aren't there."""
-
-    def ready():
-        levels, sa, sb, _ = lists.value
-        slots = Slots(levels, sa, sb)
-        return lambda a, b: (a.view(np.int64) % blocks == block) & (slots.find(a, b) < 0)
-
-    return ready
-
-
-def _discovering(sketches, least: int, longest: int, ready):
-    """The different phrases that pass all filters and that ``ready()(a, b)`` wants."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen_a, seen_b, wanted = np.zeros(1, np.uint64), np.zeros(1, np.uint64), ready()
-        with returned_memory():
-            for h in _steps(batches):
-                for m, at, a, b in _levels(h, sketches.value, least, longest):
-                    some = wanted(a, b)
-                    at, a, b = at[some], a[some], b[some]
-                    first = _distinct(a, b)
-                    before = np.minimum(np.searchsorted(seen_a, a[first]), len(seen_a) - 1)
-                    first = first[(seen_a[before] != a[first]) | (seen_b[before] != b[first])]
-                    yield _candidates(a[first], b[first], np.stack([h[at[first] + j] for j in range(m)], axis=1), np.zeros(len(first), np.int64))
-                    seen_a, seen_b = np.append(seen_a, a[first]), np.append(seen_b, b[first])
-                    order = np.argsort(seen_a, kind="stable")
-                    seen_a, seen_b = seen_a[order], seen_b[order]
-                if len(seen_a) > 4 * SLOTS:
-                    seen_a, seen_b = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+_PHRASES = "a long, b long, words array<long>, f long"
+
+
+def _counted(length: int, least: int):
+    """The frequent phrases of a block: candidates by counters, then counts by slot."""
+
+    def work(group: pa.Table) -> pa.Table:
+        cells = list(zip(group.column("words").to_pylist(), group.column("f").to_pylist(), strict=True))
+
+        def arrivals() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+            for at in range(0, len(cells), FAN_IN):
+                words, f = (np.frombuffer(b"".join(c), kind) for c, kind in zip(zip(*cells[at : at + FAN_IN], strict=True), (np.uint64, np.uint32), strict=True))
+                words = words.reshape(-1, length)
+                yield words, f, *keys_of(words)
+
+        size = 1 << max(6, (2 * sum(len(f) // 4 for _, f in cells)).bit_length())
+        counters = [np.zeros(size, np.int64) for _ in range(2)]
+        for _, f, *lanes in arrivals():
+            for held, lane in zip(counters, lanes, strict=True):
+                np.add.at(held, (lane & np.uint64(size - 1)).astype(np.int64), f)
+        may = [held >= least for held in counters]
+        able = []
+        for words, f, a, b in arrivals():
+            some = may[0][(a & np.uint64(size - 1)).astype(np.int64)] & may[1][(b & np.uint64(size - 1)).astype(np.int64)]
+            able.append((words[some], f[some], a[some], b[some]))
+        words, f, a, b = (np.concatenate(c) for c in zip(*able, strict=True))
+        order = np.lexsort((b, a))
+        first = order[np.append(True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0))[: len(a)]]
+        slots = Slots.built(a[first], b[first])
+        counts = np.bincount(slots.find(a, b), f, len(first)).astype(np.int64)
+        own = slots.find(a[first], b[first])
+        kept = counts[own] >= least
+        return pa.table(_phrase_rows(words[first][kept], counts[own][kept]))
 
     return work
 
 
-def _candidates(a: np.ndarray, b: np.ndarray, words: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+def _phrase_rows(words: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    a, b = keys_of(words)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * words.shape[1], pa.int32()), pa.array(words.reshape(-1).view(np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists, pa.array(known)], names=["a", "b", "words", "known"])
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists, pa.array(f)], names=["a", "b", "words", "f"])
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        h = batch.column("h").to_numpy().view(np.uint64)
-        yield _candidates(*first_keys(h), h[:, None], batch.column("f").to_numpy())
+        yield _phrase_rows(batch.column("h").to_numpy().view(np.uint64)[:, None], batch.column("f").to_numpy())
 
 
 def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -393,36 +355,15 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]
         yield where, flat[starts[where][:, None] + np.arange(m)]
 
 
-_READ = "a long, b long, f long, heads array<long>, tails array<long>"
-
-
-def _reading(shared, least: int):
-    """For each phrase: its count, and those of the first k words and of what follows them, where this block has them (else 0).  A phrase that the
-    block counts below ``least`` is left out."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (levels, sa, sb, _), counts = shared.value
-        slots = Slots(levels, sa, sb)
-
-        def count(words: np.ndarray) -> np.ndarray:
-            at = slots.find(*keys_of(words))
-            return np.where(at >= 0, counts[at], 0)
-
-        for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            for where, words in _by_length(batch):
-                own = slots.find(*keys_of(words))
-                f = np.where(own >= 0, counts[own], 0)
-                open_ones = (own < 0) | (f >= least)
-                where, words, f = where[open_ones], words[open_ones], f[open_ones]
-                cuts = range(1, words.shape[1])
-                sides = [np.stack([count(part(k)) for k in cuts], axis=1) for part in (lambda k: words[:, :k], lambda k: words[:, k:])]
-                some = (f > 0) | (sides[0] > 0).any(axis=1) | (sides[1] > 0).any(axis=1)
-                offsets = pa.array(np.arange(some.sum() + 1, dtype=np.int32) * len(cuts), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(side[some].reshape(-1))) for side in sides]
-                yield pa.RecordBatch.from_arrays([pa.array(a[where][some]), pa.array(b[where][some]), pa.array(f[some]), *lists], names=["a", "b", "f", "heads", "tails"])
-
-    return work
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of a phrase's first k words and of what follows them: parts number k - 1, and the phrase's length less 2 more."""
+    for batch in batches:
+        of = [batch.column(c).to_numpy() for c in ("a", "b")]
+        for where, words in _by_length(batch):
+            cuts = range(1, words.shape[1])
+            for no, part in enumerate([words[:, :k] for k in cuts] + [words[:, k:] for k in cuts]):
+                keys = [pa.array(x.view(np.int64)) for x in keys_of(part)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[where]) for x in of), pa.array(np.full(len(where), no, np.int32)), *keys], names=["a", "b", "no", "pa", "pb"])
 
 
 def _parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,17 +386,6 @@ def _scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("phrase"), batch.column("f"), chosen[1], chosen[2], batch.column("n"), chosen[0]], names=["lang", "phrase", "a", "l", "r", "n", "score"])
 
 
-_NO_SLOTS = ([], np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-def _placed(found: DataFrame, slots: int) -> tuple[DataFrame, int, DataFrame]:
-    """The different candidates, the number of their blocks, and the blocks."""
-    candidates = stage(found.groupBy("a", "b").agg(F.any_value("words").alias("words"), F.max("known").alias("known")), "colloc-candidates")
-    blocks = max(1, -(-candidates.count() // slots))
-    placed = candidates.select(F.pmod("a", F.lit(blocks)).cast("int").alias("block"), "a", "b", "known")
-    return candidates, blocks, stage(placed.groupBy("block").applyInArrow(_block, _BUILT), "colloc-slots")
-
-
 def mine(documents: DataFrame, least: int = 100, longest: int = LONGEST, top: int = 2000, percent: int = 100, buckets: int = BUCKETS, slots: int = SLOTS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, rank, phrase, a (its count), l and r (those of the parts of its lowest-scoring cut), n (words of the language), score: each language's
     ``top`` phrases of 2 to ``longest`` words with a count of ``least`` or more.  A phrase inside a longer one that has ``percent`` of its count is left out."""
@@ -463,7 +393,6 @@ def mine(documents: DataFrame, least: int = 100, longest: int = LONGEST, top: in
     bound_arrow_batches(spark)
     docs = picked(documents, text=text_col, lang=lang_col).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text <> ''")
     share = spark.sparkContext.broadcast
-    kind = "uint8" if least < 256 else "int64"
     seed = -1
     while True:
         seed += 1
@@ -473,63 +402,40 @@ def mine(documents: DataFrame, least: int = 100, longest: int = LONGEST, top: in
             break
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = stage(words.filter(F.col("f") >= least), "colloc-frequent")
-    heads = _mapped_array(frequent.select(F.array("h").alias("ids")), buckets, "uint8", 1, lambda held, h: held.__setitem__((h & np.uint64(buckets - 1)).astype(np.int64), 1))
+    told = frequent.agg(F.count("*").alias("n"), F.sum("f").alias("f")).first()
+    size = _size(told["n"], buckets)
+    heads = _bits(frequent.select(F.col("h").bitwiseAND(F.lit(size - 1)).alias("place")), size)
     runs = stage(docs.mapInArrow(_phrased(seed, share(heads)), "ids array<long>"), "colloc-runs")
-    sketches: list[np.ndarray] = []
-    for level in range(2, longest + 1):
-        sketches.append(_sketch(runs, share(list(sketches)), level, least, buckets, kind))
-    filters = share(sketches)
-    # each phrase is named by the task that owns its counter, not by all that meet it
-    owners = share(_owners(runs, filters, least, longest, buckets))
-    found = runs.mapInArrow(_discovering(filters, least, longest, _owned(owners)), _CANDIDATE).unionByName(frequent.select("h", "f").mapInArrow(_single, _CANDIDATE))
-    candidates, blocks, built = _placed(found, slots)
-    # what the owner of a counter doesn't have itself, others name
-    missed = None
-    for block in range(blocks):
-        row = built.filter(F.col("block") == block).first()
-        lists = share(_unpacked(row) if row else _NO_SLOTS)
-        part = runs.mapInArrow(_discovering(filters, least, longest, _unnamed(lists, block, blocks)), _CANDIDATE)
-        missed = part if missed is None else missed.unionByName(part)
-    missed = stage(missed, "colloc-missed")
-    if not missed.isEmpty():
-        candidates, blocks, built = _placed(candidates.unionByName(missed), slots)
-    phrases = candidates.filter(F.size("words") > 1).select("a", "b", "words")
-    read = None
-    for block in range(blocks):
-        row = built.filter(F.col("block") == block).first()  # about ``slots`` keys
-        if row is None:
-            continue
-        lists = _unpacked(row)
-        counts = lists[3] + _mapped_array(runs, len(lists[3]), "int64", None, _slot_counts(filters, least, longest, share(lists)))
-        part = stage(phrases.mapInArrow(_reading(share((lists, counts)), least), _READ), "colloc-read")
-        read = part if read is None else read.unionByName(part)
-    if read is None:
+    singles = frequent.select("h", "f").mapInArrow(_single, _PHRASES)
+    filters, found, counts = [], [], [singles.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("f").alias("weight"))]
+    for length in range(2, longest + 1):
+        # an occurrence begins with a frequent phrase that is one word shorter
+        blocks = max(1, -(-(told["f"] or 0) // slots))
+        dealt = runs.mapInArrow(_dealing(share(list(filters)), length, blocks), _DEALT).repartition(2 * blocks, "block")
+        level = stage(dealt.groupBy("block").applyInArrow(_counted(length, least), _PHRASES), "colloc-level")
+        told = level.agg(F.count("*").alias("n"), F.sum("f").alias("f")).first()
+        if not told["n"]:
+            break
+        found.append(level)
+        counts.append(level.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("f").alias("weight")))
+        size = _size(told["n"], buckets)
+        lanes = F.explode(F.array(F.col("a").bitwiseAND(F.lit(size - 1)), F.col("b").bitwiseAND(F.lit(size - 1))))
+        filters.append(_bits(level.select(lanes.alias("place")), size))
+    if not found:
         return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
-    # one row a phrase and block; a count is in one block alone
-    side = lambda name: F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda k: F.aggregate(name, F.lit(0).cast("long"), lambda x, y: x + y[k]))
-    whole = phrases.join(read.groupBy("a", "b").agg(F.sum("f").alias("f"), F.collect_list("heads").alias("heads"), F.collect_list("tails").alias("tails")).filter(F.col("f") >= least), ["a", "b"])
-    whole = stage(whole.select("a", "b", "words", "f", side("heads").alias("heads"), side("tails").alias("tails")), "colloc-phrases")
+    whole = reduce(DataFrame.unionByName, found)
     longer = whole.mapInArrow(_parents, "a long, b long, longer long").groupBy("a", "b").agg(F.max("longer").alias("longer"))
     kept = whole.join(longer, ["a", "b"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < percent * F.col("f"))).drop("longer")
     kept = stage(kept, "colloc-kept")
-    # a word is in few more frequent phrases than its count over ``least``, so that its count tells the hot ones
+    # a part is in few more frequent phrases than its count over ``least``, as is a word
+    parts = kept.mapInArrow(_sides, "a long, b long, no int, pa long, pb long")
+    met = hot_join(parts, reduce(DataFrame.unionByName, counts).withColumn("f", F.col("weight")), ["pa", "pb"], "weight")
+    sides = met.groupBy("a", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "f"))), lambda x: x["f"]).alias("sides"))
+    half = (F.size("sides") / 2).cast("int")
+    sides = sides.select("a", "b", F.slice("sides", F.lit(1), half).alias("heads"), F.slice("sides", half + 1, half).alias("tails"))
     spelled = hot_join(kept.select("a", "b", F.posexplode("words").alias("pos", "h")), frequent.select("h", "lang", "word", F.col("f").alias("weight")), ["h"], "weight")
     spelled = spelled.groupBy("a", "b").agg(F.any_value("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("phrase"))
-    ready = kept.join(spelled, ["a", "b"]).join(totals, "lang").select("lang", "phrase", "f", "n", "heads", "tails")
+    ready = kept.join(sides, ["a", "b"]).join(spelled, ["a", "b"]).join(totals, "lang").select("lang", "phrase", "f", "n", "heads", "tails")
     scored = ready.mapInArrow(_scoring, "lang string, phrase string, a long, l long, r long, n long, score long")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
-
-
-def _slot_counts(filters, least: int, longest: int, shared):
-    made: list[Slots] = []
-
-    def add(held: np.ndarray, h: np.ndarray) -> None:
-        if not made:
-            levels, a, b, _ = shared.value
-            made.append(Slots(levels, a, b))
-        for _, _, a, b in _levels(h, filters.value, least, longest):
-            slots = made[0].find(a, b)
-            np.add(held, np.bincount(slots[slots >= 0], minlength=len(held)), out=held)
-
-    return add

@@ -142,6 +142,19 @@ def test_collocations_in_small_steps(spark, texts, monkeypatch):
     assert sorted(map(tuple, collocations.mine(few, least=3).collect())) == brute_phrases([r for r in texts_of() if r[1] in ("cp", "de", "zz")], 3, 2000)
 
 
+def test_collocations_read_runs_once_a_length(spark, texts, monkeypatch):
+    """However many blocks there are, no more tables are made and no more passes taken; full bit arrays lose nothing."""
+    plain, labels = collocations.stage, []
+    monkeypatch.setattr(collocations, "stage", lambda df, label: labels.append(label) or plain(df, label))
+    monkeypatch.setattr(collocations, "BITS", 64)
+    want, told = brute_phrases(texts_of(), 3, 2000), []
+    for slots in (1 << 20, 500):
+        labels.clear()
+        assert sorted(map(tuple, collocations.mine(texts, least=3, buckets=64, slots=slots).collect())) == want
+        told.append(list(labels))
+    assert told[0] == told[1] and told[0].count("colloc-level") == 4
+
+
 def test_collocations_of_nothing(spark, texts):
     assert collocations.mine(texts.filter("false")).collect() == []
 
