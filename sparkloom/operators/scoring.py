@@ -149,6 +149,27 @@ def numbered(words, field: str):
     return work
 
 
+def numbered_counts(words):
+    """As ``numbered``, from rows (id, dl, counts) that are counted already."""
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.value
+        for part in parts:
+            listed = part.column("counts")
+            flat = listed.flatten()
+            term = pc.fill_null(pc.index_in(flat.field("term"), value_set=pa.array(known, pa.string())), -1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(listed)), np.diff(listed.offsets.to_numpy()))
+            at = np.flatnonzero(term >= 0)
+            at = at[np.lexsort((term[at], row[at]))]
+            met, starts = np.unique(row[at], return_index=True)
+            ends = pa.array(np.r_[starts, len(at)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[at].astype(np.int32))) for x in (term, flat.field("tf").to_numpy())]
+            plain = [part.column(name).take(pa.array(met)) for name in ("id", "dl")]
+            yield pa.RecordBatch.from_arrays([plain[0].cast(pa.string()), pa.array(np.ones(len(met), bool)), plain[1].cast(pa.int32()), *lists], names=["id", "keep", "dl", "terms", "tfs"])
+
+    return work
+
+
 def scored(block):
     """no, id, score of a task's best chunks: ``no`` is a set's number, or the number of sets and a query's place for a pair."""
 

@@ -72,15 +72,23 @@ def bm25_leg(index: TextIndex, terms: DataFrame, field: str, k: int, k1: float =
     A block of queries goes to every task, which scores its chunks and hands on the best (``operators/scoring.py``)."""
     spark = terms.sparkSession
     asked = written(terms.groupBy("qid").agg(F.collect_set("term").alias("terms")), "asked-terms")  # a query's own terms
-    out, last = None, None
+    out = None
+    for block in query_blocks(asked):
+        part = _block_leg(index, block, asked.schema["qid"], field, k, k1, b)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "qid long, id string, score double, rank int") if out is None else out
+
+
+def query_blocks(asked: DataFrame) -> Iterator[list]:
+    """The rows of ``asked`` in blocks, in the order of qid."""
+    last = None
     while True:
         ahead = asked if last is None else asked.filter(F.col("qid") > last)
         block = ahead.orderBy("qid").limit(QUERY_BLOCK).collect()
         if block:
-            part = _block_leg(index, block, asked.schema["qid"], field, k, k1, b)
-            out = part if out is None else out.unionByName(part)
+            yield block
         if len(block) < QUERY_BLOCK:
-            return spark.createDataFrame([], "qid long, id string, score double, rank int") if out is None else out
+            return
         last = block[-1]["qid"]
 
 
@@ -94,9 +102,15 @@ def _block_leg(index: TextIndex, block: list, qid, field: str, k: int, k1: float
     df = np.zeros(len(words))
     for row in forward.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # one row a term of the block
         df[row["term"]] = row["count"]
-    queries = [np.array(sorted(number[t] for t in r["terms"]), int) for r in block]
-    asked = scoring.asked_block(queries, df, index.chunks, index.lengths[field] or 1.0, k, k1, b)
-    members = [(int(s), r["qid"]) for s, r in zip(asked.set_of, block, strict=True) if s >= 0] + [(asked.n_sets + i, r["qid"]) for i, r in enumerate(block)]
+    queries = [(r["qid"], np.array(sorted(number[t] for t in r["terms"]), int)) for r in block]
+    return scored_block(forward, queries, qid, df, index.chunks, index.lengths[field] or 1.0, k, k1, b)
+
+
+def scored_block(forward: DataFrame, queries: list, qid, df: np.ndarray, chunks: int, mean: float, k: int, k1: float, b: float) -> DataFrame:
+    """qid, id, score, rank for a block of queries (qid, numbers of its terms) over numbered chunks."""
+    spark = forward.sparkSession
+    asked = scoring.asked_block([q for _, q in queries], df, chunks, mean, k, k1, b)
+    members = [(int(s), who) for s, (who, _) in zip(asked.set_of, queries, strict=True) if s >= 0] + [(asked.n_sets + i, who) for i, (who, _) in enumerate(queries)]
     found = forward.filter("keep").mapInArrow(scoring.scored(spark.sparkContext.broadcast(asked)), scoring.HITS)
     best = ranked(found.withColumnRenamed("no", "qid"), k).select(F.col("qid").alias("no"), "id", "score")
     named = spark.createDataFrame(members, StructType([StructField("no", IntegerType()), qid]))

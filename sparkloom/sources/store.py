@@ -25,6 +25,8 @@ from sparkloom.sources.tables import written
 
 BUCKETS = 16
 FIELDS = ("content", "title")
+#: Deleted documents up to which a join with them is broadcast, so that the rows they hide aren't shuffled.
+GONE = 2_000_000
 OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
 
 _LOG = "seq long, done boolean"
@@ -35,6 +37,11 @@ def bucket_of(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int")
 
 
+def few(gone: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast up to ``GONE`` rows."""
+    return F.broadcast(gone) if gone.count() <= GONE else gone
+
+
 class ChunkStore:
     """Collections as tables of the session's catalog, one fixed schema for all."""
 
@@ -98,7 +105,7 @@ class ChunkStore:
     def _live(self, collection: str, kind: str = "kb") -> DataFrame:
         """Rows that no later delete hides."""
         gone = self._seen(collection, "kbd").groupBy("bucket", F.col("doc_id").alias("gone_id")).agg(F.max("seq").alias("gone")).withColumnRenamed("bucket", "gone_bucket")
-        rows = self._seen(collection, kind)
+        rows, gone = self._seen(collection, kind), few(written(gone, "gone"))
         hidden = (F.col("bucket") == F.col("gone_bucket")) & F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("gone") > F.col("seq"))
         return rows.join(gone, hidden, "left_anti")
 
@@ -126,41 +133,44 @@ class ChunkStore:
             given = vectors.select(F.col("id").alias("vector_id"), F.col("embedding").alias("given"))
             named = named.join(given, F.col("id") == F.col("vector_id"), "full").withColumn("dense_vector", F.col("given"))
         rows = named.select(*[F.col(f.name).cast(f.dataType) for f in schemas.CHUNK], (F.col("vector_id").isNotNull() if vectors is not None else F.lit(True)).alias("has_vector"))
-        kept = written(rows.withColumn("bucket", bucket_of(F.col("doc_id"))), "insert")
-        if vectors is not None and not kept.filter("id IS NULL OR NOT has_vector").isEmpty():
-            raise ValueError("chunks and vectors differ in length")
+        kept = rows.withColumn("bucket", bucket_of(F.col("doc_id")))
+        if vectors is not None:
+            kept = written(kept, "insert")
+            if not kept.filter("id IS NULL OR NOT has_vector").isEmpty():
+                raise ValueError("chunks and vectors differ in length")
         seq = self._open(collection)
-        if replace:
-            self._hide(collection, kept.select("doc_id").distinct(), seq)
         # rebalancing splits a bucket that holds much; a bucket's rows are sorted in each file
         spread = kept.drop("has_vector").withColumn("seq", F.lit(seq)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "doc_name", "chapter_path", "chunk_idx")
         self._append(spread, collection, "kb")
+        put = self._table(collection).filter(F.col("seq") == seq)
+        if replace:
+            self._hide(collection, put.select("doc_id").distinct(), seq)
         if self.fields:
-            self._index(collection, kept, seq)
+            self._index(collection, put, seq)
+        ids = written(put.select("id"), "ids")
         self._close(collection, seq)
-        return kept.select("id")
-
-    def _index(self, collection: str, kept: DataFrame, seq: int) -> None:
-        forward = written(P.forward_rows(kept, self.fields).withColumn("bucket", bucket_of(F.col("doc_id"))), "forward")
-        self._append(forward.withColumn("seq", F.lit(seq)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "doc_id"), collection, "kbf")
-        self._append_postings(collection, P.blocks(forward, forward.count()))
+        return ids
+
+    def _index(self, collection: str, put: DataFrame, seq: int) -> None:
+        """Forward rows where the chunks lie, by their buckets already; postings and sums where the forward rows lie."""
+        forward = P.forward_rows(put, self.fields).withColumn("bucket", bucket_of(F.col("doc_id")))
+        self._append(forward.withColumn("seq", F.lit(seq)).sortWithinPartitions("bucket", "doc_id"), collection, "kbf")
+        forward = self._table(collection, "kbf").filter(F.col("seq") == seq)
+        self._append(P.blocks(forward).sortWithinPartitions("term_bucket", "field", "term"), collection, "kbp")
         self._append(P.sums(forward).withColumn("seq", F.lit(seq)), collection, "kbs")
 
-    def _append_postings(self, collection: str, blocks: DataFrame) -> None:
-        self._append(blocks.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "field", "term"), collection, "kbp")
-
     def _hide(self, collection: str, doc_ids: DataFrame, seq: int) -> None:
         """Delete rows for documents, and their share taken from the statistics."""
         gone = written(doc_ids.withColumn("bucket", bucket_of(F.col("doc_id"))), "gone")
-        same = gone.select(F.col("doc_id").alias("gone_id"), F.col("bucket").alias("gone_bucket"))
+        same = few(gone.select(F.col("doc_id").alias("gone_id"), F.col("bucket").alias("gone_bucket")))
         forward = self._live(collection, "kbf").join(same, (F.col("bucket") == F.col("gone_bucket")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_semi")
-        self._append(P.sums(written(forward, "forgotten"), -1).withColumn("seq", F.lit(seq)), collection, "kbs")
+        self._append(P.sums(forward, -1).withColumn("seq", F.lit(seq)), collection, "kbs")
         self._append(gone.withColumn("seq", F.lit(seq)), collection, "kbd")
 
     def delete_documents(self, collection: str, doc_ids: DataFrame) -> int:
         """Hide the chunks of ``doc_ids(doc_id)``; returns how many went.  No chunk is rewritten."""
         gone = written(doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc-ids")
-        same = gone.select(F.col("doc_id").alias("gone_id"))
+        same = few(gone.select(F.col("doc_id").alias("gone_id")))
         count = self._live(collection).join(same, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_semi").count()
         if count:
             seq = self._open(collection)
@@ -185,7 +195,7 @@ class ChunkStore:
     def compact_index(self, collection: str) -> None:
         """Postings of the chunks of the day alone, the blocks of many inserts joined."""
         forward = written(self._live(collection, "kbf"), "forward")
-        blocks = P.blocks(forward, forward.count())
+        blocks = P.blocks(forward)
         self._replace(blocks.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "field", "term"), collection, "kbp", "term_bucket", list(range(P.TERM_BUCKETS)))
 
     def _replace(self, rows: DataFrame, collection: str, kind: str, by: str, buckets: list[int]) -> None:

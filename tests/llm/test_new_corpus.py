@@ -148,7 +148,7 @@ def test_collocations_read_runs_once_a_length(spark, texts, monkeypatch):
     monkeypatch.setattr(collocations, "stage", lambda df, label: labels.append(label) or plain(df, label))
     monkeypatch.setattr(collocations, "BITS", 64)
     want, told = brute_phrases(texts_of(), 3, 2000), []
-    for slots in (1 << 20, 500):
+    for slots in (1 << 20, 9000):
         labels.clear()
         assert sorted(map(tuple, collocations.mine(texts, least=3, buckets=64, slots=slots).collect())) == want
         told.append(list(labels))

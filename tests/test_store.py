@@ -136,6 +136,21 @@ def test_bounds_skip_postings(spark, store, docs):
     assert found.read.count() < all_of_them
 
 
+def test_many_meetings_are_not_shuffled(spark, store, docs, monkeypatch):
+    """Whole texts as queries meet more postings than there are chunks: no plan of an insert's postings or of the search shuffles postings or forward rows."""
+    store.create("j")
+    store.insert("j", C.from_documents(docs))
+    store.delete_documents("j", docs.filter("doc_id % 7 = 0").select("doc_id"))
+    queries = R.queries(spark, DATA)
+    where = C.predicate(None, "en/")
+    hits = store.search_text("j", queries, where=where).hits
+    assert "entries" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert hits_of(hits) == hits_of(S.bm25(C.from_documents(docs.filter("doc_id % 7 <> 0")), queries, "content", 10, where))
+    for plan in (P.blocks(store.index("j").forward), store.index("j").forward):
+        assert " Exchange hashpartitioning(bucket" not in plan._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(term" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cuts_stay_below_the_threshold():
     import pandas as pd
 
