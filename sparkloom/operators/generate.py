@@ -35,8 +35,9 @@ def executed(requests: DataFrame, generate: Callable[[Column], Column]) -> DataF
     asks = (F.coalesce(F.size("tools"), F.lit(0)) > 0) & (F.coalesce("choice", F.lit("auto")) != "none")
     told = requests.withColumn("__answer", answer).withColumn("__names", F.when(asks, tool_names(F.col("tools"))))
     # the batched functions see the rows of requests without tools as empty texts
-    read = told.withColumn("__text", F.when(asks, F.col("__answer")).otherwise("")).withColumn("calls", C.tool_calls("request", "__text", "__names", "style"))
-    rest = read.withColumn("__rest", C.text_without_calls("__text", "__names", "style"))
+    read = told.withColumn("__text", F.when(asks, F.col("__answer")).otherwise(""))
+    reads = {"calls": C.tool_calls("request", "__text", "__names", "style"), "__rest": C.text_without_calls("__text", "__names", "style")}
+    rest = read.withColumns(reads)  # at once, so that one worker a task runs both
     called = F.size("calls") > 0
     out = rest.withColumn("content", F.when(called, F.col("__rest")).otherwise(F.col("__answer"))).withColumn("finish_reason", F.when(called, "tool_calls").otherwise("stop"))
     return out.drop("__answer", "__names", "__text", "__rest")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import random
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +141,33 @@ def test_a_call_far_below_its_name_and_open_braces_cost_no_square():
     assert time.perf_counter() - began < 5
 
 
+def test_exploded_calls_are_read_once(spark):
+    rows = spark.createDataFrame([(1, '{"name": "look", "arguments": {}}'), (2, "none")], "id long, text string")
+    read = rows.select("id", T.tool_calls("id", "text", F.array(F.lit("look")), F.lit("default")).alias("calls"))
+    told = read.select("id", F.posexplode("calls").alias("n", "c"))
+    assert [r["id"] for r in told.collect()] == [1]
+    assert told._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_a_request_without_id_leaves_other_call_ids(spark):
+    text = '{"name": "look", "arguments": {}}'
+    rows = spark.createDataFrame([(7, text), (None, text)], "id long, text string").coalesce(1)
+    read = rows.select("id", T.tool_calls("id", "text", F.array(F.lit("look")), F.lit("default")).alias("calls")).collect()
+    assert {r["id"]: r["calls"][0]["id"] for r in read}[7] == T.call_id(7, 0)
+
+
+def test_a_worker_holds_few_calls_as_objects():
+    """The objects of a batch of 24 MB stay below a third of that; Arrow's own memory is not counted."""
+    n, text = 6000, '{"name": "look", "arguments": {"a": "%s"}}'
+    batch = pa.array(range(n)), pa.array([text % (str(i) * 4000)[:4000] for i in range(n)]), pa.array([["look"]] * n), pa.array(["default"] * n)
+    tracemalloc.start()
+    made = T.tool_calls.func(*batch)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made) == n and made[n - 1].as_py() == [{"id": T.call_id(n - 1, 0), "name": "look", "arguments": '{"a": "%s"}' % (str(n - 1) * 4000)[:4000]}]
+    assert most < 8e6
+
+
 def test_schema_walk_keeps_properties_named_description():
     tool = {"type": "function", "function": {"name": "f", "description": "abcdefghij", "parameters": {"type": "object", "description": "x", "properties": {"description": {"type": "string", "description": "y"}}}}}
     made = T.compact_tool(tool, 5)
