@@ -44,30 +44,39 @@ def search_plan(conversations: DataFrame, settings: Settings = Settings(), rewri
     return made.select("conv_id", "query", "history", "intent", F.col("r.query").alias("search_query"), F.col("r.applied").alias("rewritten"))
 
 
-def found(plan: DataFrame, chunks: DataFrame, vectors: DataFrame, embeddings: DataFrame, settings: Settings = Settings(), score: Model = S.overlap_score) -> DataFrame:
-    """qid, id, score, rank for the conversations that search; ``embeddings(qid, embedding)`` are those of their queries."""
+def _candidates(plan: DataFrame, chunks: DataFrame, vectors: DataFrame | S.SharedVectors, embeddings: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The queries of the conversations that search, their hits before reranking, and the chunks among those, cut out of their documents once for
+    all that reads them."""
     asked = plan.filter("intent.should_search").select(F.col("conv_id").alias("qid"), F.col("search_query").alias("query"))
     queries = written(asked.join(embeddings, "qid", "left"), "chat-queries")
-    hits = S.search(chunks, vectors, queries, settings.mode, S.overfetch(settings.k) if settings.rerank else settings.k)
-    if settings.rerank:
-        hits = S.rerank(hits, chunks, queries, score)
-    return S.cut(hits, settings.k, settings.threshold)
+    hits = written(S.search(chunks, vectors, queries, settings.mode, S.overfetch(settings.k) if settings.rerank else settings.k), "chat-candidates")
+    return queries, hits, written(chunks.join(hits.select("id").distinct(), "id", "left_semi"), "chat-chunks")
+
+
+def _chosen(queries: DataFrame, hits: DataFrame, chunks: DataFrame, settings: Settings, score: Model) -> DataFrame:
+    return S.cut(S.rerank(hits, chunks, queries, score) if settings.rerank else hits, settings.k, settings.threshold)
+
+
+def found(plan: DataFrame, chunks: DataFrame, vectors: DataFrame | S.SharedVectors, embeddings: DataFrame, settings: Settings = Settings(), score: Model = S.overlap_score) -> DataFrame:
+    """qid, id, score, rank for the conversations that search; ``embeddings(qid, embedding)`` are those of their queries."""
+    return _chosen(*_candidates(plan, chunks, vectors, embeddings, settings), settings, score)
 
 
-def reply(conversations: DataFrame, chunks: DataFrame, vectors: DataFrame, embeddings: DataFrame, answer: Model, settings: Settings = Settings(),
+def reply(conversations: DataFrame, chunks: DataFrame, vectors: DataFrame | S.SharedVectors, embeddings: DataFrame, answer: Model, settings: Settings = Settings(),
           rewrite: Model | None = None, score: Model = S.overlap_score) -> DataFrame:
     """conv_id, intent, search_query, rewritten, total, sources, context, answer: one row a conversation.
 
     Sources are those of all hits, the context holds the relevant ones alone.  A conversation that doesn't search, or finds nothing, is
     answered without."""
     plan = written(search_plan(conversations, settings, rewrite), "chat-plan")
-    hits = written(found(plan, chunks, vectors, embeddings, settings, score), "chat-hits")
+    queries, candidates, met = _candidates(plan, chunks, vectors, embeddings, settings)
+    hits = written(_chosen(queries, candidates, met, settings, score), "chat-hits")
     source = F.struct("index", "doc_name", "chapter", "content_preview", "score")
-    sources = S.citations(hits, chunks).groupBy("qid").agg(F.array_sort(F.collect_list(source)).alias("sources"))
-    contexts = S.packed(S.relevant(hits), chunks, settings.style, settings.budget).withColumnRenamed("qid", "c_qid")
-    met = plan.join(sources, F.col("conv_id") == F.col("qid"), "left").join(contexts, F.col("conv_id") == F.col("c_qid"), "left")
+    sources = S.citations(hits, met).groupBy("qid").agg(F.array_sort(F.collect_list(source)).alias("sources"))
+    contexts = S.packed(S.relevant(hits), met, settings.style, settings.budget).withColumnRenamed("qid", "c_qid")
+    told = plan.join(sources, F.col("conv_id") == F.col("qid"), "left").join(contexts, F.col("conv_id") == F.col("c_qid"), "left")
     build = V.prompt_observation if settings.style == "observation" else V.prompt_generic
-    told = met.withColumn("context", F.coalesce("context", F.lit(""))).withColumn("prompt", build(F.col("query"), F.col("history"), F.col("context")))
+    told = told.withColumn("context", F.coalesce("context", F.lit(""))).withColumn("prompt", build(F.col("query"), F.col("history"), F.col("context")))
     return told.select(
         "conv_id", "intent", "search_query", "rewritten", F.coalesce(F.size("sources"), F.lit(0)).alias("total"),
         F.coalesce("sources", F.array().cast(sources.schema["sources"].dataType)).alias("sources"), "context", answer(F.col("prompt")).alias("answer"),

@@ -6,6 +6,9 @@ second one scores (``scored``).  Queries share work: those with the same frequen
 task's batch that have the same length and counts stand for each other.  Rare terms, if leaving them out makes sets of queries
 fall together, are scored for the queries and chunks that meet in them: such a pair's whole score is at least the set's score
 of that chunk, so that the ``k`` best of a query are among the ``k`` best of its set and the pairs.
+
+Where there are no pairs, a set is held against a batch of chunks at a time.  Its frequent terms are left out of the first sum as long as what they can
+add stays below a share of the score it takes to be among the ``k`` best so far; the chunks that can still reach that score get the rest.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -23,6 +27,12 @@ RARE = 256
 SHARED = 16
 #: Scores held at once by a task, and meetings of a term's chunk with a query.
 CELLS, MEETINGS = 1 << 20, 1 << 21
+#: Chunks that sets are held against at once, at first and at most; each batch is four times the one before, as the first ones only give thresholds.
+OPENING, BATCH = 1 << 12, 1 << 16
+#: A term that at least one chunk in so many of a batch has may be left for later, up to so many terms, and the share of a threshold that may take.
+FREQUENT, LATER, SHARE = 64, 256, 0.7
+#: Share of such a term's postings whose weights are left whole; of the others what is beyond that isn't left.
+USUAL = 0.9
 #: Scores tie at nine decimals.
 NEAR = 2e-9
 
@@ -52,7 +62,7 @@ class Best:
         if not self.parts:
             return np.empty(0, int), np.empty(0, object), np.empty(0)
         q, ids, score = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-        at = np.lexsort((np.unique(ids, return_inverse=True)[1], -score, q))
+        at = np.lexsort((pd.factorize(ids, sort=True)[0], -score, q))
         q, ids, score = q[at], ids[at], score[at]
         place = np.arange(len(q))
         fresh = np.r_[True, (q[1:] != q[:-1]) | (score[1:] != score[:-1])]
@@ -98,6 +108,12 @@ class Asked:
     k1: float
     b: float
 
+    def set_terms(self) -> tuple[np.ndarray, np.ndarray]:
+        """(set, term) of all terms of sets, by sets."""
+        starts, owners = self.sets
+        order = np.argsort(owners, kind="stable")
+        return owners[order], np.repeat(np.arange(len(starts) - 1), np.diff(starts))[order]
+
 
 def asked_block(queries: list[np.ndarray], df: np.ndarray, chunks: int, mean: float, k: int, k1: float, b: float) -> Asked:
     """``queries``: the numbers of each query's terms; ``df``: chunks that have each term."""
@@ -132,11 +148,12 @@ def numbered(words, field: str):
     """The numbers of a block's words in a list of tokens, with their counts; chunks that have none are left out."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = words.value
+        known, value_set = words.value, None
         for part in parts:
             listed = part.column(field)
             flat = listed.flatten()
-            term = pc.fill_null(pc.index_in(flat, value_set=pa.array(known, flat.type)), -1).to_numpy(zero_copy_only=False)
+            value_set = pa.array(known, flat.type) if value_set is None else value_set
+            term = pc.fill_null(pc.index_in(flat, value_set=value_set), -1).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(listed)), np.diff(listed.offsets.to_numpy()))
             cell, tf = np.unique(row[term >= 0] * len(known) + term[term >= 0], return_counts=True)
             row, term = np.divmod(cell, max(len(known), 1))
@@ -176,9 +193,10 @@ def scored(block):
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: Asked = block.value
         sets, pairs = Best(asked.n_sets, asked.k), Best(asked.n_queries, asked.k)
-        for part in parts:
+        terms = None if len(asked.pairs[1]) else asked.set_terms()
+        for part in parts if terms is None else grown(parts):
             if len(part):
-                _score(asked, part.take(pc.sort_indices(part.column("id"))), sets, pairs)
+                _score(asked, part.take(pc.sort_indices(part.column("id"))), sets, pairs, terms)
         for best, base in ((sets, 0), (pairs, asked.n_sets)):
             q, ids, score = best.rows()
             yield pa.RecordBatch.from_arrays([pa.array((q + base).astype(np.int32)), pa.array(ids, pa.string()), pa.array(score)], names=["no", "id", "score"])
@@ -186,7 +204,23 @@ def scored(block):
     return work
 
 
-def _score(asked: Asked, part: pa.RecordBatch, sets: Best, pairs: Best) -> None:
+def grown(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``OPENING`` rows, then of four times as many each time, up to ``BATCH``."""
+    held, rows, room = [], 0, OPENING
+    joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for part in parts:
+        at = 0
+        while at < len(part):
+            held.append(part.slice(at, room - rows))
+            at, rows = at + len(held[-1]), rows + len(held[-1])
+            if rows == room:
+                yield joined()
+                held, rows, room = [], 0, min(4 * room, BATCH)
+    if held:
+        yield joined()
+
+
+def _score(asked: Asked, part: pa.RecordBatch, sets: Best, pairs: Best, terms: tuple[np.ndarray, np.ndarray] | None = None) -> None:
     ids = part.column("id").to_numpy(zero_copy_only=False)
     dl = part.column("dl").to_numpy()
     ends = part.column("terms").offsets.to_numpy()
@@ -206,8 +240,11 @@ def _score(asked: Asked, part: pa.RecordBatch, sets: Best, pairs: Best) -> None:
             wanted[i] = True
             seen[key] = count + 1
     weight = asked.idf[term] * tf * (asked.k1 + 1) / (tf + asked.k1 * (1 - asked.b + asked.b * dl[row] / asked.mean))
-    dense = asked.column[term] >= 0
     rows = np.flatnonzero(wanted)
+    if terms is not None:
+        _score_sets(terms, rows, ids, ends, term, weight, sets)
+        return
+    dense = asked.column[term] >= 0
     cost = np.cumsum(np.bincount(row, np.where(dense, 0, of_set) + of_pair, len(ids))[rows])
     at, most = 0, max(CELLS // max(asked.n_sets, len(asked.shared), 1), 1)
     while at < len(rows):
@@ -217,6 +254,69 @@ def _score(asked: Asked, part: pa.RecordBatch, sets: Best, pairs: Best) -> None:
         at = to
 
 
+def _score_sets(terms: tuple[np.ndarray, np.ndarray], rows: np.ndarray, ids: np.ndarray, ends: np.ndarray, term: np.ndarray, weight: np.ndarray, sets: Best) -> None:
+    """Hold all sets against a batch's rows: a sum over the postings of a set's other terms first, then what its frequent terms add, where that matters."""
+    n, (owner, wanted) = len(rows), terms
+    local, entry = spans(ends[rows], np.diff(ends)[rows])
+    order = np.argsort(term[entry], kind="stable")
+    local, entry = local[order], entry[order]
+    weight, term = weight[entry], term[entry]
+    if not len(term):
+        return
+    held, first = np.unique(term, return_index=True)
+    last = np.append(first[1:], len(term))
+    many, most = last - first, np.maximum.reduceat(weight, first)
+    at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+    here = held[at] == wanted
+    owner, at = owner[here], at[here]
+    places = [local[a:z] for a, z in zip(first.tolist(), last.tolist(), strict=True)]
+    weights = [weight[a:z] for a, z in zip(first.tolist(), last.tolist(), strict=True)]
+    # the most frequent terms up to a usual weight as rows of a matrix, for the chunks that are looked at again, and what is beyond it as postings
+    later = np.argsort(-many, kind="stable")[:LATER]
+    later = later[many[later] * FREQUENT > n]
+    line = np.full(len(held), -1)
+    line[later] = np.arange(len(later))
+    whole = np.zeros((len(later), n))
+    beyond_places, beyond_weights = [], []
+    for i, t in enumerate(later.tolist()):
+        most[t] = np.quantile(weights[t], USUAL)
+        whole[i, places[t]] = np.minimum(weights[t], most[t])
+        over = weights[t] > most[t]
+        beyond_places.append(places[t][over])
+        beyond_weights.append(weights[t][over] - most[t])
+    rows_of = list(whole)
+    # of a set's frequent terms those that save most postings for what they can add, up to a share of its threshold
+    order = np.lexsort((np.where(line[at] >= 0, -many[at] / most[at], 0.0), owner))
+    owner, at = owner[order], at[order]
+    begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, int)
+    counts = np.diff(np.append(begins, len(owner)))
+    adds = np.where(line[at] >= 0, most[at], 0.0)
+    total = np.cumsum(adds)
+    taken = total - np.repeat(total[begins] - adds[begins], counts)
+    waits = (line[at] >= 0) & (taken <= SHARE * sets.floor[owner])
+    rest = np.add.reduceat(np.where(waits, adds, 0.0), begins) if len(owner) else np.empty(0)
+    waiting = np.add.reduceat(waits.astype(int), begins) if len(owner) else np.empty(0, int)
+    lines, floors, at = line[at], sets.floor[owner[begins]], at.tolist()
+    whose, what, scores = [], [], []
+    for who, begin, count, wait, left, floor in zip(owner[begins].tolist(), begins.tolist(), counts.tolist(), waiting.tolist(), rest.tolist(), floors.tolist(), strict=True):
+        now, then = at[begin + wait : begin + count], lines[begin : begin + wait].tolist()
+        where = [places[t] for t in now] + [beyond_places[i] for i in then]
+        score = np.bincount(np.concatenate(where), np.concatenate([weights[t] for t in now] + [beyond_weights[i] for i in then]), n)
+        found = np.flatnonzero(score >= floor - left - NEAR) if floor > left + NEAR else np.flatnonzero(score)
+        score = score[found]
+        for i in then if len(found) else ():
+            score += rows_of[i].take(found)
+        if len(found) > sets.k:
+            floor = max(floor, np.partition(score, len(score) - sets.k)[len(score) - sets.k] - NEAR)
+        kept = np.flatnonzero(score >= floor)
+        whose.append(np.full(len(kept), who))
+        what.append(found[kept])
+        scores.append(score[kept])
+    if whose:
+        sets.add(np.concatenate(whose), ids[rows[np.concatenate(what)]], np.concatenate(scores))
+        sets.rows()
+
+
 def _score_rows(asked: Asked, rows: np.ndarray, ids: np.ndarray, ends: np.ndarray, term: np.ndarray, weight: np.ndarray, sets: Best, pairs: Best) -> None:
     n = asked.n_sets
     local, entry = spans(ends[rows], np.diff(ends)[rows])

@@ -27,8 +27,8 @@ from sparkloom.sources.tables import written
 K1, B = 1.2, 0.75
 WEIGHTS = {"dense": 1.0, "content": 0.8, "title": 0.5}
 RRF_K = 60
-#: Queries whose vectors go to every task in one block.
-QUERY_BLOCK = 8192
+#: Queries that go to every task in one block, and those whose vectors do.
+QUERY_BLOCK, VECTOR_BLOCK = 1 << 15, 8192
 
 
 def ranked(hits: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -143,16 +143,36 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     out, last = None, None
     while True:
         ahead = asked if last is None else asked.filter(F.col("qid") > last)
-        block = ahead.orderBy("qid").limit(QUERY_BLOCK).collect()
+        block = ahead.orderBy("qid").limit(VECTOR_BLOCK).collect()
         if block:
             shared = spark.sparkContext.broadcast([(r["qid"], np.array(r["embedding"])) for r in block])
             part = ranked(rows.mapInPandas(_nearest(shared, k), "qid long, id string, score double"), k)
             out = part if out is None else out.unionByName(part)
-        if len(block) < QUERY_BLOCK:
+        if len(block) < VECTOR_BLOCK:
             return spark.createDataFrame([], "qid long, id string, score double, rank int") if out is None else out
         last = block[-1]["qid"]
 
 
+@dataclass
+class SharedVectors:
+    """Vectors that several chunks have: ``holders(id, vec_id)`` and ``vectors(vec_id, embedding)``."""
+
+    holders: DataFrame
+    vectors: DataFrame
+
+
+def dense_shared(shared: SharedVectors, queries: DataFrame, k: int) -> DataFrame:
+    """As ``dense``, for vectors that are scored once, whoever has them.
+
+    The smallest id stands for all that have a vector: the ``k`` best chunks have vectors among the ``k`` best, and are among the ``k`` smallest
+    ids of theirs."""
+    smallest = Window.partitionBy("vec_id").orderBy("id")
+    held = shared.holders.select(F.col("id").cast("string").alias("id"), "vec_id").withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= k)
+    held = written(held.withColumn("head", F.min("id").over(Window.partitionBy("vec_id"))), "holders")
+    near = dense(held.filter("n = 1").join(shared.vectors, "vec_id").select("id", "embedding"), queries, k)
+    return ranked(near.select("qid", F.col("id").alias("head"), "score").join(held.select("head", "id"), "head").select("qid", "id", "score"), k)
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
     """Rows of unit length; the largest component's power of two goes first, so that squares neither overflow nor vanish."""
     x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
@@ -220,15 +240,19 @@ def mode_of(mode: Column) -> Column:
     return F.when(low.isin("dense", "sparse"), low).otherwise("hybrid")
 
 
-def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = 10, where: Column | None = None, rrf: bool = False) -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame | SharedVectors, queries: DataFrame, mode: str = "hybrid", k: int = 10, where: Column | None = None, rrf: bool = False) -> DataFrame:
     """qid, id, score, rank.  ``queries`` has (qid, query, embedding), ``vectors`` (id, embedding).  Each leg of a hybrid search is cut to
     ``k`` first.  Sparse search looks at contents alone, a hybrid one at titles too."""
     mode = mode if mode in ("dense", "sparse") else "hybrid"
     fields = {"dense": (), "sparse": ("content",), "hybrid": ("content", "title")}[mode]
     legs: dict[str, DataFrame] = {}
     if mode != "sparse":
-        in_scope = vectors if where is None else vectors.join(chunks.filter(where).select("id"), "id", "left_semi")
-        legs["dense"] = dense(in_scope, queries.select("qid", "embedding"), k)
+        of_scope = lambda rows: rows if where is None else rows.join(chunks.filter(where).select("id"), "id", "left_semi")
+        asked = queries.select("qid", "embedding")
+        if isinstance(vectors, SharedVectors):
+            legs["dense"] = dense_shared(SharedVectors(of_scope(vectors.holders), vectors.vectors), asked, k)
+        else:
+            legs["dense"] = dense(of_scope(vectors), asked, k)
     if fields:
         terms = query_terms(queries.select("qid", "query"))
         index = text_index(chunks, fields, where)

@@ -31,7 +31,7 @@ def embeddings(spark, d):
 
 
 def replies(spark, d):
-    return chat.reply(D.gathered(spark, d), R.chunks(spark, d), R.chunk_vectors(spark, d), embeddings(spark, d), answered, rewrite=asked_again)
+    return chat.reply(D.gathered(spark, d), R.chunks(spark, d), R.shared_vectors(spark, d), embeddings(spark, d), answered, rewrite=asked_again)
 
 
 def chat_plan(spark, d):

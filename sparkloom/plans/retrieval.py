@@ -32,12 +32,18 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").join(vectors(spark, sf_dir), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("qid"), "embedding")
 
 
-def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, embedding: a chunk's vector is that of number (doc_id * 31 + chunk_idx) modulo the number of vectors."""
+def shared_vectors(spark: SparkSession, sf_dir: str) -> S.SharedVectors:
+    """A chunk's vector is that of number (doc_id * 31 + chunk_idx) modulo the number of vectors."""
     v = vectors(spark, sf_dir)
     total = v.agg(F.count("*").alias("n"))
     numbered = chunks(spark, sf_dir).select("id", "doc_id", "chunk_idx").crossJoin(F.broadcast(total))
-    return numbered.withColumn("vec_id", F.pmod(F.col("doc_id") * 31 + F.col("chunk_idx"), F.col("n"))).join(v, "vec_id").select("id", "embedding")
+    return S.SharedVectors(numbered.select("id", F.pmod(F.col("doc_id") * 31 + F.col("chunk_idx"), F.col("n")).alias("vec_id")), v)
+
+
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, embedding: each chunk with its vector."""
+    shared = shared_vectors(spark, sf_dir)
+    return shared.holders.join(shared.vectors, "vec_id").select("id", "embedding")
 
 
 def full_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

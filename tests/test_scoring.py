@@ -75,3 +75,50 @@ def test_best_keeps_ties_by_id_and_a_bounded_number_of_rows():
         assert best.pending <= (1 << 14) + 1000
     q, found, _ = best.rows()
     assert q.tolist() == [0, 0, 0] and found.tolist() == ["000000", "000001", "000002"]
+
+
+def test_sets_held_against_growing_batches_find_what_brute_force_finds(spark, monkeypatch):
+    """Few chunks a batch, so that thresholds leave frequent terms for later; copies, short and long chunks, terms that repeat."""
+    for name, value in (("OPENING", 8), ("BATCH", 64), ("FREQUENT", 4), ("LATER", 6), ("RARE", 1 << 30)):
+        monkeypatch.setattr(scoring, name, value)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words[: rng.choice((4, 4, 15, 60))]) for _ in range(rng.choice((0, 3, 20, 30)))) for _ in range(500)]
+    chunks = {f"{i}_{j}": t for i, t in enumerate(texts) for j in range(rng.choice((1, 1, 1, 5)))}
+    queries = {i: " ".join(rng.sample(words[:4], 3) + rng.sample(words, 6)) for i in range(40)} | {50: "w0", 51: "w0 w1 w2 w3", 52: "", 53: "absent"}
+    n, tokens = len(chunks), {i: t.split() for i, t in chunks.items()}
+    df = Counter(t for listed in tokens.values() for t in set(listed))
+    known = [sorted({words.index(t) for t in q.split() if t in words}) for q in queries.values()]
+    mean = sum(map(len, tokens.values())) / n
+    asked = scoring.asked_block([np.array(q, int) for q in known], np.array([df[w] for w in words], float), n, mean, 4, 1.2, 0.75)
+    assert not len(asked.pairs[1])
+    rows = [(i, len(listed), sorted(Counter(words.index(t) for t in listed).items())) for i, listed in tokens.items() if listed]
+    batch = lambda part: pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in part]), pa.array([True] * len(part)), pa.array([r[1] for r in part], pa.int32()), *(pa.array([[x[j] for x in r[2]] for r in part], pa.list_(pa.int32())) for j in (0, 1))],
+        names=["id", "keep", "dl", "terms", "tfs"],
+    )
+
+    class Shared:
+        value = asked
+
+    summed = []
+    held = scoring.np.bincount
+    monkeypatch.setattr(scoring.np, "bincount", lambda x, *more: summed.append(len(x)) or held(x, *more))
+    found = pa.Table.from_batches(list(scoring.scored(Shared)(batch(rows[at : at + 50]) for at in range(0, len(rows), 50)))).to_pylist()
+    best = [sorted(((r["id"], round(r["score"], 9)) for r in found if r["no"] == s), key=lambda x: (-x[1], x[0]))[:4] for s in range(asked.n_sets)]
+    want = brute(chunks, queries, 4)
+    assert {q: best[asked.set_of[i]] for i, q in enumerate(queries) if asked.set_of[i] >= 0} == want
+    postings = sum(1 for q in known for r in rows for t, _ in r[2] if t in q)
+    assert sum(summed) < 0.8 * postings  # postings of terms that were left for later are not met
+
+
+def test_shared_vectors_find_what_a_vector_for_each_chunk_finds(spark):
+    """Ten chunks of each vector and two vectors that tie: ranks, ties and scores are those of ``dense``."""
+    rng = np.random.default_rng(3)
+    made = rng.normal(size=(30, 4)).round(1)
+    made[7] = made[3]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "vec_id long, embedding array<double>")
+    holders = spark.createDataFrame([(f"{i}_x", i * 7 % 31) for i in range(300)], "id string, vec_id long")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made[:9])], "qid long, embedding array<double>")
+    told = lambda df: sorted((r["qid"], r["rank"], r["id"], round(r["score"], 9)) for r in df.collect())
+    assert told(S.dense_shared(S.SharedVectors(holders, vectors), asked, 13)) == told(S.dense(holders.join(vectors, "vec_id").select("id", "embedding"), asked, 13))
