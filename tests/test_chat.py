@@ -8,11 +8,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom import plans
 from sparkloom.operators import chat
 from sparkloom.operators import messages as M
 from sparkloom.operators import search as S
 from sparkloom.sources import chunks as C
 from sparkloom.streaming import split as Z
+from tests.oracle import DATA
 
 
 @pytest.fixture(scope="module")
@@ -132,3 +134,8 @@ def test_small_message_functions(spark):
 
     rows = spark.createDataFrame([("abc",), ("bad",), (None,)], "t string")
     assert [r["n"] for r in rows.coalesce(1).select(M.counted_tokens(count)("t").alias("n")).collect()] == [3, 0, 0]
+
+
+def test_events_are_told_from_the_chunks_cut_for_the_candidates(spark):
+    """Sources and contexts don't cut the documents into chunks again."""
+    assert not [f for f in plans.QUERIES["kb_chat_events"](spark, DATA).inputFiles() if "documents" in f]
